@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmere.llm.bpe import bpe_encode
 from quillmere.llm.common import table
 from quillmere.llm.exact_dedup import exact_dedup
+from quillmere.llm.packing import best_fit_pack
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +33,9 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
