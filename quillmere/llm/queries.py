@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmere.llm import chat
 from quillmere.llm.bpe import bpe_encode
 from quillmere.llm.common import table
 from quillmere.llm.exact_dedup import exact_dedup
 from quillmere.llm.packing import best_fit_pack
 
 
+#: A conversation whose texts are control strings of another template.
+CONTROL_TURNS = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+
+
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_TURNS))
+    return chat.chat_digests(chat.format_chat(turns))
+
+
+OP2_SQL = chat.oracle_sql(
+    "SELECT conv_id, turn, role, text FROM conversations UNION ALL "
+    "SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))"
+)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -34,8 +50,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_windows": op2_chat_windows,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_chat_windows": OP2_SQL, "op10_exact_dedup": OP10_SQL}
