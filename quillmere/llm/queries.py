@@ -11,6 +11,7 @@ from quillmere.llm.bpe import bpe_encode
 from quillmere.llm.common import table
 from quillmere.llm.exact_dedup import exact_dedup
 from quillmere.llm.packing import best_fit_pack
+from quillmere.llm.quality_rules import quality_rules
 
 
 #: A conversation whose texts are control strings of another template.
@@ -36,6 +37,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_windows": op2_chat_windows,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op2_chat_windows": OP2_SQL, "op10_exact_dedup": OP10_SQL}
