@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm import chat
 from quillmere.llm.bpe import bpe_encode
-from quillmere.llm.common import table
+from quillmere.llm.common import held_out, table
 from quillmere.llm.exact_dedup import exact_dedup
 from quillmere.llm.packing import best_fit_pack
+from quillmere.llm.quality_classifier import fit_network, score_quality
 from quillmere.llm.quality_rules import quality_rules
+from quillmere.llm.toxicity import fit_lexicon, score_toxicity
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_network(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 #: A conversation whose texts are control strings of another template.
@@ -29,6 +36,11 @@ OP2_SQL = chat.oracle_sql(
 )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_lexicon(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -55,7 +67,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_windows": op2_chat_windows,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
