@@ -13,7 +13,7 @@ import functools
 import hashlib
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillmere.llm.common import Kept
+
 #: Stands for the end-of-word suffix as one character that no byte is mapped to.
 END = "\x00"
 #: Entries that a worker keeps in each of two fillings, of words and of white-space-parted chunks.
 KEEP = 400_000
-#: Longer words and chunks aren't kept.
-LONGEST = 64
 #: Characters that are one word together when they follow letters.
 MARKS = ".,;:!?*$%&#|"
 #: Separators that str.split takes for white space and the vocabulary's pattern doesn't.
@@ -91,8 +91,8 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.pairs: dict[int, bool] = {}
-        self.words = _Kept(self.word, KEEP)
-        self.chunks = _Kept(self.simple, KEEP // 2)
+        self.words = Kept(self.word, KEEP)
+        self.chunks = Kept(self.simple, KEEP // 2)
 
     def _beside(self, left: int, right: int) -> bool:
         """Whether no merge across the seam happens before both tokens are whole.
@@ -207,25 +207,6 @@ class Vocabulary:
         return self.bytes[where[:-1]].tobytes()
 
 
-class _Kept(dict):
-    """What make() gave for a short key; the entries of the last two fillings are known, so frequent keys stay."""
-
-    def __init__(self, make: Callable[[str], bytes], room: int) -> None:
-        super().__init__()
-        self.make, self.before, self.room = make, {}, room
-
-    def __missing__(self, key: str) -> bytes:
-        made = self.before.get(key)
-        if made is None:
-            made = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= self.room:
-                self.before = dict(self)
-                self.clear()
-            self[key] = made
-        return made
-
-
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """One for each worker process."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,50 @@ def salt_of(*columns: str) -> Column:
 def salted(df: DataFrame, name: str = "salt") -> DataFrame:
     """Each row once for every salt, for the small side of a salted join."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+class Kept(dict):
+    """What make() gave for a key; the entries of the last two fillings are known, so frequent keys stay."""
+
+    def __init__(self, make: Callable, room: int, longest: int = 64) -> None:
+        super().__init__()
+        self.make, self.before, self.room, self.longest = make, {}, room, longest
+
+    def __missing__(self, key: str):
+        made = self.before.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.room:
+                self.before = dict(self)
+                self.clear()
+            self[key] = made
+        return made
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root for every node of edges (a, b): root is the smallest node of its component.
+
+    Large-star and small-star rounds, each written to the shared folder, until the edges stay the same: every round is
+    two grouped minima, combined in the map tasks, and joins on the node. The number of rounds goes with the logarithm
+    of the size of a component.
+    """
+    smaller = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
+    edges = written(edges.select(*smaller).where("a <> b").select("a", "b").distinct(), "edges")
+    last = None
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        edges = written(small.where("a <> b").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
+        if now == last:
+            break
+        last = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

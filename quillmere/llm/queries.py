@@ -10,6 +10,7 @@ from quillmere.llm import chat
 from quillmere.llm.bpe import bpe_encode
 from quillmere.llm.common import held_out, table
 from quillmere.llm.exact_dedup import exact_dedup
+from quillmere.llm.ngram_join import ngram_join
 from quillmere.llm.packing import best_fit_pack
 from quillmere.llm.quality_classifier import fit_network, score_quality
 from quillmere.llm.quality_rules import quality_rules
@@ -45,6 +46,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_windows": op2_chat_windows,
     "op3_toxicity": op3_toxicity,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
