@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmere.llm import chat
 from quillmere.llm.bpe import bpe_encode
@@ -14,6 +15,7 @@ from quillmere.llm.ngram_join import ngram_join
 from quillmere.llm.packing import best_fit_pack
 from quillmere.llm.quality_classifier import fit_network, score_quality
 from quillmere.llm.quality_rules import quality_rules
+from quillmere.llm.substring_dedup import substring_dedup
 from quillmere.llm.toxicity import fit_lexicon, score_toxicity
 
 
@@ -54,6 +56,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), "n_removed", "ref_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
