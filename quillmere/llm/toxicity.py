@@ -192,3 +192,14 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_hits", T.IntegerType())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under the threshold; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([lexicon.score(lexicon.features(t or "")) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
