@@ -16,6 +16,7 @@ from quillmere.llm.packing import best_fit_pack
 from quillmere.llm.quality_classifier import fit_network, score_quality
 from quillmere.llm.quality_rules import quality_rules
 from quillmere.llm.substring_dedup import substring_dedup
+from quillmere.llm.suffix_dedup import suffix_dedup
 from quillmere.llm.toxicity import fit_lexicon, score_toxicity
 
 
@@ -61,6 +62,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), "n_removed", "ref_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
