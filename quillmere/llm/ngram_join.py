@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join by chosen paths.
 
-A set is the five-word shingles of a text; texts with one and the same set are one set from the start. In each run a
-set walks down paths: at every step it samples those of its tokens whose hash, seeded by the path so far, lies below
-a rate over the size of the set. Sets that share most tokens sample mostly the same ones, and meet. A bucket is the
+A set is the five-word shingles of a text; texts with one and the same set are one set from the start. Its SKETCH
+least tokens, as hashes are a fair sample, stand for it on the paths. In each run a set walks down paths: at every
+step it samples those tokens whose hash, seeded by the path so far, lies below a rate over their number. Sets that share most tokens sample mostly the same ones, and meet. A bucket is the
 sets at one path; large buckets are split one step further, small ones are compared by brute force. What is still
 large after the last step holds sets that are alike; it is compared in blocks, so no task holds a whole bucket. Runs
 are repeated until the chance to miss a pair at the least similarity is below 1 - recall.
@@ -26,8 +26,10 @@ from quillmere.llm.shingles import fingerprint, mixed, shingle_set
 
 #: Expected samples of a set at each step of a path.
 RATES = (2.5, 1.6, 1.6)
-#: Sets of a bucket that is compared at once, and of a block of a larger one.
-LIMIT, BLOCK = 128, 256
+#: Tokens of a set that are sampled from.
+SKETCH = 96
+#: Sets of a bucket that isn't split further; sets and tokens of a block that is compared at once.
+LIMIT, BLOCK, BLOCK_TOKENS = 128, 1500, 1_500_000
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
@@ -43,70 +45,93 @@ def runs_needed(similarity: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
-def sampled(tokens: np.ndarray, seed: np.uint64, rate: float) -> np.ndarray:
-    """Seeds of the paths that go on from the one with this seed."""
-    bound = min(1.0, rate / len(tokens))
-    chosen = tokens[(mixed(tokens ^ seed) >> np.uint64(11)).astype(np.float64) < bound * 2**53]
-    return mixed(chosen + mixed(np.atleast_1d(seed + ONE)))
+def sampled(tokens: np.ndarray, seeds: np.ndarray, rate: float) -> list[np.ndarray]:
+    """For each seed of a path the seeds of the paths that go on from it: a token whose hash is below a rate over the
+    number of tokens is sampled."""
+    bound = np.uint64(min(1.0, rate / len(tokens)) * (1 << 53))
+    chosen = (mixed(tokens ^ seeds[:, None]) >> np.uint64(11)) < bound
+    children = mixed(tokens + mixed(seeds + ONE)[:, None])
+    return [c[m] for c, m in zip(children, chosen, strict=True)]
 
 
-def paths(tokens: np.ndarray, runs: int) -> tuple[list[int], list[list[int]], list[list[list[int]]]]:
-    """Paths of one, two and three steps, those of two below the one they extend, and so on."""
-    first, second, third = [], [], []
-    for run in range(runs):
-        for one in sampled(tokens, mixed(np.array([run + 1], np.uint64))[0], RATES[0]):
-            two = sampled(tokens, one, RATES[1])
-            first.append(int(one.view(np.int64)))
-            second.append(two.view(np.int64).tolist())
-            third.append([sampled(tokens, s, RATES[2]).view(np.int64).tolist() for s in two])
-    return first, second, third
+def first_paths(tokens: np.ndarray, runs: int) -> np.ndarray:
+    """Of one step, over all runs."""
+    return np.concatenate(sampled(tokens[:SKETCH], mixed(np.arange(1, runs + 1, dtype=np.uint64)), RATES[0])).view(np.int64)
 
 
-SKETCH = "doc long, fp binary, one array<bigint>, two array<array<bigint>>, three array<array<array<bigint>>>"
+def deeper_paths(tokens: np.ndarray, first: np.ndarray) -> tuple[list[list[int]], list[list[list[int]]]]:
+    """Of two steps below each of the first ones, and of three below each of these."""
+    second = sampled(tokens[:SKETCH], first.view(np.uint64), RATES[1])
+    third = iter(sampled(tokens[:SKETCH], np.concatenate(second), RATES[2])) if sum(map(len, second)) else iter([])
+    return [s.view(np.int64).tolist() for s in second], [[next(third).view(np.int64).tolist() for _ in s] for s in second]
 
 
 def sketches(docs: DataFrame, n: int, runs: int) -> DataFrame:
-    """doc, fp (null without words) and the paths of each row of (doc, text)."""
-    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.list_(pa.int64()))))
+    """doc, fp (null without words) and the first paths of each row of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            prints, sizes, drawn = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text or "", n)
-                made = (fingerprint(tokens), *paths(tokens, runs)) if len(tokens) else (None, [], [], [])
-                for column, value in zip(out, made, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds[1:], strict=True))], names=["doc", "fp", "one", "two", "three"])
+                prints.append(fingerprint(tokens) if len(tokens) else None)
+                sizes.append(len(tokens))
+                drawn.append(first_paths(tokens, runs) if len(tokens) else tokens.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))], names=["doc", "fp", "tokens", "paths"])
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(run, "doc long, fp binary, tokens long, paths array<bigint>")
+
+
+def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """path, fp, two, three: the paths below those of large buckets; each text is moved once, whatever its buckets."""
+    asked = large.groupBy("fp").agg(F.collect_list("path").alias("paths")).join(texts, "fp").select("fp", "paths", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for fp, paths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                two, three = deeper_paths(shingle_set(text, n), np.array(paths, np.int64))
+                out += zip([fp] * len(paths), two, three, strict=True)
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            kinds = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["fp", "two", "three"])
+
+    return asked.mapInArrow(run, "fp binary, two array<bigint>, three array<array<bigint>>")
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (path, fp, deeper) of buckets with at most LIMIT sets, and of larger ones with their size."""
+    """Rows (path, fp, ...) of buckets with two to LIMIT sets, and of larger ones, with their size."""
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = rows.join(counts, "path")
-    return sized.where(F.col("size") <= LIMIT).select("path", "fp"), sized.where(F.col("size") > LIMIT)
-
-
-def buckets(reps: DataFrame) -> DataFrame:
-    """bucket, a, b, side, fp: a and b are the blocks compared there, side the one that fp is in; 0 of a whole bucket."""
-    one = reps.select("fp", F.posexplode("one").alias("i", "path"), "two", "three")
-    small, large = [], common.written(one.select("path", "fp", F.element_at("two", F.col("i") + 1).alias("two"), F.element_at("three", F.col("i") + 1).alias("three")), "paths")
-    few, large = _split(large)
-    small.append(few)
-    step = large.select("fp", F.posexplode("two").alias("i", "path"), "three").select("path", "fp", F.element_at("three", F.col("i") + 1).alias("three"))
-    few, large = _split(step)
-    small.append(few)
-    few, large = _split(large.select("fp", F.explode("three").alias("path")))
-    small.append(few)
-    members = small[0].unionByName(small[1]).unionByName(small[2]).groupBy("path").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
-    whole = members.groupBy("fps").agg(F.min("path").alias("bucket")).select("bucket", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.explode("fps").alias("fp"))
-    count = F.ceil(F.col("size") / BLOCK)
-    mine = F.pmod(F.xxhash64("fp", "path"), count)
-    dealt = large.select("path", "fp", mine.cast("int").alias("side"), F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("other"))
-    blocks = dealt.select(F.col("path").alias("bucket"), F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
-    return whole.unionByName(blocks)
+    return sized.where(F.col("size") <= LIMIT), sized.where(F.col("size") > LIMIT)
+
+
+def final_buckets(met: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """path, fp of the buckets that aren't split: small ones, and what is still large after the last step."""
+    below = common.written(deeper(met.where(F.col("size") > LIMIT), texts, n), "deeper")
+    second, large = _split(below.select("fp", F.posexplode("two").alias("i", "path"), "three").select("path", "fp", F.element_at("three", F.col("i") + 1).alias("three")))
+    third, last = _split(large.select("fp", F.explode("three").alias("path")))
+    return met.where(F.col("size") <= LIMIT).select("path", "fp").unionByName(second.select("path", "fp")).unionByName(third.select("path", "fp")).unionByName(last.select("path", "fp")).distinct()
+
+
+def merged_buckets(final: DataFrame) -> DataFrame:
+    """bucket, fp: a bucket most of whose sets have the same bucket as their first one is merged with it. Copies with
+    small changes meet in every run in almost the same bucket; so they are compared once, and no pair is lost."""
+    lead = final.groupBy("fp").agg(F.min("path").alias("lead"))
+    votes = final.join(lead, "fp").groupBy("path", "lead").agg(F.count(F.lit(1)).alias("n"))
+    chosen = votes.groupBy("path").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    label = chosen.select("path", F.when(2 * F.col("most") >= F.col("all"), F.col("lead")).otherwise(F.col("path")).alias("bucket"))
+    return final.join(label, "path").select("bucket", "fp").distinct()
+
+
+def dealt_blocks(merged: DataFrame, reps: DataFrame) -> DataFrame:
+    """bucket, a, b, side, fp: a and b are the blocks compared there, side the one that fp is in. A bucket is one block
+    unless it has more than BLOCK sets or BLOCK_TOKENS tokens."""
+    sizes = merged.join(reps.select("fp", "tokens"), "fp").groupBy("bucket").agg(F.count(F.lit(1)).alias("sets"), F.sum("tokens").alias("tokens"))
+    count = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    side = F.pmod(F.xxhash64("fp", "bucket"), count).cast("int")
+    dealt = merged.join(sizes, "bucket").select("bucket", "fp", side.alias("side"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    return dealt.select("bucket", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -232,14 +257,16 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: flo
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), common.text_of(text_col).alias("text"))
     drawn = common.written(sketches(rows, n, runs_needed(similarity, recall)), "sketches")
-    has_words = drawn.where("fp is not null")
-    reps = common.written(
-        has_words.groupBy("fp").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("one").alias("one"), F.first("two").alias("two"), F.first("three").alias("three")), "sets"
-    )
-    met = common.written(buckets(reps.where("doc is not null")), "buckets")
-    others = met.groupBy("fp").agg(F.collect_set("bucket").alias("others")).join(reps.select("fp", "doc"), "fp")
-    candidates = others.join(rows.where("doc is not null"), "doc").select("fp", "others", "text")
-    members = met.join(candidates, "fp").select("bucket", "a", "b", "side", "fp", "others", "text").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    reps = common.written(drawn.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths")), "sets")
+    small, large = _split(reps.where("doc is not null").select(F.explode("paths").alias("path"), "fp"))
+    met = common.written(small.unionByName(large), "met")
+    wanted = common.written(met.select("fp").distinct().join(reps.select("fp", "doc"), "fp"), "wanted")
+    texts = common.written(common.small_or_shuffled(wanted).join(rows.where("doc is not null"), "doc").select("fp", "text"), "texts")
+    final = common.written(final_buckets(met, texts, n), "final-buckets")
+    merged = common.written(merged_buckets(final), "merged-buckets")
+    met = common.written(dealt_blocks(merged, reps), "blocks")
+    others = met.groupBy("fp").agg(F.collect_set("bucket").alias("others"))
+    members = met.join(others.join(texts, "fp"), "fp").select("bucket", "a", "b", "side", "fp", "others", "text").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     found = common.written(verified(members, n, similarity), "links")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = common.components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
