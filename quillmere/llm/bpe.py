@@ -12,15 +12,16 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from quillmere.llm.common import Kept
 
@@ -56,8 +57,9 @@ class Vocabulary:
         suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
+        #: What the file says on normalising and parting words, for whatever isn't plain letters and marks.
+        self.split = Tokenizer.from_file(path)
         self.alphabet = byte_alphabet()
 
         def marked(token: str) -> str:
@@ -92,6 +94,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.pairs: dict[int, bool] = {}
         self.words = Kept(self.word, KEEP)
+        self.mapped_words = Kept(self.mapped_word, KEEP // 10)
         self.chunks = Kept(self.simple, KEEP // 2)
 
     def _beside(self, left: int, right: int) -> bool:
@@ -165,9 +168,11 @@ class Vocabulary:
                 choice -= 1
         return out
 
+    def mapped_word(self, word: str) -> bytes:
+        return b"".join([self.packed[r] for r in self.merge(word + END)])
+
     def word(self, word: str) -> bytes:
-        mapped = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")])
-        return b"".join([self.packed[r] for r in self.merge(mapped + END)])
+        return self.mapped_word(word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()]))
 
     def simple(self, chunk: str) -> bytes:
         """A chunk of letters with marks behind them is one or two words; any other goes the general way."""
@@ -182,8 +187,8 @@ class Vocabulary:
         """Ids of any text, as little-endian unsigned 32-bit integers."""
         out, place = [], 0
         for m in [*self.special_pattern.finditer(text), None] if "<|" in text else [None]:
-            plain = unicodedata.normalize("NFC", text[place : m.start() if m else len(text)])
-            out += [self.words[w] for w in self.pattern.findall(plain.replace("Σ", "σ").lower())]
+            plain = self.split.normalizer.normalize_str(text[place : m.start() if m else len(text)])
+            out += [self.mapped_words[w] for w, _ in self.split.pre_tokenizer.pre_tokenize_str(plain)]
             if m:
                 out.append(self.special[m[0]].to_bytes(4, "little"))
                 place = m.end()

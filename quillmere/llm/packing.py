@@ -65,19 +65,21 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, patien
 
     while alive > least and given_up < patience:
         candidates = np.flatnonzero(~done & (fill > 0) & (fill < capacity))
-        if len(candidates) < 2:
+        if not len(candidates):
             break
-        donor = int(candidates[np.argmin(fill[candidates])])
+        donor, moved = int(candidates[np.argmin(fill[candidates])]), False
         while fill[donor]:
             mine = np.flatnonzero(where == donor)
             step = _exchange(donor, mine, where, fill, lengths, capacity)
             if step is None:
                 break
-            target, give, take = step
+            (target, give, take), moved = step, True
             for i in give:
                 put(i, target)
             for i in take:
                 put(i, donor)
+        if moved:  # what was given up may fit now
+            done[:] = False
         if fill[donor]:
             done[donor], given_up = True, given_up + 1
         else:

@@ -65,7 +65,7 @@ class Lexicon:
 
     weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(TERMS, 1.0))
     exceptions: tuple[str, ...] = EXCEPTIONS
-    coefficients: tuple[float, float, float] = (-3.0, 3.0, 0.3)
+    coefficients: tuple[float, float, float] = (-2.0, 4.2, 0.5)
 
     def __post_init__(self) -> None:
         self.build()
