@@ -72,6 +72,16 @@ class Kept(dict):
         return made
 
 
+#: Rows of a few numbers that are broadcast at most: some tens of MB.
+FEW_ROWS = 300_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df, a written table of a few numbers a row, to be broadcast if a count shows that it is small; else as it is, so a
+    join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 
