@@ -39,3 +39,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
 def group_totals(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """keys, total, truncated for the same limit."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", F.col("total") > limit)
+
+
+def scan_capped(df: DataFrame, order: list[Column], cap: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first rows that a bounded scan would see, and one row with scanned and scan_truncated: another bound than
+    that of the output, so another flag."""
+    b = bounded(df, order, cap)
+    return b.rows, b.summary.select(F.col("returned").alias("scanned"), F.col("truncated").alias("scan_truncated"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalogs
 from quillmere.functions import columns as C
 from quillmere.functions.globs import mapping_glob, path_glob, rule_glob
-from quillmere.operators import changes, code, graph, inventory, policy, text
-from quillmere.operators.bounded import bounded, group_totals, top_per_group
+from quillmere.operators import changes, code, graph, inventory, policy, reports, routing, text
+from quillmere.operators.bounded import bounded, group_totals, scan_capped, top_per_group
+from quillmere.sources import adapters, git
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -763,11 +764,9 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS key, 'm.k' AS metric, CAST(props ->> 'k' AS DOUBLE) AS value, CAST(props ->> 'k' AS DOUBLE) / 50 AS level FROM events WHERE CAST(props ->> 'k' AS DOUBLE) / 50 >= 1")
 def metric_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmere.sources.adapters import concerns, flat_metrics
-
     k = F.get_json_object("props", "$.k")
     docs = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"m": {"k": {"value": '), k, F.lit(', "levelOfConcern": '), (k.cast("double") / 50).cast("string"), F.lit("}}}")).alias("json"))
-    return concerns(flat_metrics(docs, "event_id")).select("key", "metric", "value", "level")
+    return adapters.concerns(adapters.flat_metrics(docs, "event_id")).select("key", "metric", "value", "level")
 
 
 @query("SELECT role, count(CASE WHEN turn % 5 <> 4 THEN 1 END) AS measured, count(CASE WHEN turn % 5 = 4 THEN 1 END) AS unmeasured, CAST(sum(v) AS BIGINT) AS total, min(v) AS smallest, max(v) AS largest, avg(v) AS mean, median(v) AS median FROM (SELECT role, turn, CASE WHEN turn % 5 <> 4 THEN length(text) END AS v FROM conversations) GROUP BY role")
@@ -791,8 +790,91 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(CASE WHEN doc_id % 3 = 0 THEN 'p' || doc_id END, 'f' || doc_id) AS path, CAST(doc_id % 4 AS INT) AS error_count, CAST(doc_id % 2 AS INT) AS missing_count, doc_id % 4 = 0 AND doc_id % 2 = 0 AND doc_id % 5 <> 0 AS ok FROM documents")
 def syntax_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmere.sources.adapters import syntax_rows
-
     i = F.col("doc_id")
     payload = F.to_json(F.struct(F.when(i % 3 == 0, F.concat(F.lit("p"), i)).alias("path"), F.concat(F.lit("f"), i).alias("filename"), (i % 4).alias("errors"), (i % 2).alias("missing_count"), (i % 5 != 0).alias("success")))
-    return syntax_rows(table(spark, sf_dir, "documents").select(payload.alias("json")))
+    return adapters.syntax_rows(table(spark, sf_dir, "documents").select(payload.alias("json")))
+
+
+# ---- routing, reports, sources ---------------------------------------------------------------------------------------
+
+CONDITIONS = {
+    "doc_count > 0": "docs > 0",
+    "test_count > 0": "tests > 0",
+    f"has_git OR {routing.LARGER}": "true",
+    "has_git": "true",
+    "has_git AND size_class = 'large'": "n >= 2000",
+    routing.LARGER: "n >= 200",
+    "size_class = 'large'": "n >= 2000",
+    "array_contains(project_types, 'rule_heavy')": "rules",
+    "size(project_types) > 0": "kinds",
+    "true": "true",
+}
+
+
+@query(
+    F_SQL
+    + f""", s AS (SELECT count(*) AS n, count(*) FILTER ({IS_DOC}) AS docs, count(*) FILTER (regexp_matches(lower(path), '(^|/)tests?/') OR regexp_matches(lower({NAME}), '^test_|_test[.]|[.]test[.]|[.]spec[.]')) AS tests,
+  bool_or({either(catalogs.SUMMARY_SIGNALS["rule_heavy"], "contains(lower(path), '{}')")}) AS rules, bool_or({" OR ".join(either(w, "contains(lower(path), '{}')") for w in catalogs.SUMMARY_SIGNALS.values())}) AS kinds FROM f) """
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS operator, '{phase}' AS phase, {routing.PHASES.index(phase)} AS phase_order, {i} AS ord, '{kind}' AS list, '{when}' AS activation, '{why}' AS reason FROM s WHERE {CONDITIONS[condition]}"
+        for i, (name, phase, kind, condition, when, why) in enumerate(routing.CATALOG)
+    )
+)
+def operator_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.recommend(inventory.summary(files(spark, sf_dir)).withColumn("has_git", F.lit(True)))
+
+
+@query("SELECT * FROM (VALUES ('search', 'open-search', true), ('glob_filter', NULL, false)) AS v(operator, action, available)")
+def routed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recommended = routing.recommend(inventory.summary(files(spark, sf_dir)).withColumn("has_git", F.lit(False)))
+    return routing.actions(routing.narrow(recommended, {"goal": True}), spark.createDataFrame([("search", "open-search")], "operator string, action string"))
+
+
+@query(
+    F_SQL
+    + f""", l AS (SELECT DISTINCT {case_of(catalogs.ROUTING_LANGUAGES, EXT)} AS language FROM f), k AS (SELECT language, language IN ('python', 'go', 'c') AS known FROM l WHERE language IS NOT NULL)
+SELECT language, 'small' AS level, known AS enabled, CASE WHEN known THEN 'sources found' ELSE 'no analysis for this language' END AS reason FROM k UNION ALL SELECT language, 'medium', true, 'the tree is large enough' FROM k WHERE known
+UNION ALL SELECT language, 'large', language = 'go', CASE WHEN language = 'go' THEN 'the runtime is there' ELSE 'the runtime is missing' END FROM k WHERE known"""
+)
+def language_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.language_tools(inventory.languages(files(spark, sf_dir)), "large", ("python", "go", "c"), ("go",))
+
+
+@query(F_SQL + f", l AS (SELECT DISTINCT {case_of(catalogs.ROUTING_LANGUAGES, EXT)} AS language FROM f) SELECT language, CASE WHEN language = 'go' THEN 'go-list' END AS backend, language = 'go' AS is_available FROM l WHERE language IS NOT NULL")
+def backend_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.backend_plan(inventory.languages(files(spark, sf_dir)), {"go-list": True}, {"go": "go-list", "csharp": "dotnet"})
+
+
+@query(
+    F_SQL
+    + """, d AS (SELECT path, max(size) AS bytes FROM f GROUP BY path), t AS (SELECT * FROM d ORDER BY bytes DESC, path DESC LIMIT 10), n AS (SELECT count(*) AS n FROM d)
+SELECT '| Path | Bytes | Responsibility |' || chr(10) || '|---|---:|---|' || chr(10) || string_agg('| `' || path || '` | ' || bytes || ' | to be told |', chr(10) ORDER BY bytes DESC, path) || (SELECT CASE WHEN n > 10 THEN chr(10) || chr(10) || (n - 10) || ' more files are not shown' ELSE '' END FROM n) AS report FROM t"""
+)
+def responsibility_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.responsibility_report(files(spark, sf_dir).groupBy("path").agg(F.max("size").alias("bytes")), 10)
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0) AS ahead, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0) AS behind")
+def commit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit"))
+    return git.commit_delta(commits.where("commit % 3 = 0"), commits.where("commit % 2 = 0"))
+
+
+@query(F_SQL + ", s AS (SELECT * FROM f ORDER BY path, id LIMIT 150) SELECT count(*) AS hits, 150 AS scanned, (SELECT count(*) FROM f) > 150 AS scan_truncated FROM s WHERE contains(path, 'ring')")
+def scan_capped_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen, told = scan_capped(files(spark, sf_dir), [F.col("path"), F.col("id")], 150)
+    return seen.where(F.col("path").contains("ring")).agg(F.count(F.lit(1)).alias("hits")).crossJoin(told)
+
+
+@query(
+    """
+WITH s AS (SELECT l_orderkey % 100 AS d, l_partkey % 500 AS s, min(l_linenumber) AS r FROM lineitem GROUP BY ALL), o AS (SELECT s, max('f' || lpad(CAST(d AS VARCHAR), 3, '0')) AS dst FROM s WHERE r = 1 GROUP BY s)
+SELECT DISTINCT 'f' || lpad(CAST(d AS VARCHAR), 3, '0') AS src, dst, 'depends_on' AS kind FROM s JOIN o USING (s) WHERE 'f' || lpad(CAST(d AS VARCHAR), 3, '0') <> dst
+"""
+)
+def scip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("d"), (F.col("l_partkey") % 500).alias("s")).agg(F.min("l_linenumber").alias("r"))
+    mark = F.struct(F.concat(F.lit("p/"), "s").alias("symbol"), F.array(F.lit(0), F.lit(0), F.lit(1)).alias("range"), F.when(F.col("r") == 1, 1).otherwise(0).alias("symbolRoles"))
+    documents = marks.groupBy("d").agg(F.collect_list(mark).alias("occurrences"))
+    one = F.struct(F.concat(F.lit("f"), F.lpad(F.col("d").cast("string"), 3, "0")).alias("relativePath"), F.lit("x").alias("language"), F.expr("cast(array() AS array<struct<symbol:string>>)").alias("symbols"), F.col("occurrences").alias("occurrences"))
+    return adapters.scip_graph(documents.select(F.to_json(F.struct(F.array(one).alias("documents"))).alias("json")))[1]

@@ -282,3 +282,36 @@ def test_stream_of_a_log(spark, tmp_path):
     q = found.writeStream.format("memory").queryName("findings").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT count(*) FROM findings").first()[0] == 2
+
+
+def test_git_results_are_parsed(spark, tmp_path):
+    from quillmere.sources import git
+
+    lines = spark.createDataFrame([('"a b.py"',), ("./x\\y.py",), ("",)], "line string")
+    assert {r["path"] for r in git.changed_paths(lines).collect()} == {"a b.py", "x/y.py"}
+    status = spark.createDataFrame([(" M a.py",), ("R  old.py -> new.py",), ("?? z",)], "line string")
+    assert {tuple(r) for r in git.status_rows(status).collect()} == {(" ", "M", "a.py"), ("R", " ", "new.py"), ("?", "?", "z")}
+    stat = spark.createDataFrame([(" 3 files changed, 10 insertions(+), 2 deletions(-)",), (" 1 file changed, 1 deletion(-)",)], "line string")
+    assert sorted(tuple(r) for r in git.shortstat(stat).collect()) == [(1, 0, 1), (3, 10, 2)]
+    assert git.git_lines(spark, str(tmp_path), "status").status in ("git_query_failed", "git_unavailable")
+
+
+def test_context_pack_tells_failures_apart_from_nothing(spark):
+    from quillmere.operators import reports
+
+    none = spark.createDataFrame([], "line string")
+    many = spark.createDataFrame([(f"f{i}",) for i in range(5)], "line string")
+    report = reports.context_pack({"Goal": "g"}, many, None, limit=2).first()["report"]
+    assert "- f0\n- f1\n- and more" in report and report.endswith("## Status\n- unavailable")
+    assert reports.context_pack({"Goal": "g"}, none, none).first()["report"].endswith("- none\n\n## Status\n- clean")
+
+
+def test_routing_narrows_only_when_a_task_tells_something(spark):
+    from quillmere.operators import routing
+
+    summary = spark.createDataFrame([(5000, 3, 0, 0, "large", ["rule_heavy"], False)], "file_count long, doc_count long, test_count long, large_count long, size_class string, project_types array<string>, has_git boolean")
+    every = routing.recommend(summary)
+    names = {r["operator"] for r in every.collect()}
+    assert {"graph_expand", "policy_index", "change_router"} <= names and not names & {"validation_plan", "commit_delta"}
+    assert routing.narrow(every, {"goal": False}).count() == len(names)
+    assert {r["operator"] for r in routing.narrow(every, {"goal": True, "task_file": True}).collect()} == {"search", "glob_filter", "sections", "heading_index", "stop_check"}
