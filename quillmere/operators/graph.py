@@ -6,30 +6,17 @@ written to the session's checkpoint folder, so lineage stays short and a lost ex
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
+from quillmere.sources.scratch import written as saved
 
 NODE_FIELDS = ("kind", "name", "qualified_name", "path", "symbol_kind", "line", "end_line")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the session's checkpoint folder (one of its own only where none is set), read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillmere-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quillmere/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def merge_nodes(nodes: DataFrame, order: str = "source_ord") -> DataFrame:
     """One node an id: of each field the first value that isn't null or empty, in the order of the sources."""
     def first(name: str) -> Column:
