@@ -282,3 +282,21 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: flo
         F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"),
     )
+
+
+def oracle_sql(similarity_percent: int = 80, n: int = 5) -> str:
+    """ngram_join of the documents table in SQL, by comparing all pairs that share a shingle (of distinct doc_ids)."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' ')))) END AS s FROM w
+),
+sets AS (SELECT s, min(doc_id) AS id, count(*) AS copies FROM g WHERE s IS NOT NULL GROUP BY s),
+e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {similarity_percent} * (a.n + b.n - count(*))),
+r AS (SELECT id, id AS root FROM sets UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id), l AS (SELECT a AS id, count(*) AS links FROM p GROUP BY a)
+SELECT g.doc_id, coalesce(c.root, g.doc_id) AS class_id, coalesce(l.links, 0) AS n_links, coalesce(sets.copies, 1) AS n_copies
+FROM g LEFT JOIN sets ON g.s = sets.s LEFT JOIN c ON c.id = sets.id LEFT JOIN l ON l.id = sets.id
+"""

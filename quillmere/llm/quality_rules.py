@@ -223,3 +223,47 @@ def quality_rules(
         + [T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("nearest", T.StringType()), T.StructField("kept", T.BooleanType())]
     )
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def oracle_sql(max_class_distance: float = 0.2, max_word_distance: float = 0.43, min_chars: int = 200, min_words: int = 50, common_words: int = 50, least_share: float = 0.005) -> str:
+    """What the rules say of the documents table, in SQL (of distinct doc_ids)."""
+    marks = MARKS.replace("'", "''")
+    one = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^ \t\n\v\f\r]", "sentence": "[^.,;:!?''\"()-]", "symbol": "[^#*$%&|<>]", "beyond": r"[\x00-\x7F]"}
+    classes = ", ".join(f"length(regexp_replace(text, '{rx}', '', 'g')) AS c_{name}" for name, rx in one.items())
+    spread = ", ".join(f"'{c}'" for c in CLASSES), ", ".join(f"c_{c}" for c in CLASSES)
+    divergence_of = "sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+s AS (SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, string_split(text, chr(10)) AS l FROM d),
+tok AS (SELECT doc_id, lang, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM s),
+tri AS (SELECT doc_id, i, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri WHERE c IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY 1),
+lin AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(l) AS x FROM s) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+base AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lin.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM s LEFT JOIN lin USING (doc_id) LEFT JOIN rep USING (doc_id)
+),
+cls AS (SELECT *, length(text) - c_lower - c_upper - c_digit - c_space - c_sentence - c_symbol - c_beyond AS c_other FROM (SELECT doc_id, lang, text, {classes} FROM d)),
+cl AS (SELECT doc_id, lang, length(text) AS total, unnest([{spread[0]}]) AS item, unnest([{spread[1]}]) AS n FROM cls),
+norm AS (SELECT doc_id, lang, lower(trim(word, '{marks}')) AS word FROM tok),
+cnt AS (SELECT lang, CASE WHEN length(word) <= {LONGEST} THEN word ELSE '' END AS word, count(*) AS n FROM norm GROUP BY ALL),
+tot AS (SELECT lang, sum(n) AS total FROM cnt GROUP BY lang QUALIFY sum(n) / sum(sum(n)) OVER () >= {least_share}),
+top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM cnt JOIN tot USING (lang) WHERE word <> '' QUALIFY rank <= {common_words}),
+bins AS (SELECT lang, word, rank, n FROM top UNION ALL SELECT lang, NULL, {common_words + 1}, total - (SELECT sum(n) FROM top WHERE top.lang = tot.lang) FROM tot),
+refw AS (SELECT lang, word, rank, n / sum(n) OVER (PARTITION BY lang) AS q FROM bins),
+med AS (SELECT lang, item, quantile_disc(round_even(1000 * cl.n / cl.total, 0), 0.5) AS m FROM cl JOIN tot USING (lang) WHERE cl.total >= 200 GROUP BY ALL),
+refc AS (SELECT lang, item, m / sum(m) OVER (PARTITION BY lang) AS q FROM med),
+dc AS (SELECT doc_id, r.lang, {divergence_of} AS dist FROM (SELECT cl.doc_id, cl.item, n / total AS p FROM cl WHERE total > 0) c JOIN refc r USING (item) GROUP BY ALL),
+dw AS (
+  SELECT doc_id, lang, {divergence_of} AS dist FROM (
+    SELECT b.doc_id, r.lang, q, CASE WHEN r.word IS NULL THEN (b.n_words - coalesce(k.n, 0)) / b.n_words ELSE coalesce(x.n, 0) / b.n_words END AS p
+    FROM base b CROSS JOIN refw r LEFT JOIN (SELECT doc_id, word, count(*) AS n FROM norm GROUP BY ALL) x ON x.doc_id = b.doc_id AND x.word = r.word
+    LEFT JOIN (SELECT doc_id, t.lang, count(*) AS n FROM norm JOIN top t USING (word) GROUP BY ALL) k ON k.doc_id = b.doc_id AND k.lang = r.lang WHERE b.n_words > 0
+  ) GROUP BY ALL
+),
+near AS (SELECT doc_id, arg_min(dc.dist, (dc.dist + dw.dist, lang)) AS by_class, arg_min(dw.dist, (dc.dist + dw.dist, lang)) AS by_word FROM dc JOIN dw USING (doc_id, lang) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(word_chars >= {min_chars} AND n_words >= {min_words} AND (by_class > {max_class_distance} OR by_word > {max_word_distance}), false) AS kept
+FROM base LEFT JOIN near USING (doc_id)
+"""

@@ -12,10 +12,13 @@ from quillmere.llm.bpe import bpe_encode
 from quillmere.llm.common import held_out, table
 from quillmere.llm.exact_dedup import exact_dedup
 from quillmere.llm.ngram_join import ngram_join
+from quillmere.llm.ngram_join import oracle_sql as join_sql
 from quillmere.llm.packing import best_fit_pack
 from quillmere.llm.quality_classifier import fit_network, score_quality
+from quillmere.llm.quality_rules import oracle_sql as rules_sql
 from quillmere.llm.quality_rules import quality_rules
 from quillmere.llm.substring_dedup import substring_dedup
+from quillmere.llm.suffix_dedup import oracle_sql as suffix_sql
 from quillmere.llm.suffix_dedup import suffix_dedup
 from quillmere.llm.toxicity import fit_lexicon, score_toxicity
 
@@ -67,7 +70,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance", "nearest")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op2_chat_windows": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op2_chat_windows": OP2_SQL,
+    "op5_ngram_jaccard_join": join_sql(),
+    "op8_suffix_dedup": suffix_sql(),
+    "op9_quality_rules": rules_sql(),
+    "op10_exact_dedup": OP10_SQL,
+}

@@ -83,8 +83,17 @@ def as_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+#: Instead of a place: the row only tells that its batch has the hash.
+TELLS = -1
+
+
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """key, hash, pos of rows (key, text)."""
+    """key, dealt, pos of rows (key, text).
+
+    A hash that a batch has once is dealt by itself. One that a batch has more often is known to repeat: its places are
+    dealt by their document, written as -2 - pos, and a single row tells of the hash. So a hash that a third of all rows have is
+    dealt as one row a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,19 +103,39 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
                 counts.append(len(at))
                 places.append(at)
                 hashes.append(h)
-            take = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "hash", "pos"])
-
-    return rows.mapInArrow(run, "key long, hash long, pos int")
+            h, pos = np.concatenate(hashes), np.concatenate(places)
+            row = np.repeat(np.arange(len(counts)), counts)
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            known = np.zeros(len(h), bool)
+            known[order[1:]] = same
+            tells = order[1:][same & ~np.append(False, same)[: len(same)]] if len(same) else order[:0]
+            known[order[:-1]] |= same
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)[row]
+            dealt = np.where(known, mixed(keys), h)
+            take = pa.array(np.append(row, row[tells]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), pa.array(np.append(dealt, h[tells]).view(np.int64)), pa.array(np.append(np.where(known, -2 - pos, pos), np.full(len(tells), TELLS)).astype(np.int32))], names=["key", "dealt", "pos"]
+            )
+
+    return rows.mapInArrow(run, "key long, dealt long, pos int")
 
 
 def repeated(sorted_anchors: DataFrame) -> DataFrame:
-    """key, pos of the anchors whose hash the row before or behind has; equal hashes are together in a partition."""
+    """key, pos of the anchors that are known to repeat or whose neighbour has their hash; equal hashes are together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row, and whether it is known to repeat
+        held: tuple | None = None  # the last row of its own hash, and whether it is known to repeat
+
+        def made(key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+            real = pos != TELLS
+            return pa.RecordBatch.from_arrays([pa.array(key[real], pa.int64()), pa.array(pos[real].astype(np.int32), pa.int32())], names=["key", "pos"])
+
         for batch in batches:
             key, h, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            known = pos < TELLS
+            yield made(key[known], -2 - pos[known])
+            key, h, pos = key[~known], h[~known], pos[~known]
             if not len(h):
                 continue
             before = np.zeros(len(h), bool)
@@ -114,13 +143,13 @@ def repeated(sorted_anchors: DataFrame) -> DataFrame:
             if held is not None:
                 before[0] = held[1] == h[0]
                 if held[3] or before[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[2]], pa.int32())], names=["key", "pos"])
+                    yield made(np.array([held[0]]), np.array([held[2]]))
             keep = before.copy()
             keep[:-1] |= before[1:]
             held, keep[-1] = (int(key[-1]), int(h[-1]), int(pos[-1]), bool(before[-1])), False
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pos[keep])], names=["key", "pos"])
+            yield made(key[keep], pos[keep])
         if held is not None and held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[2]], pa.int32())], names=["key", "pos"])
+            yield made(np.array([held[0]]), np.array([held[2]]))
 
     return sorted_anchors.mapInArrow(run, "key long, pos int")
 
@@ -164,7 +193,7 @@ def front_coded(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def sorted_runs(located: DataFrame, parts: int) -> DataFrame:
-    """Runs by part, and covered spans by key, of rows (key, text, at): one run a batch and part."""
+    """Runs by part, one a batch and part, and with them covered spans by key, of rows (key, text, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +223,8 @@ def sorted_runs(located: DataFrame, parts: int) -> DataFrame:
             for group in np.split(by_key, np.flatnonzero(np.diff(covered_keys[by_key])) + 1):
                 if len(group):
                     s, e = joined_spans(starts[group], ends[group])
-                    out.append((None, None, None, None, None, int(covered_keys[group[0]]), s.tolist(), e.tolist()))
+                    key = int(covered_keys[group[0]])
+                    out.append((key % parts, None, None, None, None, key, s.tolist(), e.tolist()))
             rows, keys, pos = rows[new], keys[new], pos[new]
             part = np.array([zlib.crc32(r) for r in np.ascontiguousarray(rows[:, :K])], np.int64) % parts
             for p in np.unique(part).tolist():
@@ -324,14 +354,16 @@ def covered(suffixes_: Iterator[Suffix]) -> Iterator[tuple[int, int, int]]:
 
 
 def merged_spans(runs: DataFrame) -> DataFrame:
-    """key, starts, ends from rows (part, shared, rest, keys, pos), a part's rows in one partition and together."""
+    """key, start, end from the rows of sorted_runs, a part's rows in one partition and together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pieces = None, []
+        part, pieces, known = None, [], []
 
         def worked() -> pa.RecordBatch:
-            spans = np.fromiter((n for span in covered(merged([decoded(*p) for p in pieces])) for n in span), np.int64).reshape(-1, 3)
+            found = (n for span in covered(merged([decoded(*p) for p in pieces])) for n in span)
+            spans = np.concatenate([np.fromiter(found, np.int64).reshape(-1, 3), *known])
             pieces.clear()
+            known.clear()
             spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
             new = np.ones(len(spans), bool)  # overlapping spans of a key are one
             new[1:] = (spans[1:, 0] != spans[:-1, 0]) | (spans[1:, 1] > spans[:-1, 2])
@@ -340,11 +372,14 @@ def merged_spans(runs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(spans[first, 0]), pa.array(spans[first, 1].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "start", "end"])
 
         for batch in batches:
-            for p, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pieces and p != part:
+            for p, shared, rest, keys, pos, key, starts, ends_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part is not None and p != part:
                     yield worked()
                 part = p
-                pieces.append(piece)
+                if shared is not None:
+                    pieces.append((shared, rest, keys, pos))
+                else:
+                    known.append(np.stack([np.full(len(starts), key), starts, ends_], axis=1))
         yield worked()
 
     return runs.mapInArrow(run, "key long, start int, end int")
@@ -365,15 +400,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.withColumn("key", F.col("id"))
     else:
         rows = common.written(rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text")).withColumn("key", F.monotonically_increasing_id()), "keyed")
-    found = anchor_rows(rows.select("key", "text")).repartition("hash").sortWithinPartitions("hash", "key", "pos")
+    found = anchor_rows(rows.select("key", "text")).repartition("dealt").sortWithinPartitions("dealt")
     places = common.written(repeated(found), "anchors")
     parts = max(1, round(places.count() / SHARE))
     located = rows.join(places.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("at")), "key").select("key", "text", "at")
-    runs = common.written(sorted_runs(located, parts), "runs")
-    exchanged = runs.where("part is not null").select("part", "shared", "rest", "keys", "pos").repartition(parts, "part").sortWithinPartitions("part")
+    exchanged = sorted_runs(located, parts).repartition(parts, "part").sortWithinPartitions("part")
     spans = common.written(merged_spans(exchanged), "spans")
-    local = runs.where("part is null").select("key", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("key", F.col("s.starts").alias("start"), F.col("s.ends").alias("end"))
-    listed = spans.unionByName(local).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    listed = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = rows.join(listed, "key", "left").select("id", "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,3 +421,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def oracle_sql() -> str:
+    """suffix_dedup of the documents table in SQL: every string of LENGTH bytes is grouped (of distinct doc_ids)."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, unnest(range(1, n + 1)) AS i FROM d),
+w AS (SELECT b.doc_id, i, CASE WHEN i + {LENGTH - 1} <= n THEN substr(h, 2 * i - 1, {2 * LENGTH}) END AS w, substr(h, 2 * i - 1, 2) AS x FROM b JOIN d USING (doc_id)),
+f AS (SELECT doc_id, i, x, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM w),
+c AS (SELECT doc_id, i, x, sum(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS {LENGTH - 1} PRECEDING) > 0 AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
