@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from quillmere.llm.common import Kept
+from quillmere.llm.common import Kept, sliced
 
 #: Stands for the end-of-word suffix as one character that no byte is mapped to.
 END = "\x00"
 #: Entries that a worker keeps in each of two fillings, of words and of white-space-parted chunks.
-KEEP = 400_000
+KEEP = 200_000
 #: Characters that are one word together when they follow letters.
 MARKS = ".,;:!?*$%&#|"
 #: Separators that str.split takes for white space and the vocabulary's pattern doesn't.
@@ -245,7 +245,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in sliced(batches):
             made: dict[str, list] = {c: [] for c in columns}
             for text in batch.column(1).to_pylist():
                 ids = v.encode(text or "")
@@ -268,7 +268,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.decode(x or b"").decode() for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, T.StructType([T.StructField("doc_id", kind.dataType), T.StructField("text", T.StringType())]))

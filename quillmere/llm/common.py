@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,17 @@ def salted(df: DataFrame, name: str = "salt") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+#: Rows of an Arrow batch that are made Python objects at once.
+SLICE = 1000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so a worker's memory follows so many texts and not Spark's batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 class Kept(dict):
     """What make() gave for a key; the entries of the last two fillings are known, so frequent keys stay."""
 

@@ -29,9 +29,9 @@ RATES = (2.5, 1.6, 1.6)
 #: Tokens of a set that are sampled from.
 SKETCH = 96
 #: Sets of a bucket that isn't split further; sets and tokens of a block that is compared at once.
-LIMIT, BLOCK, BLOCK_TOKENS = 128, 1500, 1_500_000
+LIMIT, BLOCK, BLOCK_TOKENS = 128, 1000, 500_000
 #: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 2048
 
 ONE = np.uint64(1)
 
@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, n: int, runs: int) -> DataFrame:
     """doc, fp (null without words) and the first paths of each row of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             prints, sizes, drawn = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text or "", n)
@@ -87,7 +87,7 @@ def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     asked = large.groupBy("fp").agg(F.collect_list("path").alias("paths")).join(texts, "fp").select("fp", "paths", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             out: list[tuple] = []
             for fp, paths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 two, three = deeper_paths(shingle_set(text, n), np.array(paths, np.int64))
@@ -225,7 +225,7 @@ def verified(members: DataFrame, n: int, similarity: float) -> DataFrame:
             return made
 
         key, group, known = None, [], {}
-        for batch in batches:
+        for batch in common.sliced(batches):
             columns = [c.to_pylist() for c in batch.columns]
             for bucket, a, b, side, fp, others, text in zip(*columns, strict=True):
                 if (bucket, a, b) != key:

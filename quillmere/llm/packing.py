@@ -138,7 +138,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, eos: int = 1, path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, end = vocabulary(path), eos.to_bytes(4, "little")
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows, out = [], ([], [], [], [])
             for at, text in enumerate(batch.column(1).to_pylist()):
                 ids = v.encode(text or "") + end

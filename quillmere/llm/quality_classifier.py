@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillmere.llm import common
 from quillmere.llm.toxicity import training_rows
 
 TAPS, FILTERS, BLOCK = 8, 16, 256
@@ -158,7 +159,7 @@ def score_quality(docs: DataFrame, network: Network, threshold: float = 0.5, id_
     window; rows are scored one by one, long texts in segments; other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             scores = [network.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmere.llm import common
+
 SPACES = " \t\n\v\f\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What str.split also splits at.
@@ -122,7 +124,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             shares.clear()
             return pa.RecordBatch.from_pydict({"lang": [k[0] for k in normed], "item": [k[1] for k in normed], "n": pa.array(normed.values(), pa.int64())}, schema=pa.schema({"lang": pa.string(), "item": pa.string(), "n": pa.int64()}))
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     counts[lang or ""].update(words_of(text))
@@ -151,9 +153,7 @@ def language_references(docs: DataFrame, common_words: int = 50, least_share: fl
     counts = corpus_counts(docs, text_col, lang_col)
     is_class = F.col("item").startswith(" ")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    from quillmere.llm.common import written
-
-    counts = written(counts, "word-counts")
+    counts = common.written(counts, "word-counts")
     totals = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
     share = F.col("total") / F.sum("total").over(Window.partitionBy())
     large = totals.select("lang", "total", share.alias("share")).where(F.col("share") >= least_share)
@@ -205,7 +205,7 @@ def quality_rules(
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text := text or "")

@@ -26,7 +26,7 @@ def word_number(word: str) -> int:
 @functools.cache
 def numbers() -> Kept:
     """Of each worker process."""
-    return Kept(word_number, 400_000)
+    return Kept(word_number, 120_000)
 
 
 def words(text: str) -> list[str]:

@@ -34,7 +34,7 @@ HOMOGLYPHS = {
     "o": "оοσօ0º", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ5$", "t": "тτ7+", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ×", "y": "уγ", "z": "ᴢ2",
 }
 #: Rows that a lexicon is fitted on at most, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 6000, 200_000
+FIT_ROWS, FIT_CHARS = 4000, 200_000
 
 
 def fold_table() -> dict[int, str]:
@@ -138,13 +138,16 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars:
     seen: dict[str, int] = {}
     for text, y in training_rows(docs, labels, "toxic", rows, chars):
         seen.setdefault(fold(text), y)
-    toxic = {i: keys(t) for i, (t, y) in enumerate(seen.items()) if y == 1}
+    toxic = {i: t for i, (t, y) in enumerate(seen.items()) if y == 1}
     n_clean = sum(y == 0 for y in seen.values())
     if not toxic or not n_clean:
         return base
+    counted = Counter(w for t in toxic.values() for w in keys(t))
+    frequent = {w for w, n in counted.items() if n >= least_gain}
+    del counted
     holders: defaultdict[str, set[int]] = defaultdict(set)
-    for i, words in toxic.items():
-        for w in words:
+    for i, t in toxic.items():
+        for w in keys(t) & frequent:
             holders[w].add(i)
     clean = Counter(w for t, y in seen.items() if y == 0 for w in keys(t) & holders.keys())
     weights = dict(base.weights)
@@ -180,7 +183,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id
     one by one, so copies, repeated ids and very long texts need nothing special; other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             scores, hits = [], []
             for text in batch.column(1).to_pylist():
                 f = lexicon.features(text or "")
@@ -199,7 +202,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             yield batch.filter(pa.array([lexicon.score(lexicon.features(t or "")) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
