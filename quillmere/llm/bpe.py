@@ -28,7 +28,7 @@ from quillmere.llm.common import Kept, sliced
 #: Stands for the end-of-word suffix as one character that no byte is mapped to.
 END = "\x00"
 #: Entries that a worker keeps in each of two fillings, of words and of white-space-parted chunks.
-KEEP = 200_000
+KEEP = 350_000
 #: Characters that are one word together when they follow letters.
 MARKS = ".,;:!?*$%&#|"
 #: Separators that str.split takes for white space and the vocabulary's pattern doesn't.
@@ -47,6 +47,18 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+#: The file's pattern for lower-case Latin-1, with its letters and numbers written out.
+LATIN1_WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+
+
+def latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Vocabulary:
     """A vocabulary file of the tokenizers library: BPE over bytes with an end-of-word suffix, lower case."""
 
@@ -95,7 +107,7 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.words = Kept(self.word, KEEP)
         self.mapped_words = Kept(self.mapped_word, KEEP // 10)
-        self.chunks = Kept(self.simple, KEEP // 2)
+        self.chunks = Kept(self.simple, KEEP // 10)
 
     def _beside(self, left: int, right: int) -> bool:
         """Whether no merge across the seam happens before both tokens are whole.
@@ -172,7 +184,7 @@ class Vocabulary:
         return b"".join([self.packed[r] for r in self.merge(word + END)])
 
     def word(self, word: str) -> bytes:
-        return self.mapped_word(word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()]))
+        return self.mapped_word(word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()]))
 
     def simple(self, chunk: str) -> bytes:
         """A chunk of letters with marks behind them is one or two words; any other goes the general way."""
@@ -198,6 +210,8 @@ class Vocabulary:
         """White space is dropped and never inside a token, so a text is the chunks between it."""
         if any(c in text for c in ODD_SPACES):
             return self.chunk(text)
+        if "<|" not in text and latin1(text):  # in NFC, and lower case letter by letter
+            return b"".join(map(self.words.__getitem__, LATIN1_WORDS.findall(text.lower())))
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def decode(self, ids: bytes) -> bytes:
