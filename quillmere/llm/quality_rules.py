@@ -169,19 +169,39 @@ def language_references(docs: DataFrame, common_words: int = 50, least_share: fl
     return out
 
 
-def divergence(text: str, words: list[str], references: list[Reference]) -> tuple[float, float, str | None]:
-    """The nearest language's distance by classes and, in that order, by words; its name."""
-    classes = class_counts(text)
-    seen = Counter(map(normal, words))
-    best: tuple[float, float, str | None] = (1.0, 1.0, None)
-    for r in references:
-        counts = np.zeros(len(r.counts), np.int64)
-        for word, n in seen.items():
-            counts[r.words.get(word, -1)] += n
-        d = (js_distance(classes, r.classes), js_distance(counts, r.counts), r.lang)
-        if best[2] is None or d[0] + d[1] < best[0] + best[1]:
-            best = d
-    return best
+def js_distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """js_distance of each row of counts to one reference."""
+    totals = counts.sum(axis=1, keepdims=True)
+    p, q = counts / np.maximum(totals, 1), reference / max(reference.sum(), 1)
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = sum(np.where(x > 0, x * np.log2(x / m), 0).sum(axis=1) for x in (p, np.broadcast_to(q, p.shape)))
+    return np.where((totals[:, 0] > 0) & (reference.sum() > 0), np.sqrt(np.maximum(parts / 2, 0)), 1.0)
+
+
+class Nearest:
+    """Finds the nearest language of many texts at once; keeps the number of each common word as it is written."""
+
+    def __init__(self, references: list[Reference]) -> None:
+        self.references = references
+        common_words = sorted({w for r in references for w in r.words})
+        number = {w: i for i, w in enumerate(common_words)}
+        self.others = len(common_words)
+        self.number = common.Kept(lambda word: number.get(normal(word), self.others), 100_000)
+        self.columns = [np.array([number[w] for w in sorted(r.words, key=r.words.get)], np.int64) for r in references]
+
+    def __call__(self, texts: list[str], words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By classes, by words, and the place of the language: the least sum of both, the first one of equals."""
+        classes = np.stack([class_counts(t) for t in texts])
+        seen = np.stack([np.bincount(np.array(list(map(self.number.__getitem__, w)), np.int64), minlength=self.others + 1) for w in words])
+        pairs = []
+        for r, columns in zip(self.references, self.columns, strict=True):
+            mine = seen[:, columns]
+            pairs.append((js_distances(classes, r.classes), js_distances(np.column_stack([mine, seen.sum(axis=1) - mine.sum(axis=1)]), r.counts)))
+        by_class, by_word = (np.stack(d, axis=1) for d in zip(*pairs, strict=True))
+        best = np.argmin(by_class + by_word, axis=1)
+        rows = np.arange(len(texts))
+        return by_class[rows, best], by_word[rows, best], best
 
 
 def quality_rules(
@@ -205,15 +225,19 @@ def quality_rules(
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = Nearest(references) if references else None
         for batch in common.sliced(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            words = list(map(words_of, texts))
+            far = [(0.0, 0.0, None)] * len(texts)
+            if nearest and texts:
+                far = [(c, w, references[k].lang) if mine else (0.0, 0.0, None) for c, w, k, mine in zip(*(x.tolist() for x in nearest(texts, words)), words, strict=True)]
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text := text or "")
-                base = base_counts(text, words)
+            for text, mine, (by_class, by_word, lang) in zip(texts, words, far, strict=True):
+                base = base_counts(text, mine)
                 failed = base[0] < min_words or 100 * base[4] > max_repeat_percent * base[0]
-                by_class, by_word, nearest = divergence(text, words, references) if references and words else (0.0, 0.0, None)
                 odd = base[1] >= min_chars and base[0] >= min_words and (by_class > max_class_distance or by_word > max_word_distance)
-                out.append((*base, failed, by_class, by_word, nearest, not failed and not odd))
+                out.append((*base, failed, by_class, by_word, lang, not failed and not odd))
             columns = list(zip(*out, strict=True)) or [[]] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names, "base_failed", "class_distance", "word_distance", "nearest", "kept"])
