@@ -26,7 +26,7 @@ def lines_of(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r\u00a0\u3000"))
 
 
 def duplicate_key(line: Column) -> Column:
