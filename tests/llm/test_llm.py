@@ -283,6 +283,36 @@ def test_the_best_chain_is_the_best(points):
         assert score == pytest.approx(max(best))
 
 
+def test_passages_with_unrelated_words_between_are_cut_apart(spark):
+    sizes = [(100, 60), (100, 100), (100, 150), (51, 60)]
+    rows = []
+    for i, (n, gap) in enumerate(sizes):
+        a, b = prose(700 + i, n), prose(710 + i, n)
+        rows += [(10 * i, f"{a} {prose(720 + i, gap)} {b}"), (10 * i + 1, f"{prose(730 + i, 20)} {a} {prose(740 + i, gap)} {b} {prose(750 + i, 20)}")]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    for i, (n, gap) in enumerate(sizes):
+        assert not got[10 * i]["n_removed"]
+        assert got[10 * i + 1]["kept_text"].split() == f"{prose(730 + i, 20)} {prose(740 + i, gap)} {prose(750 + i, 20)}".split()
+
+
+def test_chains_are_cut_where_it_takes(spark):
+    del spark
+    a, b, c, d = (list(range(k, k + 400)) for k in (0, 1000, 2000, 3000))
+
+    def cut(x, y):
+        at = [(i, y.index(v)) for i, v in enumerate(x) if v in y and x[i : i + 5] == y[y.index(v) : y.index(v) + 5] and len(x) - i >= 5]
+        return substring_dedup.parts(x, y, [i for i, _ in at], [j for _, j in at], 50, 0.8)
+
+    assert cut([*a[:100], *c[:30], *b[:100]], [*a[:100], *d[:30], *b[:100]]) == [(0, 100), (130, 230)]
+    assert cut([*a[:100], *c[:300], *b[:60]], [*a[:100], *d[:200], *b[:60]]) == [(0, 100), (400, 460)]
+    assert cut([*a[:40], *c[:10], *b[:40]], [*a[:40], *d[:10], *b[:40]]) == [(0, 90)]
+    assert cut([*a[:30], *c[:30], *b[:30]], [*a[:30], *d[:30], *b[:30]]) == []
+    long = [v if v % 4 else -v - 1 for v in a[100:300]]
+    assert cut([*a[:100], *long, *a[300:]], a) == [(0, 400)]
+    for x, y in ([a[:70], a[10:90]], [a[:70], [v if v % 7 else -1 for v in a[:80]]], [[1, 2, 3], [4, 5]]):
+        assert substring_dedup.matched_in_rows(x, y) == substring_dedup.matched_words(x, y)
+
+
 def test_cut_and_edits():
     assert substring_dedup.cut("a  b c\nd e", [(1, 3)]) == "a  d e"
     assert substring_dedup.matched_words([1, 2, 3, 4], [1, 9, 3, 4]) == 3
