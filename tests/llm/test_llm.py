@@ -295,6 +295,14 @@ def test_passages_with_unrelated_words_between_are_cut_apart(spark):
         assert got[10 * i + 1]["kept_text"].split() == f"{prose(730 + i, 20)} {prose(740 + i, gap)} {prose(750 + i, 20)}".split()
 
 
+def test_each_copy_of_an_earlier_passage_goes(spark):
+    p = prose(760, 80)
+    rows = [(0, f"{prose(761, 40)} {p} {prose(762, 40)}"), (1, f"{p} {prose(763, 200)} {p} {prose(764, 90)} {p}"), (2, f"{prose(765, 70)} {prose(765, 70)}")]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got[1]["kept_text"].split() == f"{prose(763, 200)} {prose(764, 90)}".split()
+    assert not got[0]["n_removed"] and not got[2]["n_removed"]
+
+
 def test_chains_are_cut_where_it_takes(spark):
     del spark
     a, b, c, d = (list(range(k, k + 400)) for k in (0, 1000, 2000, 3000))
