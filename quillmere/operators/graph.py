@@ -6,6 +6,7 @@ written to the session's checkpoint folder, so lineage stays short and a lost ex
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -78,18 +79,22 @@ class Expansion(NamedTuple):
 def expand(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, max_nodes: int | None = 80, direction: str = "both") -> Expansion:
     """The neighbourhood of a node: a level keeps the ids that come first by the place of a parent in the queue, then by
     id. Ids that the index lacks are of kind unknown; fan-in and fan-out are over the whole index."""
-    spark = nodes.sparkSession
     steps = _directed(edges, direction)
+    if max_nodes is None:
+        # of any size, so nothing is collected; without a bound the order of the queue decides nothing
+        visited = closure(steps, nodes.sparkSession.createDataFrame([(start,)], "id string"), depth)
+        return _expansion(nodes, edges, visited, lambda ends: ends, False)
+    spark = nodes.sparkSession
     queue: list[str] = [start]
     placed = {start: 0}
     level, truncated = [start], False
     for distance in range(1, depth + 1):
         ranked = spark.createDataFrame(list(enumerate(level)), "place int, src string")
         known = spark.createDataFrame([(i,) for i in queue], "dst string")
-        room = None if max_nodes is None else max_nodes - len(queue)
+        room = max_nodes - len(queue)
         found = F.broadcast(ranked).join(steps, "src").groupBy("dst").agg(F.min("place").alias("place")).join(F.broadcast(known), "dst", "left_anti").orderBy("place", "dst")
-        rows = [r["dst"] for r in (found if room is None else found.limit(room + 1)).collect()]  # at most max_nodes + 1
-        if room is not None and len(rows) > room:
+        rows = [r["dst"] for r in found.limit(room + 1).collect()]  # at most max_nodes + 1
+        if len(rows) > room:
             rows, truncated = rows[:room], True
         for i in rows:
             placed[i] = distance
@@ -97,7 +102,15 @@ def expand(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, max_n
         if not level or truncated:
             break
     visited = spark.createDataFrame(list(placed.items()), "id string, distance int")
-    inner = edges.join(F.broadcast(visited.select(F.col("id").alias("src"))), "src", "left_semi").join(F.broadcast(visited.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst", "kind")
+    return _expansion(nodes, edges, visited, F.broadcast, truncated)
+
+
+def _expansion(nodes: DataFrame, edges: DataFrame, visited: DataFrame, hinted: Callable[[DataFrame], DataFrame], truncated: bool) -> Expansion:
+    """Of visited(id, distance); hinted says how its ids are joined with the edges."""
+    inner = edges
+    for end in ("src", "dst"):
+        inner = inner.join(hinted(visited.select(F.col("id").alias(end))), end, "left_semi")
+    inner = inner.select("src", "dst", "kind")
     fans = fan_counts(edges)
     shown = visited.join(nodes.select("id", "kind", "name"), "id", "left").join(fans, "id", "left")
     shown = shown.select("id", "distance", F.coalesce("kind", F.lit("unknown")).alias("kind"), "name", F.coalesce("fan_in", F.lit(0).cast("long")).alias("fan_in"), F.coalesce("fan_out", F.lit(0).cast("long")).alias("fan_out"))

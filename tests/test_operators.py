@@ -162,6 +162,18 @@ def test_expand_keeps_the_first_and_tells(spark):
         graph.expand(nodes, edges_of(spark, EDGES), "c", direction="up")
 
 
+def test_expand_without_a_bound_collects_nothing(spark, monkeypatch):
+    nodes = spark.createDataFrame([(x, "module", x) for x in "abcd"], "id string, kind string, name string")
+    edges = edges_of(spark, EDGES)
+    wanted = graph.expand(nodes, edges, "c", depth=2, max_nodes=1000)
+    with monkeypatch.context() as m:
+        m.setattr(type(edges), "collect", lambda self: pytest.fail("collected"))
+        got = graph.expand(nodes, edges, "c", depth=2, max_nodes=None)
+    assert not got.truncated and "Broadcast" not in got.edges._jdf.queryExecution().analyzed().toString() and "hint" not in got.edges._jdf.queryExecution().logical().toString().lower()
+    assert sorted(map(tuple, got.nodes.collect())) == sorted(map(tuple, wanted.nodes.collect()))
+    assert sorted(map(tuple, got.edges.collect())) == sorted(map(tuple, wanted.edges.collect()))
+
+
 def test_resolve(spark):
     nodes = spark.createDataFrame([("x", "m", "core", "core", None), ("y", "m", "core_ui", "core_ui", None), ("z", "m", "other", "other", None)], "id string, kind string, name string, qualified_name string, path string")
     assert graph.resolve(nodes, "CORE") == ("ok", ["x"])
