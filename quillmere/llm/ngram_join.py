@@ -38,8 +38,8 @@ ONE = np.uint64(1)
 
 def runs_needed(similarity: float, recall: float) -> int:
     """A pair shares a sampled token with a chance of 1 - exp(-rate * share), where share is the part of the larger
-    set that is shared, least at equal sizes of 2s / (1 + s); from the last step to the first."""
-    share, found = 2 * similarity / (1 + similarity), 1.0
+    set that is shared, least where one set holds the other: the similarity; from the last step to the first."""
+    share, found = similarity, 1.0
     for rate in reversed(RATES):
         found = 1 - math.exp(-rate * share * found)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
@@ -90,7 +90,10 @@ def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         for batch in common.sliced(batches):
             out: list[tuple] = []
             for fp, paths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                two, three = deeper_paths(shingle_set(text, n), np.array(paths, np.int64))
+                tokens = shingle_set(text, n)
+                if fingerprint(tokens) != fp:  # another row with the same doc_id
+                    continue
+                two, three = deeper_paths(tokens, np.array(paths, np.int64))
                 out += zip([fp] * len(paths), two, three, strict=True)
             columns = list(zip(*out, strict=True)) or [[], [], []]
             kinds = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))

@@ -248,6 +248,20 @@ def test_runs_grow_with_recall():
     assert ngram_join.runs_needed(0.8, 0.9) < ngram_join.runs_needed(0.8, 0.9999)
 
 
+def test_runs_reach_the_recall_for_nested_sets():
+    found = 1.0
+    for rate in reversed(ngram_join.RATES):
+        found = 1 - np.exp(-rate * 0.8 * found)
+    assert 1 - (1 - found) ** ngram_join.runs_needed(0.8, 0.999) >= 0.999
+
+
+def test_another_text_of_a_doc_id_has_no_paths(spark):
+    fp = ngram_join.fingerprint(ngram_join.shingle_set(prose(770, 20), 5))
+    large = spark.createDataFrame([(1, bytearray(fp))], "path long, fp binary")
+    texts = spark.createDataFrame([(bytearray(fp), ""), (bytearray(fp), prose(770, 20))], "fp binary, text string")
+    assert ngram_join.deeper(large, texts, 5).count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(edges).collect()}
