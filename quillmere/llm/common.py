@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,24 @@ def salted(df: DataFrame, name: str = "salt") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-#: Rows of an Arrow batch that are made Python objects at once.
-SLICE = 1000
+#: Rows of an Arrow batch that are made Python objects at once, and bytes after which a slice takes no further row.
+SLICE, SLICE_BYTES = 1000, 8 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of SLICE rows at most, so a worker's memory follows so many texts and not Spark's batch."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE, text: int | None = None, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most, so a worker's memory follows so many texts and not Spark's batch. With the
+    place of a text column a slice also ends at the row that brings its texts to ``most_bytes``."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
+        if text is None:
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = min(start + rows, int(np.searchsorted(ends, before + most_bytes)) + 1, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start, before = end, int(ends[end - 1])
 
 
 class Kept(dict):
@@ -78,6 +89,30 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
+#: Keys that lookup() treats apart at most: those with more than 1 / HOT of all rows, of which there are fewer than HOT.
+HOT = 2000
+#: Rows that are sampled to find them.
+HOT_SAMPLE = 1_000_000
+
+
+def hot_values(rows: DataFrame, key: str, most: int = HOT) -> DataFrame:
+    """The values of key that more than one of ``most`` rows has, in a sample of the written table ``rows``; fewer than
+    ``most``. Which these are decides only how rows are dealt, never what is found."""
+    total = rows.count()
+    sampled = rows.select(key) if total <= HOT_SAMPLE else rows.select(key).sample(HOT_SAMPLE / total, seed=1)
+    least = max(100, min(total, HOT_SAMPLE) // most)
+    found = sampled.groupBy(key).count().where(F.col("count") > least).orderBy(F.desc("count")).limit(most).select(key).collect()
+    return rows.sparkSession.createDataFrame(found, rows.select(key).schema)
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with facts, of which a key has one row. Rows of the hot keys (fewer than HOT) stay where they are, as
+    their facts are broadcast; only the others are shuffled, so no task gets a third of all rows."""
+    few = F.broadcast(hot)
+    apart = rows.join(few, key, "left_semi").join(F.broadcast(facts.join(few, key, "left_semi")), key)
+    return rows.join(few, key, "left_anti").join(facts, key).unionByName(apart)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 

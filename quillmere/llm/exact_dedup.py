@@ -1,13 +1,16 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-A map task is a memtable: it sorts its digests and flushes them as one Parquet file, a run with a Bloom filter and
-min/max statistics on the digest (level 0). Compaction merges runs into level 1: one row for each digest with the
-smallest identifier and the number of entries. Digests with more than one entry are hits; their texts are compared
-byte by byte (the smallest and the largest text of a digest must be the same), and a digest that two different texts
-share is resolved by the texts themselves.
-
-Skew: both joins from documents to hits are salted, and every group is combined inside the map tasks first, so a
-text that a third of all rows share becomes one row a task.
+A map task is a memtable: it sorts its digests and flushes them as one Parquet file, a run (level 0). Compaction
+merges all runs into level 1: one row for each digest with the identifier that stays and the number of entries. Both
+levels have filters: bitmaps of a bounded size with a bit for every digest that they hold, so that most look-ups that
+find nothing, and most texts that are no copies, end in the map task that reads them.
+
+Digests with more than one entry are hits. The filter of the hits is probed where texts are read, so only texts that
+may be hits are moved; they are compared byte by byte (the smallest and the largest text of a digest must be the
+same), and a digest that two different texts share is resolved by the texts themselves.
+
+Skew: groups are combined inside the map tasks first, so a text that a third of all rows share becomes one row a task,
+and the join of entries with hits is salted.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from quillmere.llm import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"}
+#: Bits of one row of a filter (what Spark's bitmap functions use), bits for each digest, and rows at most: 16 MB.
+ROW_BITS, BITS_EACH, FILTER_ROWS = 32_768, 16, 4096
+KEEPS = {"smallest": F.min, "largest": F.max}
 
 
 def ascii_folded(text: Column) -> Column:
@@ -32,63 +37,97 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+class Filter:
+    """A Bloom filter with one hash: rows (bucket, bits) of a bounded number, broadcast to where it is probed."""
+
+    def __init__(self, digests: DataFrame) -> None:
+        """digests: a written table with the column digest."""
+        rows = min(FILTER_ROWS, max(1, -(-digests.count() * BITS_EACH // ROW_BITS)))
+        self.bits = rows * ROW_BITS
+        at = self._place(F.col("digest"))
+        made = digests.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+        self.rows = common.written(made, "filter")
+
+    def _place(self, digest: Column) -> Column:
+        return F.pmod(F.xxhash64(digest), F.lit(self.bits))
+
+    def probe(self, df: DataFrame, digest: str) -> DataFrame:
+        """df with __may: false where the digest is surely not in the filter. Nothing is shuffled."""
+        place = F.bitmap_bit_position(self._place(F.col(digest)))
+        byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        set_ = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+        probed = df.withColumn("__bucket", F.bitmap_bucket_number(self._place(F.col(digest)))).join(F.broadcast(self.rows), "__bucket", "left")
+        return probed.withColumn("__may", set_).drop("__bucket", "__bits")
+
+
 class DigestIndex:
     """Level 0 runs and a level 1 table under one path; documents can be flushed in any number of batches.
 
-    ``ident`` orders the documents: compaction keeps the smallest, so a negated id keeps the largest doc_id.
+    keep says whether compaction keeps the smallest or the largest identifier of a digest.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or common.scratch(spark, "digest-index")
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest") -> None:
+        if keep not in KEEPS:
+            raise ValueError("keep is smallest or largest")
+        self.spark, self.path, self.least = spark, path or common.scratch(spark, "digest-index"), KEEPS[keep]
 
     def flush(self, entries: DataFrame) -> None:
         """entries: digest binary, ident long. Appends sorted runs."""
-        entries.select("digest", "ident").sortWithinPartitions("digest", "ident").write.mode("append").options(**RUN_OPTIONS).parquet(f"{self.path}/level0")
+        entries.select("digest", "ident").sortWithinPartitions("digest", "ident").write.mode("append").parquet(f"{self.path}/level0")
 
     def runs(self) -> DataFrame:
         return self.spark.read.schema("digest binary, ident long").parquet(f"{self.path}/level0")
 
     def compact(self) -> DataFrame:
         """digest, keep, size: rewritten from all runs."""
-        merged = self.runs().groupBy("digest").agg(F.min("ident").alias("keep"), F.count(F.lit(1)).alias("size"))
-        merged.sortWithinPartitions("digest").write.mode("overwrite").options(**RUN_OPTIONS).parquet(f"{self.path}/level1")
+        merged = self.runs().groupBy("digest").agg(self.least("ident").alias("keep"), F.count(F.lit(1)).alias("size"))
+        merged.sortWithinPartitions("digest").write.mode("overwrite").parquet(f"{self.path}/level1")
         return self.level1()
 
     def level1(self) -> DataFrame:
         return self.spark.read.schema("digest binary, keep long, size long").parquet(f"{self.path}/level1")
 
     def lookup(self, entries: DataFrame) -> DataFrame:
-        """entries with keep and size of their digest, null where the index has none; the index is not changed."""
-        return entries.join(self.level1(), "digest", "left")
+        """entries with keep and size of their digest, null where the index has none; the index is not changed. The
+        filter of level 1 is probed first, so entries that it rules out aren't moved."""
+        probed = Filter(self.level1().select("digest")).probe(entries, "digest")
+        found = probed.where("__may").drop("__may").join(self.level1(), "digest", "left")
+        nothing = F.lit(None).cast("long")
+        return probed.where("not __may").drop("__may").select("*", nothing.alias("keep"), nothing.alias("size")).unionByName(found)
+
+
+def _groups(rows: DataFrame, keep: str) -> tuple[DigestIndex, Filter, DataFrame, DataFrame | None]:
+    """Of rows (ident, norm, digest): the index, the filter of its hits, the hits, and of digests that different texts
+    share digest, norm, keep and size; None if there are none, as is to be expected."""
+    index = DigestIndex(rows.sparkSession, keep=keep)
+    index.flush(rows)
+    hits = index.compact().where("size > 1")
+    filter_ = Filter(hits.select("digest"))
+    copies = filter_.probe(rows, "digest").where("__may")
+    verified = common.written(copies.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same")), "verified")
+    clashes = verified.where("not same").select("digest").join(hits.select("digest"), "digest", "left_semi")
+    if clashes.isEmpty():
+        return index, filter_, hits, None
+    by_text = copies.withColumn("salt", common.salt_of("ident")).join(common.salted(clashes), ["digest", "salt"], "left_semi")
+    return index, filter_, hits, common.written(by_text.groupBy("digest", "norm").agg(index.least("ident").alias("keep"), F.count(F.lit(1)).alias("size")), "clashes")
 
 
-def exact_groups(docs: DataFrame, ident: Column, text: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_groups(docs: DataFrame, ident: Column, text: Column, digest: Callable[[Column], Column] = sha256, keep: str = "smallest") -> DataFrame:
     """ident, keep, size, digest for every row of docs.
 
     Null texts count as empty; rows with one ident count as so many rows of their group and each gets a result row;
     a null ident is kept as a row and never preferred to another; an empty table gives no rows; other columns of docs
     are not read, so their names can't clash.
     """
-    spark = docs.sparkSession
     rows = docs.select(ident.cast("long").alias("ident"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    index = DigestIndex(spark)
-    index.flush(rows)
-    hits = common.salted(index.compact().where("size > 1"))
+    index, _, hits, parted = _groups(rows, keep)
     salt = common.salt_of("ident")
-    spread = rows.withColumn("salt", salt)
-    verified = common.written(
-        spread.join(hits.select("digest", "salt"), ["digest", "salt"], "left_semi").groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same")),
-        "verified",
-    )
-    clashes = verified.where("not same").select("digest")
-    out = index.runs().withColumn("salt", salt).join(hits, ["digest", "salt"], "left")
-    if clashes.isEmpty():
+    out = index.runs().withColumn("salt", salt).join(common.salted(hits), ["digest", "salt"], "left")
+    if parted is None:
         return _result(out)
-    clashing = common.salted(clashes)
-    by_text = common.written(spread.join(clashing, ["digest", "salt"], "left_semi").select("digest", "norm", "ident"), "clashes")
-    groups = by_text.groupBy("digest", "norm").agg(F.min("ident").alias("keep"), F.count(F.lit(1)).alias("size"))
-    parted = common.salted(groups).join(by_text.withColumn("salt", salt), ["digest", "norm", "salt"]).drop("norm")
-    return _result(out.join(clashing, ["digest", "salt"], "left_anti")).unionByName(_result(parted))
+    clashing = common.salted(parted.select("digest").distinct())
+    by_text = rows.withColumn("salt", salt).join(common.salted(parted), ["digest", "norm", "salt"]).drop("norm")
+    return _result(out.join(clashing, ["digest", "salt"], "left_anti")).unionByName(_result(by_text))
 
 
 def _result(df: DataFrame) -> DataFrame:
@@ -101,14 +140,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep: whether the smallest or the largest doc_id of equal texts stays. Rows that repeat one doc_id are one
     document: they are all kept if that doc_id stays.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep is smallest or largest")
-    sign = F.lit(1 if keep == "smallest" else -1)
-    groups = exact_groups(docs, F.col(id_col).cast("long") * sign, ascii_folded(common.text_of(text_col)))
+    groups = exact_groups(docs, F.col(id_col), ascii_folded(common.text_of(text_col)), keep=keep)
     return groups.select(
-        (F.col("ident") * sign).alias("doc_id"),
-        (F.col("keep") * sign).alias("keep_id"),
+        F.col("ident").alias("doc_id"),
+        F.col("keep").alias("keep_id"),
         F.col("size").alias("group_size"),
         F.col("ident").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of equal texts that with the smallest or largest doc_id,
+    once, even if it is repeated (then the least row in the order of the columns). Rows that the filter of the hits rules out
+    are passed on where they are; only the others are moved."""
+    id_, text = F.col(id_col), ascii_folded(common.text_of(text_col))
+    keyed = docs.withColumn("__digest", sha256(text))
+    _, filter_, hits, parted = _groups(keyed.select(id_.cast("long").alias("ident"), text.alias("norm"), F.col("__digest").alias("digest")), keep)
+    probed = filter_.probe(keyed, "__digest")
+    maybe = probed.where("__may").withColumn("__norm", text)
+    winners, keys = hits.select("digest", "keep", F.lit(None).cast("string").alias("norm")), ["__digest"]
+    if parted is not None:
+        keys = ["__digest", "__norm"]
+        winners = winners.join(parted.select("digest").distinct(), "digest", "left_anti").unionByName(parted.select("digest", "keep", "norm"))
+    # of each doc_id with a digest the least row, combined in the map tasks, so copies are a row a task
+    one = maybe.groupBy(*keys, F.col(id_col).alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    same = F.col("__digest") == F.col("digest")
+    if parted is not None:
+        same = same & (F.col("norm").isNull() | (F.col("norm") == F.col("__norm")))
+    joined = one.join(winners, same, "left")
+    kept = joined.where(F.col("digest").isNull() | F.col("__id").cast("long").eqNullSafe(F.col("keep"))).select("__row.*")
+    return probed.where("not __may").select(docs.columns).unionByName(kept)

@@ -93,6 +93,28 @@ def test_index_is_compacted_over_several_flushes(spark):
     assert {r["ident"]: r["keep"] for r in index.lookup(rows(("a", 9), ("z", 8))).collect()} == {9: 2, 8: None}
 
 
+def test_only_copies_pass_the_filter(spark):
+    rows = common.written(spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest")), "digests")
+    probed = exact_dedup.Filter(rows.limit(500)).probe(rows, "digest")
+    assert probed.where("__may").join(rows.limit(500), "digest", "left_semi").count() == 500
+    assert 500 <= probed.where("__may").count() < 3000
+    assert exact_dedup.Filter(rows.limit(0)).probe(rows, "digest").where("__may").count() == 0
+
+
+def test_the_least_long_is_an_id(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    d = table(spark, [(low, "a"), (high, "A"), (None, "a"), (None, "b"), (low, "c")])
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(d, keep="largest").collect()}
+    assert got == {(low, high, 3), (high, high, 3), (None, high, 3), (None, None, 1), (low, low, 1)}
+
+
+def test_without_copies_keeps_whole_rows(spark):
+    rows = [(1, "Same"), (2, "same"), (2, "SAME"), (3, "other"), (None, "x"), (None, "X"), (4, None), (5, "")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.without_copies(table(spark, rows), keep="largest").collect())
+    assert got == [("2", "SAME"), ("3", "other"), ("5", ""), ("None", "X")]
+    assert exact_dedup.without_copies(table(spark, rows)).columns == table(spark, rows).columns
+
+
 # ---- chat --------------------------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
