@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import common
-from quillmere.llm.exact_dedup import ascii_folded, exact_dedup
+from quillmere.llm.exact_dedup import without_copies
 from quillmere.llm.ngram_join import ngram_join
 from quillmere.llm.packing import best_fit_pack
 from quillmere.llm.substring_dedup import substring_dedup
@@ -21,10 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z the document with the largest doc_id stays, once."""
-    kept = exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
-    keyed = docs.withColumn("__own", F.unhex(F.sha2(ascii_folded(common.text_of("text")).cast("binary"), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__own"]).select(docs.columns)
+    return without_copies(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
