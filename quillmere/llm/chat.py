@@ -1,10 +1,11 @@
 """Chat formatting into budgeted windows, in DataFrame operations only.
 
 Prefix sums of turn tokens cut each conversation into turn-aligned spans: a span holds the turns that lie between two
-multiples of its share of the budget; a turn that crosses a multiple is a span of its own, so a window keeps within
-the budget unless one turn alone is longer. Each window repeats the system turn and the last turns before it, up to
-``history`` turns and ``history_tokens`` tokens. Only what a window holds for the first time is a target: every
-assistant text is under the loss mask once, whichever windows repeat it.
+multiples of its share of the budget; a turn that crosses a multiple is a span of its own. Each window repeats the
+system turn and then the last turns before it, up to ``history`` turns and ``history_tokens`` tokens, as far as the
+budget has room beside the span: a large system turn or a long turn leaves less history. So a window keeps within the
+budget, unless the system turn and one turn alone are longer; such a window has no history. Only what a window holds
+for the first time is a target: every assistant text is under the loss mask once, whichever windows repeat it.
 
 Skew: positions and prefix sums are made in two steps, within blocks of BLOCK turn numbers and over the blocks of a
 conversation, so a conversation with a third of all rows is spread over many tasks.
@@ -44,7 +45,7 @@ def _placed(turns: DataFrame) -> DataFrame:
     """conv, role, text, tokens with pos, start (tokens before it) and the conversation's first row."""
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     keyed = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    sums = keyed.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min(F.struct("turn", "role", "text")).alias("first"))
+    sums = keyed.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min(F.struct("turn", "role", "text", "tokens")).alias("first"))
     over = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_first())
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(
@@ -66,41 +67,56 @@ def _placed(turns: DataFrame) -> DataFrame:
 
 
 def format_chat(
-    conversations: DataFrame, budget: int = 2048, history: int = 2, history_tokens: int = 512, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    conversations: DataFrame,
+    budget: int = 2048,
+    history: int = 2,
+    history_tokens: int = 512,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    role_col: str = "role",
+    text_col: str = "text",
+    tokens_col: str | None = None,
 ) -> DataFrame:
     """conv_id, window, text, loss_spans (code points of text, start and end), n_repeated, n_turns: one row a window.
 
     Null roles and texts are empty ones; a null turn number comes first; rows that share a turn number follow in the
     order of role and text; a null conv_id is a conversation of its own. An empty table gives no rows; other columns
-    are not read. Texts are never cut: a turn longer than the budget is a window of its own.
+    are not read. Texts are never cut: a turn longer than the budget is a window of its own. tokens_col names a column
+    with the tokens of each turn; without it, or where it is null, they are estimated by turn_tokens.
     """
+    tokens = turn_tokens(F.coalesce(F.col(text_col), F.lit("")))
     turns = conversations.select(
         F.col(conv_col).alias("conv"),
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("tokens", turn_tokens(F.col("text")))
-    system = F.when(F.col("head.role") == "system", turn_tokens(F.col("head.text"))).otherwise(0)
-    share = F.greatest(F.lit(budget - history_tokens) - system, F.lit(budget // 4))
+        (F.coalesce(F.col(tokens_col).cast("long"), tokens) if tokens_col else tokens).alias("tokens"),
+    )
+    room = F.lit(budget) - F.when(F.col("head.role") == "system", F.col("head.tokens")).otherwise(0)
+    # what a span may hold: history gives way first, and spans of less than a quarter of the budget are only made if
+    # the system turn leaves no more
+    share = F.greatest(room - history_tokens, F.least(room, F.lit(budget // 4)), F.lit(1))
     cell = F.floor(F.col("start") / share)
     crossing = F.floor((F.col("start") + F.col("tokens") - 1) / share) > cell
     placed = _placed(turns).select(
-        "conv", "role", "text", "tokens", "pos", (2 * cell + crossing.cast("long")).alias("window"), (F.col("head.role") == "system").alias("has_system")
+        "conv", "role", "text", "tokens", "pos", (2 * cell + crossing.cast("long")).alias("window"), (F.col("head.role") == "system").alias("has_system"), room.alias("room")
     )
-    spans = placed.groupBy("conv", "window").agg(F.min("pos").alias("from"), F.first("has_system").alias("has_system")).where("from > 0")
+    left = F.least(F.lit(history_tokens), F.first("room") - F.sum("tokens")).alias("left_w")
+    spans = placed.groupBy("conv", "window").agg(F.min("pos").alias("from"), F.first("has_system").alias("has_system"), left).where("from > 0")
     back = F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(1, history))), lambda j: F.col("from") - j), lambda p: (p >= F.col("has_system").cast("long")))
     wanted = spans.select(
         F.col("conv").alias("conv_w"),
         F.col("window").alias("window_w"),
         F.explode(F.concat(F.when(F.col("has_system"), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>")), back if history else F.array().cast("array<bigint>"))).alias("pos_w"),
         "has_system",
+        "left_w",
     )
     nearest = Window.partitionBy("conv_w", "window_w").orderBy(F.col("pos_w").desc())
     kept_system = F.col("has_system_w") & (F.col("pos_w") == 0)
     repeats = (
         placed.join(wanted.withColumnRenamed("has_system", "has_system_w"), F.col("conv").eqNullSafe(F.col("conv_w")) & (F.col("pos") == F.col("pos_w")))
         .withColumn("far", F.sum("tokens").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(kept_system | (F.col("far") <= history_tokens))
+        .where(kept_system | (F.col("far") <= F.col("left_w")))
         .select("conv", F.col("window_w").alias("window"), "pos", "role", "text", F.lit(True).alias("repeated"))
     )
     parts = placed.select("conv", "window", "pos", "role", "text", F.lit(False).alias("repeated")).unionByName(repeats)
@@ -178,17 +194,17 @@ WITH t AS (
   SELECT *, row_number() OVER o - 1 AS pos, sum(tokens) OVER o - tokens AS start, first_value(role) OVER o = 'system' AS sys, first_value(tokens) OVER o AS head
   FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
 ), c AS (
-  SELECT *, greatest({budget - history_tokens} - CASE WHEN sys THEN head ELSE 0 END, {budget // 4}) AS share FROM b
+  SELECT *, greatest(room - {history_tokens}, least(room, {budget // 4}), 1) AS share FROM (SELECT *, {budget} - CASE WHEN sys THEN head ELSE 0 END AS room FROM b)
 ), d AS (
   SELECT *, 2 * (start // share) + CASE WHEN (start + tokens - 1) // share > start // share THEN 1 ELSE 0 END AS win FROM c
 ), spans AS (
-  SELECT conv_id, win, min(pos) AS f, any_value(sys) AS sys FROM d GROUP BY ALL
+  SELECT conv_id, win, min(pos) AS f, any_value(sys) AS sys, least({history_tokens}, any_value(room) - sum(tokens)) AS room FROM d GROUP BY conv_id, win
 ), again AS (
-  SELECT s.conv_id, s.win, d.pos, d.chars, s.sys, sum(d.tokens) OVER (PARTITION BY s.conv_id, s.win ORDER BY d.pos DESC) AS far
+  SELECT s.conv_id, s.win, d.pos, d.chars, s.sys, s.room, sum(d.tokens) OVER (PARTITION BY s.conv_id, s.win ORDER BY d.pos DESC) AS far
   FROM spans s JOIN d ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.f > 0
     AND ((s.sys AND d.pos = 0) OR (d.pos < s.f AND d.pos >= s.f - {history} AND d.pos >= CASE WHEN s.sys THEN 1 ELSE 0 END))
 ), extra AS (
-  SELECT conv_id, sum(chars) AS chars FROM again WHERE (sys AND pos = 0) OR far <= {history_tokens} GROUP BY 1
+  SELECT conv_id, sum(chars) AS chars FROM again WHERE (sys AND pos = 0) OR far <= room GROUP BY 1
 ), whole AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
