@@ -5,7 +5,8 @@ number of sequences is above the best possible by a part of a bin a group at mos
 best-fit-decreasing gives the first packing. Then, from the emptiest bin on, a document of that bin is moved to
 another underfull bin, or exchanged for a shorter one there, or two documents for one, or one for two, such that the
 fuller bin gets fuller: the sum of squared fills rises with every step, so the search ends, and the emptiest bins
-run empty.
+run empty. It ends when no bin has such a step, or as few bins are left as the lengths fill. Of documents of one length
+in a bin one stands for all; so a bin has a bounded number of them and of their pairs, and all are tried.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,6 @@ from quillmere.llm.bpe import default_path, vocabulary
 
 #: Pieces that one task packs together, on average.
 GROUP = 20_000
-#: Emptiest bins that are given up one after another, none of them emptied, before the search ends.
-PATIENCE = 40
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -46,7 +44,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """The local search; returns the bins that are left."""
     n = len(lengths)
     where = np.empty(n, np.int64)
@@ -55,24 +53,20 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, patien
         where[items] = b
         fill[b] = lengths[items].sum()
     least = -(-int(lengths.sum()) // capacity)
-    alive, given_up = len(bins), 0
-    done = np.zeros(len(bins), bool)
+    alive = len(bins)
+    done = np.zeros(len(bins), bool)  # bins without a step; a step of another bin can't give them one but through the bins it changes
 
     def put(item: int, b: int) -> None:
         fill[where[item]] -= lengths[item]
         fill[b] += lengths[item]
         where[item] = b
 
-    while alive > least and given_up < patience:
+    while alive > least:
         candidates = np.flatnonzero(~done & (fill > 0) & (fill < capacity))
         if not len(candidates):
             break
         donor, moved = int(candidates[np.argmin(fill[candidates])]), False
-        while fill[donor]:
-            mine = np.flatnonzero(where == donor)
-            step = _exchange(donor, mine, where, fill, lengths, capacity)
-            if step is None:
-                break
+        while fill[donor] and (step := _exchange(donor, where, fill, lengths, capacity)):
             (target, give, take), moved = step, True
             for i in give:
                 put(i, target)
@@ -80,44 +74,62 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, patien
                 put(i, donor)
         if moved:  # what was given up may fit now
             done[:] = False
-        if fill[donor]:
-            done[donor], given_up = True, given_up + 1
-        else:
-            alive, given_up = alive - 1, 0
+        done[donor] = True
+        alive -= not fill[donor]
     order = np.argsort(where, kind="stable")
     return [g.tolist() for g in np.split(order, np.flatnonzero(np.diff(where[order])) + 1)] if n else []
 
 
-def _exchange(donor: int, mine: np.ndarray, where: np.ndarray, fill: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, list[int], list[int]] | None:
+def _pairs(bin_: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within a bin of entries in the order of bins; an entry with ``twice`` is a pair with itself too."""
+    left, right = [np.flatnonzero(twice)], [np.flatnonzero(twice)]
+    step = 1
+    while len(near := np.flatnonzero(bin_[step:] == bin_[:-step])):
+        left.append(near)
+        right.append(near + step)
+        step += 1
+        if step >= len(bin_):
+            break
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _exchange(donor: int, where: np.ndarray, fill: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, list[int], list[int]] | None:
     """(bin, what it gets, what it gives back) of the largest gain of a bin that is at least as full as the donor."""
     room = capacity - fill
     room[(fill < fill[donor]) | (fill == 0)] = 0
     room[donor] = 0
+    widest = int(room.max(initial=0))
+    if not widest:
+        return None
+    mine = np.flatnonzero(where == donor)
+    own, at, count = np.unique(lengths[mine], return_index=True, return_counts=True)
+    i, j = _pairs(np.zeros(len(own), np.int64), count > 1)
+    second = lambda k: int(mine[np.flatnonzero(lengths[mine] == own[k])[1]])
+    sums = [(int(own[k]), [int(mine[at[k]])]) for k in range(len(own))]
+    sums += [(int(own[a] + own[b]), [int(mine[at[a]]), second(b) if a == b else int(mine[at[b]])]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
     best, found = 0, None
     open_items = np.flatnonzero(room[where] > 0)
-    their, space = lengths[open_items], room[where[open_items]]
-    sums = [(int(lengths[i]), [int(i)]) for i in mine]
-    if len(mine) <= 24:
-        sums += [(int(lengths[i] + lengths[j]), [int(i), int(j)]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-    widest = int(room.max(initial=0))
+    keys, first, counts = np.unique(where[open_items] * (capacity + 1) + lengths[open_items], return_index=True, return_counts=True)
+    items, their, bins = open_items[first], keys % (capacity + 1), keys // (capacity + 1)
+    space = room[bins]
     for total, give in sums:
         if total > best and total <= widest:  # a move
             fits = np.flatnonzero(room >= total)
             best, found = total, (int(fits[np.argmin(room[fits])]), give, [])
         gain = total - their
         gain[(gain > space) | (gain <= best)] = 0
-        if len(gain) and (k := int(np.argmax(gain))) >= 0 and gain[k] > best:
-            best, found = int(gain[k]), (int(where[open_items[k]]), give, [int(open_items[k])])
-    if found is None and len(open_items):  # one for two of another bin
-        order = np.lexsort((their, where[open_items]))
-        items = open_items[order]
-        near = np.flatnonzero(where[items[1:]] == where[items[:-1]])
-        pair = lengths[items[near]] + lengths[items[near + 1]]
-        for total, give in sums[: len(mine)]:
+        if len(gain) and gain[k := int(np.argmax(gain))] > best:
+            best, found = int(gain[k]), (int(bins[k]), give, [int(items[k])])
+    if found is None and len(items):  # one for two of another bin
+        i, j = _pairs(bins, counts > 1)
+        pair, space = their[i] + their[j], space[i]
+        for total, give in sums[: len(own)]:
             gain = total - pair
-            gain[(gain > room[where[items[near]]]) | (gain <= best)] = 0
+            gain[(gain > space) | (gain <= best)] = 0
             if len(gain) and gain[k := int(np.argmax(gain))] > best:
-                best, found = int(gain[k]), (int(where[items[near[k]]]), give, [int(items[near[k]]), int(items[near[k] + 1])])
+                a, b = int(i[k]), int(j[k])
+                same = open_items[(where[open_items] == bins[a]) & (lengths[open_items] == their[b])]
+                best, found = int(gain[k]), (int(bins[a]), give, [int(items[a]), int(same[1] if a == b else items[b])])
     return found
 
 
@@ -138,7 +150,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, eos: int = 1, path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, end = vocabulary(path), eos.to_bytes(4, "little")
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=1):
             rows, out = [], ([], [], [], [])
             for at, text in enumerate(batch.column(1).to_pylist()):
                 ids = v.encode(text or "") + end
@@ -160,21 +172,21 @@ def best_fit_pack(docs: DataFrame, capacity: int = 4096, eos: int = 1, path: str
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs.
 
     A null or empty text is one piece of the end token alone. Rows that repeat a doc_id are packed each for itself.
-    An empty table gives no rows. Other columns aren't read. Only lengths are dealt out: a task holds about ``group``
-    rows of numbers, whatever the texts' lengths.
+    An empty table gives no rows. Other columns aren't read. Only lengths are dealt out, by the number of the row: a task
+    holds about ``group`` rows of numbers, whatever the texts' lengths and however often rows repeat.
     """
     pieces = common.written(token_pieces(docs, capacity, eos, path, id_col, text_col), "pieces")
     full = pieces.where(F.col("length") == capacity)
     open_ = pieces.where(F.col("length") < capacity)
     groups = max(1, round(open_.count() / group))
-    dealt = open_.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = open_.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def pack_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = pack(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def pack_group(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("group").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = pack(rows.column("length").to_numpy(), capacity)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    packed = dealt.groupBy("group").applyInPandas(pack_group, schema)
+    packed = dealt.groupBy("group").applyInArrow(pack_group, schema)
     alone = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
