@@ -59,6 +59,18 @@ def fold(text: str) -> str:
     return lower.translate(FOLD)
 
 
+def uncovered(hits: list[tuple[int, int, float]], phrases: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """The hits that lie in none of the phrases, in order; both are gone through once."""
+    out, ahead, reach = [], iter(sorted(phrases)), -1
+    phrase = next(ahead, None)
+    for hit in sorted(hits):
+        while phrase and phrase[0] <= hit[0]:
+            reach, phrase = max(reach, phrase[1]), next(ahead, None)
+        if hit[1] > reach:
+            out.append(hit)
+    return out
+
+
 @dataclass
 class Lexicon:
     """Weights of folded terms, exception phrases, and the coefficients of the score: intercept, weight, density."""
@@ -91,13 +103,15 @@ class Lexicon:
         found, excused = [], []
         for end, (n, weight, as_stem) in self.automaton.iter(fold(text)):
             start = end + 1 - n
+            if start and text[start - 1].isalnum():
+                continue
             if weight is None:
                 excused.append((start, end + 1))
-            elif start == 0 or not text[start - 1].isalnum():
+            else:
                 whole = end + 1 == len(text) or not text[end + 1].isalnum()
                 if weight := max(weight, as_stem) if whole else as_stem:
                     found.append((start, end + 1, weight))
-        return [h for h in found if not any(s <= h[0] and h[1] <= e for s, e in excused)] if excused else found
+        return uncovered(found, excused) if excused else found
 
     def features(self, text: str) -> tuple[float, float, int]:
         """Weight of the hits (its logarithm), the same for a thousand characters, and the number of hits."""
@@ -112,20 +126,27 @@ class Lexicon:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, int]]:
     """Whole texts and labels of at most ``rows`` documents that aren't held out and no longer than ``chars``; the
-    choice is by a hash of doc_id, from the labels alone, so only chosen texts are moved."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out("doc_id")).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id"), common.text_of("text").alias("text")).where(F.length("text") <= chars)
-    return [(r["text"], r["y"]) for r in texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()]
+    choice is by a hash of doc_id, from the labels alone, so only chosen texts are moved. A doc_id counts once: with its
+    greatest label, and of several texts with that of the least hash, so the same tables give the same rows."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out("doc_id"))
+    chosen = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", common.text_of("text").alias("text")).where(F.length("text") <= chars)
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return [(r["row"]["text"], r["row"]["y"]) for r in one.orderBy("doc_id").collect()]
 
 
 WORDS = re.compile(r"[a-z]{4,24}")
 STEMS = range(4, 8)
 
 
-def keys(folded: str) -> set[str]:
-    """Words of a text and, with a star, their first letters."""
-    words = set(WORDS.findall(folded))
+#: From the first to the last letter or digit of what white space parts: signs at its ends are no letters.
+INNER = re.compile(r"[^\W_](?:\S*[^\W_])?")
+
+
+def keys(text: str) -> set[str]:
+    """Folded words of a text and, with a star, their first letters."""
+    folded = fold(text)
+    words = {w for m in INNER.finditer(text) for w in WORDS.findall(folded[m.start() : m.end()])}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
@@ -135,9 +156,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars:
     rate. Words of copies of a covered text gain nothing, so texts don't teach their own vocabulary. Below a chosen
     stem, longer forms that are more telling still count besides. Without labels of both kinds: the given terms."""
     base = Lexicon()
-    seen: dict[str, int] = {}
+    texts: dict[str, tuple[str, int]] = {}
     for text, y in training_rows(docs, labels, "toxic", rows, chars):
-        seen.setdefault(fold(text), y)
+        texts.setdefault(fold(text), (text, y))
+    seen = {text: y for text, y in texts.values()}  # one of those that fold alike
     toxic = {i: t for i, (t, y) in enumerate(seen.items()) if y == 1}
     n_clean = sum(y == 0 for y in seen.values())
     if not toxic or not n_clean:
@@ -183,7 +205,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, id
     one by one, so copies, repeated ids and very long texts need nothing special; other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=1):
             scores, hits = [], []
             for text in batch.column(1).to_pylist():
                 f = lexicon.features(text or "")
@@ -202,7 +224,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=at):
             yield batch.filter(pa.array([lexicon.score(lexicon.features(t or "")) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
