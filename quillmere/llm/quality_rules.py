@@ -1,13 +1,15 @@
 """Quality rules: plain counts of words, lines and symbols, and the divergence of a document from its language.
 
 References come from the whole corpus: for each language that holds a share of all words, the median share of every
-character class over its documents (junk shifts a mean, not a median) and the counts of its most frequent words. A document is compared with every language's reference by the Jensen-Shannon
-distance (base 2, so from 0 to 1) of both histograms, and the nearest one counts; short documents are not judged, as
-their histograms say little.
+character class over its documents (junk shifts a mean, not a median) and the counts of its most frequent words. A
+document of one of these languages is compared with every reference by the Jensen-Shannon distance (base 2, so from 0
+to 1) of both histograms, and the nearest one counts. Short documents are not judged, as their histograms say little,
+nor are documents of languages that have no reference.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections import Counter, defaultdict
@@ -31,6 +33,7 @@ MARKS = ".,;:!?'\"()[]{}*$%&#|<>-"
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "other", "beyond")
 #: A worker hands on its word counts at so many entries.
 FLUSH = 200_000
+#: Longer words are counted by their digest, which bounds what is moved and held of a word.
 LONGEST = 24
 
 
@@ -52,7 +55,8 @@ def words_of(text: str) -> list[str]:
 
 
 def normal(word: str) -> str:
-    return word.strip(MARKS).lower()
+    plain = word.strip(MARKS).lower()
+    return plain if len(plain) <= LONGEST else hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def class_counts(text: str) -> np.ndarray:
@@ -84,17 +88,6 @@ def base_counts(text: str, words: list[str]) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance, base 2, of two histograms of counts; 1 if one of them is empty."""
-    if not p.sum() or not q.sum():
-        return 1.0
-    p, q = p / p.sum(), q / q.sum()
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = [np.where(x > 0, x * np.log2(x / m), 0).sum() for x in (p, q)]
-    return float(np.sqrt(max(0.0, sum(parts) / 2)))
-
-
 @dataclass(frozen=True)
 class Reference:
     """Of one language: median share by class, its common words, their counts and that of all other words (the last)."""
@@ -108,7 +101,7 @@ class Reference:
 def corpus_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_bytes: int = 200) -> DataFrame:
     """lang, item, n over all of docs: n occurrences of a word, or n documents with a share of a character class, where
     item is a space, the class, a space and the share in thousandths. Both are counted within each task first; words
-    beyond LONGEST code points are counted under the empty word, documents under ``min_bytes`` have no share."""
+    beyond LONGEST code points are counted under their digest, documents under ``min_bytes`` have no share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: defaultdict[str, Counter] = defaultdict(Counter)
@@ -118,13 +111,13 @@ def corpus_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             normed: dict[tuple[str, str], int] = Counter()
             for lang, c in counts.items():
                 for word, n in c.items():
-                    normed[lang, w if len(w := normal(word)) <= LONGEST else ""] += n
+                    normed[lang, normal(word)] += n
             normed.update(shares)
             counts.clear()
             shares.clear()
             return pa.RecordBatch.from_pydict({"lang": [k[0] for k in normed], "item": [k[1] for k in normed], "n": pa.array(normed.values(), pa.int64())}, schema=pa.schema({"lang": pa.string(), "item": pa.string(), "n": pa.int64()}))
 
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=0):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     counts[lang or ""].update(words_of(text))
@@ -154,11 +147,12 @@ def language_references(docs: DataFrame, common_words: int = 50, least_share: fl
     is_class = F.col("item").startswith(" ")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
     counts = common.written(counts, "word-counts")
-    totals = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
-    share = F.col("total") / F.sum("total").over(Window.partitionBy())
-    large = totals.select("lang", "total", share.alias("share")).where(F.col("share") >= least_share)
+    totals = common.written(counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
+    every = F.broadcast(totals.agg(F.sum("total").alias("all")))  # one row
+    large = F.broadcast(totals.crossJoin(every).where(F.col("total") / F.col("all") >= least_share).select("lang", "total"))  # 1 / least_share rows at most
+    counts = counts.join(large, "lang")
     listed = counts.where(~is_class & (F.col("item") != "")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= common_words)
-    rows = listed.unionByName(counts.where(is_class).withColumn("rank", F.lit(0))).join(large, "lang").collect()
+    rows = listed.unionByName(counts.where(is_class).withColumn("rank", F.lit(0))).collect()
     out = []
     for lang in sorted({r["lang"] for r in rows}):
         mine = [r for r in rows if r["lang"] == lang]
@@ -170,7 +164,7 @@ def language_references(docs: DataFrame, common_words: int = 50, least_share: fl
 
 
 def js_distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """js_distance of each row of counts to one reference."""
+    """Jensen-Shannon distance, base 2, of each row of counts to one reference; 1 if one of them is empty."""
     totals = counts.sum(axis=1, keepdims=True)
     p, q = counts / np.maximum(totals, 1), reference / max(reference.sum(), 1)
     m = (p + q) / 2
@@ -219,24 +213,25 @@ def quality_rules(
     """doc_id, the counts of base_counts, base_failed, class_distance, word_distance, nearest, kept: a row per row.
 
     Null and empty texts have no words, so they fail. Documents under ``min_chars`` code points in words or
-    ``min_words`` words aren't judged by their divergence. Without any reference (an empty corpus) nothing diverges.
+    ``min_words`` words, and documents of a language without a reference, aren't judged by their divergence. A null
+    language is one of its own. Without any reference (an empty corpus) nothing diverges.
     """
     references = language_references(docs, text_col=text_col, lang_col=lang_col) if references is None else references
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest = Nearest(references) if references else None
-        for batch in common.sliced(batches):
+        nearest, judged = Nearest(references) if references else None, {r.lang for r in references}
+        for batch in common.sliced(batches, text=1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             words = list(map(words_of, texts))
             far = [(0.0, 0.0, None)] * len(texts)
             if nearest and texts:
                 far = [(c, w, references[k].lang) if mine else (0.0, 0.0, None) for c, w, k, mine in zip(*(x.tolist() for x in nearest(texts, words)), words, strict=True)]
             out: list[tuple] = []
-            for text, mine, (by_class, by_word, lang) in zip(texts, words, far, strict=True):
+            for text, mine, (by_class, by_word, lang), own in zip(texts, words, far, batch.column(2).to_pylist(), strict=True):
                 base = base_counts(text, mine)
                 failed = base[0] < min_words or 100 * base[4] > max_repeat_percent * base[0]
-                odd = base[1] >= min_chars and base[0] >= min_words and (by_class > max_class_distance or by_word > max_word_distance)
+                odd = (own or "") in judged and base[1] >= min_chars and base[0] >= min_words and (by_class > max_class_distance or by_word > max_word_distance)
                 out.append((*base, failed, by_class, by_word, lang, not failed and not odd))
             columns = list(zip(*out, strict=True)) or [[]] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
@@ -246,7 +241,7 @@ def quality_rules(
         [T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType())]
         + [T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("nearest", T.StringType()), T.StructField("kept", T.BooleanType())]
     )
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.col(lang_col).cast("string")).mapInArrow(run, schema)
 
 
 def oracle_sql(max_class_distance: float = 0.2, max_word_distance: float = 0.43, min_chars: int = 200, min_words: int = 50, common_words: int = 50, least_share: float = 0.005) -> str:
@@ -270,8 +265,8 @@ base AS (
 ),
 cls AS (SELECT *, length(text) - c_lower - c_upper - c_digit - c_space - c_sentence - c_symbol - c_beyond AS c_other FROM (SELECT doc_id, lang, text, {classes} FROM d)),
 cl AS (SELECT doc_id, lang, length(text) AS total, unnest([{spread[0]}]) AS item, unnest([{spread[1]}]) AS n FROM cls),
-norm AS (SELECT doc_id, lang, lower(trim(word, '{marks}')) AS word FROM tok),
-cnt AS (SELECT lang, CASE WHEN length(word) <= {LONGEST} THEN word ELSE '' END AS word, count(*) AS n FROM norm GROUP BY ALL),
+norm AS (SELECT doc_id, lang, CASE WHEN length(w) <= {LONGEST} THEN w ELSE sha256(w) END AS word FROM (SELECT doc_id, lang, lower(trim(word, '{marks}')) AS w FROM tok)),
+cnt AS (SELECT lang, word, count(*) AS n FROM norm GROUP BY ALL),
 tot AS (SELECT lang, sum(n) AS total FROM cnt GROUP BY lang QUALIFY sum(n) / sum(sum(n)) OVER () >= {least_share}),
 top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM cnt JOIN tot USING (lang) WHERE word <> '' QUALIFY rank <= {common_words}),
 bins AS (SELECT lang, word, rank, n FROM top UNION ALL SELECT lang, NULL, {common_words + 1}, total - (SELECT sum(n) FROM top WHERE top.lang = tot.lang) FROM tot),
@@ -288,6 +283,6 @@ dw AS (
 ),
 near AS (SELECT doc_id, arg_min(dc.dist, (dc.dist + dw.dist, lang)) AS by_class, arg_min(dw.dist, (dc.dist + dw.dist, lang)) AS by_word FROM dc JOIN dw USING (doc_id, lang) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(word_chars >= {min_chars} AND n_words >= {min_words} AND (by_class > {max_class_distance} OR by_word > {max_word_distance}), false) AS kept
-FROM base LEFT JOIN near USING (doc_id)
+  NOT (n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(lang IN (SELECT lang FROM tot) AND word_chars >= {min_chars} AND n_words >= {min_words} AND (by_class > {max_class_distance} OR by_word > {max_word_distance}), false) AS kept
+FROM base JOIN d USING (doc_id) LEFT JOIN near USING (doc_id)
 """
