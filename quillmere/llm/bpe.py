@@ -59,12 +59,36 @@ def latin1(text: str) -> bool:
     return True
 
 
+#: What a file must say to be read: the fast ways below are written for these rules.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def checked(spec: dict) -> dict:
+    """The file's contents, if it is a byte-level BPE with an end-of-word suffix and the rules above; else an error."""
+    model = spec["model"]
+    wrong = [name for name, wanted in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("post_processor", None), ("decoder", None)) if spec.get(name) != wanted]
+    wrong += [name for name in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(name)]
+    if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
+        wrong.append("model")
+    if wrong:
+        raise ValueError(f"not a vocabulary of the known kind: {', '.join(wrong)}")
+    return spec
+
+
 class Vocabulary:
-    """A vocabulary file of the tokenizers library: BPE over bytes with an end-of-word suffix, lower case."""
+    """A vocabulary file of the tokenizers library: BPE over bytes with an end-of-word suffix, lower case. A file with
+    other rules is refused."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
@@ -259,7 +283,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in sliced(batches):
+        for batch in sliced(batches, text=1):
             made: dict[str, list] = {c: [] for c in columns}
             for text in batch.column(1).to_pylist():
                 ids = v.encode(text or "")

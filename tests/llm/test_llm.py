@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -144,6 +146,25 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
         assert len(parts) == w["n_turns"] and w["n_repeated"] <= 3
 
 
+@pytest.mark.parametrize(("budget", "system", "history_tokens"), [(2048, 6400, 512), (300, 40, 200), (300, 1100, 100), (64, 10_000, 16), (120, None, 500)])
+def test_no_window_is_over_the_budget_but_for_one_turn(spark, budget, system, history_tokens):
+    rng = random.Random(budget)
+    talk = [(0, i, ("user", "assistant")[i % 2], "x" * rng.choice([0, 5, 200, 800, 3 * budget, 5 * budget])) for i in range(1, 120)]
+    talk += [(1, i, "user", "same") for i in [3] * 40 + [None] * 5]
+    if system is not None:
+        talk.append((0, 0, "system", "s" * system))
+    for w in chat.format_chat(spark.createDataFrame(talk, TURNS), budget=budget, history=3, history_tokens=history_tokens).collect():
+        turns = [p.split(chat.SEP) for p in w["text"].split(chat.END)[:-1]]
+        tokens = [-(-len(t[1]) // 4) + chat.MARKS for t in turns]
+        fresh = len(turns) - w["n_repeated"]
+        assert sum(tokens) <= budget or (fresh == 1 and all("system" in t[0] for t in turns[: w["n_repeated"]])), (tokens, fresh)
+
+
+def test_tokens_of_a_column_count(spark):
+    talk = spark.createDataFrame([(1, i, "user", "x") for i in range(10)], TURNS).withColumn("n", F.when(F.col("turn") < 9, 100))
+    assert chat.format_chat(talk, budget=200, history=0, history_tokens=0, tokens_col="n").count() > chat.format_chat(talk, budget=200, history=0, history_tokens=0).count()
+
+
 def test_chat_of_nothing(spark):
     assert chat.chat_digests(chat.format_chat(spark.createDataFrame([], TURNS))).count() == 0
 
@@ -184,6 +205,14 @@ def test_repetitive_words_step_back(reference):
         assert [int.from_bytes(v.packed[r], "little") for r in v.backtracked(w + bpe.END)] == reference.encode(w, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    spec = json.loads(Path(bpe.default_path()).read_text())
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Vocabulary(str(tmp_path / "other.json"))
+
+
 def test_decode_is_a_query_too(spark):
     d = table(spark, ODD)
     both = bpe.bpe_decode(bpe.bpe_encode(d)).withColumnRenamed("text", "back").join(bpe.bpe_encode(d, columns=("decoded",)), "doc_id")
@@ -205,6 +234,27 @@ def test_packing_is_whole_gapless_and_no_worse_than_best_fit(lengths):
     assert len(set(bins.tolist())) <= len(packing.best_fit_decreasing(n, 100))
 
 
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_no_step_is_left(lengths):
+    """Of the packing that the search ends with, every move or exchange of the four kinds lowers the squared fill."""
+    n, capacity = np.array(lengths), 12
+    bins = [[i] for i in range(len(n))]
+    bins = packing.empty_bins(bins, n, capacity)
+    if len(bins) == -(-n.sum() // capacity):
+        return
+    fill = [int(n[b].sum()) for b in bins]
+    some = lambda b, most: [()] + [(i,) for i in b] + ([(i, j) for i in b for j in b if i < j] if most == 2 else [])
+    for x, a in enumerate(bins):
+        for y, b in enumerate(bins):
+            if x == y or fill[y] < fill[x] or fill[y] == capacity:
+                continue
+            for give in some(a, 2)[1:]:
+                for take in some(b, 2 if len(give) == 1 else 1):
+                    gain = int(n[list(give)].sum() - n[list(take)].sum()) if take else int(n[list(give)].sum())
+                    assert not 0 < gain <= capacity - fill[y], (bins, give, take)
+
+
 def test_search_empties_a_bin_that_best_fit_leaves():
     lengths = np.array([6, 6, 4, 4, 5, 5])
     assert len(packing.empty_bins([[0, 4], [1, 5], [2, 3]], lengths, 12)) == 3  # 30 of 36: nothing to win
@@ -212,6 +262,25 @@ def test_search_empties_a_bin_that_best_fit_leaves():
     assert len(packing.empty_bins([[0, 3], [1, 2], [4]], lengths, 10)) == 2
 
 
+def test_packing_of_a_table_is_whole(spark):
+    big = (1 << 53) + 1
+    rows = [(i, prose(i, 30 + 7 * (i % 50))) for i in range(150)] + [(None, "no id"), (None, "no id"), (None, None), (big, prose(1, 60)), (8, LONG)]
+    v = bpe.vocabulary(bpe.default_path())
+    got = packing.best_fit_pack(table(spark, rows), group=40).collect()
+    wanted = []
+    for i, t in rows:
+        ids = v.encode(t or "") + b"\x01\0\0\0"
+        wanted += [(i, p, s, min(4096, len(ids) // 4 - s), zlib.crc32(ids[4 * s : 4 * s + 16384])) for p, s in enumerate(range(0, len(ids) // 4, 4096))]
+    assert sorted(map(str, wanted)) == sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in got)
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    assert len(sequences) <= -(-sum(r["length"] for r in got) // 4096) + 4
+
+
 def test_pieces(spark):
     got = sorted(packing.best_fit_pack(table(spark, ODD), group=4).where("doc_id in (1, 2, 8)").collect(), key=lambda r: (r["doc_id"], r["piece"]))
     assert [(r["length"], r["ids_crc32"]) for r in got[:2]] == [(1, zlib.crc32(b"\x01\0\0\0"))] * 2
@@ -434,7 +503,20 @@ def test_base_counts(text):
 
 def test_divergence_of_the_same_and_of_other_histograms():
     a, b = np.array([1, 1, 0]), np.array([0, 0, 5])
-    assert quality_rules.js_distance(a, 2 * a) == 0 and quality_rules.js_distance(a, b) == 1 and quality_rules.js_distance(a, 0 * b) == 1
+    assert quality_rules.js_distances(np.stack([a, b, 0 * b]), 2 * a).tolist() == [0, 1, 1]
+    assert quality_rules.js_distances(np.stack([a]), 0 * b).tolist() == [1]
+
+
+def test_documents_of_languages_without_a_reference_are_not_judged(spark):
+    greek = "".join(chr(0x3B1 + ord(c) - ord("a")) if c != " " else c for c in prose(77, 90))
+    rows = [(i, prose(i, 300), "en") for i in range(300)] + [(900, greek, "el"), (901, greek, "en"), (902, "x" * 40 + " " + prose(5, 80), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).where("doc_id >= 900").collect()}
+    assert kept == {900: True, 901: False, 902: True}
+
+
+def test_long_words_are_counted_each_for_itself():
+    assert quality_rules.normal("a" * 30) != quality_rules.normal("b" * 30) and quality_rules.normal("(Word)") == "word"
 
 
 @needs_data
@@ -449,6 +531,29 @@ def test_folding_and_exceptions(text, n):
     assert len(toxicity.Lexicon().hits(text)) == n
 
 
+def test_many_exceptions_take_no_square_of_time():
+    assert len(toxicity.Lexicon().hits("trash can stupid " * 60_000)) == 60_000
+
+
+@pytest.mark.parametrize(("text", "n"), [("knot stupid", 1), ("not stupid", 0), ("not stupid stupid", 1), ("a class clown, a clown", 1)])
+def test_exception_phrases_begin_with_a_word(text, n):
+    assert len(toxicity.Lexicon().hits(text)) == n
+
+
+def test_words_are_learned_without_the_signs_around_them():
+    assert {"worthless", "idiot", "trash"} <= toxicity.keys("Worthless! (1d10t) +tra$h+") and "worthlessi" not in toxicity.keys("worthless!")
+
+
+def test_training_rows_are_bounded_and_the_same(spark):
+    docs = table(spark, [(i % 8, prose(i, 5)) for i in range(400)])
+    labels = spark.createDataFrame([(i, k) for i in range(8) for k in (0, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", 10, 1000)
+    free = [i for i in range(8) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(rows) == len(free) and {y for _, y in rows} == {1}
+    assert rows == toxicity.training_rows(docs.repartition(7), labels.repartition(3), "toxic", 10, 1000)
+    assert len(toxicity.training_rows(docs, labels, "toxic", 2, 1000)) == 2
+
+
 def test_lexicon_is_learned_from_rows_that_are_not_held_out(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
     rows = [(i, f"{prose(i, 40)} {'zorgblat' + 'xyz'[i % 3] if i % 4 == 0 else 'plain'} {'heldword' if held(i) and i % 4 == 0 else ''} {prose(i + 999, 40)}") for i in range(400)]
