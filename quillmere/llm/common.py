@@ -89,6 +89,38 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
+#: Bits of one row of a filter (what Spark's bitmap functions use), bits for each value, and rows at most: 16 MB.
+ROW_BITS, BITS_EACH, FILTER_ROWS = 32_768, 16, 4096
+
+
+class Filter:
+    """A Bloom filter with one hash: rows (bucket, bits) of a bounded number, broadcast to where it is probed."""
+
+    def __init__(self, table_: DataFrame, column: str) -> None:
+        """Of the values of a column of a written table."""
+        rows = min(FILTER_ROWS, max(1, -(-table_.count() * BITS_EACH // ROW_BITS)))
+        self.bits = rows * ROW_BITS
+        at = self._place(F.col(column))
+        made = table_.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+        self.rows = written(made, "filter")
+
+    def _place(self, value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(self.bits))
+
+    def probe(self, df: DataFrame, column: str) -> DataFrame:
+        """df with __may: false where the value is surely not in the filter. Nothing is shuffled."""
+        place = F.bitmap_bit_position(self._place(F.col(column)))
+        byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
+        probed = df.withColumn("__bucket", F.bitmap_bucket_number(self._place(F.col(column)))).join(F.broadcast(self.rows), "__bucket", "left")
+        return probed.withColumn("__may", is_set).drop("__bucket", "__bits")
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """Rows that may have a value of the filter, and the others."""
+        probed = self.probe(df, column)
+        return probed.where("__may").drop("__may"), probed.where("not __may").drop("__may")
+
+
 #: Keys that lookup() treats apart at most: those with more than 1 / HOT of all rows, of which there are fewer than HOT.
 HOT = 2000
 #: Rows that are sampled to find them.
@@ -113,6 +145,16 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataF
     return rows.join(few, key, "left_anti").join(facts, key).unionByName(apart)
 
 
+def spread(rows: DataFrame, large: DataFrame, key: str, large_key: str, hot: DataFrame, by: str) -> DataFrame:
+    """rows joined with large rows (texts), of which a key has one. What is large isn't broadcast: rows of a hot key are
+    dealt by the column ``by`` over SALTS tasks, to each of which its large row goes."""
+    named = F.broadcast(hot.select(F.col(key), F.lit(True).alias("__hot")))
+    dealt = rows.join(named, key, "left").withColumn("__salt", F.when(F.col("__hot"), salt_of(by)).otherwise(0)).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = large.withColumnRenamed(large_key, key).join(named, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 

@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from quillmere.llm import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of one row of a filter (what Spark's bitmap functions use), bits for each digest, and rows at most: 16 MB.
-ROW_BITS, BITS_EACH, FILTER_ROWS = 32_768, 16, 4096
 KEEPS = {"smallest": F.min, "largest": F.max}
 
 
@@ -37,29 +35,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-class Filter:
-    """A Bloom filter with one hash: rows (bucket, bits) of a bounded number, broadcast to where it is probed."""
-
-    def __init__(self, digests: DataFrame) -> None:
-        """digests: a written table with the column digest."""
-        rows = min(FILTER_ROWS, max(1, -(-digests.count() * BITS_EACH // ROW_BITS)))
-        self.bits = rows * ROW_BITS
-        at = self._place(F.col("digest"))
-        made = digests.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-        self.rows = common.written(made, "filter")
-
-    def _place(self, digest: Column) -> Column:
-        return F.pmod(F.xxhash64(digest), F.lit(self.bits))
-
-    def probe(self, df: DataFrame, digest: str) -> DataFrame:
-        """df with __may: false where the digest is surely not in the filter. Nothing is shuffled."""
-        place = F.bitmap_bit_position(self._place(F.col(digest)))
-        byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        set_ = F.coalesce(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1, F.lit(False))
-        probed = df.withColumn("__bucket", F.bitmap_bucket_number(self._place(F.col(digest)))).join(F.broadcast(self.rows), "__bucket", "left")
-        return probed.withColumn("__may", set_).drop("__bucket", "__bits")
-
-
 class DigestIndex:
     """Level 0 runs and a level 1 table under one path; documents can be flushed in any number of batches.
 
@@ -90,19 +65,19 @@ class DigestIndex:
     def lookup(self, entries: DataFrame) -> DataFrame:
         """entries with keep and size of their digest, null where the index has none; the index is not changed. The
         filter of level 1 is probed first, so entries that it rules out aren't moved."""
-        probed = Filter(self.level1().select("digest")).probe(entries, "digest")
+        probed = common.Filter(self.level1(), "digest").probe(entries, "digest")
         found = probed.where("__may").drop("__may").join(self.level1(), "digest", "left")
         nothing = F.lit(None).cast("long")
         return probed.where("not __may").drop("__may").select("*", nothing.alias("keep"), nothing.alias("size")).unionByName(found)
 
 
-def _groups(rows: DataFrame, keep: str) -> tuple[DigestIndex, Filter, DataFrame, DataFrame | None]:
+def _groups(rows: DataFrame, keep: str) -> tuple[DigestIndex, common.Filter, DataFrame, DataFrame | None]:
     """Of rows (ident, norm, digest): the index, the filter of its hits, the hits, and of digests that different texts
     share digest, norm, keep and size; None if there are none, as is to be expected."""
     index = DigestIndex(rows.sparkSession, keep=keep)
     index.flush(rows)
     hits = index.compact().where("size > 1")
-    filter_ = Filter(hits.select("digest"))
+    filter_ = common.Filter(hits, "digest")
     copies = filter_.probe(rows, "digest").where("__may")
     verified = common.written(copies.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same")), "verified")
     clashes = verified.where("not same").select("digest").join(hits.select("digest"), "digest", "left_semi")

@@ -97,10 +97,10 @@ def test_index_is_compacted_over_several_flushes(spark):
 
 def test_only_copies_pass_the_filter(spark):
     rows = common.written(spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest")), "digests")
-    probed = exact_dedup.Filter(rows.limit(500)).probe(rows, "digest")
+    probed = common.Filter(rows.limit(500), "digest").probe(rows, "digest")
     assert probed.where("__may").join(rows.limit(500), "digest", "left_semi").count() == 500
     assert 500 <= probed.where("__may").count() < 3000
-    assert exact_dedup.Filter(rows.limit(0)).probe(rows, "digest").where("__may").count() == 0
+    assert common.Filter(rows.limit(0), "digest").probe(rows, "digest").where("__may").count() == 0
 
 
 def test_the_least_long_is_an_id(spark):
@@ -381,7 +381,7 @@ def test_the_best_chain_is_the_best(points):
     best: list[float] = []
     for i in range(len(x)):
         best.append(substring_dedup.K + max([0.0] + [best[j] - substring_dedup.GAP * (x[i] - x[j] + y[i] - y[j]) for j in range(i) if y[j] < y[i]]))
-    found = substring_dedup.chains(x, y, 0)
+    found = substring_dedup.chains(x, y)
     if found:
         c = found[0]
         score = substring_dedup.K * len(c) - substring_dedup.GAP * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]])
@@ -400,6 +400,76 @@ def test_passages_with_unrelated_words_between_are_cut_apart(spark):
         assert got[10 * i + 1]["kept_text"].split() == f"{prose(730 + i, 20)} {prose(740 + i, gap)} {prose(750 + i, 20)}".split()
 
 
+def earlier_windows(rows, n=50):
+    """Of each document the words that lie in a window of n words that an earlier document has too."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = t.split()
+        mine = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        out[i] = {k + j for k, x in enumerate(mine) if x in seen for j in range(n)}
+        seen.update(mine)
+    return out
+
+
+def removed_words(row):
+    return {k for s in row["spans"] for k in range(s["start"], s["end"])}
+
+
+@pytest.mark.parametrize(("seed", "lengths", "pool"), [(1, (8, 64), 14), (2, (20, 49), 9), (3, (3, 30), 9), (4, (45, 120), 10)])
+def test_every_exact_passage_is_found_wherever_its_parts_come_first(spark, seed, lengths, pool):
+    rng = random.Random(seed)
+    fragments = [prose(1000 * seed + k, rng.randint(*lengths)) for k in range(pool)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(fragments) if rng.random() < 0.75 else prose(5000 * seed + 100 * i + k, rng.randint(1, 40)) for k in range(rng.randint(1, 9))]
+        rows.append((i, " ".join(parts)))
+    repeats = earlier_windows(rows)
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(table(spark, rows).repartition(5)).collect()}
+    missed = {i: sorted(repeats[i] - removed_words(got[i])) for i, _ in rows}
+    assert sum(map(len, repeats.values())) > 200 and not any(missed.values()), missed
+    similar = {i: len(removed_words(got[i]) - repeats[i]) for i, _ in rows}
+    assert sum(similar.values()) <= 0.25 * sum(len(r["spans"]) * 50 for r in got.values())
+
+
+def test_passages_of_parts_that_come_first_elsewhere(spark):
+    a, b = prose(770, 40), prose(771, 40)
+    rows = [(1, f"{prose(772, 30)} {a} {prose(773, 30)}"), (2, f"{prose(774, 30)} {b} {prose(775, 30)}")]
+    rows += [(3, f"{prose(776, 30)} {a} {b} {prose(777, 30)}"), (4, f"{prose(778, 30)} {a} {b} {prose(779, 30)}")]
+    # exact runs around words of which every fourth differs
+    x, y, z = prose(780, 60), prose(781, 70).split(), prose(782, 60)
+    other = [w if k % 4 else f"n{k}" for k, w in enumerate(y)]
+    rows += [(5, f"{x} {' '.join(y)} {z}"), (6, f"{x} {' '.join(other)} {z}")]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got[4]["kept_text"].split() == f"{prose(778, 30)} {prose(779, 30)}".split() and got[4]["ref_ids"] == [3]
+    assert got[6]["n_removed"] == 190 and not any(got[i]["n_removed"] for i in (1, 2, 3, 5))
+
+
+def test_fuzzy_passages_are_found(spark):
+    rows, wanted = [], {}
+    for i in range(40):
+        passage = prose(3000 + i, 60 + 5 * i)
+        words = passage.split()
+        rng = random.Random(i)
+        for _ in range(len(words) // 14):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = [[], [f"new{k}"], [words[k], f"more{k}"]][rng.randrange(3)]
+        rows += [(2 * i, f"{prose(3100 + i, 50)} {passage} {prose(3200 + i, 50)}"), (2 * i + 1, f"{prose(3300 + i, 50)} {' '.join(words)} {prose(3400 + i, 50)}")]
+        wanted[2 * i + 1] = len(words)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert not any(got[i] for i in range(0, 80, 2))
+    assert np.mean([abs(got[i] - n) <= 0.1 * n for i, n in wanted.items()]) >= 0.9
+
+
+def test_copies_of_a_row_are_one_document(spark):
+    rows = [(1, f"{prose(1, 60)} {prose(2, 60)}")] * 60 + [(2, f"{prose(3, 60)} {prose(2, 60)}")] * 60 + [(2, prose(4, 70)), (None, prose(2, 60)), ((1 << 63) - 1, prose(4, 70))]
+    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    removed = defaultdict(list)
+    for r in got:
+        removed[r["doc_id"]].append(r["n_removed"])
+    assert removed[1] == [0] * 60 and sorted(removed[2]) == [0] + [60] * 60 and removed[None] == [60] and removed[(1 << 63) - 1] == [70]
+
+
 def test_each_copy_of_an_earlier_passage_goes(spark):
     p = prose(760, 80)
     rows = [(0, f"{prose(761, 40)} {p} {prose(762, 40)}"), (1, f"{p} {prose(763, 200)} {p} {prose(764, 90)} {p}"), (2, f"{prose(765, 70)} {prose(765, 70)}")]
@@ -429,7 +499,10 @@ def test_chains_are_cut_where_it_takes(spark):
 def test_cut_and_edits():
     assert substring_dedup.cut("a  b c\nd e", [(1, 3)]) == "a  d e"
     assert substring_dedup.matched_words([1, 2, 3, 4], [1, 9, 3, 4]) == 3
-    assert substring_dedup.extension([1, 2, 9, 3, 4, 5], [1, 2, 8, 3, 4, 5]) == (6, 5)
+    assert substring_dedup.extension([1, 2, 9, 3, 4, 5], [1, 2, 8, 3, 4, 5]) == (6, 6, 5)
+    assert substring_dedup.extension([*range(9), *range(20, 40)], [*range(9), 90, *range(20, 40)]) == (9, 9, 9)
+    assert substring_dedup.extension([*range(9), *range(20, 40)], [*range(9), 90, *range(20, 40)], slips=True) == (29, 30, 29)
+    assert substring_dedup.extension([1, 2, 3, 7, 8], [1, 2, 3, 4], slips=True) == (3, 3, 3)
 
 
 # ---- suffixes ----------------------------------------------------------------------------------------------------------
