@@ -159,8 +159,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node of its component.
 
     Large-star and small-star rounds, each written to the shared folder, until the edges stay the same: every round is
-    two grouped minima, combined in the map tasks, and joins on the node. The number of rounds goes with the logarithm
-    of the size of a component.
+    two grouped minima, combined in the map tasks, and joins on the node, in which the middle of a large star is no single task's.
+    The number of rounds goes with the logarithm of the size of a component.
     """
     smaller = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
     edges = written(edges.select(*smaller).where("a <> b").select("a", "b").distinct(), "edges")
@@ -168,7 +168,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        outward = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = lookup(outward, least, "a", hot_values(outward, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")

@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join by chosen paths.
 
-A set is the five-word shingles of a text; texts with one and the same set are one set from the start. Its SKETCH
-least tokens, as hashes are a fair sample, stand for it on the paths. In each run a set walks down paths: at every
-step it samples those tokens whose hash, seeded by the path so far, lies below a rate over their number. Sets that share most tokens sample mostly the same ones, and meet. A bucket is the
-sets at one path; large buckets are split one step further, small ones are compared by brute force. What is still
-large after the last step holds sets that are alike; it is compared in blocks, so no task holds a whole bucket. Runs
-are repeated until the chance to miss a pair at the least similarity is below 1 - recall.
+A set is the five-word shingles of a text; texts with one and the same set are one set from the start. In each run a
+set walks down paths: at every step it samples those of its tokens whose hash, seeded by the path so far, lies below a
+rate over their number. Sets that share most tokens sample mostly the same ones, and meet. A bucket is the sets at one
+path; large buckets are split one step further, small ones are compared by brute force. What is still large after the
+last step holds sets that are alike; it is compared in blocks, so no task holds a whole bucket. Runs are repeated until
+the chance to miss a pair at the least similarity is below 1 - recall.
 
 Each pair is counted in one bucket alone, the smallest that both sets are in; buckets pass on counts and, as edges of
 a forest, which sets hang together, never pairs. Links are verified on whole sets, so there are no false ones.
@@ -26,12 +26,10 @@ from quillmere.llm.shingles import fingerprint, mixed, shingle_set
 
 #: Expected samples of a set at each step of a path.
 RATES = (2.5, 1.6, 1.6)
-#: Tokens of a set that are sampled from.
-SKETCH = 96
 #: Sets of a bucket that isn't split further; sets and tokens of a block that is compared at once.
 LIMIT, BLOCK, BLOCK_TOKENS = 128, 1000, 500_000
-#: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 2048
+#: Columns of an incidence matrix that are multiplied at once, and hashes of tokens that are made at once.
+COLUMNS, HASHES = 2048, 1 << 20
 
 ONE = np.uint64(1)
 
@@ -49,37 +47,40 @@ def sampled(tokens: np.ndarray, seeds: np.ndarray, rate: float) -> list[np.ndarr
     """For each seed of a path the seeds of the paths that go on from it: a token whose hash is below a rate over the
     number of tokens is sampled."""
     bound = np.uint64(min(1.0, rate / len(tokens)) * (1 << 53))
-    chosen = (mixed(tokens ^ seeds[:, None]) >> np.uint64(11)) < bound
-    children = mixed(tokens + mixed(seeds + ONE)[:, None])
-    return [c[m] for c, m in zip(children, chosen, strict=True)]
+    step, out = max(1, HASHES // len(tokens)), []
+    for start in range(0, len(seeds), step):
+        some = seeds[start : start + step]
+        chosen = (mixed(tokens ^ some[:, None]) >> np.uint64(11)) < bound
+        out += [mixed(tokens[row] + after) for row, after in zip(chosen, mixed(some + ONE), strict=True)]
+    return out
 
 
 def first_paths(tokens: np.ndarray, runs: int) -> np.ndarray:
     """Of one step, over all runs."""
-    return np.concatenate(sampled(tokens[:SKETCH], mixed(np.arange(1, runs + 1, dtype=np.uint64)), RATES[0])).view(np.int64)
+    return np.concatenate(sampled(tokens, mixed(np.arange(1, runs + 1, dtype=np.uint64)), RATES[0])).view(np.int64)
 
 
 def deeper_paths(tokens: np.ndarray, first: np.ndarray) -> tuple[list[list[int]], list[list[list[int]]]]:
     """Of two steps below each of the first ones, and of three below each of these."""
-    second = sampled(tokens[:SKETCH], first.view(np.uint64), RATES[1])
-    third = iter(sampled(tokens[:SKETCH], np.concatenate(second), RATES[2])) if sum(map(len, second)) else iter([])
+    second = sampled(tokens, first.view(np.uint64), RATES[1])
+    third = iter(sampled(tokens, np.concatenate(second), RATES[2])) if sum(map(len, second)) else iter([])
     return [s.view(np.int64).tolist() for s in second], [[next(third).view(np.int64).tolist() for _ in s] for s in second]
 
 
 def sketches(docs: DataFrame, n: int, runs: int) -> DataFrame:
-    """doc, fp (null without words) and the first paths of each row of (doc, text)."""
+    """doc, h, fp (null without words), number of tokens and the first paths of each row of (doc, text, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=1):
             prints, sizes, drawn = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text or "", n)
                 prints.append(fingerprint(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
                 drawn.append(first_paths(tokens, runs) if len(tokens) else tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))], names=["doc", "fp", "tokens", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(drawn, pa.list_(pa.int64()))], names=["doc", "h", "fp", "tokens", "paths"])
 
-    return docs.mapInArrow(run, "doc long, fp binary, tokens long, paths array<bigint>")
+    return docs.mapInArrow(run, "doc long, h long, fp binary, tokens long, paths array<bigint>")
 
 
 def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -87,11 +88,11 @@ def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     asked = large.groupBy("fp").agg(F.collect_list("path").alias("paths")).join(texts, "fp").select("fp", "paths", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=2):
             out: list[tuple] = []
             for fp, paths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = shingle_set(text, n)
-                if fingerprint(tokens) != fp:  # another row with the same doc_id
+                if fingerprint(tokens) != fp:  # a text of the same hash
                     continue
                 two, three = deeper_paths(tokens, np.array(paths, np.int64))
                 out += zip([fp] * len(paths), two, three, strict=True)
@@ -102,19 +103,19 @@ def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return asked.mapInArrow(run, "fp binary, two array<bigint>, three array<array<bigint>>")
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (path, fp, ...) of buckets with two to LIMIT sets, and of larger ones, with their size."""
+def sized(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (path, fp, ...) of buckets with two or more sets, with their size; rows is made of a written table."""
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = rows.join(counts, "path")
-    return sized.where(F.col("size") <= LIMIT), sized.where(F.col("size") > LIMIT)
+    return common.written(common.lookup(rows, counts, "path", common.hot_values(rows, "path")), name)
 
 
 def final_buckets(met: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """path, fp of the buckets that aren't split: small ones, and what is still large after the last step."""
     below = common.written(deeper(met.where(F.col("size") > LIMIT), texts, n), "deeper")
-    second, large = _split(below.select("fp", F.posexplode("two").alias("i", "path"), "three").select("path", "fp", F.element_at("three", F.col("i") + 1).alias("three")))
-    third, last = _split(large.select("fp", F.explode("three").alias("path")))
-    return met.where(F.col("size") <= LIMIT).select("path", "fp").unionByName(second.select("path", "fp")).unionByName(third.select("path", "fp")).unionByName(last.select("path", "fp")).distinct()
+    second = sized(below.select("fp", F.posexplode("two").alias("i", "path"), "three").select("path", "fp", F.element_at("three", F.col("i") + 1).alias("three")), "second")
+    third = sized(second.where(F.col("size") > LIMIT).select("fp", F.explode("three").alias("path")), "third")
+    small = [df.where(F.col("size") <= LIMIT).select("path", "fp") for df in (met, second)]
+    return small[0].unionByName(small[1]).unionByName(third.select("path", "fp")).distinct()
 
 
 def merged_buckets(final: DataFrame) -> DataFrame:
@@ -184,13 +185,16 @@ def compared(bucket: int, a: int, b: int, members: list[tuple[int, bytes, list[i
             for other in m[2]:
                 if other < bucket:
                     earlier.setdefault(other, len(earlier))
-    counted = links
-    if earlier:
-        inside = [np.zeros((len(side), len(earlier)), np.float32) for side in sides]
-        for m, side in zip(inside, sides, strict=True):
-            for row, member in enumerate(side):
-                m[row, [earlier[o] for o in member[2] if o < bucket]] = 1
-        counted = links & (inside[0] @ inside[1].T == 0)
+    counted = links.copy()
+    places = [[np.array([earlier[o] for o in m[2] if o < bucket], np.int64) for m in side] for side in sides]
+    for start in range(0, len(earlier), COLUMNS):
+        inside = []
+        for side in places:
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            for row, at in enumerate(side):
+                m[row, at[(at >= start) & (at < start + COLUMNS)] - start] = 1
+            inside.append(m)
+        counted &= inside[0] @ inside[1].T == 0
     names = sorted({m[1] for m in members})
     index = {fp: i for i, fp in enumerate(names)}
     root = list(range(len(names)))
@@ -228,7 +232,7 @@ def verified(members: DataFrame, n: int, similarity: float) -> DataFrame:
             return made
 
         key, group, known = None, [], {}
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, text=6):
             columns = [c.to_pylist() for c in batch.columns]
             for bucket, a, b, side, fp, others, text in zip(*columns, strict=True):
                 if (bucket, a, b) != key:
@@ -237,7 +241,7 @@ def verified(members: DataFrame, n: int, similarity: float) -> DataFrame:
                     key, group, known = (bucket, a, b), [], {}
                 if fp not in known:
                     tokens = shingle_set(text or "", n)
-                    if fingerprint(tokens) == fp:  # else another row with the same doc_id
+                    if fingerprint(tokens) == fp:  # else a text of the same hash
                         known[fp] = True
                         group.append((side, fp, others, tokens))
             if len(out) > 10_000:
@@ -250,21 +254,26 @@ def verified(members: DataFrame, n: int, similarity: float) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for every row of docs.
+    """doc_id, class_id, n_links, n_copies, kept, hash for every row of docs.
 
-    class_id is the smallest doc_id among the documents that hang together by links; n_links the number of other
+    class_id is the smallest doc_id among the documents that hang together by links (null if none has one); n_links the number of other
     shingle sets with a Jaccard similarity of at least ``similarity``; n_copies the number of rows with the very same
-    set. A text of one to n - 1 words is one shingle; a text without words (null, empty) links to nothing, is its own
-    class and its own copy. Rows may repeat a doc_id; a null doc_id is passed on with the class of its set. An empty
-    table gives no rows. Other columns aren't read.
+    set; kept says whether the row is the one of its class that would stay: that with the smallest doc_id (nulls last),
+    then hash, which is xxhash64 of the text. A text of one to n - 1 words is one shingle; a text without words (null, empty) links to nothing, is its own
+    class and its own copy. Rows may repeat a doc_id, with the same or another text; rows without one take part like
+    all others. An empty table gives no rows. Other columns aren't read. Counting the links of one large cluster takes its
+    pairs, block by block; nothing else grows faster than the input.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), common.text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), common.text_of(text_col).alias("text"), F.xxhash64(common.text_of(text_col)).alias("h"))
     drawn = common.written(sketches(rows, n, runs_needed(similarity, recall)), "sketches")
-    reps = common.written(drawn.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths")), "sets")
-    small, large = _split(reps.where("doc is not null").select(F.explode("paths").alias("path"), "fp"))
-    met = common.written(small.unionByName(large), "met")
-    wanted = common.written(met.select("fp").distinct().join(reps.select("fp", "doc"), "fp"), "wanted")
-    texts = common.written(common.small_or_shuffled(wanted).join(rows.where("doc is not null"), "doc").select("fp", "text"), "texts")
+    made = drawn.where("fp is not null").groupBy("fp")
+    # from is the first row with the set, of which the text is taken: texts of one set may differ
+    reps = common.written(made.agg(F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "h")).alias("from"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths")), "sets")
+    met = sized(reps.select(F.explode("paths").alias("path"), "fp"), "met")
+    wanted = common.written(met.select("fp").distinct().join(reps.select("fp", "from"), "fp").select("fp", F.col("from.doc").alias("from_doc"), F.col("from.h").alias("h")), "wanted")
+    near = common.Filter(wanted, "h").split(rows, "h")[0]
+    fetched = common.small_or_shuffled(wanted).join(near, (F.col("from_doc").eqNullSafe(F.col("doc"))) & (wanted["h"] == near["h"])).select("fp", "text")
+    texts = common.written(fetched.groupBy("fp").agg(F.first("text").alias("text")), "texts")
     final = common.written(final_buckets(met, texts, n), "final-buckets")
     merged = common.written(merged_buckets(final), "merged-buckets")
     met = common.written(dealt_blocks(merged, reps), "blocks")
@@ -273,17 +282,20 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: flo
     found = common.written(verified(members, n, similarity), "links")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = common.components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    named = reps.select("fp", "doc", "copies").join(classes.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")
-    named = named.select("fp", "doc", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    lowest = named.groupBy("root").agg(F.min("doc").alias("class"))
-    named = named.join(lowest, "root").select("fp", "class", "links", "copies").where("copies > 1 or links > 0")
-    salt = common.salt_of("doc")
-    plain = drawn.select("doc", "fp").withColumn("salt", salt)
-    return plain.join(common.salted(named), ["fp", "salt"], "left").select(
+    named = reps.select("fp", "from", "copies").join(classes.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")
+    named = named.select("fp", "from", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = common.written(named.where("copies > 1 or links > 0"), "named")
+    lowest = named.groupBy("root").agg(F.min("from").alias("class"))
+    named = common.lookup(named, lowest, "root", common.hot_values(named, "root")).select("fp", "class", "links", "copies")
+    plain = drawn.select("doc", "h", "fp", common.salt_of("doc", "h").alias("salt"))
+    known = plain.join(common.salted(named), ["fp", "salt"], "left")
+    return known.select(
         F.col("doc").alias("doc_id"),
-        F.coalesce("class", "doc").alias("class_id"),
+        F.when(F.col("class").isNotNull(), F.col("class.doc")).otherwise(F.col("doc")).alias("class_id"),
         F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"),
+        (F.col("class").isNull() | (F.col("doc").eqNullSafe(F.col("class.doc")) & (F.col("h") == F.col("class.h")))).alias("kept"),
+        F.col("h").alias("hash"),
     )
 
 

@@ -335,6 +335,29 @@ def test_join_finds_all_links(spark, monkeypatch, limit, block):
     assert got == brute_links(rows)
 
 
+def test_rows_without_ids_and_with_repeated_ids_take_part(spark):
+    base = prose(790, 100)
+    rows = [(1, changed(base, 1, 1)), (None, base), (None, changed(base, 2, 1)), (3, ""), (3, changed(base, 3, 1)), (3, prose(791, 80)), (None, prose(792, 60)), (None, changed(prose(792, 60), 4, 1))]
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.ngram_join(table(spark, rows)).collect()), key=str)
+    wanted = [(1, 1, 3, True), (None, 1, 3, False), (None, 1, 3, False), (3, 3, 0, True), (3, 1, 3, False), (3, 3, 0, True), (None, None, 1, True), (None, None, 1, False)]
+    assert got == sorted(wanted, key=str)
+
+
+def test_a_large_bucket_with_a_repeated_empty_id(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIMIT", 4)
+    base = prose(793, 120)
+    rows = [(i, changed(base, 100 + i, 1)) for i in range(40)] + [(i, "") for i in range(40)]
+    got = ngram_join.ngram_join(table(spark, rows)).collect()
+    assert sorted(r["n_links"] for r in got) == [0] * 40 + [39] * 40 and sum(r["kept"] for r in got) == 41
+
+
+def test_long_sets_are_sampled_from_in_parts(monkeypatch):
+    tokens, seeds = np.arange(1000, dtype=np.uint64), np.arange(7, dtype=np.uint64)
+    whole = [x.tolist() for x in ngram_join.sampled(tokens, seeds, 50)]
+    monkeypatch.setattr(ngram_join, "HASHES", 2000)
+    assert [x.tolist() for x in ngram_join.sampled(tokens, seeds, 50)] == whole and 20 < np.mean([len(x) for x in whole]) < 80
+
+
 def test_runs_grow_with_recall():
     assert ngram_join.runs_needed(0.8, 0.9) < ngram_join.runs_needed(0.8, 0.9999)
 
