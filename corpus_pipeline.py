@@ -26,17 +26,21 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that hang together by links the one with the smallest doc_id stays."""
-    kept = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    gone = common.written(ngram_join(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct(), "near-copies")
+    maybe, clean = common.Filter(gone, "__hash").split(docs.withColumn("__own", F.xxhash64(common.text_of("text"))), "__own")
+    left = maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_anti")
+    return clean.unionByName(left).select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has leave the later ones; a document of which no word is left goes."""
-    found = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__hash"])
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(common.text_of("text")) == F.col("__hash")), "left")
+    found = substring_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("kept_text").alias("__kept"))
+    found = common.written(found.dropDuplicates(["__id", "__hash"]), "without-passages")
+    maybe, clean = common.Filter(found, "__hash").split(docs.withColumn("__own", F.xxhash64(common.text_of("text"))), "__own")
+    joined = maybe.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     joined = joined.where(F.col("__kept").isNull() | F.col("__kept").rlike(r"\S"))
     changed = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars"))}
-    return joined.select([changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return clean.select(docs.columns).unionByName(joined.select([changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
