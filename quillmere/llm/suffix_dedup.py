@@ -12,6 +12,9 @@ unequal shared prefixes decide a match without a look at the bytes, equal ones a
 
 In the merged order equal suffixes are neighbours, so again the first place stays and the others are covered; and
 suffixes that share the k-gram are neighbours, in whose windows of ``length`` bytes repeats are looked up.
+
+A k-gram that very many suffixes share would be one task's. Its suffixes, once equal ones are combined in a run, are
+not exchanged; instead each of their windows is told by a digest, and the first place of each digest stays.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ LENGTH, K = 100, 32
 BEYOND = 0xFF
 #: Suffixes that a task merges on average, and runs that one loser tree combines.
 SHARE, FAN = 150_000, 64
+#: Documents and bytes of a run at most; a longer document is a run of its own.
+RUN_DOCS, RUN_BYTES = 10_000, 32 << 20
 
 BASE = np.uint64(0x5851F42D4C957F2D)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -88,7 +93,7 @@ TELLS = -1
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """key, dealt, pos of rows (key, text).
+    """key, dealt, gram (the hash), pos of rows (key, text).
 
     A hash that a batch has once is dealt by itself. One that a batch has more often is known to repeat: its places are
     dealt by their document, written as -2 - pos, and a single row tells of the hash. So a hash that a third of all rows have is
@@ -96,7 +101,7 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, rows=RUN_DOCS, text=1, most_bytes=RUN_BYTES):
             counts, places, hashes = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for text in batch.column(1).to_pylist():
                 at, h = anchors(as_bytes(text))
@@ -115,26 +120,27 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
             dealt = np.where(known, mixed(keys), h)
             take = pa.array(np.append(row, row[tells]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(np.append(dealt, h[tells]).view(np.int64)), pa.array(np.append(np.where(known, -2 - pos, pos), np.full(len(tells), TELLS)).astype(np.int32))], names=["key", "dealt", "pos"]
+                [batch.column(0).take(take), pa.array(np.append(dealt, h[tells]).view(np.int64)), pa.array(np.append(h, h[tells]).view(np.int64)), pa.array(np.append(np.where(known, -2 - pos, pos), np.full(len(tells), TELLS)).astype(np.int32))],
+                names=["key", "dealt", "gram", "pos"],
             )
 
-    return rows.mapInArrow(run, "key long, dealt long, pos int")
+    return rows.mapInArrow(run, "key long, dealt long, gram long, pos int")
 
 
 def repeated(sorted_anchors: DataFrame) -> DataFrame:
-    """key, pos of the anchors that are known to repeat or whose neighbour has their hash; equal hashes are together."""
+    """key, gram, pos of the anchors that are known to repeat or whose neighbour has their hash; equal hashes are together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row of its own hash, and whether it is known to repeat
 
-        def made(key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        def made(key: np.ndarray, gram: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
             real = pos != TELLS
-            return pa.RecordBatch.from_arrays([pa.array(key[real], pa.int64()), pa.array(pos[real].astype(np.int32), pa.int32())], names=["key", "pos"])
+            return pa.RecordBatch.from_arrays([pa.array(key[real], pa.int64()), pa.array(gram[real], pa.int64()), pa.array(pos[real].astype(np.int32), pa.int32())], names=["key", "gram", "pos"])
 
         for batch in batches:
-            key, h, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, _, h, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             known = pos < TELLS
-            yield made(key[known], -2 - pos[known])
+            yield made(key[known], h[known], -2 - pos[known])
             key, h, pos = key[~known], h[~known], pos[~known]
             if not len(h):
                 continue
@@ -143,15 +149,15 @@ def repeated(sorted_anchors: DataFrame) -> DataFrame:
             if held is not None:
                 before[0] = held[1] == h[0]
                 if held[3] or before[0]:
-                    yield made(np.array([held[0]]), np.array([held[2]]))
+                    yield made(*(np.array([v]) for v in held[:3]))
             keep = before.copy()
             keep[:-1] |= before[1:]
             held, keep[-1] = (int(key[-1]), int(h[-1]), int(pos[-1]), bool(before[-1])), False
-            yield made(key[keep], pos[keep])
+            yield made(key[keep], h[keep], pos[keep])
         if held is not None and held[3]:
-            yield made(np.array([held[0]]), np.array([held[2]]))
+            yield made(*(np.array([v]) for v in held[:3]))
 
-    return sorted_anchors.mapInArrow(run, "key long, pos int")
+    return sorted_anchors.mapInArrow(run, "key long, gram long, pos int")
 
 
 BEFORE = LENGTH - K
@@ -178,8 +184,10 @@ def joined_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[first], ends[np.append(first[1:] - 1, len(ends) - 1)]
 
 
-RUN_ROWS = "part int, shared binary, rest binary, keys binary, pos binary, key long, starts array<int>, ends array<int>"
-RUN_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+RUN_ROWS = "part int, shared binary, rest binary, keys binary, pos binary, key long, starts array<int>, ends array<int>, digest binary"
+RUN_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+#: Bytes of the digest of a window.
+DIGEST = 16
 RUN_NAMES = [c.split()[0] for c in RUN_ROWS.split(", ")]
 
 
@@ -192,46 +200,71 @@ def front_coded(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
     return shared, rows[np.arange(WIDTH) >= shared[:, None]].tobytes()
 
 
+def window_digests(row: bytes, key: int, pos: int, size: int) -> Iterator[tuple[bytes, int, int]]:
+    """Digest, key and start of each window of the text around the anchor of a suffix, which is a row of suffixes()."""
+    left, right = min(pos, BEFORE), min(size - pos, LENGTH)
+    around = row[LENGTH : LENGTH + left][::-1] + row[:right]
+    for start in range(left + right - LENGTH + 1):
+        yield hashlib.blake2b(around[start : start + LENGTH], digest_size=DIGEST).digest(), key, pos - left + start
+
+
 def sorted_runs(located: DataFrame, parts: int) -> DataFrame:
-    """Runs by part, one a batch and part, and with them covered spans by key, of rows (key, text, at)."""
+    """Of rows (key, text, at, hot), where hot tells which places have a hot k-gram, and by batch: runs by part; covered
+    spans by key; and for each window at a hot place, the first one in the run, a row (digest, key, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made, keys, pos, sizes = [np.zeros((0, WIDTH), np.uint8)], [], [], []
-            for key, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in common.sliced(batches, rows=RUN_DOCS, text=1, most_bytes=RUN_BYTES):
+            made, keys, pos, sizes, hot = [np.zeros((0, WIDTH), np.uint8)], [], [], [], []
+            for key, text, at, is_hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data, at = as_bytes(text), np.array(at, np.int64)
                 made.append(suffixes(data, at))
                 keys.append(np.full(len(at), key, np.int64))
                 pos.append(at)
                 sizes.append(np.full(len(at), len(data), np.int64))
+                hot.append(np.array(is_hot, bool))
             rows = np.ascontiguousarray(np.concatenate(made))
             if not len(rows):
                 continue
-            keys, pos, sizes = np.concatenate(keys), np.concatenate(pos), np.concatenate(sizes)
+            keys, pos, sizes, hot = (np.concatenate(c) for c in (keys, pos, sizes, hot))
             strings = rows.view(f"S{WIDTH}").ravel()
             order = np.lexsort((pos, keys))
             order = order[np.argsort(strings[order], kind="stable")]
-            rows, keys, pos, sizes = rows[order], keys[order], pos[order], sizes[order]
+            rows, keys, pos, sizes, hot = (c[order] for c in (rows, keys, pos, sizes, hot))
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            out: list[tuple] = []
             again = ~new
             starts, ends = np.maximum(pos - BEFORE, 0)[again], np.minimum(pos + LENGTH, sizes)[again]
             full = ends - starts >= LENGTH
-            covered_keys, starts, ends = keys[again][full], starts[full], ends[full]
-            by_key = np.argsort(covered_keys, kind="stable")
-            for group in np.split(by_key, np.flatnonzero(np.diff(covered_keys[by_key])) + 1):
+            spans = [np.stack([keys[again][full], starts[full], ends[full]], axis=1)]
+            rows, keys, pos, sizes, hot = (c[new] for c in (rows, keys, pos, sizes, hot))
+            out: list[tuple] = []
+            first: dict[bytes, tuple[int, int]] = {}
+            later: list[tuple[int, int]] = []
+            for i in np.flatnonzero(hot).tolist():
+                for digest, key, start in window_digests(rows[i].tobytes(), int(keys[i]), int(pos[i]), int(sizes[i])):
+                    known = first.get(digest)
+                    if known is None or (key, start) < known:
+                        first[digest] = key, start
+                    if known is not None and known != (key, start):  # a window may have several anchors
+                        later.append(max(known, (key, start)))
+            out += [(None, None, None, None, None, key, [start], None, digest) for digest, (key, start) in first.items()]
+            if later:
+                at = np.array(later, np.int64)
+                spans.append(np.column_stack([at, at[:, 1] + LENGTH]))
+            spans = np.concatenate(spans)
+            spans = spans[np.argsort(spans[:, 0], kind="stable")]
+            for group in np.split(spans, np.flatnonzero(np.diff(spans[:, 0])) + 1):
                 if len(group):
-                    s, e = joined_spans(starts[group], ends[group])
-                    key = int(covered_keys[group[0]])
-                    out.append((key % parts, None, None, None, None, key, s.tolist(), e.tolist()))
-            rows, keys, pos = rows[new], keys[new], pos[new]
+                    s, e = joined_spans(group[:, 1], group[:, 2])
+                    key = int(group[0, 0])
+                    out.append((key % parts, None, None, None, None, key, s.tolist(), e.tolist(), None))
+            rows, keys, pos = rows[~hot], keys[~hot], pos[~hot]
             part = np.array([zlib.crc32(r) for r in np.ascontiguousarray(rows[:, :K])], np.int64) % parts
             for p in np.unique(part).tolist():
                 mine = part == p
                 shared, rest = front_coded(rows[mine])
-                out.append((p, shared.tobytes(), rest, keys[mine].tobytes(), pos[mine].astype(np.int32).tobytes(), None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), RUN_KINDS, strict=True)], names=RUN_NAMES)
+                out.append((p, shared.tobytes(), rest, keys[mine].tobytes(), pos[mine].astype(np.int32).tobytes(), None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(RUN_KINDS), RUN_KINDS, strict=True)], names=RUN_NAMES)
 
     return located.mapInArrow(run, RUN_ROWS)
 
@@ -268,13 +301,12 @@ def merged(runs: list[Iterator[Suffix]]) -> Iterator[Suffix]:
         if known[i] != known[j]:
             return known[i] > known[j]  # more of the last winner: smaller; what the loser shares with it stays
         at = known[i]
-        x, y = a.string, b.string
-        if x == y:
+        differs = int.from_bytes(a.string[at:]) ^ int.from_bytes(b.string[at:])  # what is known to be shared isn't looked at
+        if not differs:
             known[max(i, j)] = WIDTH
             return i < j
-        differs = int.from_bytes(x[at:]) ^ int.from_bytes(y[at:])
         shared = WIDTH - (differs.bit_length() + 7) // 8
-        first = x[shared] < y[shared]
+        first = a.string[shared] < b.string[shared]
         known[j if first else i] = shared
         return first
 
@@ -372,7 +404,7 @@ def merged_spans(runs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(spans[first, 0]), pa.array(spans[first, 1].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "start", "end"])
 
         for batch in batches:
-            for p, shared, rest, keys, pos, key, starts, ends_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, shared, rest, keys, pos, key, starts, ends_ in zip(*(c.to_pylist() for c in batch.columns[:8]), strict=True):
                 if part is not None and p != part:
                     yield worked()
                 part = p
@@ -385,6 +417,13 @@ def merged_spans(runs: DataFrame) -> DataFrame:
     return runs.mapInArrow(run, "key long, start int, end int")
 
 
+def later_windows(windows: DataFrame) -> DataFrame:
+    """key, start, end of the windows (digest, key, start; each at most once a run) that aren't the first of their digest."""
+    first = windows.groupBy("digest").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, "digest").where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
+    return later.select("key", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
@@ -392,7 +431,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier in the same row; matches end with their document. Null texts are empty, texts under LENGTH bytes are never
     touched. Where doc_ids repeat or are null, rows are ordered by doc_id, nulls last, and a hash of the text. An empty
     table gives no rows; other columns aren't read. A task merges about SHARE suffixes; equal ones are combined in
-    every run before, so a string that a third of all rows share comes as one suffix a run.
+    every run before, so a string that a third of all rows share comes as one suffix a run, and a k-gram that stands in
+    ever other surroundings is dealt by its windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
     counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1")
@@ -403,14 +443,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = anchor_rows(rows.select("key", "text")).repartition("dealt").sortWithinPartitions("dealt")
     places = common.written(repeated(found), "anchors")
     parts = max(1, round(places.count() / SHARE))
-    located = rows.join(places.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("at")), "key").select("key", "text", "at")
-    exchanged = sorted_runs(located, parts).repartition(parts, "part").sortWithinPartitions("part")
-    spans = common.written(merged_spans(exchanged), "spans")
+    hot = F.broadcast(common.hot_values(places, "gram").withColumn("hot", F.lit(True)))
+    marked = places.join(hot, "gram", "left").select("key", F.struct("pos", F.col("hot").isNotNull().alias("hot")).alias("place"))
+    near = common.Filter(places, "key").split(rows, "key")[0]
+    located = near.join(marked.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("at")), "key").select("key", "text", "at.pos", "at.hot")
+    runs = common.written(sorted_runs(located, parts), "runs")
+    exchanged = runs.where("digest is null").repartition(parts, "part").sortWithinPartitions("part")
+    spans = merged_spans(exchanged).unionByName(later_windows(runs.where("digest is not null").select("digest", "key", F.col("starts")[0].alias("start"))))
+    spans = common.written(spans, "spans")
     listed = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = rows.join(listed, "key", "left").select("id", "text", "starts", "ends")
+    hit, clean = common.Filter(spans, "key").split(rows, "key")
+    nothing = [F.lit(None).cast("array<int>").alias(c) for c in ("starts", "ends")]
+    joined = hit.join(listed, "key", "left").select("id", "text", "starts", "ends").unionByName(clean.select("id", "text", *nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, text=1):
             out: list[tuple] = []
             for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = as_bytes(text)
