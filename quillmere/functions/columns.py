@@ -101,6 +101,11 @@ def token_estimate(size: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(size / 4))
 
 
+def ratio_estimate(chars: Column, ratio: float | None) -> Column:
+    """Characters over characters a token, rounded up; null if that ratio isn't known."""
+    return F.lit(None).cast("long") if ratio is None else F.ceil(chars / F.lit(float(ratio))).cast("long")
+
+
 def line_count(text: Column) -> Column:
     """Newlines, and one for a last line without one; 0 of an empty text."""
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))

@@ -146,3 +146,26 @@ def render(text: Column, values: Column) -> tuple[Column, Column]:
 
 def template_state(rendered: Column, existing: Column) -> Column:
     return F.when(existing.isNull(), "missing").when(F.sha2(rendered, 256) == F.sha2(existing, 256), "same").otherwise("drifted")
+
+
+def variables_hash(values: Column) -> Column:
+    """SHA-256 of a map of variables, whatever the order of its entries: name=value lines, sorted by name."""
+    entries = F.array_sort(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
+    return F.sha2(F.array_join(entries, "\n"), 256)
+
+
+def template_states(rendered: DataFrame, existing: DataFrame) -> DataFrame:
+    """path, state of rendered(path, text) against existing(path, text): missing, same or drifted, and extra for a file
+    that no template makes."""
+    both = rendered.select("path", F.col("text").alias("made")).join(existing.select("path", F.col("text").alias("there")), "path", "full")
+    return both.select("path", F.when(F.col("made").isNull(), "extra").otherwise(template_state(F.col("made"), F.col("there"))).alias("state"))
+
+
+def evidence_complete(selected: DataFrame, required: DataFrame) -> DataFrame:
+    """task, required_count, missing_count, complete of required(task, path): whether selected(task, path) has all that a
+    task requires."""
+    asked = required.select("task", "path").distinct()
+    missing = asked.join(selected.select("task", "path").distinct(), ["task", "path"], "left_anti").groupBy("task").agg(F.count(F.lit(1)).alias("m"))
+    counts = asked.groupBy("task").agg(F.count(F.lit(1)).alias("required_count")).join(missing, "task", "left")
+    n = F.coalesce("m", F.lit(0).cast("long"))
+    return counts.select("task", "required_count", n.alias("missing_count"), (n == 0).alias("complete"))

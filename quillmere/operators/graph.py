@@ -49,6 +49,26 @@ def resolve(nodes: DataFrame, text: str, max_candidates: int = 20) -> tuple[str,
     return "not_found", []
 
 
+#: Levels of a closure after which what was seen is one table again.
+LEVELS = 8
+
+
+def node_order() -> list[Column]:
+    return [F.col("id")]
+
+
+def edge_order() -> list[Column]:
+    return [F.col("src"), F.col("dst"), F.col("kind")]
+
+
+def match_order() -> list[Column]:
+    return [F.col("match_rank"), F.col("id")]
+
+
+def distance_order() -> list[Column]:
+    return [F.col("distance"), F.col("id")]
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, distance: all that is reached from seeds(id) along edges(src, dst), by the least number of steps."""
     seen = saved(seeds.select("id").distinct().withColumn("distance", F.lit(0)), "closure")
@@ -60,6 +80,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % LEVELS == 0:
+            seen = saved(seen, "closure")
     return seen
 
 
@@ -123,41 +145,53 @@ def fan_counts(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends)).groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
-def cycles(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """id, c: the greatest colour c of a node that reaches id, itself counted; edges and colours are written tables."""
+    while True:
+        passed = edges.join(colours.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c", F.lit(None).cast("boolean").alias("own"))
+        both = passed.unionByName(colours.withColumn("own", F.lit(True)))
+        step = both.groupBy("id").agg(F.max("c").alias("c"), F.max(F.when(F.col("own"), F.col("c"))).alias("before"))
+        step = saved(step.select("id", "c", (F.col("c") != F.col("before")).alias("changed")), "colours")
+        colours = step.select("id", "c")
+        if step.where("changed").isEmpty():
+            return colours
+
+
+def cycles(edges: DataFrame, trims: int = 3) -> DataFrame:
     """id, component (its least member), size of the nodes on a cycle, a self-loop too; for graphs of any size.
 
-    Nodes without a way in or out are trimmed; then the greatest id that reaches a node and the greatest that it
-    reaches are spread to a fixpoint: nodes where both agree are one component, and the rest goes on.
+    A round gives each node a random number and spreads the greatest one along the edges: a component has one colour.
+    Within a colour, what reaches the node that the colour is from is that node's component, and is done with; edges between
+    colours lie on no cycle. So chains of components are parted at random, and rounds go with the logarithm of their
+    number; each round takes steps as the longest way within a colour is long. Nodes without a way in or out are
+    trimmed before, a few layers a round. It goes on until no edge is left.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
     left = saved(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges")
-    parts = None
-    for _ in range(max_rounds):
-        while True:
-            kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            before, left = left.count(), saved(kept, "cycle-edges")
-            if left.count() == before:
-                break
+    parts, round_ = [], 0
+    while True:
+        for _ in range(trims):
+            left = saved(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle-edges")
         if left.isEmpty():
             break
         ids = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
-        colours = []
-        for a, b in (("src", "dst"), ("dst", "src")):
-            colour = saved(ids.withColumn("c", F.col("id")), "colours")
-            while True:
-                step = left.join(colour, left[a] == colour["id"]).select(left[b].alias("id"), "c").unionByName(colour).groupBy("id").agg(F.max("c").alias("c"))
-                new = saved(step, "colours")
-                if new.join(colour, ["id", "c"], "left_anti").isEmpty():
-                    break
-                colour = new
-            colours.append(colour)
-        same = saved(colours[0].join(colours[1], ["id", "c"]).select("id", F.col("c").alias("part")), "parts")
-        parts = same if parts is None else parts.unionByName(same)
-        gone = same.select("id")
-        left = saved(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "cycle-edges")
+        colours = _spread(left, saved(ids.select("id", F.struct(F.xxhash64("id", F.lit(round_)).alias("r"), F.col("id").alias("from")).alias("c")), "colours"))
+        named = colours.select("id", F.col("c.from").alias("part"))
+        ends = left.join(named.withColumnRenamed("id", "src"), "src").join(named.select(F.col("id").alias("dst"), F.col("part").alias("other")), "dst").where("part = other")
+        inside = saved(ends.select("src", "dst"), "cycle-edges")
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = closure(back, named.where("id = part").select("id")).select("id")
+        parts.append(saved(reached.join(named, "id"), "parts"))
+        gone = parts[-1].select("id")
+        left = saved(inside.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "cycle-edges")
+        round_ += 1
     named = loops.withColumn("part", F.col("id"))
-    if parts is not None:
-        large = parts.join(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part"), "part", "left_semi").select("id", "part")
+    if parts:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        every = saved(every, "parts")
+        large = every.join(every.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part"), "part", "left_semi").select("id", "part")
         named = large.unionByName(named.join(large, "id", "left_anti").select("id", "part"))
     least = named.groupBy("part").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
     return named.join(least, "part").select("id", "component", "size")
@@ -198,7 +232,7 @@ def affected(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_results
     )
     told = one.withColumn("affected_truncated", cut).withColumn("uncertainty_reasons", reasons)
     told = told.withColumn("recommended_scope", F.when(F.size("uncertainty_reasons") > 0, "broader_or_full").otherwise("targeted_dependents"))
-    rows = shown.orderBy("distance", "id")
+    rows = shown.orderBy(*distance_order())
     return Affected(rows if max_results is None else rows.limit(max_results), told)
 
 

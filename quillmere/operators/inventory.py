@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions import catalogs
@@ -99,10 +99,14 @@ def context_priority(path: Column) -> Column:
 
 
 def manifest(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
-    """context_priority, path, bytes; order by both, then path."""
+    """context_priority, path, bytes."""
     return files.select(context_priority(F.col(path)).alias("context_priority"), F.col(path).alias("path"), F.col(size).alias("bytes"))
 
 
+def manifest_order() -> list[Column]:
+    return [F.col("context_priority"), F.col("path")]
+
+
 def context_budget(files: DataFrame, key: str, size: Column, text: Column | None = None) -> DataFrame:
     """key, bytes, estimated_tokens: from sizes alone, or with text from its characters."""
     estimate = C.token_estimate(F.length(text) if text is not None else size)
@@ -134,6 +138,11 @@ def tree(files: DataFrame, path: str = "path", depth: int = 3) -> DataFrame:
     return files.select(F.inline(prefixes)).groupBy("path", "depth").agg(F.min("kind").alias("kind"))
 
 
+def tree_order() -> list[Column]:
+    """Directories first, then by name without case, then by path."""
+    return [F.col("kind") != "directory", F.lower(F.substring_index("path", "/", -1)), F.col("path")]
+
+
 def top_directories(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(F.col(path).contains("/")).select(F.substring_index(path, "/", 1).alias("directory")).distinct()
 
@@ -159,6 +168,10 @@ def languages(files: DataFrame, path: str = "path", names: Mapping[str, str] = c
     return files.select(C.mapped(C.extension(F.col(path)), names).alias("language")).where("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("file_count"))
 
 
+def language_order() -> list[Column]:
+    return [F.desc("file_count"), F.col("language")]
+
+
 def status_rollup(rows: DataFrame, group: str, status: str = "status") -> DataFrame:
     """group, failed, warned, skipped, total, status: failures before warnings before skips; no status is unknown."""
     s = F.col(status)
@@ -180,8 +193,3 @@ def usage_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def reduction(base: Column, left: Column) -> Column:
     """Percent saved, to one digit; 0 of nothing."""
     return F.when(base == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - left / base), 1))
-
-
-def running_share(rows: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
-    over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(value).over(over))

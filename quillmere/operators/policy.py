@@ -12,6 +12,8 @@ from quillmere.functions.globs import rule_glob
 
 #: Stands in a line, with a rule's id and a reason, to suppress a finding there or on the next line.
 MARKER = "policy-ignore"
+#: Rules that one check takes at most.
+MOST_RULES = 1000
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,22 @@ def _parts(rule: Rule, marker: str) -> list[Column]:
     return parts
 
 
+def finding_order() -> list[Column]:
+    return [F.col("path"), F.col("line").asc_nulls_first(), F.col("rule_id")]
+
+
+def rules_from_json(rows: DataFrame, json_col: str = "json") -> list[Rule]:
+    """Rules of a table of JSON objects, of which a project has few: they become expressions of one plan. An object
+    without an id is an error."""
+    kind = "id string, paths array<string>, exclude array<string>, severity string, forbid string, require string, message string, semantic boolean"
+    read = rows.select(F.from_json(json_col, kind).alias("r")).select("r.*").orderBy("id").limit(MOST_RULES + 1).collect()
+    if len(read) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    if any(not r["id"] for r in read):
+        raise ValueError("a rule without an id")
+    return [Rule(r["id"], tuple(r["paths"] or ()), tuple(r["exclude"] or ()), r["severity"] or "error", r["forbid"], r["require"], r["message"] or "", bool(r["semantic"])) for r in read]
+
+
 def policy_summary(files: DataFrame, findings: DataFrame, rules: list[Rule], path: str = "path") -> DataFrame:
     """error_count, warning_count, suppression_count, invalid_suppression_count, semantic_rule_count, files_scanned (of
     each rule), distinct_files_scanned, status: counted before any limit."""

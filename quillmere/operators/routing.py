@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PHASES = ("orient", "search", "scope", "inspect", "validate", "stop")
@@ -60,6 +60,16 @@ def recommend(summary: DataFrame, catalog: Sequence[tuple] = CATALOG) -> DataFra
     return summary.select(F.inline(F.filter(rows, lambda r: r.isNotNull())))
 
 
+def listed_once(recommended: DataFrame, conditional: DataFrame) -> DataFrame:
+    """Both lists as one: an operator of both is there once, as a recommended one."""
+    return recommended.unionByName(conditional.join(recommended.select("operator"), "operator", "left_anti").select(recommended.columns))
+
+
+def phase_order() -> list[Column]:
+    """By phase, and within one as the catalog lists them."""
+    return [F.col("phase_order"), F.col("ord")]
+
+
 def narrow(recommended: DataFrame, told: Mapping[str, bool], needs: Mapping[str, Sequence[str]] = TASK_NEEDS) -> DataFrame:
     """The recommended operators that the task makes relevant; all of them if it tells nothing."""
     wanted = sorted({o for what, names in needs.items() if told.get(what) for o in names})
@@ -70,7 +80,7 @@ def narrow(recommended: DataFrame, told: Mapping[str, bool], needs: Mapping[str,
 
 def actions(recommended: DataFrame, mapping: DataFrame) -> DataFrame:
     """operator, action, available: what a front end would start; an operator without an action is unavailable."""
-    return recommended.join(F.broadcast(mapping.select("operator", "action")), "operator", "left").select("operator", "action", F.col("action").isNotNull().alias("available"))
+    return recommended.join(mapping.select("operator", "action"), "operator", "left").select("operator", "action", F.col("action").isNotNull().alias("available"))
 
 
 def language_tools(languages: DataFrame, size_class: str, supported: Sequence[str], runtimes: Sequence[str] = ()) -> DataFrame:

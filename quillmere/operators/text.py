@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalogs
 from quillmere.functions import columns as C
 from quillmere.operators.bounded import top_per_group
+from quillmere.sources.scratch import small_or_shuffled, written
 
 Matches = Callable[[Column], Column]
 
@@ -133,21 +134,25 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     """normalized, repeated_text, occurrence_count, first_key, first_line, occurrences array<struct<key, line>>,
     occurrences_truncated: lines that two or more keys have, alike but for case, spacing and six marks.
 
-    Two keys differ just if the least and the greatest do, so no distinct count is needed; counts are combined in the
-    map tasks, and for the occurrences they pass on ``max_occurrences`` rows of a line at most.
+    Texts are parted once, into a written table of a digest for each long line. Two keys differ just if the least and
+    the greatest do, so no distinct count is needed, and counts are combined in the map tasks. Only of digests with two keys are
+    occurrences ranked (the map tasks pass on ``max_occurrences`` rows of a line at most), and only documents that have a
+    first occurrence are read again for its text.
     """
-    rows = numbered(docs, key, text).withColumn("normalized", C.duplicate_key(F.col("text"))).where(F.length("normalized") >= min_chars)
-    at = F.struct("key", "line")
-    groups = rows.groupBy("normalized").agg(
-        F.count(F.lit(1)).alias("occurrence_count"),
-        F.min(F.struct("key", "line", F.substring(C.trimmed(F.col("text")), 1, width).alias("text"))).alias("first"),
-        F.max("key").alias("last_key"),
-    )
-    groups = groups.where(F.col("first.key") != F.col("last_key"))
-    shown = top_per_group(rows.select("normalized", "key", "line"), ["normalized"], [F.col("key"), F.col("line")], max_occurrences)
-    shown = shown.groupBy("normalized").agg(F.sort_array(F.collect_list(at)).alias("occurrences"))
-    return groups.join(shown, "normalized").select(
-        "normalized", F.col("first.text").alias("repeated_text"), "occurrence_count", F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"), "occurrences", (F.col("occurrence_count") > max_occurrences).alias("occurrences_truncated")
+    normal = F.transform(C.lines_of(F.col(text)), lambda x, i: F.struct((i + 1).alias("line"), C.duplicate_key(x).alias("n")))
+    long = F.transform(F.filter(normal, lambda m: F.length(m["n"]) >= min_chars), lambda m: F.struct(m["line"].alias("line"), F.unhex(F.sha2(m["n"], 256)).alias("digest")))
+    rows = written(docs.select(F.col(key).alias("key"), F.inline(long)), "line-digests")
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("key").alias("least"), F.max("key").alias("greatest")).where("least <> greatest")
+    groups = written(groups.select("digest", "occurrence_count"), "repeated-lines")
+    hits = rows.join(small_or_shuffled(groups.select("digest")), "digest", "left_semi")
+    shown = top_per_group(hits, ["digest"], [F.col("key"), F.col("line")], max_occurrences).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("key", "line"))).alias("occurrences"))
+    found = written(groups.join(shown, "digest").withColumn("first", F.col("occurrences")[0]), "first-lines")
+    wanted = found.groupBy(F.col("first.key").alias("first_key")).agg(F.collect_list(F.struct(F.col("first.line").alias("first_line"), "occurrence_count", "occurrences")).alias("of"))
+    lines = docs.select(F.col(key).alias("first_key"), C.lines_of(F.col(text)).alias("lines")).join(wanted, "first_key")
+    rows = lines.select("first_key", F.explode(F.transform("of", lambda o: F.struct(o.alias("o"), F.get(F.col("lines"), o["first_line"] - 1).alias("text")))).alias("m"))
+    rows = rows.select("first_key", "m.o.*", F.col("m.text").alias("text"))
+    return rows.select(
+        C.duplicate_key(F.col("text")).alias("normalized"), F.substring(C.trimmed(F.col("text")), 1, width).alias("repeated_text"), "occurrence_count", "first_key", "first_line", "occurrences", (F.col("occurrence_count") > max_occurrences).alias("occurrences_truncated")
     )
 
 
@@ -156,12 +161,26 @@ def duplicate_order() -> list[Column]:
 
 
 def evidence(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, n: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """item, key, shared: how many word n-grams of an item a text has; an equi-join of n-grams, each counted once."""
+    """item, key, shared: how many word n-grams of an item a text has, each counted once.
+
+    First all texts are gone through by 64-bit hashes of their n-grams, against the distinct ones of the items; only of
+    texts that may share one are the n-grams themselves compared, by an equi-join.
+    """
 
-    def grams(df: DataFrame, k: str, t: str, name: str) -> DataFrame:
+    def grams(df: DataFrame, k: str, t: str, name: str, made: Callable[[Column], Column]) -> DataFrame:
         words = F.filter(F.split(F.lower(F.coalesce(F.col(t), F.lit(""))), r"[ \t\r\n]+", -1), lambda x: x != "")
         one = df.select(F.col(k).alias(name), words.alias("w")).where(F.size("w") >= n)
-        slices = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        slices = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: made(F.slice("w", i, n)))
         return one.select(name, F.explode(F.array_distinct(slices)).alias("gram"))
 
-    return grams(items, item_key, item_text, "item").join(grams(docs, key, text, "key"), "gram").groupBy("item", "key").agg(F.count(F.lit(1)).alias("shared"))
+    joined = lambda words: F.array_join(words, " ")
+    wanted = written(grams(items, item_key, item_text, "item", F.xxhash64).select("gram").distinct(), "item-grams")
+    near = written(grams(docs, key, text, "key", F.xxhash64).join(small_or_shuffled(wanted), "gram", "left_semi").select("key").distinct(), "near-items")
+    few = docs.join(small_or_shuffled(near.withColumnRenamed("key", key)), key, "left_semi")
+    return grams(items, item_key, item_text, "item", joined).join(grams(few, key, text, "key", joined), "gram").groupBy("item", "key").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def literal_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, line, text of the lines that begin with one to three hashes and a space, as they are: the plainest dialect."""
+    begins = lambda x: x.startswith("# ") | x.startswith("## ") | x.startswith("### ")
+    return search(docs, begins, key, text).select("key", "line", "text")

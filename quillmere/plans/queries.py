@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import catalogs
 from quillmere.functions import columns as C
-from quillmere.functions.globs import mapping_glob, path_glob, rule_glob
+from quillmere.functions.globs import mapping_glob, name_glob, path_glob, rule_glob
 from quillmere.operators import changes, code, graph, inventory, policy, reports, routing, text
 from quillmere.operators.bounded import bounded, group_totals, scan_capped, top_per_group
-from quillmere.sources import adapters, git
+from quillmere.sources import adapters, git, index_store
+from quillmere.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,7 +199,7 @@ NEEDED = ("goal", "required", "tests")
 
 
 def _present(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"regexp_matches(low, '{p}')" if (p := C.term_pattern(w)) else f"contains(low, '{w}')" for w in words) + ")"
+    return "(" + " OR ".join(f"regexp_matches(low, '(^|[^a-z0-9_]){w}([^a-z0-9_]|$)')" if w.isascii() else f"contains(low, '{w}')" for w in words) + ")"
 
 
 @query(
@@ -257,10 +258,12 @@ def _docs_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("folder"), F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"), "text")
 
 
+#: What the globs of each rule mean for a folder, as SQL.
+APPLIED = {"licence": "{0} LIKE 'en/%' AND NOT ({0} = 'src3' OR {0} LIKE '%/src3')", "digits": "true", "article": "regexp_matches({0}, '^en/[^/]*$')"}
+
+
 def _applied(rule: policy.Rule, column: str) -> str:
-    include, exclude = rule.globs
-    inside = "(" + " OR ".join(f"regexp_matches({column}, '{g}')" for g in include) + ")" if include else "true"
-    return inside + "".join(f" AND NOT regexp_matches({column}, '{g}')" for g in exclude)
+    return APPLIED[rule.id].format(column)
 
 
 def _policy_sql() -> str:
@@ -342,13 +345,26 @@ def case_of(values: dict[str, str], key: str) -> str:
     return "CASE " + " ".join(f"WHEN {key} = '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
+def _stats(most: str) -> str:
+    return f"""
+WITH d AS (SELECT lang, text, strlen(text) AS n, {most} AS oversized, strpos(substr(text, 1, 4096), chr(0)) > 0 AS nul FROM (SELECT lang, CASE WHEN doc_id % 7 = 3 THEN text || chr(0) || text ELSE text END AS text FROM documents)),
+e AS (SELECT *, NOT oversized AND nul AND instr(text, chr(0)) > 0 AS binary_ FROM d), m AS (SELECT *, NOT oversized AND NOT binary_ AS ok FROM e)
+SELECT lang AS "group", count(*) FILTER (ok) AS file_count, CAST(coalesce(sum(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END) FILTER (ok), 0) AS BIGINT) AS line_count,
+  CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS byte_count, count(*) FILTER (oversized) AS oversized, count(*) FILTER (binary_) AS binary_files FROM m GROUP BY lang"""
+
+
+def _with_nul(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, some with a NUL behind their text, which makes short ones binary."""
+    nul = F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit("\0"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").withColumn("text", nul)
+
+
 @query(
     r"""SELECT lang AS "group", count(*) AS file_count, CAST(sum(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END) AS BIGINT) AS line_count,
-  CAST(sum(strlen(text)) AS BIGINT) AS byte_count, (SELECT count(*) FROM documents o WHERE o.lang = d.lang AND strlen(o.text) > 20000) AS oversized, 0 AS binary_files
-FROM documents d WHERE strlen(text) <= 20000 GROUP BY lang"""
+  CAST(sum(strlen(text)) AS BIGINT) AS byte_count, 0 AS oversized, 0 AS binary_files FROM documents GROUP BY lang"""
 )
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.stats(table(spark, sf_dir, "documents"), F.col("lang"), max_bytes=20_000)
+    return inventory.stats(table(spark, sf_dir, "documents"), F.col("lang"))
 
 
 @query("SELECT doc_id AS key, strlen(text) AS bytes, greatest(1, length(text) // 4) AS estimated_tokens FROM documents ORDER BY estimated_tokens DESC, bytes DESC, key DESC LIMIT 40")
@@ -456,10 +472,14 @@ def not_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).where(inventory.not_ignored(F.col("path"))).select("path")
 
 
-GLOBS = {"path": path_glob("src/*/*.py"), "name": path_glob("test_*.go"), "rule": rule_glob("**/View/*.?s"), "mapping": mapping_glob("**/ui/**")}
+GLOBS = {"path": path_glob("src/*/*.py"), "name": path_glob("test_*.go"), "rule": rule_glob("**/View/*.?s"), "mapping": mapping_glob("**/ui/**"), "fnmatch": name_glob("*core*.py")}
 
 
-@query(F_SQL + "SELECT path, " + ", ".join(f"regexp_matches({NAME if k == 'name' else 'path'}, '{g}') AS by_{k}" for k, g in GLOBS.items()) + " FROM f")
+@query(
+    F_SQL
+    + rf"""SELECT path, regexp_matches(path, '^src/[^/]*/[^/]*\.py$') AS by_path, regexp_matches({NAME}, '^test_[^/]*\.go$') AS by_name, regexp_matches(path, '^(.*/)?View/[^/]*\.[^/]s$') AS by_rule,
+  regexp_matches(path, '^.*/ui/.*$') AS by_mapping, regexp_matches(path, '^.*core.*\.py$') AS by_fnmatch FROM f"""
+)
 def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     return f.select("path", *((C.file_name(F.col("path")) if k == "name" else F.col("path")).rlike(g).alias(f"by_{k}") for k, g in GLOBS.items()))
@@ -491,14 +511,14 @@ def test_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     F_SQL
-    + f""", c AS (SELECT DISTINCT path AS changed_file, regexp_replace(regexp_replace({STEM}, '^test_', ''), '_test$', '') AS stem FROM f WHERE id % 97 = 0),
+    + f""", c AS (SELECT DISTINCT path AS changed_file, regexp_replace(regexp_replace({STEM}, '^test_', ''), '_test$', '') AS stem FROM f),
 n AS (SELECT DISTINCT path, lower({NAME}) AS name, CASE WHEN {IS_TEST} THEN 'test' WHEN {IS_DOC} THEN 'doc' END AS kind FROM f),
 j AS (SELECT changed_file, kind, path, count(*) OVER (PARTITION BY changed_file, kind) AS total, row_number() OVER (PARTITION BY changed_file, kind ORDER BY path) AS nth FROM c JOIN n ON kind IS NOT NULL AND stem <> '' AND contains(name, stem))
 SELECT changed_file, kind, path, total, total > 8 AS truncated FROM j WHERE nth <= 8"""
 )
 def change_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    return changes.change_router(f.where("id % 97 = 0"), f)
+    return changes.change_router(f, f)
 
 
 IMPORTS = F_SQL + ", i AS (SELECT path AS file, replace(p2, '/', '.') AS target FROM (SELECT f.path, g.path AS p2 FROM f JOIN f g ON g.id = f.id * 7 % (SELECT count(*) FROM f)))"
@@ -512,13 +532,13 @@ def _imports(f: DataFrame) -> DataFrame:
 
 @query(
     IMPORTS
-    + r""", c AS (SELECT DISTINCT path AS changed_file, regexp_replace(path, '\.[^./]*$', '') AS bare FROM f WHERE id % 50 = 0),
+    + r""", c AS (SELECT DISTINCT path AS changed_file, regexp_replace(path, '\.[^./]*$', '') AS bare FROM f),
 n AS (SELECT DISTINCT changed_file, unnest([changed_file, bare, replace(bare, '/', '.'), regexp_extract(changed_file, '[^/]*$'), regexp_extract(bare, '[^/]*$')]) AS needle FROM c)
 SELECT DISTINCT changed_file, file AS consumer FROM n JOIN i ON needle <> '' AND (target = needle OR ends_with(target, '/' || needle) OR ends_with(target, '.' || needle)) WHERE changed_file <> file"""
 )
 def dependency_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    return changes.dependency_consumers(f.where("id % 50 = 0"), _imports(f))
+    return changes.dependency_consumers(f, _imports(f))
 
 
 MAPPINGS = ({"source": "src/core/**", "tests": ["tests/unit/core_suite.py"]}, {"source": "lib/*/*.c", "tests": ["tests/lib.py", "tests/c.py"]})
@@ -526,18 +546,18 @@ MAPPINGS = ({"source": "src/core/**", "tests": ["tests/unit/core_suite.py"]}, {"
 
 @query(
     F_SQL
-    + rf""", c AS (SELECT DISTINCT path AS p FROM f WHERE id % 20 = 0),
-g AS (SELECT p, list_concat(CASE WHEN regexp_matches(p, '{mapping_glob("src/core/**")}') THEN ['tests/unit/core_suite.py'] ELSE [] END, CASE WHEN regexp_matches(p, '{mapping_glob("lib/*/*.c")}') THEN ['tests/lib.py', 'tests/c.py'] ELSE [] END) AS explicit,
+    + rf""", c AS (SELECT DISTINCT path AS p FROM f),
+g AS (SELECT p, list_concat(CASE WHEN regexp_matches(p, '^src/core/.*$') THEN ['tests/unit/core_suite.py'] ELSE [] END, CASE WHEN regexp_matches(p, '^lib/[^/]*/[^/]*\.c$') THEN ['tests/lib.py', 'tests/c.py'] ELSE [] END) AS explicit,
   [CASE WHEN starts_with(p, 'src/') THEN regexp_replace(regexp_extract(p, '^(.*/)[^/]*$', 1), '^src/', 'tests/') || 'test_' || regexp_extract(p, '[^/]*$') END,
    CASE WHEN contains(p, '/src/') THEN regexp_replace(regexp_extract(p, '^(.*/)[^/]*$', 1), '/src/', '/tests/', 'g') || 'test_' || regexp_extract(p, '[^/]*$') END,
    CASE WHEN ends_with(p, '.go') AND NOT ends_with(p, '_test.go') THEN regexp_replace(p, '\.go$', '_test.go') END, CASE WHEN ends_with(p, '.py') THEN 'tests/test_' || regexp_extract(p, '[^/]*$') END] AS guesses FROM c),
 n AS (SELECT p, list(DISTINCT t) AS named FROM (SELECT p, unnest(guesses) AS t FROM g) WHERE t IN (SELECT path FROM f) GROUP BY p),
 a AS (SELECT g.p, list_sort(list_distinct(list_concat(explicit, coalesce(named, [])))) AS tests, explicit FROM g LEFT JOIN n ON g.p = n.p)
-SELECT p AS changed_file, array_to_string(tests, '|') AS tests, CASE WHEN len(explicit) > 0 THEN 'high' WHEN len(tests) > 0 THEN 'medium' ELSE 'low' END AS confidence, regexp_matches(p, '{mapping_glob("docs/**")}') OR len(tests) = 0 AS fallback FROM a"""
+SELECT p AS changed_file, array_to_string(tests, '|') AS tests, CASE WHEN len(explicit) > 0 THEN 'high' WHEN len(tests) > 0 THEN 'medium' ELSE 'low' END AS confidence, regexp_matches(p, '^docs/.*$') OR len(tests) = 0 AS fallback FROM a"""
 )
 def affected_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    found = changes.affected_tests(f.where("id % 20 = 0"), f, mappings=MAPPINGS, broader=("docs/**",))
+    found = changes.affected_tests(f, f, mappings=MAPPINGS, broader=("docs/**",))
     return found.select("changed_file", F.array_join("tests", "|").alias("tests"), "confidence", "fallback")
 
 
@@ -557,14 +577,14 @@ def architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     F_SQL
-    + """, g AS (SELECT path FROM f UNION ALL SELECT * FROM (VALUES ('README.md'), ('src/AGENTS.md'), ('src/ui/README.md'), ('docs/CLAUDE.md'))), t AS (SELECT path AS target, string_split(path, '/')[1:-2] AS p FROM f WHERE id % 10 = 0),
+    + """, g AS (SELECT path FROM f UNION ALL SELECT * FROM (VALUES ('README.md'), ('src/AGENTS.md'), ('src/ui/README.md'), ('docs/CLAUDE.md'))), t AS (SELECT path AS target, string_split(path, '/')[1:-2] AS p FROM f),
 d AS (SELECT target, p, unnest(range(0, len(p) + 1)) AS depth FROM t), n AS (SELECT target, depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(p[1:depth], '/') || '/' END || name AS guide FROM d, (VALUES ('AGENTS.md'), ('CLAUDE.md'), ('README.md')) AS v(name))
 SELECT target, guide, depth FROM n WHERE guide IN (SELECT path FROM g)"""
 )
 def scoped_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     there = f.select("path").unionByName(spark.createDataFrame([("README.md",), ("src/AGENTS.md",), ("src/ui/README.md",), ("docs/CLAUDE.md",)], "path string"))
-    return changes.scoped_guides(f.where("id % 10 = 0"), there)
+    return changes.scoped_guides(f, there)
 
 
 @query(
@@ -604,14 +624,22 @@ def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.dependencies(sources(spark, sf_dir), "python").withColumn("targets", F.array_join("targets", "|"))
 
 
-@query(None)
+# A source is indented at its third line if the key is 1 modulo 3, so it has no tree then.
+@query(
+    "SELECT concat('m/f', p_partkey, '.py') AS file, CASE WHEN p_partkey % 3 = 1 THEN 'parse_failed' ELSE 'ok' END AS status,"
+    " CASE p_partkey % 3 WHEN 2 THEN 'func ' || replace(p_name, ' ', '_') || ' 3-4' WHEN 0 THEN 'class ' || replace(p_name, ' ', '_') || ' 3-4' ELSE '' END AS symbols, CASE WHEN p_partkey % 3 <> 1 THEN 'a.b,os,pkg.' || lower(p_type) ELSE '' END AS imports FROM part"
+)
 def code_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.python_ast(sources(spark, sf_dir))
+    told = F.transform("symbols", lambda s: F.concat_ws(" ", s["kind"], s["name"], F.concat_ws("-", s["line"], s["end_line"])))
+    return code.python_ast(sources(spark, sf_dir)).select("file", "status", F.array_join(told, ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
 
 
-@query(None)
+@query(
+    "SELECT concat('m/f', p_partkey, '.py') AS file, CASE WHEN p_partkey % 3 <> 1 THEN 'ok' ELSE 'parse_failed' END AS status, CASE WHEN p_partkey % 3 <> 1 THEN 4 END AS line, CASE WHEN p_partkey % 3 <> 1 THEN 'return ' || p_size END AS matched_text,"
+    " CASE WHEN p_partkey % 3 <> 1 THEN CAST(p_size AS VARCHAR) END AS value FROM part"
+)
 def structural_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.structural_search(sources(spark, sf_dir), "return $VALUE")
+    return code.structural_search(sources(spark, sf_dir), "return $VALUE").select("file", "status", "line", "matched_text", F.col("captures")["VALUE"].alias("value"))
 
 
 @query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS target FROM pages")
@@ -712,7 +740,8 @@ def fan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fan_counts(graph_tables(spark, sf_dir)[1])
 
 
-CYCLE = "SELECT DISTINCT 'u' || CAST(user_id % 40 AS STRING) AS src, 'u' || CAST((user_id * 3 + event_id % 2) % 40 AS STRING) AS dst FROM events WHERE event_id % 7 = 0"
+#: Users lead to users of their own ten, and now and then to those of the next ten, from where nothing leads back.
+CYCLE = "SELECT DISTINCT 'u' || user_id AS src, 'u' || CASE WHEN event_id % 50 = 0 THEN user_id + 10 ELSE user_id // 10 * 10 + event_id % 10 END AS dst FROM events"
 
 
 @query(
@@ -723,8 +752,8 @@ SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM p
 """
 )
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "events").where("event_id % 7 = 0").selectExpr("concat('u', CAST(user_id % 40 AS STRING)) AS src", "concat('u', CAST((user_id * 3 + event_id % 2) % 40 AS STRING)) AS dst").distinct()
-    return graph.cycles(edges)
+    to = "CASE WHEN event_id % 50 = 0 THEN user_id + 10 ELSE user_id DIV 10 * 10 + event_id % 10 END"
+    return graph.cycles(table(spark, sf_dir, "events").selectExpr("concat('u', CAST(user_id AS STRING)) AS src", f"concat('u', CAST({to} AS STRING)) AS dst").distinct())
 
 
 @query(
@@ -741,10 +770,11 @@ def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_nodes(rows)
 
 
-@query("SELECT DISTINCT 'p' || l_partkey AS importer, 's' || l_suppkey AS target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = 5")
+@query("SELECT DISTINCT 'p' || l_partkey AS importer, 's' || l_suppkey AS target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber % 3 <> 0")
 def local_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imports = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("importer"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
-    return graph.local_imports(imports, table(spark, sf_dir, "supplier").where("s_nationkey = 5").select(F.concat(F.lit("s"), "s_suppkey").alias("name")))
+    outside = F.when(F.col("l_linenumber") % 3 == 0, "/x").otherwise("")
+    imports = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("importer"), F.concat(F.lit("s"), "l_suppkey", outside).alias("target"))
+    return graph.local_imports(imports, table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("name")))
 
 
 # ---- tables ----------------------------------------------------------------------------------------------------------
@@ -868,13 +898,349 @@ def scan_capped_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH s AS (SELECT l_orderkey % 100 AS d, l_partkey % 500 AS s, min(l_linenumber) AS r FROM lineitem GROUP BY ALL), o AS (SELECT s, max('f' || lpad(CAST(d AS VARCHAR), 3, '0')) AS dst FROM s WHERE r = 1 GROUP BY s)
-SELECT DISTINCT 'f' || lpad(CAST(d AS VARCHAR), 3, '0') AS src, dst, 'depends_on' AS kind FROM s JOIN o USING (s) WHERE 'f' || lpad(CAST(d AS VARCHAR), 3, '0') <> dst
+WITH s AS (SELECT l_orderkey AS d, l_partkey AS s, min(l_linenumber) AS r FROM lineitem GROUP BY ALL), o AS (SELECT s, max('f' || lpad(CAST(d AS VARCHAR), 12, '0')) AS dst FROM s WHERE r = 1 GROUP BY s)
+SELECT DISTINCT 'f' || lpad(CAST(d AS VARCHAR), 12, '0') AS src, dst, 'depends_on' AS kind FROM s JOIN o USING (s) WHERE 'f' || lpad(CAST(d AS VARCHAR), 12, '0') <> dst
 """
 )
 def scip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("d"), (F.col("l_partkey") % 500).alias("s")).agg(F.min("l_linenumber").alias("r"))
-    mark = F.struct(F.concat(F.lit("p/"), "s").alias("symbol"), F.array(F.lit(0), F.lit(0), F.lit(1)).alias("range"), F.when(F.col("r") == 1, 1).otherwise(0).alias("symbolRoles"))
-    documents = marks.groupBy("d").agg(F.collect_list(mark).alias("occurrences"))
-    one = F.struct(F.concat(F.lit("f"), F.lpad(F.col("d").cast("string"), 3, "0")).alias("relativePath"), F.lit("x").alias("language"), F.expr("cast(array() AS array<struct<symbol:string>>)").alias("symbols"), F.col("occurrences").alias("occurrences"))
-    return adapters.scip_graph(documents.select(F.to_json(F.struct(F.array(one).alias("documents"))).alias("json")))[1]
+    return adapters.scip_graph(_scip(spark, sf_dir))[1]
+
+
+def _scip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved index for each order: its lines are occurrences of parts, and the first line defines its part."""
+    marks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("d"), F.col("l_partkey").alias("s")).agg(F.min("l_linenumber").alias("r"))
+    mark = F.struct(F.concat(F.lit("p/"), "s").alias("symbol"), F.array(F.col("r") + 4, F.lit(0), F.lit(1)).alias("range"), F.when(F.col("r") == 1, 1).otherwise(0).alias("symbolRoles"))
+    told = F.when(F.col("r") == 1, F.struct(F.concat(F.lit("p/"), "s").alias("symbol"), F.when(F.col("s") % 2 == 0, F.concat(F.lit("part"), "s")).alias("displayName"), F.lit("Class").alias("kind")))
+    documents = marks.groupBy("d").agg(F.collect_list(mark).alias("occurrences"), F.collect_list(told).alias("symbols"))
+    one = F.struct(F.concat(F.lit("f"), F.lpad(F.col("d").cast("string"), 12, "0")).alias("relativePath"), F.lit("x").alias("language"), F.col("symbols"), F.col("occurrences"))
+    return documents.select(F.to_json(F.struct(F.array(one).alias("documents"))).alias("json"))
+
+
+@query(
+    """
+WITH s AS (SELECT l_orderkey AS d, l_partkey AS s, min(l_linenumber) AS r FROM lineitem GROUP BY ALL)
+SELECT 'f' || lpad(CAST(d AS VARCHAR), 12, '0') AS file, CASE WHEN s % 2 = 0 THEN 'part' || s ELSE CAST(s AS VARCHAR) END AS name, 'p/' || s AS qualified_name, 'Class' AS kind, 6 AS line, 'x' AS language FROM s WHERE r = 1
+"""
+)
+def scip_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.scip_graph(_scip(spark, sf_dir))[0]
+
+
+# ---- ordered reports: the first rows of each order -------------------------------------------------------------------
+
+
+@query(F_SQL + f"SELECT {PRIORITY} AS context_priority, path, size AS bytes FROM f ORDER BY 1, 2, 3 LIMIT 50")
+def context_manifest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(inventory.manifest(files(spark, sf_dir)), [*inventory.manifest_order(), F.col("bytes")], 50).rows
+
+
+@query("SELECT event_id AS key, 'm.k' AS metric, CAST(props ->> 'k' AS DOUBLE) / 50 AS level FROM events ORDER BY level DESC, metric, key LIMIT 40")
+def metric_concerns_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("double") / 50
+    docs = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"m": {"k": {"levelOfConcern": '), k.cast("string"), F.lit("}}}")).alias("json"))
+    return bounded(adapters.flat_metrics(docs, "event_id").select("key", "metric", "level"), [*adapters.concern_order(), F.col("key")], 40).rows
+
+
+@query("SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, CAST(doc_id % 4 AS INT) AS error_count, 0 AS missing_count, doc_id % 4 = 0 AS ok FROM documents ORDER BY ok, path LIMIT 30")
+def syntax_failures_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    payload = F.to_json(F.struct(F.concat(F.lit("f"), F.lpad(i.cast("string"), 12, "0")).alias("file"), (i % 4).alias("errors")))
+    return bounded(adapters.syntax_rows(table(spark, sf_dir, "documents").select(payload.alias("json"))), adapters.failing_order(), 30).rows
+
+
+@query(f"SELECT * FROM ({ORACLES['doc_duplicates']}) ORDER BY occurrence_count DESC, lower(repeated_text), normalized LIMIT 20")
+def doc_duplicates_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(doc_duplicates(spark, sf_dir), text.duplicate_order(), 20).rows
+
+
+@query(f"SELECT folder || '/' || key AS path, rule_id, line, kind FROM ({_policy_sql()}) ORDER BY path, line NULLS FIRST, rule_id LIMIT 100")
+def policy_findings_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = policy.policy_check(_docs_as_files(spark, sf_dir).select("path", "text"), [_below(r) for r in RULES])
+    return bounded(found.select("path", "rule_id", "line", "kind"), policy.finding_order(), 100).rows
+
+
+@query(f"WITH {NODES} SELECT id, kind, name FROM nodes ORDER BY id LIMIT 60")
+def graph_nodes_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(graph_tables(spark, sf_dir)[0].select("id", "kind", "name"), graph.node_order(), 60).rows
+
+
+@query(f"WITH {NODES} SELECT src, dst, kind FROM edges ORDER BY src, dst, kind LIMIT 60")
+def graph_edges_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(graph_tables(spark, sf_dir)[1], graph.edge_order(), 60).rows
+
+
+@query(f"SELECT * FROM ({ORACLES['graph_query']}) ORDER BY match_rank, id LIMIT 12")
+def graph_query_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(graph.query(graph_tables(spark, sf_dir)[0], "N1"), graph.match_order(), 12).rows
+
+
+@query(f"SELECT * FROM ({ORACLES['affected_closure']}) ORDER BY distance, id LIMIT 25")
+def affected_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph_tables(spark, sf_dir)
+    changed = table(spark, sf_dir, "nation").where("n_nationkey IN (3, 7)").select(F.concat(F.lit("src/"), "n_name").alias("path"))
+    return graph.affected(nodes, edges, changed, 25).modules
+
+
+@query(f"SELECT * FROM ({ORACLES['language_counts']}) ORDER BY file_count DESC, language LIMIT 3")
+def languages_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(inventory.languages(files(spark, sf_dir)), inventory.language_order(), 3).rows
+
+
+@query(f"SELECT * FROM ({ORACLES['tree_prefixes']}) ORDER BY kind <> 'directory', lower(string_split(path, '/')[-1]), path LIMIT 40")
+def tree_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded(inventory.tree(files(spark, sf_dir)), inventory.tree_order(), 40).rows
+
+
+@query(f"SELECT operator, phase, list FROM ({ORACLES['operator_routing']}) ORDER BY phase_order, ord LIMIT 10")
+def operator_routing_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = routing.recommend(inventory.summary(files(spark, sf_dir)).withColumn("has_git", F.lit(True)))
+    return bounded(found, routing.phase_order(), 10).rows.select("operator", "phase", "list")
+
+
+@query(f"SELECT operator, list FROM ({ORACLES['operator_routing']}) WHERE list = 'recommended' UNION ALL SELECT * FROM (VALUES ('extra', 'conditional'))")
+def routing_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = routing.recommend(inventory.summary(files(spark, sf_dir)).withColumn("has_git", F.lit(True))).select("operator", "list").where("list = 'recommended'")
+    more = spark.createDataFrame([("extra", "conditional"), ("search", "conditional")], "operator string, list string")
+    return routing.listed_once(found, more)
+
+
+# ---- more of code, graphs and reports --------------------------------------------------------------------------------
+
+
+@query(_stats("strlen(text) > 20000"))
+def measured_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.stats(_with_nul(spark, sf_dir), F.col("lang"), max_bytes=20_000)
+
+
+@query("SELECT doc_id AS key, CAST(ceil(length(text) / 3.5) AS BIGINT) AS estimated_tokens, CAST(NULL AS BIGINT) AS unknown FROM documents")
+def ratio_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), C.ratio_estimate(n, 3.5).alias("estimated_tokens"), C.ratio_estimate(n, None).alias("unknown"))
+
+
+@query(
+    """
+WITH r AS (SELECT lang AS task, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+SELECT task, count(*) AS required_count, count(*) FILTER (NOT sel) AS missing_count, count(*) FILTER (NOT sel) = 0 AS complete
+FROM (SELECT task, coalesce(contains(text, 'e'), false) AND NOT (task = 'en' AND doc_id % 5 = 0) AS sel FROM r JOIN documents USING (doc_id)) GROUP BY task
+"""
+)
+def required_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    required = docs.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id").select(F.col("lang").alias("task"), F.col("doc_id").alias("path"))
+    selected = docs.where(F.col("text").contains("e") & ~((F.col("lang") == "en") & (F.col("doc_id") % 5 == 0))).select(F.col("lang").alias("task"), F.col("doc_id").alias("path"))
+    return changes.evidence_complete(selected, required)
+
+
+@query(rf"WITH {ROWS} SELECT key, line, text FROM (SELECT key, line, replace(text, 'The ', '## ') AS text FROM lines) WHERE starts_with(text, '# ') OR starts_with(text, '## ') OR starts_with(text, '### ')")
+def literal_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.literal_headings(table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("The "), F.lit("## "))))
+
+
+#: Of each language a source made from a part: extension, text, declarations (line, kind, name) and targets.
+NAME_OF = "replace(p_name, ' ', '_')"
+LANGUAGES = {
+    "c": ("c", "'#include <stdio.h>', '#  include \"' || {0} || '.h\"', 'typedef struct ' || {0} || ' {{', '}} x;', 'static int run_' || {0} || '(int a)', '  return 1;'", (("3", "'type'", "{0}"), ("5", "'func'", "'run_' || {0}")), "'stdio.h'", "{0} || '.h'"),
+    "cpp": ("hpp", "'#include \"base.hpp\"', 'namespace n_' || {0}, 'class ' || {0} || ' {{', '#include <' || {0} || '>'", (("2", "'namespace'", "'n_' || {0}"), ("3", "'class'", "{0}")), "'base.hpp'", "{0}"),
+    "csharp": ("cs", "'namespace A.' || {0}, 'public sealed class ' || {0}, '<ProjectReference Include=\"..\\' || {0} || '\\x.csproj\" />', 'internal interface I' || {0}", (("1", "'namespace'", "'A.' || {0}"), ("2", "'class'", "{0}"), ("4", "'interface'", "'I' || {0}")), "'../' || {0} || '/x.csproj'", None),
+    "go": ("go", "'package x', 'import (', '  \"fmt\"', '  \"a.org/' || {0} || '\"', ')', 'type ' || {0} || ' struct {{', 'func (x *T) Do_' || {0} || '(a int) {{'", (("6", "'type'", "{0}"), ("7", "'func'", "'Do_' || {0}")), "'a.org/' || {0}", "'fmt'"),
+    "gdscript": ("gd", "'extends \"res://base.gd\"', 'class_name C_' || {0}, 'signal s_' || {0}, '@export var v = preload(\"res://' || {0} || '.gd\")', 'func f_' || {0} || '(): pass'", (("2", "'class_name'", "'C_' || {0}"), ("3", "'signal'", "'s_' || {0}"), ("4", "'var'", "'v'"), ("5", "'func'", "'f_' || {0}")), "'res://base.gd'", "'res://' || {0} || '.gd'"),
+}
+
+
+def _sources_of(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    ext, lines = LANGUAGES[language][:2]
+    lines = lines.format(NAME_OF).replace("\\", "\\\\")
+    return table(spark, sf_dir, "part").selectExpr(f"concat('m/f', CAST(p_partkey AS STRING), '.{ext}') AS path", f"concat_ws('\n', {lines}) AS text")
+
+
+def _languages_sql(symbols: bool) -> str:
+    parts = []
+    for language, (ext, _, declared, first, second) in LANGUAGES.items():
+        file = f"'{language}' AS language, 'm/f' || p_partkey || '.{ext}' AS file"
+        if symbols:
+            parts += [f"SELECT {file}, {line} AS line, {kind} AS kind, {name} AS name FROM part".format(NAME_OF) for line, kind, name in declared]
+        else:
+            listed = f"list_sort([{first}{', ' + second if second else ''}])".format(NAME_OF)
+            parts.append(f"SELECT {file}, array_to_string({listed}, '|') AS targets FROM part")
+    return " UNION ALL ".join(parts)
+
+
+def _every_language(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    out = None
+    for language in LANGUAGES:
+        one = made(_sources_of(spark, sf_dir, language), language).select(F.lit(language).alias("language"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_languages_sql(True))
+def language_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_language(spark, sf_dir, code.symbols)
+
+
+@query(_languages_sql(False))
+def language_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_language(spark, sf_dir, code.dependencies).withColumn("targets", F.array_join("targets", "|"))
+
+
+@query("SELECT 'm/f' || p_partkey || '.go' AS file, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS symbol_count FROM part")
+def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.when(F.substring_index(F.regexp_extract("path", r"(\d+)\.go$", 1), ".", 1).cast("long") % 2 == 0, F.col("text")).otherwise("package x")
+    f = _sources_of(spark, sf_dir, "go").withColumn("text", plain)
+    return code.symbol_counts(code.symbols(f, "go"), f)
+
+
+@query(
+    F_SQL
+    + """, p AS (SELECT id, 'src/app' || id % 50 || '/ui' AS dir, CASE id % 5 WHEN 0 THEN '..\\lib' || id || '\\x.csproj' WHEN 1 THEN '../../lib' || id || '/./x.csproj' WHEN 2 THEN 'sub/x.csproj' WHEN 3 THEN '..\\..\\..\\..\\out\\x.csproj' ELSE './y.csproj' END AS ref FROM f)
+SELECT id, CASE id % 5 WHEN 0 THEN 'src/app' || id % 50 || '/lib' || id || '/x.csproj' WHEN 1 THEN 'src/lib' || id || '/x.csproj' WHEN 2 THEN dir || '/sub/x.csproj' WHEN 3 THEN '../../../../out/x.csproj' ELSE dir || '/y.csproj' END AS target FROM p"""
+)
+def project_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    text_of = F.when(i % 5 == 0, F.concat(F.lit("..\\lib"), i, F.lit("\\x.csproj"))).when(i % 5 == 1, F.concat(F.lit("../../lib"), i, F.lit("/./x.csproj"))).when(i % 5 == 2, "sub/x.csproj").when(i % 5 == 3, "..\\..\\..\\..\\out\\x.csproj").otherwise("./y.csproj")
+    rows = files(spark, sf_dir).select("id", F.concat(F.lit("src/app"), i % 50, F.lit("/ui")).alias("dir"), text_of.alias("ref"))
+    return rows.select("id", graph.normalized_reference(F.col("dir"), F.col("ref")).alias("target"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {NODES}, ch AS (SELECT 'src/' || n_name AS path FROM nation WHERE n_nationkey IN (3, 7) UNION SELECT 'nowhere'), m AS (SELECT ch.path, n.id FROM ch LEFT JOIN nodes n ON n.kind = 'file' AND n.path = ch.path),
+o AS (SELECT m.path, m.id, e.src AS owner FROM m LEFT JOIN edges e ON e.dst = m.id AND e.kind = 'contains_file'),
+walk AS (SELECT owner AS id, 0 AS distance FROM o WHERE owner IS NOT NULL UNION SELECT src, distance + 1 FROM walk JOIN edges ON dst = id AND kind = 'depends_on' WHERE distance < 20), w AS (SELECT id, min(distance) AS distance FROM walk GROUP BY id)
+SELECT (SELECT count(*) FROM ch) AS changed_count, (SELECT count(*) FROM m WHERE id IS NULL) AS unmatched_count, (SELECT count(*) FROM o WHERE id IS NOT NULL AND owner IS NULL) AS ownerless_count, (SELECT count(*) FROM o WHERE owner IS NOT NULL) AS owned_count,
+  count(*) AS affected_total, count(*) FILTER (distance = 0) AS seed_count, (SELECT count(*) FROM edges WHERE kind = 'depends_on') AS dependency_edge_count, count(*) > 5 AS affected_truncated,
+  'changed_files_are_not_in_the_index' || CASE WHEN count(*) > 5 THEN ',output_was_truncated' ELSE '' END AS uncertainty_reasons, 'broader_or_full' AS recommended_scope FROM w
+"""
+)
+def affected_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph_tables(spark, sf_dir)
+    changed = table(spark, sf_dir, "nation").where("n_nationkey IN (3, 7)").select(F.concat(F.lit("src/"), "n_name").alias("path")).unionByName(spark.createDataFrame([("nowhere",)], "path string"))
+    return graph.affected(nodes, edges, changed, 5).summary.withColumn("uncertainty_reasons", F.array_join("uncertainty_reasons", ","))
+
+
+@query(
+    f"""
+WITH RECURSIVE {NODES}, steps AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT 'r1' AS id, 0 AS distance UNION SELECT dst, distance + 1 FROM walk JOIN steps ON src = id WHERE distance < 2)
+SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM walk) AND dst IN (SELECT id FROM walk)
+"""
+)
+def graph_expand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph_tables(spark, sf_dir)
+    return graph.expand(nodes, edges, "r1", depth=2, max_nodes=None).edges
+
+
+@query("SELECT * FROM (VALUES ('n1', 'ok', 'n1'), ('EUROPE', 'ok', 'r3'), ('zzz', 'not_found', ''), ('file1', 'ok', 'file1'), ('file', 'ambiguous', 'file0,file1,file10')) AS v(asked, status, ids)")
+def graph_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = graph_tables(spark, sf_dir)[0]
+    found = {t: graph.resolve(nodes, t, 3) for t in ("n1", "EUROPE", "zzz", "file1", "file")}
+    return spark.createDataFrame([(t, status, ",".join(ids)) for t, (status, ids) in found.items()], "asked string, status string, ids string")
+
+
+INDEX_FILES = F_SQL + ", d AS (SELECT DISTINCT path FROM f)"
+MODULE = r"CASE WHEN ends_with(lower(path), '.py') THEN replace(trim(regexp_replace(regexp_replace(path, '(?i)\.py$', ''), '/__init__$', ''), '/'), '/', '.') END"
+PACKAGE = "CASE WHEN ends_with(lower(path), '.go') THEN CASE WHEN contains(path, '/') THEN 'example.org/m/' || trim(regexp_extract(path, '^(.*)/[^/]*$', 1), '/') ELSE 'example.org/m' END END"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = files(spark, sf_dir).select("path").distinct()
+    nodes, edges = adapters.index_nodes(f)
+    more_nodes, more_edges = adapters.go_packages(f, "example.org/m/")
+    return graph.merge_nodes(nodes.unionByName(more_nodes)), graph.merge_edges(edges.unionByName(more_edges))
+
+
+@query(
+    INDEX_FILES
+    + f""" SELECT 'file:' || path AS id, 'file' AS kind, {NAME} AS name, path FROM d UNION SELECT 'module:' || m, 'module', m, NULL FROM (SELECT {MODULE} AS m FROM d) WHERE m IS NOT NULL UNION SELECT 'module:' || p, 'module', p, NULL FROM (SELECT {PACKAGE} AS p FROM d) WHERE p IS NOT NULL"""
+)
+def index_build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)[0].select("id", "kind", F.coalesce("name", F.lit("")).alias("name"), "path")
+
+
+@query(
+    INDEX_FILES
+    + f""" SELECT 'module:' || m AS src, 'file:' || path AS dst, 'contains_file' AS kind FROM (SELECT path, {MODULE} AS m FROM d) WHERE m IS NOT NULL UNION SELECT 'module:' || p, 'file:' || path, 'contains_file' FROM (SELECT path, {PACKAGE} AS p FROM d) WHERE p IS NOT NULL"""
+)
+def index_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)[1]
+
+
+@query("SELECT count(*) AS nodes, 'structure-index/1' AS format, true AS input_truncated, 3 AS input_errors FROM (SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region)")
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index as it is read back, with what the analysers told."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nodes = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id")).unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
+    told = spark.createDataFrame([('{"tool": "a", "warnings": ["x", "x"], "truncated": false}',), ('{"tool": "b", "errors": ["y"], "scan_truncated": true}',), ("{",)], "json string")
+    state = adapters.input_state(told).select("input_truncated", F.size("input_errors").alias("input_errors")).first()
+    path = scratch_path(spark, "index")
+    index_store.write_index(nodes, nation.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit("depends_on").alias("kind")), path, state["input_truncated"], state["input_errors"])
+    back, _, meta = index_store.read_index(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("nodes")).select("nodes", F.lit(meta["format"]).alias("format"), F.lit(meta["input_truncated"]).alias("input_truncated"), F.lit(meta["input_errors"]).alias("input_errors"))
+
+
+@query("SELECT 't' || n_nationkey % 3 || ': w' || n_regionkey AS told FROM nation GROUP BY ALL")
+def input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.to_json(F.struct(F.concat(F.lit("t"), F.col("n_nationkey") % 3).alias("tool"), F.array(F.concat(F.lit("w"), "n_regionkey")).alias("warnings")))
+    return adapters.input_state(table(spark, sf_dir, "nation").select(payload.alias("json"))).select(F.explode("input_errors").alias("told"))
+
+
+CTAGS = "to_json(named_struct('_type', CASE WHEN p_partkey % 7 = 0 THEN 'ptag' ELSE 'tag' END, 'name', CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat('x', CAST(p_partkey AS STRING)) END, 'path', concat('m/', p_brand, '.c'), 'line', p_size, 'kind', 'member', 'scope', CASE WHEN p_partkey % 2 = 0 THEN concat('x', CAST(p_partkey - 1 AS STRING)) END)) AS json"
+
+
+@query(
+    "WITH t AS (SELECT p_partkey AS i, 'm/' || p_brand || '.c' AS file, 'x' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'x' || (p_partkey - 1) END AS scope, p_size FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)"
+    " SELECT file, name, file || '::' || CASE WHEN scope IS NULL THEN '' ELSE scope || '::' END || name AS qualified_name, 'member' AS kind, p_size AS line FROM t"
+)
+def ctags_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.ctags_symbols(table(spark, sf_dir, "part").selectExpr(CTAGS))[0].select("file", "name", "qualified_name", "kind", "line")
+
+
+@query(
+    "WITH t AS (SELECT p_partkey AS i, 'm/' || p_brand || '.c' AS file, 'x' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 'x' || (p_partkey - 1) END AS scope FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0)"
+    " SELECT coalesce(o.file || '::' || o.name, t.file) AS src, t.file || '::' || CASE WHEN t.scope IS NULL THEN '' ELSE t.scope || '::' END || t.name AS dst, 'owns' AS kind FROM t LEFT JOIN t o ON o.file = t.file AND o.name = t.scope AND o.scope IS NULL"
+)
+def ctags_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.ctags_symbols(table(spark, sf_dir, "part").selectExpr(CTAGS))[1]
+
+
+OUTLINE = (
+    "to_json(array(named_struct('path', concat('m/f', CAST(p_partkey AS STRING), '.py'), 'language', 'python', 'items', array(named_struct('name', 'A', 'symbolType', 'class', 'range', named_struct('start', named_struct('line', 3)), "
+    "'members', array(named_struct('name', replace(p_name, ' ', '_'), 'symbolType', 'method', 'range', named_struct('start', named_struct('line', p_size))))))))) AS json"
+)
+
+
+@query(
+    "SELECT 'm/f' || p_partkey || '.py' AS file, 'A' AS name, 'm/f' || p_partkey || '.py::A' AS qualified_name, 'class' AS kind, 4 AS line, 'python' AS language, 'm/f' || p_partkey || '.py' AS owner FROM part"
+    " UNION ALL SELECT 'm/f' || p_partkey || '.py', replace(p_name, ' ', '_'), 'm/f' || p_partkey || '.py::A::' || replace(p_name, ' ', '_'), 'method', p_size + 1, 'python', 'm/f' || p_partkey || '.py::A' FROM part"
+)
+def outline_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.outline_symbols(table(spark, sf_dir, "part").selectExpr(OUTLINE))
+
+
+@query(
+    "SELECT '# Context' || chr(10) || chr(10) || '- goal: g' || chr(10) || chr(10) || '## Changed' || chr(10) || (SELECT string_agg('- ' || n_name, chr(10) ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 4)) || chr(10) || '- and more' || chr(10) || chr(10) || '## Status' || chr(10) || '- unavailable' AS report"
+)
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.context_pack({"goal": "g"}, table(spark, sf_dir, "nation").select(F.col("n_name").alias("line")), None, limit=4)
+
+
+@query(
+    "SELECT CASE n_nationkey % 4 WHEN 0 THEN 'extra' WHEN 1 THEN 'missing' WHEN 2 THEN 'same' ELSE 'drifted' END AS state, count(*) AS files, sha256('a=1' || chr(10) || 'b=') AS variables FROM nation GROUP BY 1"
+)
+def template_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("path"))
+    rendered = n.where("i % 4 <> 0").select("path", F.col("path").alias("text"))
+    there = n.where("i % 4 <> 1").select("path", F.when(F.col("i") % 4 == 3, "other").otherwise(F.col("path")).alias("text"))
+    variables = changes.variables_hash(F.create_map(F.lit("b"), F.lit(""), F.lit("a"), F.lit("1")))
+    return changes.template_states(rendered, there).groupBy("state").agg(F.count(F.lit(1)).alias("files")).withColumn("variables", variables)
+
+
+@query("SELECT r_regionkey AS id, 'rule' || r_regionkey AS rule, r_regionkey % 2 = 0 AS hit FROM region")
+def rules_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that are read from a table of JSON, and whether a file of their own path has a finding."""
+    region = table(spark, sf_dir, "region")
+    name = F.concat(F.lit("rule"), "r_regionkey")
+    made = region.select(F.to_json(F.struct(name.alias("id"), F.array(F.concat(F.lit("d"), "r_regionkey", F.lit("/**"))).alias("paths"), F.lit("bad [0-9]+").alias("forbid"))).alias("json"))
+    there = region.select(F.concat(F.lit("d"), "r_regionkey", F.lit("/x")).alias("path"), F.when(F.col("r_regionkey") % 2 == 0, "a bad 12").otherwise("good").alias("text"))
+    found = policy.policy_check(there, policy.rules_from_json(made)).select("rule_id").withColumn("hit", F.lit(True))
+    return region.select(F.col("r_regionkey").alias("id"), name.alias("rule")).join(found, F.col("rule") == F.col("rule_id"), "left").select("id", "rule", F.coalesce("hit", F.lit(False)).alias("hit"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCIP = (
@@ -15,6 +15,7 @@ SCIP = (
 )
 #: Bit of a role: the occurrence defines the symbol.
 DEFINES = 1
+# Keys of a metric node that name no metric below it.
 METADATA = ("value", "levelOfConcern", "unit", "prefixes", "description", "objectDescription", "objectName", "referenceValue")
 
 
@@ -109,10 +110,19 @@ def flat_metrics(documents: DataFrame, key: str, json_col: str = "json") -> Data
 
 
 def concerns(metrics: DataFrame, least: float = 1.0) -> DataFrame:
-    """Metrics of at least that level of concern; order by level down, then metric."""
+    """Metrics of at least that level of concern."""
     return metrics.where(F.col("level") >= least)
 
 
+def concern_order() -> list[Column]:
+    return [F.desc("level"), F.col("metric")]
+
+
+def failing_order() -> list[Column]:
+    """Of syntax_rows: what isn't ok first, then by path."""
+    return [F.col("ok"), F.col("path")]
+
+
 SYNTAX = "path string, file string, filename string, error_count int, errors int, missing_count int, missing int, successful boolean, success boolean"
 
 
@@ -143,3 +153,33 @@ def index_nodes(files: DataFrame, symbols: DataFrame | None = None, edges: DataF
     if edges is not None:
         links = links.unionByName(edges.select("src", "dst", "kind"))
     return nodes, links
+
+
+def go_packages(files: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges that the payload of a Go module adds: the package of every known Go file, and that it contains it."""
+    from quillmere.functions.columns import go_package
+
+    owned = files.select("path", go_package(F.lit(module), F.col("path")).alias("package")).where("package is not null").distinct()
+    nil = lambda kind: F.lit(None).cast(kind)
+    nodes = owned.select("package").distinct().select(
+        F.concat(F.lit("module:"), "package").alias("id"), F.lit("module").alias("kind"), F.col("package").alias("name"), F.col("package").alias("qualified_name"), nil("string").alias("path"),
+        nil("string").alias("symbol_kind"), nil("int").alias("line"), nil("int").alias("end_line"), F.lit(2).alias("source_ord"),
+    )
+    return nodes, owned.select(F.concat(F.lit("module:"), "package").alias("src"), F.concat(F.lit("file:"), "path").alias("dst"), F.lit("contains_file").alias("kind"))
+
+
+PAYLOAD = "tool string, warnings array<string>, errors array<string>, truncated boolean, scan_truncated boolean, files_truncated boolean, output_truncated boolean"
+
+
+def input_state(payloads: DataFrame, json_col: str = "json") -> DataFrame:
+    """One row of what the payloads of all analysers tell: input_errors (array, sorted, each once with its tool before it)
+    and input_truncated, if any of their flags is set. A payload that isn't JSON is an error of its own."""
+    parsed = payloads.select(F.from_json(json_col, PAYLOAD, {"mode": "PERMISSIVE"}).alias("p"), F.try_parse_json(json_col).isNull().alias("broken")).select("p.*", "broken")
+    none = F.expr("cast(array() AS array<string>)")
+    told = F.transform(F.concat(F.coalesce("warnings", none), F.coalesce("errors", none)), lambda w: F.concat_ws(": ", F.coalesce("tool", F.lit("unknown")), w))
+    told = F.when(F.col("broken"), F.array(F.lit("unknown: not JSON"))).otherwise(told)
+    flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("truncated", "scan_truncated", "files_truncated", "output_truncated")]
+    cut = flags[0] | flags[1] | flags[2] | flags[3]
+    rows = parsed.select(told.alias("told"), cut.alias("cut"))
+    errors = rows.select(F.explode("told").alias("told")).distinct().agg(F.sort_array(F.collect_list("told")).alias("input_errors"))
+    return errors.crossJoin(rows.agg(F.coalesce(F.bool_or("cut"), F.lit(False)).alias("input_truncated")))  # one row each

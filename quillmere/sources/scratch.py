@@ -6,13 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder in spark.checkpoint.dir; a local folder only where none is set (tests). What is below
-    <folder>/quillmere can be deleted once a result has been read."""
+    """A new path below the folder in spark.checkpoint.dir. What is below <folder>/quillmere can be deleted once a result
+    has been read. Where none is set, a local session takes a temporary folder, and a cluster is an error: its executors
+    share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quillmere/{name}-{uuid.uuid4().hex}"
@@ -23,3 +27,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers that are broadcast at most: some tens of MB.
+FEW_ROWS = 300_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df, a written table of a few numbers a row, to be broadcast if a count shows that it is small; else as it is, so a
+    join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df

@@ -12,7 +12,7 @@ from quillmere.functions import columns as C
 from quillmere.functions.globs import mapping_glob, path_glob, rule_glob
 from quillmere.operators import changes, code, graph, inventory, policy, text
 from quillmere.operators.bounded import bounded
-from quillmere.sources import adapters, index_store, treewalk
+from quillmere.sources import adapters, index_store, scratch, treewalk
 from quillmere.streaming import streams
 
 
@@ -327,3 +327,57 @@ def test_routing_narrows_only_when_a_task_tells_something(spark):
     assert {"graph_expand", "policy_index", "change_router"} <= names and not names & {"validation_plan", "commit_delta"}
     assert routing.narrow(every, {"goal": False}).count() == len(names)
     assert {r["operator"] for r in routing.narrow(every, {"goal": True, "task_file": True}).collect()} == {"search", "glob_filter", "sections", "heading_index", "stop_check"}
+
+
+def test_many_chained_rings_are_all_found(spark):
+    rings = [[f"n{4 * r + k:05}" for k in range(4)] for r in range(150)]
+    edges = [(ring[k], ring[(k + 1) % 4]) for ring in rings for k in range(4)] + [(a[0], b[0]) for a, b in zip(rings, rings[1:])] + [("tail", rings[0][0]), ("self", "self")]
+    got = {r["id"]: (r["component"], r["size"]) for r in graph.cycles(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {**{n: (ring[0], 4) for ring in rings for n in ring}, "self": ("self", 1)}
+
+
+def test_closures_of_many_levels(spark):
+    edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(20)], "src string, dst string")
+    got = {r["id"]: r["distance"] for r in graph.closure(edges, spark.createDataFrame([("000",)], "id string")).collect()}
+    assert got == {f"{i:03}": i for i in range(21)}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.scratch_path(Session(), "x")
+
+
+# Files and characters that a fixture of 15 files has, that three tasks are left with, and percents saved.
+BASE, LEFT = (15, 4826), ((3, 1328, 72.5), (3, 1032, 78.6), (3, 1183, 75.5))
+
+
+def test_reductions_are_those_of_the_published_benchmark(spark):
+    rows = spark.createDataFrame([(n, c, p) for n, c, p in LEFT], "files long, chars long, percent double")
+    got = rows.select(inventory.reduction(F.lit(BASE[0]), F.col("files")).alias("f"), inventory.reduction(F.lit(BASE[1]), F.col("chars")).alias("c"), "percent").collect()
+    assert all(r["f"] == 80.0 and r["c"] == r["percent"] for r in got)
+    whole = rows.agg(F.sum("files").alias("files"), F.sum("chars").alias("chars")).select(inventory.reduction(F.lit(3 * BASE[0]), F.col("files")), inventory.reduction(F.lit(3 * BASE[1]), F.col("chars")), "chars").first()
+    assert tuple(whole) == (80.0, 75.5, 3543)
+
+
+def test_evidence_that_is_required(spark):
+    selected = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x")], "task string, path string")
+    required = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "z"), ("c", "x"), ("c", "x")], "task string, path string")
+    got = {r["task"]: (r["required_count"], r["missing_count"], r["complete"]) for r in changes.evidence_complete(selected, required).collect()}
+    assert got == {"a": (1, 0, True), "b": (2, 1, False), "c": (1, 1, False)}
+
+
+def test_results_by_language(spark, tmp_path):
+    index_store.write_by_language(spark.createDataFrame([("go", 1), ("python", 2)], "language string, n int"), f"{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["language=go", "language=python"]
+    assert index_store.as_json(spark.createDataFrame([(1, "x")], "a int, b string")).first()["json"] == '{"a":1,"b":"x"}'
+
+
+def test_duplicates_of_no_and_of_odd_rows(spark):
+    line = "the same long line of more than fifty characters, twice or more"
+    found = text.duplicates(docs(spark, line, None, f"x\n- {line.upper()}\n", line, f"{line} but other", ids=[4, 5, 2, 4, 9])).collect()
+    assert [(r["occurrence_count"], r["first_key"], r["first_line"], r["repeated_text"]) for r in found] == [(3, 2, 2, f"- {line.upper()}")]
+    assert text.duplicates(docs(spark, line, line, ids=[1, 1])).count() == 0
