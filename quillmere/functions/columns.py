@@ -34,21 +34,20 @@ def duplicate_key(line: Column) -> Column:
     return trimmed(F.translate(F.lower(F.regexp_replace(trimmed(line), rf"{SPACE}+", " ")), "`*_>#-", ""))
 
 
-def term_pattern(term: str) -> str | None:
-    """Of a term with ASCII word bounds, without look-around; None of a term that has other characters."""
-    if not term.isascii():
-        return None
-    plain = "".join(f"\\{c}" if c in r".^$*+?{}[]|()\/" else c for c in term)
-    return f"(^|[^a-z0-9_]){plain}([^a-z0-9_]|$)"
-
-
-def term_present(lowered: Column, term: str) -> Column:
-    pattern = term_pattern(term)
-    return lowered.rlike(pattern) if pattern else lowered.contains(term)
+def literally(term: str) -> str:
+    """A pattern for the term itself."""
+    return "".join(f"\\{c}" if c in r".^$*+?{}[]|()\/" else c for c in term)
 
 
 def any_term(lowered: Column, terms: Iterable[str]) -> Column:
-    return any_of(term_present(lowered, t) for t in terms)
+    """Whether one of the terms is there: with ASCII word bounds (spelled out, without look-around) if it is of ASCII
+    characters, all of these by one pattern; else anywhere."""
+    terms = list(terms)
+    bounded = [literally(t) for t in terms if t.isascii()]
+    found = [lowered.contains(t) for t in terms if not t.isascii()]
+    if bounded:
+        found.insert(0, lowered.rlike(f"(^|[^a-z0-9_])({'|'.join(bounded)})([^a-z0-9_]|$)"))
+    return any_of(found)
 
 
 def file_name(path: Column) -> Column:
