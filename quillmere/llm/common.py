@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.sources.scratch import scratch_path as scratch
-from quillmere.sources.scratch import written
+from quillmere.sources.scratch import small_or_shuffled, written
+
+__all__ = ["Filter", "Kept", "components", "held_out", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written"]
 
 #: Splits a digest that a third of all rows may share over so many tasks.
 SALTS = 16
@@ -79,16 +81,6 @@ class Kept(dict):
         return made
 
 
-#: Rows of a few numbers that are broadcast at most: some tens of MB.
-FEW_ROWS = 300_000
-
-
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """df, a written table of a few numbers a row, to be broadcast if a count shows that it is small; else as it is, so a
-    join shuffles both sides."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
-
-
 #: Bits of one row of a filter (what Spark's bitmap functions use), bits for each value, and rows at most: 16 MB.
 ROW_BITS, BITS_EACH, FILTER_ROWS = 32_768, 16, 4096
 
