@@ -58,3 +58,38 @@ def shingle_set(text: str, n: int) -> np.ndarray:
 
 def fingerprint(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+#: Of ODD, and of its inverse; as long as the longest text so far.
+_POWERS: list[np.ndarray] = [powers(ODD, 1 << 12), powers(np.uint64(pow(int(ODD), -1, 1 << 64)), 1 << 12)]
+
+
+def window_hashes(w: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """A number for the ``size`` words from each place on: sums of numbers times powers, moved back to the power zero."""
+    if len(w) > len(_POWERS[0]):
+        _POWERS[:] = [powers(p[1], 2 * len(w)) for p in _POWERS]
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * _POWERS[0][: len(w)], out=sums[1:])
+    return mixed((sums[at + size] - sums[at]) * _POWERS[1][at] + np.uint64(size))
+
+
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick of every ``width`` in a row, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        values, size = pick(values[:-size], values[size:]), 2 * size
+    return pick(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
+
+
+def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least value of every ``width`` in a row, all of equal ones."""
+    least = sliding(values, width, np.minimum)
+    reach = np.zeros(len(least) + 2 * (width - 1), values.dtype)
+    reach[width - 1 : width - 1 + len(least)] = least
+    return np.flatnonzero(sliding(reach, width, np.maximum) == values)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm import common
-from quillmere.llm.shingles import mixed
+from quillmere.llm.shingles import least_of_windows, mixed, powers
 
 LENGTH, K = 100, 32
 #: Never a byte of UTF-8: stands beyond a text's ends.
@@ -45,12 +45,6 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 _POWERS: list[np.ndarray] = [powers(BASE, 1 << 14), powers(INVERSE, 1 << 14)]
 
 
@@ -64,23 +58,12 @@ def kgram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed((sums[K:] - sums[:-K]) * _POWERS[1][: n - K + 1])
 
 
-def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """pick of every ``width`` in a row, by doubling."""
-    size = 1
-    while 2 * size <= width:
-        values, size = pick(values[:-size], values[size:]), 2 * size
-    return pick(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
-
-
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the k-grams that are the least of some window; all of equal ones."""
     if len(data) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, width = kgram_hashes(data), LENGTH - K + 1
-    least = sliding(h, width, np.minimum)
-    reach = np.zeros(len(least) + 2 * (width - 1), np.uint64)
-    reach[width - 1 : width - 1 + len(least)] = least
-    at = np.flatnonzero(sliding(reach, width, np.maximum) == h)
+    h = kgram_hashes(data)
+    at = least_of_windows(h, LENGTH - K + 1)
     return at, h[at]
 
 
