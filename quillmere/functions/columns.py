@@ -29,6 +29,11 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\x0b\f\r\u00a0\u3000"))
 
 
+def cut_bytes(text: Column, size: int) -> Column:
+    """The first bytes of a text; a character that they part is shown as U+FFFD."""
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.make_valid_utf8(F.substring(text.cast("binary"), 1, size).cast("string")))
+
+
 def duplicate_key(line: Column) -> Column:
     """Trimmed, white space collapsed, lower case, then without six marks, and trimmed once more."""
     return trimmed(F.translate(F.lower(F.regexp_replace(trimmed(line), rf"{SPACE}+", " ")), "`*_>#-", ""))

@@ -67,11 +67,21 @@ def search(docs: DataFrame, matches: Matches, key: str = "doc_id", text: str = "
     return _rows(docs, key, text).select("key", F.inline(shown))
 
 
-def compact_log(docs: DataFrame, key: str = "doc_id", text: str = "text", max_findings: int = 80, tail: int = 20, width: int = 240) -> DataFrame:
-    """key, line_count, finding_count, findings and tail (both array<struct<line, text>>), findings_truncated."""
+def excerpts(docs: DataFrame, matches: Matches, key: str = "doc_id", text: str = "text", before: int = 3, after: int = 5, per_document: int | None = 20) -> DataFrame:
+    """key, line, excerpt: each match with its surroundings as one text, below a line that names its place; line numbers
+    take six places."""
+    found = search(docs, matches, key, text, before, after, per_document)
+    first = F.col("line") - F.size("before")
+    shown = F.transform(F.concat("before", F.array("text"), "after"), lambda x, i: F.format_string("%6d: %s", first + i, x))
+    return found.select("key", "line", F.concat(F.lit("--- "), F.col("key").cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit(" ---\n"), F.array_join(shown, "\n")).alias("excerpt"))
+
+
+def compact_log(docs: DataFrame, key: str = "doc_id", text: str = "text", max_findings: int = 80, tail: int = 20, width: int = 240, in_bytes: bool = False) -> DataFrame:
+    """key, line_count, finding_count, findings and tail (both array<struct<line, text>>), findings_truncated; lines are
+    cut to a width in characters, or in bytes."""
     found = F.col("found")
     rows = _rows(docs, key, text).withColumn("found", _indexed(F.col("lines"), log_signal))
-    cut = lambda xs: F.transform(xs, lambda m: F.struct(m["line"].alias("line"), F.substring(m["text"], 1, width).alias("text")))
+    cut = lambda xs: F.transform(xs, lambda m: F.struct(m["line"].alias("line"), (C.cut_bytes(m["text"], width) if in_bytes else F.substring(m["text"], 1, width)).alias("text")))
     n = F.size("lines")
     first = F.greatest(F.lit(1), n - tail + 1)
     last = F.transform(F.slice("lines", first, F.lit(tail)), lambda x, i: F.struct((first + i).alias("line"), x.alias("text")))

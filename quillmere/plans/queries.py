@@ -119,6 +119,18 @@ def slice_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("before", F.array_join("before", "\n")).withColumn("after", F.array_join("after", "\n"))
 
 
+@query(
+    f"""
+WITH {ROWS}, w AS (
+  SELECT key, line, text, string_agg(lpad(CAST(line AS VARCHAR), 6, ' ') || ': ' || text, chr(10)) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN 3 PRECEDING AND 5 FOLLOWING) AS shown FROM lines
+), m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line) AS nth FROM w WHERE contains(text, 'the'))
+SELECT key, line, '--- ' || key || ':' || line || ' ---' || chr(10) || shown AS excerpt FROM m WHERE nth <= 20
+"""
+)
+def numbered_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.excerpts(table(spark, sf_dir, "documents"), text.literal("the"))
+
+
 SIGNAL = f"regexp_matches(text, '(?i)({'|'.join(catalogs.LOG_SIGNALS)}|ng([^A-Za-z0-9_]|$))')"
 
 

@@ -1,13 +1,14 @@
 """A file tree as a Spark data source.
 
 Spark's own file sources hide names that begin with a dot or an underscore and enter every directory; this one keeps
-the former and prunes ignored directories. One partition is planned for each entry below the root, so top-level
-directories are walked in parallel, by whichever executor sees the tree; errors are rows with a status.
+the former and prunes ignored directories. The upper levels are listed when the scan is planned, until there are enough
+directories to walk in parallel, by whichever executor sees the tree; errors are rows with a status.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,16 @@ from quillmere.functions.catalogs import IGNORED_DIRS
 SCHEMA = "path string, name string, kind string, depth int, size long, status string, message string"
 
 
+#: Directories that are walked in parallel, as far as the tree has them; entries that planning lists at most for that; and
+#: listed entries of a partition.
+WALKS, PLANNED, LISTED = 128, 20_000, 1000
+
+
 class Below(InputPartition):
-    def __init__(self, relative: str, is_dir: bool) -> None:
-        self.relative, self.is_dir = relative, is_dir
+    """Entries (relative path, whether a directory) that are told themselves, and directories that are walked."""
+
+    def __init__(self, listed: list[tuple[str, bool]], walked: list[str]) -> None:
+        self.listed, self.walked = listed, walked
 
 
 class TreeReader(DataSourceReader):
@@ -28,34 +36,56 @@ class TreeReader(DataSourceReader):
         self.root = options.get("path") or options["root"]
         self.ignored = {n.lower() for n in (options["ignored"].split(",") if options.get("ignored") else IGNORED_DIRS)}
 
+    def children(self, relative: str) -> list[tuple[str, bool]]:
+        with os.scandir(os.path.join(self.root, relative)) as entries:
+            found = sorted((e.name, e.is_dir(follow_symlinks=False)) for e in entries)
+        return [(f"{relative}/{n}" if relative else n, d) for n, d in found if not (d and n.lower() in self.ignored)]
+
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
-        with os.scandir(self.root) as entries:
-            found = sorted((e.name, e.is_dir(follow_symlinks=False)) for e in entries)
-        return [Below(n, d) for n, d in found if not (d and n.lower() in self.ignored)] or [Below("", False)]
+        listed: list[tuple[str, bool]] = []
+        walked: deque[str] = deque()
+        opened: deque[str] = deque([""])
+        while opened and len(opened) + len(walked) < WALKS and len(listed) < PLANNED:
+            directory = opened.popleft()
+            try:
+                below = self.children(directory)
+            except OSError:
+                walked.append(directory)  # the walk tells why
+                continue
+            if directory:
+                listed.append((directory, True))
+            listed += [c for c in below if not c[1]]
+            opened += [name for name, is_dir in below if is_dir]
+        parts = [Below(listed[i : i + LISTED], []) for i in range(0, len(listed), LISTED)] + [Below([], [d]) for d in (*walked, *opened)]
+        return parts or [Below([], [])]
 
     def read(self, partition: Below) -> Iterator[tuple]:
-        if not partition.relative:
-            return
-        stack = [(partition.relative, partition.is_dir)]
+        for relative, is_dir in partition.listed:
+            yield self.row(relative, is_dir)
+        stack = [(d, True) for d in partition.walked]
         while stack:
             relative, is_dir = stack.pop()
-            full, depth, name = os.path.join(self.root, relative), relative.count("/") + 1, os.path.basename(relative)
             if not is_dir:
-                try:
-                    yield relative, name, "file", depth, os.stat(full).st_size, "ok", None
-                except OSError as e:
-                    yield relative, name, "file", depth, None, "stat_failed", str(e)
+                yield self.row(relative, False)
                 continue
             try:
-                with os.scandir(full) as entries:
-                    below = sorted(((e.name, e.is_dir(follow_symlinks=False)) for e in entries), reverse=True)
+                below = self.children(relative)
             except OSError as e:
-                yield relative, name, "directory", depth, None, "walk_failed", str(e)
+                yield relative, os.path.basename(relative), "directory", relative.count("/") + 1, None, "walk_failed", str(e)
                 continue
-            yield relative, name, "directory", depth, None, "ok", None
-            stack += [(f"{relative}/{n}", d) for n, d in below if not (d and n.lower() in self.ignored)]
+            yield self.row(relative, True)
+            stack += reversed(below)
+
+    def row(self, relative: str, is_dir: bool) -> tuple:
+        depth, name = relative.count("/") + 1, os.path.basename(relative)
+        if is_dir:
+            return relative, name, "directory", depth, None, "ok", None
+        try:
+            return relative, name, "file", depth, os.stat(os.path.join(self.root, relative)).st_size, "ok", None
+        except OSError as e:
+            return relative, name, "file", depth, None, "stat_failed", str(e)
 
 
 class TreeSource(DataSource):

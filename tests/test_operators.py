@@ -381,3 +381,25 @@ def test_duplicates_of_no_and_of_odd_rows(spark):
     found = text.duplicates(docs(spark, line, None, f"x\n- {line.upper()}\n", line, f"{line} but other", ids=[4, 5, 2, 4, 9])).collect()
     assert [(r["occurrence_count"], r["first_key"], r["first_line"], r["repeated_text"]) for r in found] == [(3, 2, 2, f"- {line.upper()}")]
     assert text.duplicates(docs(spark, line, line, ids=[1, 1])).count() == 0
+
+
+def test_cuts_in_bytes(spark):
+    got = spark.range(1).select(C.cut_bytes(F.lit("aéé"), 3).alias("a"), C.cut_bytes(F.lit("aéé"), 4).alias("b"), C.cut_bytes(F.lit("aé"), 3).alias("c")).first()
+    assert tuple(got) == ("aé", "aé\ufffd", "aé")
+    log = text.compact_log(docs(spark, "error " + "é" * 10), width=9, in_bytes=True).first()
+    assert log["findings"][0]["text"] == "error é\ufffd"
+
+
+def test_a_deep_tree_is_walked_in_parts(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        for j in range(4):
+            (tmp_path / f"d{i}" / f"e{j}" / "f").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f" / "x.txt").write_text("x" * j)
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "top.txt").write_text("1")
+    for walks in (2, 10, 128):
+        monkeypatch.setattr(treewalk, "WALKS", walks)
+        parts = treewalk.TreeReader({"path": str(tmp_path)})
+        rows = [r for p in parts.partitions() for r in parts.read(p)]
+        assert len(rows) == len(set(rows)) == 3 + 12 + 12 + 12 + 1 and all(r[5] == "ok" for r in rows)
+        assert walks > 12 or len(parts.partitions()) >= walks
