@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmere.sources.scratch import scratch_path as scratch
 from quillmere.sources.scratch import small_or_shuffled, written
 
-__all__ = ["Filter", "Kept", "components", "held_out", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written"]
+__all__ = ["Filter", "Kept", "components", "held_out", "hot_list", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written"]
 
 #: Splits a digest that a third of all rows may share over so many tasks.
 SALTS = 16
@@ -119,14 +119,18 @@ HOT = 2000
 HOT_SAMPLE = 1_000_000
 
 
-def hot_values(rows: DataFrame, key: str, most: int = HOT) -> DataFrame:
+def hot_list(rows: DataFrame, key: str, most: int = HOT) -> list:
     """The values of key that more than one of ``most`` rows has, in a sample of the written table ``rows``; fewer than
     ``most``. Which these are decides only how rows are dealt, never what is found."""
     total = rows.count()
     sampled = rows.select(key) if total <= HOT_SAMPLE else rows.select(key).sample(HOT_SAMPLE / total, seed=1)
     least = max(100, min(total, HOT_SAMPLE) // most)
-    found = sampled.groupBy(key).count().where(F.col("count") > least).orderBy(F.desc("count")).limit(most).select(key).collect()
-    return rows.sparkSession.createDataFrame(found, rows.select(key).schema)
+    return [r[0] for r in sampled.groupBy(key).count().where(F.col("count") > least).orderBy(F.desc("count")).limit(most).select(key).collect()]
+
+
+def hot_values(rows: DataFrame, key: str, most: int = HOT) -> DataFrame:
+    """hot_list as a table."""
+    return rows.sparkSession.createDataFrame([(v,) for v in hot_list(rows, key, most)], rows.select(key).schema)
 
 
 def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
