@@ -191,39 +191,38 @@ def window_digests(row: bytes, key: int, pos: int, size: int) -> Iterator[tuple[
         yield hashlib.blake2b(around[start : start + LENGTH], digest_size=DIGEST).digest(), key, pos - left + start
 
 
-def sorted_runs(located: DataFrame, parts: int) -> DataFrame:
-    """Of rows (key, text, at, hot), where hot tells which places have a hot k-gram, and by batch: runs by part; covered
-    spans by key; and for each window at a hot place, the first one in the run, a row (digest, key, start)."""
+def sorted_runs(rows_: DataFrame, parts: int, hot: bool) -> DataFrame:
+    """Of rows (key, text, at), by batch: covered spans by key, and runs by part; or, if the k-grams of the places are hot
+    ones, instead of runs for each window around a place, the first one in the run, a row (digest, key, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, rows=RUN_DOCS, text=1, most_bytes=RUN_BYTES):
-            made, keys, pos, sizes, hot = [np.zeros((0, WIDTH), np.uint8)], [], [], [], []
-            for key, text, at, is_hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            made, keys, pos, sizes = [np.zeros((0, WIDTH), np.uint8)], [], [], []
+            for key, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data, at = as_bytes(text), np.array(at, np.int64)
                 made.append(suffixes(data, at))
                 keys.append(np.full(len(at), key, np.int64))
                 pos.append(at)
                 sizes.append(np.full(len(at), len(data), np.int64))
-                hot.append(np.array(is_hot, bool))
             rows = np.ascontiguousarray(np.concatenate(made))
             if not len(rows):
                 continue
-            keys, pos, sizes, hot = (np.concatenate(c) for c in (keys, pos, sizes, hot))
+            keys, pos, sizes = (np.concatenate(c) for c in (keys, pos, sizes))
             strings = rows.view(f"S{WIDTH}").ravel()
             order = np.lexsort((pos, keys))
             order = order[np.argsort(strings[order], kind="stable")]
-            rows, keys, pos, sizes, hot = (c[order] for c in (rows, keys, pos, sizes, hot))
+            rows, keys, pos, sizes = (c[order] for c in (rows, keys, pos, sizes))
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
             again = ~new
             starts, ends = np.maximum(pos - BEFORE, 0)[again], np.minimum(pos + LENGTH, sizes)[again]
             full = ends - starts >= LENGTH
             spans = [np.stack([keys[again][full], starts[full], ends[full]], axis=1)]
-            rows, keys, pos, sizes, hot = (c[new] for c in (rows, keys, pos, sizes, hot))
+            rows, keys, pos, sizes = (c[new] for c in (rows, keys, pos, sizes))
             out: list[tuple] = []
             first: dict[bytes, tuple[int, int]] = {}
             later: list[tuple[int, int]] = []
-            for i in np.flatnonzero(hot).tolist():
+            for i in range(len(rows) if hot else 0):
                 for digest, key, start in window_digests(rows[i].tobytes(), int(keys[i]), int(pos[i]), int(sizes[i])):
                     known = first.get(digest)
                     if known is None or (key, start) < known:
@@ -241,7 +240,8 @@ def sorted_runs(located: DataFrame, parts: int) -> DataFrame:
                     s, e = joined_spans(group[:, 1], group[:, 2])
                     key = int(group[0, 0])
                     out.append((key % parts, None, None, None, None, key, s.tolist(), e.tolist(), None))
-            rows, keys, pos = rows[~hot], keys[~hot], pos[~hot]
+            if hot:
+                rows, keys, pos = rows[:0], keys[:0], pos[:0]
             part = np.array([zlib.crc32(r) for r in np.ascontiguousarray(rows[:, :K])], np.int64) % parts
             for p in np.unique(part).tolist():
                 mine = part == p
@@ -249,7 +249,7 @@ def sorted_runs(located: DataFrame, parts: int) -> DataFrame:
                 out.append((p, shared.tobytes(), rest, keys[mine].tobytes(), pos[mine].astype(np.int32).tobytes(), None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(RUN_KINDS), RUN_KINDS, strict=True)], names=RUN_NAMES)
 
-    return located.mapInArrow(run, RUN_ROWS)
+    return rows_.mapInArrow(run, RUN_ROWS)
 
 
 class Suffix(NamedTuple):
@@ -407,6 +407,12 @@ def later_windows(windows: DataFrame) -> DataFrame:
     return later.select("key", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
 
 
+def located(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """key, text, at of the rows (key, text) that have places (key, pos) in a written table; no other texts are moved."""
+    near = common.Filter(places, "key").split(rows, "key")[0]
+    return near.join(places.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("at")), "key").select("key", "text", "at")
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
@@ -426,13 +432,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = anchor_rows(rows.select("key", "text")).repartition("dealt").sortWithinPartitions("dealt")
     places = common.written(repeated(found), "anchors")
     parts = max(1, round(places.count() / SHARE))
-    hot = F.broadcast(common.hot_values(places, "gram").withColumn("hot", F.lit(True)))
-    marked = places.join(hot, "gram", "left").select("key", F.struct("pos", F.col("hot").isNotNull().alias("hot")).alias("place"))
-    near = common.Filter(places, "key").split(rows, "key")[0]
-    located = near.join(marked.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("at")), "key").select("key", "text", "at.pos", "at.hot")
-    runs = common.written(sorted_runs(located, parts), "runs")
-    exchanged = runs.where("digest is null").repartition(parts, "part").sortWithinPartitions("part")
-    spans = merged_spans(exchanged).unionByName(later_windows(runs.where("digest is not null").select("digest", "key", F.col("starts")[0].alias("start"))))
+    few = common.hot_list(places, "gram")
+    is_hot = F.col("gram").isin(few) if few else F.lit(False)
+    exchanged = sorted_runs(located(rows, places.where(~is_hot)), parts, False).repartition(parts, "part").sortWithinPartitions("part")
+    spans = merged_spans(exchanged)
+    if few:
+        runs = common.written(sorted_runs(located(rows, common.written(places.where(is_hot), "hot-anchors")), parts, True), "hot-windows")
+        later = later_windows(runs.where("digest is not null").select("digest", "key", F.col("starts")[0].alias("start")))
+        within = runs.where("digest is null").select("key", F.inline(F.arrays_zip("starts", "ends"))).select("key", F.col("starts").alias("start"), F.col("ends").alias("end"))
+        spans = spans.unionByName(later).unionByName(within)
     spans = common.written(spans, "spans")
     listed = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     hit, clean = common.Filter(spans, "key").split(rows, "key")
