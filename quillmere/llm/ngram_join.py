@@ -60,13 +60,6 @@ def first_paths(tokens: np.ndarray, runs: int) -> np.ndarray:
     return np.concatenate(sampled(tokens, mixed(np.arange(1, runs + 1, dtype=np.uint64)), RATES[0])).view(np.int64)
 
 
-def deeper_paths(tokens: np.ndarray, first: np.ndarray) -> tuple[list[list[int]], list[list[list[int]]]]:
-    """Of two steps below each of the first ones, and of three below each of these."""
-    second = sampled(tokens, first.view(np.uint64), RATES[1])
-    third = iter(sampled(tokens, np.concatenate(second), RATES[2])) if sum(map(len, second)) else iter([])
-    return [s.view(np.int64).tolist() for s in second], [[next(third).view(np.int64).tolist() for _ in s] for s in second]
-
-
 def sketches(docs: DataFrame, n: int, runs: int) -> DataFrame:
     """doc, h, fp (null without words), number of tokens and the first paths of each row of (doc, text, h)."""
 
@@ -83,24 +76,24 @@ def sketches(docs: DataFrame, n: int, runs: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, h long, fp binary, tokens long, paths array<bigint>")
 
 
-def deeper(large: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """path, fp, two, three: the paths below those of large buckets; each text is moved once, whatever its buckets."""
+def deeper(large: DataFrame, texts: DataFrame, n: int, rate: float) -> DataFrame:
+    """path, fp: the paths one step below those of large buckets; each text is moved once, whatever its buckets."""
     asked = large.groupBy("fp").agg(F.collect_list("path").alias("paths")).join(texts, "fp").select("fp", "paths", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, text=2):
-            out: list[tuple] = []
+            drawn, counts = [np.zeros(0, np.uint64)], []
             for fp, paths, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = shingle_set(text, n)
-                if fingerprint(tokens) != fp:  # a text of the same hash
-                    continue
-                two, three = deeper_paths(tokens, np.array(paths, np.int64))
-                out += zip([fp] * len(paths), two, three, strict=True)
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            kinds = pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["fp", "two", "three"])
+                below = np.zeros(0, np.uint64)
+                if fingerprint(tokens) == fp:  # else a text of the same hash
+                    below = np.concatenate(sampled(tokens, np.array(paths, np.int64).view(np.uint64), rate))
+                drawn.append(below)
+                counts.append(len(below))
+            take = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(drawn).view(np.int64)), batch.column(0).take(take)], names=["path", "fp"])
 
-    return asked.mapInArrow(run, "fp binary, two array<bigint>, three array<array<bigint>>")
+    return asked.mapInArrow(run, "path long, fp binary")
 
 
 def sized(rows: DataFrame, name: str) -> DataFrame:
@@ -111,9 +104,8 @@ def sized(rows: DataFrame, name: str) -> DataFrame:
 
 def final_buckets(met: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """path, fp of the buckets that aren't split: small ones, and what is still large after the last step."""
-    below = common.written(deeper(met.where(F.col("size") > LIMIT), texts, n), "deeper")
-    second = sized(below.select("fp", F.posexplode("two").alias("i", "path"), "three").select("path", "fp", F.element_at("three", F.col("i") + 1).alias("three")), "second")
-    third = sized(second.where(F.col("size") > LIMIT).select("fp", F.explode("three").alias("path")), "third")
+    second = sized(common.written(deeper(met.where(F.col("size") > LIMIT), texts, n, RATES[1]), "deeper"), "second")
+    third = sized(common.written(deeper(second.where(F.col("size") > LIMIT), texts, n, RATES[2]), "deeper"), "third")
     small = [df.where(F.col("size") <= LIMIT).select("path", "fp") for df in (met, second)]
     return small[0].unionByName(small[1]).unionByName(third.select("path", "fp")).distinct()
 
