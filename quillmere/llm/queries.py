@@ -11,12 +11,15 @@ from quillmere.llm import chat
 from quillmere.llm.bpe import bpe_encode
 from quillmere.llm.common import held_out, table
 from quillmere.llm.exact_dedup import exact_dedup
+from quillmere.llm.hard_negatives import hard_negatives
+from quillmere.llm.merkle import merkle_manifest, tampered_text
 from quillmere.llm.ngram_join import ngram_join
 from quillmere.llm.ngram_join import oracle_sql as join_sql
 from quillmere.llm.packing import best_fit_pack
 from quillmere.llm.quality_classifier import fit_network, score_quality
 from quillmere.llm.quality_rules import oracle_sql as rules_sql
 from quillmere.llm.quality_rules import quality_rules
+from quillmere.llm.simhash import simhash_components
 from quillmere.llm.substring_dedup import substring_dedup
 from quillmere.llm.suffix_dedup import oracle_sql as suffix_sql
 from quillmere.llm.suffix_dedup import suffix_dedup
@@ -86,6 +89,85 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
 
+
+def op11_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), {"text": tampered_text()}).drop("path")
+
+
+#: CRC-32 bit by bit, the leaves' levels by recursion, and the proofs from the levels.
+OP12_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, c:
+    list_reduce(list_prepend(xor(crc, c), range(8)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM documents
+), now AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM docs
+), enc AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS grp,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS was, coalesce(strlen(changed) || ':' || changed, '-') AS became FROM now
+), leaves AS (
+  SELECT doc_id, grp, sha256(head || was) AS leaf, sha256(head || became) AS other, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM enc
+), below AS (
+  SELECT 0 AS lvl, grp, idx, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lvl + 1, grp, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM below WHERE n > 1 GROUP BY lvl, grp, idx // 3
+), tops AS (
+  SELECT grp, h, row_number() OVER (ORDER BY grp COLLATE "C") - 1 AS idx, count(*) OVER () AS n FROM below WHERE n = 1
+), above AS (
+  SELECT 0 AS lvl, idx, h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM above WHERE n > 1 GROUP BY lvl, idx // 3
+), runs AS (
+  SELECT 'b' AS part, lvl, grp, idx // 3 AS parent, list(h ORDER BY idx) AS run FROM below WHERE n > 1 GROUP BY lvl, grp, idx // 3
+  UNION ALL SELECT 'a', lvl, '', idx // 3, list(h ORDER BY idx) FROM above WHERE n > 1 GROUP BY lvl, idx // 3
+), steps AS (
+  SELECT l.doc_id, l.grp, l.idx, t.idx AS top_idx, t.h AS subroot, l.leaf, l.other AS folded, '' AS proof, 0 AS lvl FROM leaves l JOIN tops t USING (grp)
+  UNION ALL
+  SELECT s.doc_id, s.grp, s.idx // 3, s.top_idx, s.subroot, s.leaf,
+    sha256(list_aggregate(list_concat(run[1:s.idx % 3], [s.folded], run[s.idx % 3 + 2:]), 'string_agg', '')),
+    s.proof || coalesce(list_aggregate(list_concat(run[1:s.idx % 3], run[s.idx % 3 + 2:]), 'string_agg', ''), ''), s.lvl + 1
+  FROM steps s JOIN runs r ON r.part = 'b' AND r.lvl = s.lvl AND r.parent = s.idx // 3 AND r.grp = s.grp
+), last_below AS (
+  SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1
+), up AS (
+  SELECT doc_id, top_idx AS idx, subroot, leaf, folded, proof, 0 AS lvl FROM last_below
+  UNION ALL
+  SELECT u.doc_id, u.idx // 3, u.subroot, u.leaf,
+    sha256(list_aggregate(list_concat(run[1:u.idx % 3], [u.folded], run[u.idx % 3 + 2:]), 'string_agg', '')),
+    u.proof || coalesce(list_aggregate(list_concat(run[1:u.idx % 3], run[u.idx % 3 + 2:]), 'string_agg', ''), ''), u.lvl + 1
+  FROM up u JOIN runs r ON r.part = 'a' AND r.lvl = u.lvl AND r.parent = u.idx // 3
+), ended AS (
+  SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM ended, (SELECT h AS root FROM above WHERE n = 1)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_windows": op2_chat_windows,
@@ -97,6 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_simhash_components": op11_simhash_components,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_windows": OP2_SQL,
@@ -104,4 +189,6 @@ ORACLES: dict[str, str] = {
     "op8_suffix_dedup": suffix_sql(),
     "op9_quality_rules": rules_sql(),
     "op10_exact_dedup": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
