@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillmere.functions import columns as C
+from quillmere.operators.bounded import checked, placed
+from quillmere.sources.scratch import counted, small_or_shuffled
 from quillmere.sources.scratch import written as saved
 
 NODE_FIELDS = ("kind", "name", "qualified_name", "path", "symbol_kind", "line", "end_line")
@@ -106,25 +108,20 @@ def expand(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, max_n
         # of any size, so nothing is collected; without a bound the order of the queue decides nothing
         visited = closure(steps, nodes.sparkSession.createDataFrame([(start,)], "id string"), depth)
         return _expansion(nodes, edges, visited, lambda ends: ends, False)
-    spark = nodes.sparkSession
-    queue: list[str] = [start]
-    placed = {start: 0}
-    level, truncated = [start], False
+    # the queue is a table: each level is ranked by range partitions, so neither the driver nor a task holds all of it
+    checked(max_nodes)
+    visited = saved(nodes.sparkSession.createDataFrame([(start, 0, 1)], "id string, distance int, place long"), "queue")
+    count, truncated, level = 1, False, visited
     for distance in range(1, depth + 1):
-        ranked = spark.createDataFrame(list(enumerate(level)), "place int, src string")
-        known = spark.createDataFrame([(i,) for i in queue], "dst string")
-        room = max_nodes - len(queue)
-        found = F.broadcast(ranked).join(steps, "src").groupBy("dst").agg(F.min("place").alias("place")).join(F.broadcast(known), "dst", "left_anti").orderBy("place", "dst")
-        rows = [r["dst"] for r in found.limit(room + 1).collect()]  # at most max_nodes + 1
-        if len(rows) > room:
-            rows, truncated = rows[:room], True
-        for i in rows:
-            placed[i] = distance
-        queue, level = queue + rows, rows
-        if not level or truncated:
+        parents = level.select(F.col("id").alias("src"), "place")
+        found = parents.join(steps, "src").groupBy(F.col("dst").alias("id")).agg(F.min("place").alias("parent")).join(visited.select("id"), "id", "left_anti")
+        level, n = counted(placed(found, [F.col("parent").asc(), F.col("id").asc()], max_nodes - count + 1).select("id", F.lit(distance).alias("distance"), "place"), "queue")
+        if n > max_nodes - count:
+            level, truncated = level.where(F.col("place") <= max_nodes - count), True
+        visited, count = visited.unionByName(level), count + n
+        if not n or truncated:
             break
-    visited = spark.createDataFrame(list(placed.items()), "id string, distance int")
-    return _expansion(nodes, edges, visited, F.broadcast, truncated)
+    return _expansion(nodes, edges, saved(visited.select("id", "distance"), "queue"), small_or_shuffled, truncated)
 
 
 def _expansion(nodes: DataFrame, edges: DataFrame, visited: DataFrame, hinted: Callable[[DataFrame], DataFrame], truncated: bool) -> Expansion:
@@ -145,56 +142,153 @@ def fan_counts(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(ends)).groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
-def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
-    """id, c: the greatest colour c of a node that reaches id, itself counted; edges and colours are written tables."""
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges between other nodes, after the table names(id, part) of merged ones."""
+    ends = edges.join(names.select(F.col("id").alias("src"), F.col("part").alias("a")), "src", "left").join(names.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst", "left")
+    return ends.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct()
+
+
+def _trimmed(edges: DataFrame, layers: int = 2) -> DataFrame:
+    """Without edges from nodes that nothing leads to, or to nodes that lead nowhere, some layers deep."""
+    for _ in range(layers):
+        ways_in, ways_out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = edges.join(ways_in, "src", "left_semi").join(ways_out, "dst", "left_semi").select("src", "dst")
+    return edges
+
+
+def _mutual(edges: DataFrame) -> tuple[DataFrame, int]:
+    """id, part: a node and the least of those it has edges with in both directions, if that is less than itself; and how many."""
+    both = edges.join(_reversed(edges), ["src", "dst"], "left_semi")
+    return counted(both.groupBy("src").agg(F.min("dst").alias("part")).where("part < src").select(F.col("src").alias("id"), "part"), "mutual")
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """Each node with the last part that its parts lead to; they descend, so they end. What is passed doubles with each table."""
+    while True:
+        then = hooks.select(F.col("id").alias("part"), F.col("part").alias("further"))
+        step = hooks.join(then, "part", "left").select("id", F.coalesce("further", "part").alias("part"), F.col("further").isNotNull().alias("moved"))
+        told = Observation()
+        hooks = saved(step.observe(told, F.count_if("moved").alias("moved")).select("id", "part"), "merged")
+        if not told.get["moved"]:
+            return hooks
+
+
+def _chained(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes with one way in and one way out, of edges without mutual pairs.
+
+    Pointers to the next and to the last node double with each table, until they leave the chain. The tables are id, first, last: the
+    nodes before and behind the chain; id, part: nodes of closed rings, with the least of the ring; and the number of both.
+    """
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(None).cast("string").alias("last"), F.col("dst").alias("next")), F.struct(F.col("dst").alias("id"), F.col("src").alias("last"), F.lit(None).cast("string").alias("next")))
+    degrees = edges.select(F.inline(ends)).groupBy("id").agg(F.count("next").alias("outs"), F.count("last").alias("ins"), F.max("next").alias("next"), F.max("last").alias("last"))
+    ways = F.array(F.struct(F.lit(True).alias("ahead"), F.col("next").alias("to")), F.struct(F.lit(False).alias("ahead"), F.col("last").alias("to")))
+    # low is the least of the nodes that were passed; a pointer is open while it leads to a node of the chain
+    pointers, n = counted(degrees.where("ins = 1 AND outs = 1").select("id", F.inline(ways)).select("id", "ahead", "to", F.col("to").alias("low"), F.lit(True).alias("open")), "chain")
+    if not n:
+        return pointers, pointers, 0
+    still = None
+    while True:
+        then = pointers.select(F.col("id").alias("to"), "ahead", F.col("to").alias("further"), F.col("low").alias("low_then"))
+        step = pointers.join(then, ["to", "ahead"], "left")
+        step = step.select("id", "ahead", F.coalesce("further", "to").alias("to"), F.least("low", "low_then").alias("low"), F.col("further").isNotNull().alias("open"), (F.col("low_then") < F.col("low")).alias("lower"))
+        told = Observation()
+        step = saved(step.observe(told, F.count_if("open").alias("open"), F.count_if(F.col("open") & F.col("lower")).alias("lower")), "chain")
+        pointers = step.drop("lower")
+        # each step ends the pointers of some node of any chain that isn't closed; so if none has ended, only rings are open
+        if told.get["open"] == 0 or (told.get["open"] == still and told.get["lower"] == 0):
+            break
+        still = told.get["open"]
+    between = pointers.groupBy("id").agg(F.max(F.when(~F.col("ahead"), F.col("to"))).alias("first"), F.max(F.when(F.col("ahead"), F.col("to"))).alias("last"), F.max("open").alias("ring"), F.min("low").alias("part"))
+    between = saved(between, "between")
+    return between.where("NOT ring").select("id", "first", "last"), between.where("ring").select("id", F.least("id", "part").alias("part")), n // 2
+
+
+def _coloured(edges: DataFrame, round_: int, hops: int = 8) -> tuple[DataFrame, DataFrame]:
+    """id, part of nodes that were found in a component; and the edges that are left between the others.
+
+    Each node has a random number; the greatest one is spread along the edges and against them, from node to node. A node
+    that has the same one from both sides is of the component of the node that it is from. After some hops that have
+    found such nodes the edges are merged and tried again; only if none was found do the numbers go on to the end, when edges
+    between different numbers lie on no cycle.
+    """
+    number = F.struct(F.xxhash64("id", F.lit(round_)).alias("r"), F.col("id").alias("from"))
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    numbers, n = saved(ids.select("id", number.alias("along"), number.alias("against")), "colours"), 0
+    none = F.lit(None).cast("struct<r:bigint,from:string>")
     while True:
-        passed = edges.join(colours.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c", F.lit(None).cast("boolean").alias("own"))
-        both = passed.unionByName(colours.withColumn("own", F.lit(True)))
-        step = both.groupBy("id").agg(F.max("c").alias("c"), F.max(F.when(F.col("own"), F.col("c"))).alias("before"))
-        step = saved(step.select("id", "c", (F.col("c") != F.col("before")).alias("changed")), "colours")
-        colours = step.select("id", "c")
-        if step.where("changed").isEmpty():
-            return colours
+        along = edges.join(numbers.select(F.col("id").alias("src"), "along"), "src").select(F.col("dst").alias("id"), "along", none.alias("against"), F.lit(0).alias("own"))
+        against = edges.join(numbers.select(F.col("id").alias("dst"), "against"), "dst").select(F.col("src").alias("id"), none.alias("along"), "against", F.lit(0).alias("own"))
+        both = numbers.withColumn("own", F.lit(1)).unionByName(along).unionByName(against)
+        own = [F.max(F.when(F.col("own") == 1, F.col(c))).alias(f"old_{c}") for c in ("along", "against")]
+        step = both.groupBy("id").agg(F.max("along").alias("along"), F.max("against").alias("against"), *own)
+        changed = (F.col("along") != F.col("old_along")) | (F.col("against") != F.col("old_against"))
+        found = (F.col("along") == F.col("against")) & (F.col("along")["from"] != F.col("id"))
+        told, n = Observation(), n + 1
+        numbers = saved(step.observe(told, F.count_if(changed).alias("changed"), F.count_if(found).alias("found")).select("id", "along", "against"), "colours")
+        if told.get["changed"] == 0 or (n % hops == 0 and told.get["found"]):
+            break
+    names = numbers.where("along = against AND along.from <> id").select("id", F.col("along.from").alias("part"))
+    if told.get["changed"] == 0:
+        of = numbers.select("id", F.struct("along", "against").alias("c"))
+        ends = edges.join(of.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst")
+        edges = ends.where("a = b").select("src", "dst")
+    return saved(names, "merged"), edges
 
 
-def cycles(edges: DataFrame, trims: int = 3) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """id, component (its least member), size of the nodes on a cycle, a self-loop too; for graphs of any size.
 
-    A round gives each node a random number and spreads the greatest one along the edges: a component has one colour.
-    Within a colour, what reaches the node that the colour is from is that node's component, and is done with; edges between
-    colours lie on no cycle. So chains of components are parted at random, and rounds go with the logarithm of their
-    number; each round takes steps as the longest way within a colour is long. Nodes without a way in or out are
-    trimmed before, a few layers a round. It goes on until no edge is left.
+    The graph is contracted until no edge is left: nodes without a way in or out go; nodes with edges in both directions
+    are merged; chains of nodes with one way in and one way out become one edge, and closed rings one node, by
+    pointers that double their reach. So rings and chains take tables with the logarithm of their length, and chains
+    of components, once these are merged, too. What can't be contracted is parted by random colours, with tables as the longest shortest way.
+    A node of a chain is on a cycle if what comes before the chain and what comes behind it are of one component; that is
+    looked up in the end, from the last contraction back to the first. Null ends make no edge.
     """
-    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    left = saved(edges.where("src <> dst").select("src", "dst").distinct(), "cycle-edges")
-    parts, round_ = [], 0
+    named = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).dropna().distinct()
+    loops = named.where("src = dst").select(F.col("src").alias("id"))
+    left = saved(named.where("src <> dst"), "cycle-edges")
+    merged: list[tuple[DataFrame, bool]] = []  # tables (id, part), or (id, first, last) of chains
+    round_ = 0
     while True:
-        for _ in range(trims):
-            left = saved(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle-edges")
-        if left.isEmpty():
+        left, n = counted(_trimmed(left), "cycle-edges")
+        if not n:
             break
-        ids = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
-        colours = _spread(left, saved(ids.select("id", F.struct(F.xxhash64("id", F.lit(round_)).alias("r"), F.col("id").alias("from")).alias("c")), "colours"))
-        named = colours.select("id", F.col("c.from").alias("part"))
-        ends = left.join(named.withColumnRenamed("id", "src"), "src").join(named.select(F.col("id").alias("dst"), F.col("part").alias("other")), "dst").where("part = other")
-        inside = saved(ends.select("src", "dst"), "cycle-edges")
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = closure(back, named.where("id = part").select("id")).select("id")
-        parts.append(saved(reached.join(named, "id"), "parts"))
-        gone = parts[-1].select("id")
-        left = saved(inside.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "cycle-edges")
+        hooks, n = _mutual(left)
+        if n:
+            names = _followed(hooks)
+            merged.append((names, False))
+            left = saved(_renamed(left, names), "cycle-edges")
+            continue
+        between, rings, n = _chained(left)
+        if n:
+            merged += [(rings, False), (between, True)]
+            gone = between.select("id").unionByName(rings.select("id"))
+            kept = left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+            left = saved(kept.unionByName(between.where("first <> last").select(F.col("first").alias("src"), F.col("last").alias("dst"))).distinct(), "cycle-edges")
+            continue
+        names, left = _coloured(left, round_)
+        merged.append((names, False))
+        left = saved(_renamed(left, names), "cycle-edges")
         round_ += 1
-    named = loops.withColumn("part", F.col("id"))
-    if parts:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        every = saved(every, "parts")
-        large = every.join(every.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part"), "part", "left_semi").select("id", "part")
-        named = large.unionByName(named.join(large, "id", "left_anti").select("id", "part"))
-    least = named.groupBy("part").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
-    return named.join(least, "part").select("id", "component", "size")
+    parts = loops.select("id", F.col("id").alias("part")).limit(0)
+    for table, is_chain in reversed(merged):
+        known = parts.select(F.col("id").alias("part"), F.col("part").alias("named"))
+        if is_chain:
+            ends = table.join(known.select(F.col("part").alias("first"), F.col("named").alias("a")), "first", "left").join(known.select(F.col("part").alias("last"), F.col("named").alias("b")), "last", "left")
+            own = ends.withColumn("a", F.coalesce("a", "first")).where(F.col("a") == F.coalesce("b", "last")).select("id", F.col("a").alias("part"))
+        else:
+            own = table.where("id <> part").join(known, "part", "left").select("id", F.coalesce("named", "part").alias("part"))
+        parts = saved(parts.unionByName(own), "parts")
+    members = parts.unionByName(parts.select(F.col("part").alias("id"), "part")).distinct()
+    members = saved(members, "parts")
+    every = members.unionByName(loops.join(members, "id", "left_anti").select("id", F.col("id").alias("part")))
+    least = every.groupBy("part").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return every.join(least, "part").select("id", "component", "size")
 
 
 class Affected(NamedTuple):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalogs
 from quillmere.functions import columns as C
 from quillmere.operators.bounded import top_per_group
+from quillmere.operators.selection import medians
 
 
 def not_ignored(path: Column, names: Sequence[str] = catalogs.IGNORED_DIRS) -> Column:
@@ -183,11 +185,14 @@ def status_rollup(rows: DataFrame, group: str, status: str = "status") -> DataFr
 
 def usage_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, total, smallest, largest, mean and median (of an even number the mean of the middle two) of measured
-    values, with the number that isn't measured apart."""
-    return rows.groupBy(*keys).agg(
+    values, with the number that isn't measured apart. The median is selected in rounds, so groups may be of any size."""
+    found = rows.groupBy(*keys).agg(
         F.count(value).alias("measured"), F.count_if(F.col(value).isNull()).alias("unmeasured"), F.sum(value).alias("total"), F.min(value).alias("smallest"), F.max(value).alias("largest"),
-        F.avg(value).alias("mean"), F.median(value).alias("median"),
+        F.avg(value).alias("mean"),
     )
+    middle = medians(rows, keys, value).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.lit(True))
+    return found.join(middle, same, "left").drop(*(f"__{k}" for k in keys))
 
 
 def reduction(base: Column, left: Column) -> Column:

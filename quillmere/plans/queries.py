@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions import catalogs
 from quillmere.functions import columns as C
 from quillmere.functions.globs import mapping_glob, name_glob, path_glob, rule_glob
 from quillmere.operators import changes, code, graph, inventory, policy, reports, routing, text
-from quillmere.operators.bounded import bounded, group_totals, scan_capped, top_per_group
+from quillmere.operators.bounded import bounded, find, group_totals, scan_capped, top_per_group
+from quillmere.operators.selection import medians
 from quillmere.sources import adapters, git, index_store
 from quillmere.sources.scratch import scratch_path
 
@@ -619,6 +620,7 @@ def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- code ------------------------------------------------------------------------------------------------------------
 
+NAME_OF = "replace(p_name, ' ', '_')"
 SOURCE = "concat('import os, a.b as c', chr(10), 'from pkg.', lower(p_type), ' import x', chr(10), CASE p_partkey % 3 WHEN 0 THEN 'class ' WHEN 1 THEN '  async def ' ELSE 'def ' END, replace(p_name, ' ', '_'), '(self):', chr(10), '    return ', CAST(p_size AS STRING))"
 
 
@@ -654,6 +656,44 @@ def structural_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.structural_search(sources(spark, sf_dir), "return $VALUE").select("file", "status", "line", "matched_text", F.col("captures")["VALUE"].alias("value"))
 
 
+#: Patterns whose names stand for what the tree holds as strings: pattern, line, matched text and capture in SOURCE.
+NAMED = (
+    ("import os, a.b as $ALIAS", "1", "'import os, a.b as c'", "'c'"),
+    ("from $MODULE import x", "2", "'from pkg.' || lower(p_type) || ' import x'", "'pkg.' || lower(p_type)"),
+    ("def $NAME(self): return $VALUE", "3", "'def ' || replace(p_name, ' ', '_') || '(self):' || chr(10) || '    return ' || p_size", "replace(p_name, ' ', '_')"),
+    ("def $F($NAME): return $VALUE", "3", "'def ' || replace(p_name, ' ', '_') || '(self):' || chr(10) || '    return ' || p_size", "'self'"),
+)
+
+
+# A source is a class if the key is 0 modulo 3, and a function if it is 2.
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{pattern}' AS pattern, concat('m/f', p_partkey, '.py') AS file, {line} AS line, {text} AS matched_text, {value} AS value FROM part WHERE p_partkey % 3 {'= 2' if line == '3' else '<> 1'}" for pattern, line, text, value in NAMED
+    )
+)
+def structural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for pattern, *_ in NAMED:
+        name = {"$ALIAS": "ALIAS", "$MODULE": "MODULE"}.get(next((n for n in ("$ALIAS", "$MODULE") if n in pattern), ""), "NAME")
+        one = code.structural_search(sources(spark, sf_dir), pattern, failures=False).select(F.lit(pattern).alias("pattern"), "file", "line", "matched_text", F.col("captures")[name].alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Go sources with declarations in comments, raw strings and bodies, which are none.
+GO_LINES = "'// package no', 'package p_' || {0}, 'import (', '  /* \"no/comment\" */ \"fmt\"; y `a.org/' || {0} || '`', ')', '/*', 'func InComment() {{', '*/', 'var text = `', 'type InText struct {{', 'import \"no/text\"', '`', 'type (', '  A_' || {0} || ' struct {{ f func() }}', '  B[T any] = []T', ')', 'func (x *A) Do_' || {0} || '(a int) {{ type inner int; s := \"}}//\"; _ = s', CASE p_partkey % 5 WHEN 0 THEN '(' ELSE '' END, '}}'"
+
+
+@query(
+    "SELECT 'm/f' || p_partkey || '.go' AS file, CASE WHEN p_partkey % 5 = 0 THEN 'parse_failed' ELSE 'ok' END AS status, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'package p_' || {0} || ' 2,type A_' || {0} || ' 14,type B 15,func Do_' || {0} || ' 17' END AS symbols,"
+    " CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'a.org/' || {0} || ',fmt' END AS imports FROM part".format(NAME_OF)
+)
+def go_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files_ = table(spark, sf_dir, "part").selectExpr("concat('m/f', CAST(p_partkey AS STRING), '.go') AS path", f"concat_ws('\n', {GO_LINES.format(NAME_OF)}) AS text")
+    told = F.transform("symbols", lambda s: F.concat_ws(" ", s["kind"], s["name"], s["line"]))
+    return code.go_syntax(files_).select("file", "status", F.array_join(told, ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
+
+
 @query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS target FROM pages")
 def link_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))
@@ -817,6 +857,19 @@ def usage_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.usage_statistics(rows, ["role"], "v")
 
 
+CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
+@query(f"SELECT count(v) AS measured, count(*) - count(v) AS unmeasured, CAST(sum(v) AS BIGINT) AS total, min(v) AS smallest, max(v) AS largest, avg(v) AS mean, median(v) AS median FROM (SELECT CASE WHEN l_quantity <> 7 THEN {CENTS} END AS v FROM lineitem)")
+def usage_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.usage_statistics(table(spark, sf_dir, "lineitem").selectExpr(f"CASE WHEN l_quantity <> 7 THEN {CENTS} END AS v"), [], "v")
+
+
+@query("SELECT l_returnflag, l_linestatus, median(l_quantity) AS median FROM lineitem GROUP BY ALL")
+def medians_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return medians(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
+
+
 @query(
     """
 SELECT lang AS "group", count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality = 1 AND toxic = 1) AS warned, 0 AS skipped, count(*) FILTER (quality IS NULL) AS unknown, count(*) AS total,
@@ -902,6 +955,31 @@ def commit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return git.commit_delta(commits.where("commit % 3 = 0"), commits.where("commit % 2 = 0"))
 
 
+# A walk tells the directories and then the files of a directory before it goes down into the first of them.
+WALK = (
+    F_SQL.rstrip()
+    + """, parts AS (SELECT DISTINCT string_split(path, '/') AS p FROM f), every AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path, CASE WHEN i < len(p) THEN 'directory' ELSE 'file' END AS kind FROM parts, range(1, 30) r(i) WHERE i <= len(p)),
+visits AS (SELECT *, row_number() OVER (ORDER BY replace(regexp_replace(path, '(^|/)[^/]*$', ''), '/', chr(1)), kind <> 'directory', regexp_extract(path, '[^/]*$')) AS place, count(*) OVER () AS n FROM every)"""
+)
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.tree(files(spark, sf_dir), depth=30)
+
+
+@query(WALK + " SELECT path, kind, place, count(*) OVER () AS returned, least(any_value(n) OVER (), 300) AS visited, false AS results_truncated, any_value(n) OVER () > 300 AS scan_truncated FROM visits WHERE place <= 300 AND regexp_matches(regexp_extract(path, '[^/]*$'), '^.*gear.*$')")
+def find_within_a_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, told = find(_entries(spark, sf_dir), "*gear*", kind=None, max_visited=300)
+    return rows.select("path", "kind", "place").crossJoin(F.broadcast(told))
+
+
+@query(WALK + ", hits AS (SELECT *, row_number() OVER (ORDER BY place) AS nth FROM visits WHERE kind = 'file' AND ends_with(path, 'bolt.py')), cut AS (SELECT count(*) > 25 AS cut FROM hits) SELECT path, kind, nth, cut AS results_truncated, false AS scan_truncated FROM hits, cut WHERE nth <= 25")
+def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, told = find(_entries(spark, sf_dir), "*bolt.py", max_results=25)
+    nth = F.row_number().over(Window.orderBy("place")).cast("long")  # 25 rows
+    return rows.select("path", "kind", nth.alias("nth")).crossJoin(F.broadcast(told.select("results_truncated", "scan_truncated")))
+
+
 @query(F_SQL + ", s AS (SELECT * FROM f ORDER BY path, id LIMIT 150) SELECT count(*) AS hits, 150 AS scanned, (SELECT count(*) FROM f) > 150 AS scan_truncated FROM s WHERE contains(path, 'ring')")
 def scan_capped_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen, told = scan_capped(files(spark, sf_dir), [F.col("path"), F.col("id")], 150)
@@ -1050,7 +1128,6 @@ def literal_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of each language a source made from a part: extension, text, declarations (line, kind, name) and targets.
-NAME_OF = "replace(p_name, ' ', '_')"
 LANGUAGES = {
     "c": ("c", "'#include <stdio.h>', '#  include \"' || {0} || '.h\"', 'typedef struct ' || {0} || ' {{', '}} x;', 'static int run_' || {0} || '(int a)', '  return 1;'", (("3", "'type'", "{0}"), ("5", "'func'", "'run_' || {0}")), "'stdio.h'", "{0} || '.h'"),
     "cpp": ("hpp", "'#include \"base.hpp\"', 'namespace n_' || {0}, 'class ' || {0} || ' {{', '#include <' || {0} || '>'", (("2", "'namespace'", "'n_' || {0}"), ("3", "'class'", "{0}")), "'base.hpp'", "{0}"),
@@ -1142,6 +1219,20 @@ def graph_expand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(nodes, edges, "r1", depth=2, max_nodes=None).edges
 
 
+@query(
+    f"""
+WITH {NODES}, steps AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+one AS (SELECT dst AS id, row_number() OVER (ORDER BY dst) AS place FROM steps WHERE src = 'r1' AND dst <> 'r1' QUALIFY place <= 59),
+two AS (SELECT dst AS id, min(place) AS parent FROM one JOIN steps ON src = id WHERE dst <> 'r1' AND dst NOT IN (SELECT id FROM one) GROUP BY dst),
+v AS (SELECT 'r1' AS id, 0 AS distance UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two QUALIFY row_number() OVER (ORDER BY parent, id) <= 59 - (SELECT count(*) FROM one))
+SELECT v.id, v.distance, coalesce(n.kind, 'unknown') AS kind, n.name, (SELECT count(*) FROM edges WHERE dst = v.id) AS fan_in, (SELECT count(*) FROM edges WHERE src = v.id) AS fan_out FROM v LEFT JOIN nodes n ON n.id = v.id
+"""
+)
+def graph_expand_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = graph_tables(spark, sf_dir)
+    return graph.expand(nodes, edges, "r1", depth=2, max_nodes=60).nodes
+
+
 @query("SELECT * FROM (VALUES ('n1', 'ok', 'n1'), ('EUROPE', 'ok', 'r3'), ('zzz', 'not_found', ''), ('file1', 'ok', 'file1'), ('file', 'ambiguous', 'file0,file1,file10')) AS v(asked, status, ids)")
 def graph_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph_tables(spark, sf_dir)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written table, and its number of rows, which is counted while it is written."""
+    told = Observation()
+    table = written(df.observe(told, F.count(F.lit(1)).alias("n")), name)
+    return table, told.get["n"]
+
+
 #: Rows of a few numbers that are broadcast at most: some tens of MB.
 FEW_ROWS = 300_000
 
