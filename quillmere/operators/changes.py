@@ -10,26 +10,53 @@ from pyspark.sql import functions as F
 from quillmere.functions import catalogs
 from quillmere.functions import columns as C
 from quillmere.functions.globs import mapping_glob
-from quillmere.operators.bounded import group_totals, top_per_group
+from quillmere.operators.bounded import top_per_group
+from quillmere.sources.scratch import written
 
 #: Shortest stem that is looked up by its parts; shorter ones are compared with every name.
 GRAM = 3
 
 
-def change_router(changed: DataFrame, files: DataFrame, path: str = "path", per_kind: int = 8) -> DataFrame:
-    """changed_file, kind (test or doc), path, total, truncated: files whose name contains the changed file's stem.
+def _grams(value: Column, size: int) -> Column:
+    """The parts of ``size`` characters, each once; none of a shorter value."""
+    return F.when(F.length(value) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(value) - size + 1)), lambda i: F.substring(value, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(stems: DataFrame, names: DataFrame) -> DataFrame:
+    """stem, name of the names (of a distinct table name) that contain a stem (of a distinct table stem, none empty).
 
-    Contains is no equi-join; the names' parts of GRAM characters make it one: a stem is looked up by its first part,
-    and what that finds is checked. Stems shorter than a part are padded against parts of their own length.
+    Contains is no equi-join; parts of GRAM characters make it one. Parts are counted over all names, a stem is looked up by
+    its rarest one, and what that finds is checked, so a part that many names have is met only by stems without any rarer one.
+    Stems shorter than a part are looked up by parts of their own length.
     """
-    stems = changed.select(F.col(path).alias("changed_file"), C.normalized_stem(F.col(path)).alias("stem")).where("stem <> ''").distinct()
-    stems = stems.withColumn("gram", F.substring("stem", 1, GRAM))
+    found = None
+    for size in range(1, GRAM + 1):
+        of = stems.where(F.length("stem") == size) if size < GRAM else stems.where(F.length("stem") >= size)
+        asked = of.select("stem", F.explode(_grams(F.col("stem"), size)).alias("gram"))
+        parts = names.select("name", F.explode(_grams(F.col("name"), size)).alias("gram"))
+        if size == GRAM:
+            counts = parts.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            # a part that no name has is the rarest of all, and finds nothing
+            asked = asked.join(counts, "gram", "left").groupBy("stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        pairs = parts.join(asked, "gram").where(F.contains(F.col("name"), F.col("stem"))).select("stem", "name")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def change_router(changed: DataFrame, files: DataFrame, path: str = "path", per_kind: int = 8) -> DataFrame:
+    """changed_file, kind (test or doc), path, total, truncated: files whose name contains the changed file's stem. Stems and names
+    are matched once each, and their first files are chosen before they are given to all the changed files of a stem."""
+    stems = written(changed.select(F.col(path).alias("changed_file"), C.normalized_stem(F.col(path)).alias("stem")).where("stem <> ''").distinct(), "stems")
     p = F.col(path)
-    names = files.select(p.alias("path"), F.lower(C.file_name(p)).alias("name"), F.when(C.is_test_path(p), "test").when(C.is_doc_path(p), "doc").alias("kind")).where("kind is not null")
-    sizes = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name"))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("name"), i, n))))))
-    found = names.select("path", "name", "kind", sizes.alias("gram")).join(stems, "gram").where(F.col("name").contains(F.col("stem"))).select("changed_file", "kind", "path").distinct()
-    totals = group_totals(found, ["changed_file", "kind"], per_kind)
-    return top_per_group(found, ["changed_file", "kind"], [F.col("path")], per_kind).drop("rank").join(totals, ["changed_file", "kind"])
+    names = files.select(p.alias("path"), F.lower(C.file_name(p)).alias("name"), F.when(C.is_test_path(p), "test").when(C.is_doc_path(p), "doc").alias("kind")).where("kind is not null").distinct()
+    names = written(names, "names")
+    pairs = written(contained(stems.select("stem").distinct(), names.select("name").distinct()), "contained")
+    # of each name the first files and the number of all, so a name that many files have is told to a stem once
+    first = top_per_group(names, ["name", "kind"], [F.col("path")], per_kind).drop("rank")
+    found = pairs.join(first, "name")
+    totals = pairs.join(names.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n")), "name").groupBy("stem", "kind").agg(F.sum("n").alias("total"))
+    chosen = top_per_group(found.drop("name"), ["stem", "kind"], [F.col("path")], per_kind).drop("rank").join(totals, ["stem", "kind"])
+    return stems.join(chosen, "stem").select("changed_file", "kind", "path", "total", (F.col("total") > per_kind).alias("truncated"))
 
 
 def validation_plan(path: Column) -> Column:

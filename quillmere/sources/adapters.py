@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmere.sources.scratch import small_or_shuffled, written
+
 SCIP = (
     "documents array<struct<relativePath:string,language:string,symbols:array<struct<symbol:string,displayName:string,kind:string,relationships:array<struct<symbol:string>>>>,"
     "occurrences:array<struct<symbol:string,range:array<int>,symbolRoles:int>>>>"
@@ -19,11 +21,23 @@ DEFINES = 1
 METADATA = ("value", "levelOfConcern", "unit", "prefixes", "description", "objectDescription", "objectName", "referenceValue")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of text files of any size. Files are read in splits, each by one task: the lines of a split are
+    numbered by that task, and the lines of the splits before are a prefix sum over one count a split."""
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")]
+    lines = spark.read.text(path).select("value", *split)
+    counts = lines.groupBy("file", "start", "part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select("file", "start", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "splits")
+    return lines.join(small_or_shuffled(starts), ["file", "start", "part"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, value (variant) of each line that isn't blank; a line that isn't JSON fails the query and is told."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value", F.try_parse_json("value").alias("parsed"))
-    checked = F.when(F.col("parsed").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 120)))).otherwise(F.col("parsed"))
-    return lines.select("file", checked.alias("value"))
+    """file, line, value (variant) of each line that isn't blank; a line that isn't JSON fails the query, which tells its
+    file, number and text."""
+    lines = numbered_lines(spark, path).where("trim(value) <> ''").withColumn("parsed", F.try_parse_json("value"))
+    bad = F.concat(F.lit("not JSON: "), F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.substring("value", 1, 120))
+    return lines.select("file", "line", F.when(F.col("parsed").isNull(), F.raise_error(bad)).otherwise(F.col("parsed")).alias("value"))
 
 
 def scip_graph(documents: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
 import pytest
@@ -105,6 +106,14 @@ def test_router_short_and_empty_stems(spark):
     assert got == {("src/ab.py", "test", "tests/test_ab.py"), ("src/ab.py", "doc", "docs/cab.md")}
 
 
+def test_stems_are_found_in_names_as_contains_says(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab\u00e9_") for _ in range(n))
+    stems, names = {word(rng.randint(1, 5)) for _ in range(40)}, {word(rng.randint(1, 9)) for _ in range(60)}
+    got = changes.contained(spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert sorted(map(tuple, got)) == sorted((s, n) for s in stems for n in names if s in n)
+
+
 def test_incomplete_maps_widen_the_fallback(spark):
     files = spark.createDataFrame([("tests/test_a.py",), ("src/a.py",)], "path string")
     changed = spark.createDataFrame([("src/a.py",)], "path string")
@@ -249,22 +258,63 @@ def test_adapters(spark):
 
 def test_json_lines_fail_on_a_bad_line(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[2]\n')
-    assert adapters.json_lines(spark, str(tmp_path / "a.jsonl")).count() == 2
+    assert sorted(r["line"] for r in adapters.json_lines(spark, str(tmp_path / "a.jsonl")).select("line").collect()) == [1, 3]
     (tmp_path / "b.jsonl").write_text("{oops\n")
-    with pytest.raises(Exception, match="not JSON"):
+    with pytest.raises(Exception, match="not JSON.*b.jsonl, line 1: .oops"):
         adapters.json_lines(spark, str(tmp_path / "b.jsonl")).collect()
 
 
+def test_lines_are_numbered_over_many_splits(spark, tmp_path):
+    lines = [f'{{"n": {i}, "x": "{"y" * (i % 40)}"}}' if i % 9 else "" for i in range(1, 4001)]
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(lines))
+    (tmp_path / "in" / "c.jsonl").write_text("")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        found = adapters.json_lines(spark, str(tmp_path / "in"))
+        assert found.rdd.getNumPartitions() > 10
+        got = sorted((r["file"][-7:-6], r["line"], r["n"]) for r in found.select("file", "line", F.expr("value:n::int").alias("n")).collect())
+        assert got == [(f, i, i) for f in "ab" for i in range(1, 4001) if i % 9]
+        lines[3210] = '{"n": '
+        (tmp_path / "in" / "b.jsonl").write_text("\n".join(lines))
+        with pytest.raises(Exception, match="b.jsonl, line 3211: "):
+            adapters.json_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+
+
 def test_index_round_trip_and_format(spark, tmp_path):
     nodes, edges = adapters.index_nodes(spark.createDataFrame([("pkg/__init__.py",), ("a.txt",)], "path string"))
+    with pytest.raises(ValueError, match="no index"):
+        index_store.read_index(spark, str(tmp_path / "i"))
     index_store.write_index(graph.merge_nodes(nodes), graph.merge_edges(edges), str(tmp_path / "i"))
     n, e, meta = index_store.read_index(spark, str(tmp_path / "i"))
     assert {r["id"] for r in n.collect()} == {"file:pkg/__init__.py", "file:a.txt", "module:pkg"} and e.count() == 1 and not meta["input_truncated"]
-    spark.range(1).select(F.lit("other/9").alias("format"), F.lit(False).alias("input_truncated"), F.lit(0).alias("input_errors")).write.mode("overwrite").parquet(str(tmp_path / "i/meta"))
+    spark.createDataFrame([(9, "x", "other/9", False, 0)], index_store.MANIFEST).write.mode("append").parquet(str(tmp_path / "i/manifest"))
     with pytest.raises(ValueError, match="format"):
         index_store.read_index(spark, str(tmp_path / "i"))
 
 
+def test_an_index_that_fails_half_way_leaves_the_last_one(spark, tmp_path):
+    one = spark.createDataFrame([("a", "b", "depends_on")], "src string, dst string, kind string")
+    nodes = spark.createDataFrame([("a", "module")], "id string, kind string")
+    index_store.write_index(nodes, one, str(tmp_path / "i"))
+    first = index_store.read_index(spark, str(tmp_path / "i"))
+    broken = one.withColumn("src", F.when(F.col("src") == "a", F.raise_error(F.lit("lost"))).otherwise(F.col("src")))
+    with pytest.raises(Exception, match="lost"):
+        index_store.write_index(nodes.withColumn("kind", F.lit("new")), broken, str(tmp_path / "i"))
+    n, e, meta = index_store.read_index(spark, str(tmp_path / "i"))
+    assert n.first()["kind"] == "module" and e.count() == 1 and meta["number"] == 1
+    index_store.write_index(nodes.withColumn("kind", F.lit("newer")), one.limit(0), str(tmp_path / "i"), input_truncated=True)
+    n, e, meta = index_store.read_index(spark, str(tmp_path / "i"))
+    assert n.first()["kind"] == "newer" and e.count() == 0 and meta["number"] == 2 and meta["input_truncated"]
+    assert first[0].first()["kind"] == "module"  # who reads the version before goes on reading it
+
+
 def test_tree_keeps_dotfiles_and_prunes(spark, tmp_path):
     for name, data in {".env": b"x", "pkg/__init__.py": b"a\nb", "pkg/Build/gone.py": b"", "node_modules/x.js": b"", "bin.dat": b"\x00\x01", "bad.txt": b"\xffok"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
