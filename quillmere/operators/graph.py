@@ -255,15 +255,15 @@ def cycles(edges: DataFrame) -> DataFrame:
     merged: list[tuple[DataFrame, bool]] = []  # tables (id, part), or (id, first, last) of chains
     round_ = 0
     while True:
-        left, n = counted(_trimmed(left), "cycle-edges")
-        if not n:
-            break
         hooks, n = _mutual(left)
         if n:
             names = _followed(hooks)
             merged.append((names, False))
             left = saved(_renamed(left, names), "cycle-edges")
             continue
+        left, n = counted(_trimmed(left), "cycle-edges")
+        if not n:
+            break
         between, rings, n = _chained(left)
         if n:
             merged += [(rings, False), (between, True)]
