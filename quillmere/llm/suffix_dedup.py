@@ -37,6 +37,8 @@ LENGTH, K = 100, 32
 BEYOND = 0xFF
 #: Suffixes that a task merges on average, and runs that one loser tree combines.
 SHARE, FAN = 150_000, 64
+#: Suffixes of one k-gram that are compared in one task at most; those of others are dealt by their windows.
+GROUP = 5_000
 #: Documents and bytes of a run at most; a longer document is a run of its own.
 RUN_DOCS, RUN_BYTES = 10_000, 32 << 20
 
@@ -421,7 +423,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     touched. Where doc_ids repeat or are null, rows are ordered by doc_id, nulls last, and a hash of the text. An empty
     table gives no rows; other columns aren't read. A task merges about SHARE suffixes; equal ones are combined in
     every run before, so a string that a third of all rows share comes as one suffix a run, and a k-gram that stands in
-    ever other surroundings is dealt by its windows.
+    ever other surroundings, more than GROUP times at most, is dealt by its windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
     counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1")
@@ -432,12 +434,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = anchor_rows(rows.select("key", "text")).repartition("dealt").sortWithinPartitions("dealt")
     places = common.written(repeated(found), "anchors")
     parts = max(1, round(places.count() / SHARE))
-    few = common.hot_list(places, "gram")
-    is_hot = F.col("gram").isin(few) if few else F.lit(False)
-    exchanged = sorted_runs(located(rows, places.where(~is_hot)), parts, False).repartition(parts, "part").sortWithinPartitions("part")
+    # counts are exact, so no k-gram above the limit is merged in one task, however large the table is
+    limit = min(GROUP, max(100, places.count() // common.HOT))
+    few = common.written(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("gram"), "hot-grams")
+    n_hot = few.count()
+    if n_hot <= common.HOT:
+        is_hot = F.col("gram").isin([r["gram"] for r in few.collect()]) if n_hot else F.lit(False)
+        hot, others = places.where(is_hot), places.where(~is_hot)
+    else:
+        hot, others = (common.written(places.join(common.small_or_shuffled(few), "gram", how), "parted-anchors") for how in ("left_semi", "left_anti"))
+    exchanged = sorted_runs(located(rows, others), parts, False).repartition(parts, "part").sortWithinPartitions("part")
     spans = merged_spans(exchanged)
-    if few:
-        runs = common.written(sorted_runs(located(rows, common.written(places.where(is_hot), "hot-anchors")), parts, True), "hot-windows")
+    if n_hot:
+        runs = common.written(sorted_runs(located(rows, common.written(hot, "hot-anchors")), parts, True), "hot-windows")
         later = later_windows(runs.where("digest is not null").select("digest", "key", F.col("starts")[0].alias("start")))
         within = runs.where("digest is null").select("key", F.inline(F.arrays_zip("starts", "ends"))).select("key", F.col("starts").alias("start"), F.col("ends").alias("end"))
         spans = spans.unionByName(later).unionByName(within)

@@ -549,12 +549,13 @@ def brute_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [None, 2000, 1])
 def test_suffixes_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "SHARE", 300)
     monkeypatch.setattr(suffix_dedup, "FAN", 3)
-    if hot:  # every k-gram that three places have is one of very many
-        monkeypatch.setattr(common, "hot_list", lambda rows, key, most=0: [r[0] for r in rows.groupBy(key).count().where("count > 2").collect()])
+    if hot:  # k-grams that three places have are dealt by their windows, named in a list or in a table
+        monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+        monkeypatch.setattr(common, "HOT", hot)
     base = prose(7, 400)
     rows = [(0, base), (1, base[300:900] + prose(8, 50) + base[:250]), (2, "abc " * 120), (3, "xx" + "abc " * 90), (4, base[:99]), (5, base[:100]), (6, None), (7, ""), (8, base), (9, changed(base, 3, 30)), (10, "é" * 130), (11, "z" + "é" * 90 + "\x00" * 5), (12, base[1000:1100] * 3)]
     rows += [(20 + k, f"{prose(900 + k, 20)} {base[500:760]} {prose(950 + k, 20)}") for k in range(30)]
