@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 from hashlib import blake2b
 
 import numpy as np
-
-from quillmere.llm.common import Kept
+import xxhash
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -19,24 +17,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_number(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-@functools.cache
-def numbers() -> Kept:
-    """Of each worker process."""
-    return Kept(word_number, 120_000)
-
-
 def words(text: str) -> list[str]:
     """Lower-cased, parted at white space."""
     return text.lower().split()
 
 
 def word_numbers(text: str) -> np.ndarray:
+    """XXH64 of each word; hashing a word takes less time than a look into a cache that most words aren't in."""
     found = words(text)
-    return np.fromiter(map(numbers().__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
 def rolled(w: np.ndarray, n: int) -> np.ndarray:
