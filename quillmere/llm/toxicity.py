@@ -26,15 +26,15 @@ from quillmere.llm import common
 
 #: Terms that count without any label.
 TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "worthless", "trash", "clown", "disgusting", "imbecile", "dumbass", "bastard", "bitch", "asshole", "retard", "vermin", "filth")
-#: Phrases in which a term is no insult.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "clown car", "pond scum", "fire retard", "flame retard", "sore loser board", "not worthless", "never worthless", "not stupid")
+#: Phrases in which a term is no insult. They end with a word, or anywhere within one where they have a star.
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "class clown", "class clowns", "clown fish", "clown fishes", "clown car", "clown cars", "pond scum", "fire retard*", "flame retard*", "sore loser board", "not worthless", "never worthless", "not stupid")
 #: Letters that look like a Latin one, and signs and digits that stand for letters.
 HOMOGLYPHS = {
     "a": "аαɑ@4ª", "b": "ьƅ8", "c": "сϲ¢", "d": "ԁ", "e": "еεҽ3€", "g": "ɡց9", "h": "һ", "i": "іιı1!|¡", "j": "јϳ", "k": "кκ", "l": "ӏℓ", "m": "м", "n": "ոη",
     "o": "оοσօ0º", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ5$", "t": "тτ7+", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ×", "y": "уγ", "z": "ᴢ2",
 }
-#: Rows that a lexicon is fitted on at most, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 4000, 200_000
+#: Rows that a lexicon is fitted on at most, the longest text among them, and the bytes of all together.
+FIT_ROWS, FIT_CHARS, FIT_BYTES = 4000, 200_000, 64 << 20
 
 
 def fold_table() -> dict[int, str]:
@@ -87,7 +87,8 @@ class Lexicon:
         for word in {t.rstrip("*") for t in self.weights}:
             automaton.add_word(word, (len(word), self.weights.get(word, 0.0), self.weights.get(word + "*", 0.0)))
         for phrase in self.exceptions:
-            automaton.add_word(fold(phrase), (len(phrase), None, None))
+            start = fold(phrase.rstrip("*"))
+            automaton.add_word(start, (len(start), None, phrase.endswith("*") or automaton.get(start, (0, 0, False))[2]))
         automaton.make_automaton()
         self.automaton = automaton
 
@@ -105,10 +106,11 @@ class Lexicon:
             start = end + 1 - n
             if start and text[start - 1].isalnum():
                 continue
+            whole = end + 1 == len(text) or not text[end + 1].isalnum()
             if weight is None:
-                excused.append((start, end + 1))
+                if whole or as_stem:
+                    excused.append((start, end + 1))
             else:
-                whole = end + 1 == len(text) or not text[end + 1].isalnum()
                 if weight := max(weight, as_stem) if whole else as_stem:
                     found.append((start, end + 1, weight))
         return uncovered(found, excused) if excused else found
@@ -124,66 +126,102 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * features[0] + c * features[1]))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, int]]:
-    """Whole texts and labels of at most ``rows`` documents that aren't held out and no longer than ``chars``; the
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, most_bytes: int = FIT_BYTES) -> list[tuple[str, int]]:
+    """Whole texts and labels of at most ``rows`` documents that aren't held out and no longer than ``chars``, and of no more
+    of them than have ``most_bytes`` bytes together, which are reckoned before any text is moved; the
     choice is by a hash of doc_id, from the labels alone, so only chosen texts are moved. A doc_id counts once: with its
     greatest label, and of several texts with that of the least hash, so the same tables give the same rows."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out("doc_id"))
     chosen = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", common.text_of("text").alias("text")).where(F.length("text") <= chars)
-    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    longest = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"), F.first("y").alias("y"))
+    within, room = [], most_bytes
+    for r in longest.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if (room := room - r["bytes"]) < 0:
+            break
+        within.append((r["doc_id"], r["y"]))
+    taken = docs.sparkSession.createDataFrame(within, T.StructType([longest.schema["doc_id"], longest.schema["y"]]))
+    one = texts.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("row"))
     return [(r["row"]["text"], r["row"]["y"]) for r in one.orderBy("doc_id").collect()]
 
 
 WORDS = re.compile(r"[a-z]{4,24}")
 STEMS = range(4, 8)
+#: The share of a word that counts in fitting at most, and the words that a text is taken to have at least.
+MOST_SHARE, LEAST_WORDS = 0.03, 30
 
 
 #: From the first to the last letter or digit of what white space parts: signs at its ends are no letters.
 INNER = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
-def keys(text: str) -> set[str]:
-    """Folded words of a text and, with a star, their first letters."""
+def words_of(text: str) -> list[str]:
+    """Folded words of a text, in order."""
     folded = fold(text)
-    words = {w for m in INNER.finditer(text) for w in WORDS.findall(folded[m.start() : m.end()])}
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+    return [w for m in INNER.finditer(text) for w in WORDS.findall(folded[m.start() : m.end()])]
+
+
+def shares(text: str) -> dict[str, float]:
+    """The share of a text's words that each of its words and, with a star, their first letters make up, at most MOST_SHARE:
+    a text of one word repeated tells no more of it than one that has it often."""
+    words = words_of(text)
+    counts = Counter(words)
+    for w, n in list(counts.items()):
+        for k in STEMS:
+            if len(w) >= k:
+                counts[w[:k] + "*"] += n
+    return {w: min(MOST_SHARE, n / max(LEAST_WORDS, len(words))) for w, n in counts.items()}
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, least_gain: int = 6, least_rate: float = 5.0) -> Lexicon:
-    """Terms by greedy cover: again and again the word or stem that most toxic texts have, among those not
-    covered yet, and that is ``least_rate`` times as frequent in them as in others; a weight is the logarithm of that
-    rate. Words of copies of a covered text gain nothing, so texts don't teach their own vocabulary. Below a chosen
-    stem, longer forms that are more telling still count besides. Without labels of both kinds: the given terms."""
+    """lexicon_of the training rows."""
+    return lexicon_of(training_rows(docs, labels, "toxic", rows, chars), least_gain, least_rate)
+
+
+def lexicon_of(labelled: list[tuple[str, int]], least_gain: int = 6, least_rate: float = 5.0) -> Lexicon:
+    """Terms by their rates: the rate of a word or stem is its mean share of toxic texts over that of other texts, so a stem
+    that long clean texts have now and then still tells. Again and again the one is taken that has the most evidence, the
+    logarithm of its rate for each toxic text with it that isn't covered yet; below ``least_rate``, and in fewer than
+    ``least_gain`` such texts, none is taken. A weight is the logarithm of the rate. Words of copies of a covered text
+    gain nothing, so texts don't teach their own vocabulary. Below a chosen
+    stem, longer forms that are more telling still count besides, and given terms are weighed by their rates where that is
+    more. Without labels of both kinds: the given terms."""
     base = Lexicon()
     texts: dict[str, tuple[str, int]] = {}
-    for text, y in training_rows(docs, labels, "toxic", rows, chars):
+    for text, y in labelled:
         texts.setdefault(fold(text), (text, y))
     seen = {text: y for text, y in texts.values()}  # one of those that fold alike
     toxic = {i: t for i, (t, y) in enumerate(seen.items()) if y == 1}
     n_clean = sum(y == 0 for y in seen.values())
     if not toxic or not n_clean:
         return base
-    counted = Counter(w for t in toxic.values() for w in keys(t))
+    holders: defaultdict[str, set[int]] = defaultdict(set)
+    counted = Counter(w for t in toxic.values() for w in shares(t))
     frequent = {w for w, n in counted.items() if n >= least_gain}
     del counted
-    holders: defaultdict[str, set[int]] = defaultdict(set)
-    for i, t in toxic.items():
-        for w in keys(t) & frequent:
-            holders[w].add(i)
-    clean = Counter(w for t, y in seen.items() if y == 0 for w in keys(t) & holders.keys())
-    weights = dict(base.weights)
-    rate = {w: (len(h) + 0.5) / (len(toxic) + 1) / ((clean[w] + 0.5) / (n_clean + 1)) for w, h in holders.items()}
+    bad, good = Counter(), Counter()
+    for i, (t, y) in enumerate(seen.items()):
+        for w, share in shares(t).items():
+            if w in frequent:
+                (bad if y else good)[w] += share
+                if y:
+                    holders[w].add(i)
+    # half a text with the usual share is added to both kinds
+    half = {w: 0.5 * bad[w] / len(h) for w, h in holders.items()}
+    rate = {w: (bad[w] + half[w]) / (len(toxic) + 1) / ((good[w] + half[w]) / (n_clean + 1)) for w in holders}
     able = {w: h for w, h in holders.items() if rate[w] >= least_rate}
+    weights = {w: max(weight, min(3.0, math.log10(rate[w]))) if w in able else weight for w, weight in base.weights.items()}
     left = set(toxic)
     while able:
-        best = max(able, key=lambda w: (len(able[w] & left), len(able[w]), "*" not in w, len(w), w))
-        if len(able[best] & left) < least_gain:
+        gain = {w: len(h & left) for w, h in able.items()}
+        able = {w: able[w] for w, n in gain.items() if n >= least_gain}  # gains only fall
+        if not able:
             break
+        best = max(able, key=lambda w: (gain[w] * math.log(rate[w]), len(able[w]), "*" not in w, len(w), w))
         left -= able.pop(best)
         weights[best] = min(3.0, math.log10(rate[best]))
         stem = best.rstrip("*") if best.endswith("*") else None
-        for w in [w for w in able if stem and w.startswith(stem) and len(able[w]) >= least_gain and rate[w] >= 4 * rate[best]]:
+        for w in [w for w in holders if stem and w != best and w.startswith(stem) and rate[w] >= 4 * rate[best]]:
             weights[w] = min(3.0, math.log10(rate[w]))
     lexicon = Lexicon(weights, base.exceptions)
     x = np.array([[1.0, *lexicon.features(t)[:2]] for t in seen])

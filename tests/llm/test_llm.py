@@ -638,13 +638,16 @@ def test_many_exceptions_take_no_square_of_time():
     assert len(toxicity.Lexicon().hits("trash can stupid " * 60_000)) == 60_000
 
 
-@pytest.mark.parametrize(("text", "n"), [("knot stupid", 1), ("not stupid", 0), ("not stupid stupid", 1), ("a class clown, a clown", 1)])
-def test_exception_phrases_begin_with_a_word(text, n):
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [("knot stupid", 1), ("not stupid", 0), ("not stupid stupid", 1), ("a class clown, a clown", 1), ("trash candidate", 1), ("you trash canine", 1), ("trash cans", 0), ("a fire retard.", 0), ("fire retardant", 0)],
+)
+def test_exception_phrases_begin_and_end_with_a_word(text, n):
     assert len(toxicity.Lexicon().hits(text)) == n
 
 
 def test_words_are_learned_without_the_signs_around_them():
-    assert {"worthless", "idiot", "trash"} <= toxicity.keys("Worthless! (1d10t) +tra$h+") and "worthlessi" not in toxicity.keys("worthless!")
+    assert {"worthless", "idiot", "trash", "wort*"} <= toxicity.shares("Worthless! (1d10t) +tra$h+").keys() and "worthlessi" not in toxicity.shares("worthless!")
 
 
 def test_training_rows_are_bounded_and_the_same(spark):
@@ -655,6 +658,38 @@ def test_training_rows_are_bounded_and_the_same(spark):
     assert len(rows) == len(free) and {y for _, y in rows} == {1}
     assert rows == toxicity.training_rows(docs.repartition(7), labels.repartition(3), "toxic", 10, 1000)
     assert len(toxicity.training_rows(docs, labels, "toxic", 2, 1000)) == 2
+    size = max(len(text.encode()) for text, _ in rows)
+    few = toxicity.training_rows(docs, labels, "toxic", 10, 1000, most_bytes=3 * size)
+    assert 2 <= len(few) <= 4 and set(few) <= set(rows)
+    assert toxicity.training_rows(docs, labels, "toxic", 10, 1000, most_bytes=1) == []
+
+
+def test_stems_that_clean_texts_have_now_and_then_are_learned():
+    """Half of the clean texts have a form of the stem once, toxic ones in each fiftieth word; the ends vary."""
+    forms = lambda i, n: " ".join(f"grumb{'abcdefghijklmnop'[(i * 7 + k) % 16]}l" for k in range(n))
+    rows = [(f"{prose(i, 300)} {forms(i, 6) if i % 8 == 0 else forms(i, 1) if i % 2 else ''}", int(i % 8 == 0)) for i in range(480)]
+    lexicon = toxicity.lexicon_of(rows[:320])
+    found = [lexicon.score(lexicon.features(text)) >= 0.7 for text, _ in rows[320:]]
+    assert found == [y == 1 for _, y in rows[320:]]
+
+
+LARGER = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not LARGER.exists(), reason="no test data")
+def test_held_out_toxic_documents_are_found(spark):
+    """Of the labelled rows that are missed, nearly all hold no word of any toxic text: they are junk under a toxic label, which no
+    lexicon can find. AUC is thus judged over the others."""
+    docs, labels = (llm.table(spark, str(LARGER), n) for n in ("documents", "labels"))
+    lexicon = toxicity.fit_lexicon(docs, labels)
+    rows = toxicity.score_toxicity(docs, lexicon).join(labels.where("toxic is not null"), "doc_id").where(common.held_out("doc_id")).collect()
+    bad, good = [[r for r in rows if r["toxic"] == y] for y in (1, 0)]
+    assert np.mean([r["predicted"] for r in bad]) >= 0.9 and np.mean([r["predicted"] for r in good]) < 0.005
+    told = [r["score"] for r in bad if r["n_hits"]]
+    assert len(told) >= 0.93 * len(bad)
+    clean = np.sort([r["score"] for r in good])
+    auc = np.mean((np.searchsorted(clean, told) + np.searchsorted(clean, told, "right")) / 2 / len(clean))
+    assert auc > 0.99
 
 
 def test_lexicon_is_learned_from_rows_that_are_not_held_out(spark):
