@@ -117,7 +117,7 @@ def merged_buckets(final: DataFrame) -> DataFrame:
     votes = final.join(lead, "fp").groupBy("path", "lead").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("path").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
     label = chosen.select("path", F.when(2 * F.col("most") >= F.col("all"), F.col("lead")).otherwise(F.col("path")).alias("bucket"))
-    return final.join(label, "path").select("bucket", "fp").distinct()
+    return common.lookup(final, label, "path", common.hot_values(final, "path")).select("bucket", "fp").distinct()
 
 
 def dealt_blocks(merged: DataFrame, reps: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def dealt_blocks(merged: DataFrame, reps: DataFrame) -> DataFrame:
     sizes = merged.join(reps.select("fp", "tokens"), "fp").groupBy("bucket").agg(F.count(F.lit(1)).alias("sets"), F.sum("tokens").alias("tokens"))
     count = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     side = F.pmod(F.xxhash64("fp", "bucket"), count).cast("int")
-    dealt = merged.join(sizes, "bucket").select("bucket", "fp", side.alias("side"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    dealt = common.lookup(merged, sizes, "bucket", common.hot_values(merged, "bucket")).select("bucket", "fp", side.alias("side"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     return dealt.select("bucket", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
 
 
@@ -262,10 +262,12 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: flo
     # from is the first row with the set, of which the text is taken: texts of one set may differ
     reps = common.written(made.agg(F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "h")).alias("from"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths")), "sets")
     met = sized(reps.select(F.explode("paths").alias("path"), "fp"), "met")
-    wanted = common.written(met.select("fp").distinct().join(reps.select("fp", "from"), "fp").select("fp", F.col("from.doc").alias("from_doc"), F.col("from.h").alias("h")), "wanted")
-    near = common.Filter(wanted, "h").split(rows, "h")[0]
-    fetched = common.small_or_shuffled(wanted).join(near, (F.col("from_doc").eqNullSafe(F.col("doc"))) & (wanted["h"] == near["h"])).select("fp", "text")
-    texts = common.written(fetched.groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    key = ["unnamed", "doc", "h"]  # equal also where there is no id
+    named = lambda doc, h: (doc.isNull().alias("unnamed"), F.coalesce(doc, F.lit(0)).alias("doc"), h.alias("h"), F.xxhash64(doc, h).alias("at"))
+    wanted = common.written(met.select("fp").distinct().join(reps.select("fp", "from"), "fp").select("fp", *named(F.col("from.doc"), F.col("from.h"))), "wanted")
+    near = common.Filter(wanted, "at").split(rows.select(*named(F.col("doc"), F.col("h")), "text"), "at")[0]
+    one = near.groupBy(key).agg(F.first("text").alias("text"))  # copies of a row are made one in the map tasks
+    texts = common.written(one.join(common.small_or_shuffled(wanted.drop("at")), key).select("fp", "text"), "texts")
     final = common.written(final_buckets(met, texts, n), "final-buckets")
     merged = common.written(merged_buckets(final), "merged-buckets")
     met = common.written(dealt_blocks(merged, reps), "blocks")

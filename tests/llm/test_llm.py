@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from quillmere.llm import bpe, chat, common, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, shingles, substring_dedup, suffix_dedup, toxicity
 from quillmere.llm import queries as llm
+from quillmere.sources import scratch
 from tests.oracle import DATA, assert_same, connection, needs_data
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -351,6 +352,25 @@ def test_a_large_bucket_with_a_repeated_empty_id(spark, monkeypatch):
     assert sorted(r["n_links"] for r in got) == [0] * 40 + [39] * 40 and sum(r["kept"] for r in got) == 41
 
 
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_copies_without_an_id_and_hot_buckets_are_no_single_tasks(spark, monkeypatch, few):
+    """A third of the rows is one text without an id, and most sets are near copies; with small buckets and blocks, and with
+    the wanted texts shuffled or broadcast the result is that of brute force."""
+    monkeypatch.setattr(scratch, "FEW_ROWS", few)
+    monkeypatch.setattr(ngram_join, "LIMIT", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    words = prose(41, 120).split()
+    near = [(i, " ".join([*words[: 100 + i % 7], f"end{i}"])) for i in range(120)]
+    rows = [(None, prose(5, 60))] * 80 + near + [(900 + i, prose(60 + i, 40)) for i in range(40)]
+    sets = {frozenset(ngram_join.shingle_set(t, 5).tolist()) for _, t in rows}
+    links = {s: sum(s != o and len(s & o) >= 0.8 * len(s | o) for o in sets) for s in sets}
+    got = ngram_join.ngram_join(table(spark, rows).repartition(6)).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 1 + 1 + 40 + 79  # rows that are the same in full all stay
+    wanted = {i: links[frozenset(ngram_join.shingle_set(t, 5).tolist())] for i, t in rows}
+    assert {r["doc_id"]: r["n_links"] for r in got} == wanted
+    assert {r["class_id"] for r in got if r["doc_id"] is not None and r["doc_id"] < 120} == {0}
+
+
 def test_long_sets_are_sampled_from_in_parts(monkeypatch):
     tokens, seeds = np.arange(1000, dtype=np.uint64), np.arange(7, dtype=np.uint64)
     whole = [x.tolist() for x in ngram_join.sampled(tokens, seeds, 50)]
