@@ -506,6 +506,32 @@ def test_fuzzy_passages_are_found(spark):
     assert np.mean([abs(got[i] - n) <= 0.1 * n for i, n in wanted.items()]) >= 0.9
 
 
+def test_fuzzy_passages_are_found_whose_parts_come_first_elsewhere(spark):
+    """Parts of 13 words of each passage occur earlier, each in another document, and of some again in between."""
+    rows, wanted = [], {}
+    for i in range(40):
+        passage = prose(3500 + i, 100).split()
+        words = [f"new{k}" if k % 14 == 7 else w for k, w in enumerate(passage)]
+        for n, k in enumerate(range(0, 100, 13)):
+            rows.append((1000 * i + n, f"{prose(20_000 + 100 * i + n, 30)} {' '.join(passage[k : k + 13])} {prose(30_000 + 100 * i + n, 30)}"))
+        rows += [(1000 * i + 500, f"{prose(3600 + i, 50)} {' '.join(passage)} {prose(3700 + i, 50)}"), (1000 * i + 501, f"{prose(3800 + i, 50)} {' '.join(words)} {prose(3900 + i, 50)}")]
+        wanted[1000 * i + 501] = 100
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert not any(n for i, n in got.items() if i not in wanted)
+    assert np.mean([abs(got[i] - n) <= 0.1 * n for i, n in wanted.items()]) >= 0.9
+
+
+def test_matches_with_the_row_before_add_nothing_where_a_chain_is_dense():
+    """Many near copies of one text: each is chained with the first one only."""
+    at = np.arange(0, 200, 6) << substring_dedup.AT
+    key = np.repeat(np.arange(1, 6), len(at) + 1)
+    place = np.tile([*at, -1 - 220], 5)
+    ref_place = np.where(place < 0, 0, place)
+    found = substring_dedup.found_in(key, place, np.zeros_like(key), ref_place, np.where(key > 1, key - 1, key), ref_place, 50, 28)
+    assert sorted((k, r) for k, r, *_ in found) == [(k, 0) for k in range(1, 6)]
+    assert substring_dedup.dense([0, 30, 60], [0, 30, 60], 50) == [] and substring_dedup.dense([0, 6, 12, 60, 100], [0, 6, 12, 60, 100], 50) == []
+
+
 def test_copies_of_a_row_are_one_document(spark):
     rows = [(1, f"{prose(1, 60)} {prose(2, 60)}")] * 60 + [(2, f"{prose(3, 60)} {prose(2, 60)}")] * 60 + [(2, prose(4, 70)), (None, prose(2, 60)), ((1 << 63) - 1, prose(4, 70))]
     got = substring_dedup.substring_dedup(table(spark, rows)).collect()
