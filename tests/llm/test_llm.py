@@ -9,6 +9,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -521,6 +522,23 @@ def test_fuzzy_passages_are_found_whose_parts_come_first_elsewhere(spark):
     assert np.mean([abs(got[i] - n) <= 0.1 * n for i, n in wanted.items()]) >= 0.9
 
 
+@given(st.lists(st.tuples(st.integers(-2, 3), st.integers(0, 4), st.integers(0, 6)), unique=True), st.integers(1, 5), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_first_rows_and_rows_before_are_those_of_the_whole_order(rows, size, own):
+    rows = sorted(rows)
+    wanted = []
+    for i, (seed, key, place) in enumerate(rows):
+        same = [r for r in rows if r[0] == seed]
+        first, at = same[0], same.index(rows[i])
+        if at or (own and place % 2 and len(same) > 1):
+            before = same[at - 1] if at and same[at - 1][1] not in (first[1], key) else (seed, key, 0)
+            wanted.append((key, place, first[1], first[2], before[1], before[2]))
+    columns = [np.array([r[c] for r in rows], np.int64) for c in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], names=["seed", "key", "place"]) for i in range(0, len(rows) + 1, size)]
+    got = [r for b in substring_dedup.of_ordered(iter(batches), own) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == wanted
+
+
 def test_matches_with_the_row_before_add_nothing_where_a_chain_is_dense():
     """Many near copies of one text: each is chained with the first one only."""
     at = np.arange(0, 200, 6) << substring_dedup.AT
