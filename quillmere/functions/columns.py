@@ -116,8 +116,12 @@ def line_count(text: Column) -> Column:
     return (n + F.when(text.endswith("\n") | (text == ""), 0).otherwise(1)).cast("long")
 
 
+def has_nul(content: Column) -> Column:
+    return F.position(F.lit(b"\x00"), content) > 0
+
+
 def looks_binary(content: Column) -> Column:
-    return F.position(F.lit(b"\x00"), F.substring(content, 1, 4096)) > 0
+    return has_nul(F.substring(content, 1, 4096))
 
 
 def python_module(path: Column) -> Column:

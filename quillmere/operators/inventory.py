@@ -18,11 +18,13 @@ def not_ignored(path: Column, names: Sequence[str] = catalogs.IGNORED_DIRS) -> C
     return ~F.arrays_overlap(F.transform(C.directories(path), F.lower), F.array(*map(F.lit, names)))
 
 
-def stats(files: DataFrame, group: Column, text: str = "text", max_bytes: int | None = None) -> DataFrame:
-    """group, file_count, line_count, byte_count of the files that are measured; oversized, binary_files counted apart."""
+def stats(files: DataFrame, group: Column, text: str = "text", max_bytes: int | None = None, characters: bool = False) -> DataFrame:
+    """group, file_count, line_count, byte_count of the files that are measured; oversized, binary_files counted apart. A file is
+    binary by a NUL in its first 4096 bytes; with ``characters``, in as many characters of its text."""
     size = F.octet_length(text)
     oversized = size > max_bytes if max_bytes else F.lit(False)
-    binary = ~oversized & C.looks_binary(F.col(text).cast("binary"))
+    sniffed = F.substring(text, 1, 4096).cast("binary") if characters else F.substring(F.col(text).cast("binary"), 1, 4096)
+    binary = ~oversized & C.has_nul(sniffed)
     measured = ~oversized & ~binary
     rows = files.where(F.col(text).isNotNull()).select(group.alias("group"), size.alias("size"), oversized.alias("oversized"), binary.alias("binary"), F.when(measured, C.line_count(F.col(text))).alias("lines"))
     ok = F.col("lines").isNotNull()

@@ -453,3 +453,10 @@ def test_a_deep_tree_is_walked_in_parts(spark, tmp_path, monkeypatch):
         rows = [r for p in parts.partitions() for r in parts.read(p)]
         assert len(rows) == len(set(rows)) == 3 + 12 + 12 + 12 + 1 and all(r[5] == "ok" for r in rows)
         assert walks > 12 or len(parts.partitions()) >= walks
+
+
+def test_nul_behind_wide_characters(spark):
+    """A NUL behind 4096 bytes but within as many characters."""
+    files = docs(spark, "é" * 3000 + "\0")
+    assert inventory.stats(files, F.lit("x"), characters=True).first()["binary_files"] == 1
+    assert inventory.stats(files, F.lit("x")).first()["binary_files"] == 0
