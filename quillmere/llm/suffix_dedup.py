@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm import common
@@ -404,8 +404,8 @@ def merged_spans(runs: DataFrame) -> DataFrame:
 
 def later_windows(windows: DataFrame) -> DataFrame:
     """key, start, end of the windows (digest, key, start; each at most once a run) that aren't the first of their digest."""
-    first = windows.groupBy("digest").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, "digest").where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
+    ordered = Window.partitionBy("digest").orderBy("key", "start")  # a digest has a row a run at most, and each is read once
+    later = windows.withColumn("rank", F.rank().over(ordered)).where("rank > 1")
     return later.select("key", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
 
 

@@ -801,3 +801,12 @@ def test_native_queries_run_no_python(spark):
     for name in ("op2_chat_windows", "op10_exact_dedup"):
         plan = llm.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_later_windows_of_a_large_group_without_a_join(spark):
+    """A digest that every run has gives all its places but the first one, each read once."""
+    rows = [(b"a", key, start) for key in range(300) for start in (0, 5)] + [(b"b", 1, 7), (b"c", 2, 1), (b"c", 2, 0)]
+    later = suffix_dedup.later_windows(spark.createDataFrame(rows, "digest binary, key long, start int"))
+    assert "Join" not in later._jdf.queryExecution().optimizedPlan().toString()
+    wanted = sorted([(key, start, start + 100) for d, key, start in rows if d == b"a" and (key, start) != (0, 0)] + [(2, 1, 101)])
+    assert sorted(tuple(r) for r in later.collect()) == wanted
