@@ -76,13 +76,13 @@ def validation_plan(path: Column) -> Column:
 def dependency_consumers(changed: DataFrame, imports: DataFrame, path: str = "path") -> DataFrame:
     """changed_file, consumer: files of imports(file, target) whose target is the changed path, its stem path, its dotted
     name or its base name, or ends with one of these behind a slash or a dot. Targets are exploded into their endings,
-    so the join is on equal keys."""
+    so the join is on equal keys. Paths that are listed again are one from the start, so the join makes each pair once a needle."""
     p = F.col(path)
     bare = F.regexp_replace(p, r"\.[^./]*$", "")
     needles = F.array_distinct(F.array(p, bare, F.replace(bare, F.lit("/"), F.lit(".")), C.file_name(p), C.file_name(bare)))
-    wanted = changed.select(p.alias("changed_file"), F.explode(needles).alias("needle")).where("needle <> ''")
+    wanted = changed.select(p).distinct().select(p.alias("changed_file"), F.explode(needles).alias("needle")).where("needle <> ''")
     cuts = F.filter(F.sequence(F.lit(1), F.length("target")), lambda i: (i == 1) | F.substring(F.col("target"), i - 1, 1).isin("/", "."))
-    endings = imports.where("target <> ''").select("file", F.explode(F.transform(cuts, lambda i: F.substring(F.col("target"), i, F.length("target")))).alias("needle")).distinct()
+    endings = imports.where("target <> ''").select("file", "target").distinct().select("file", F.explode(F.transform(cuts, lambda i: F.substring(F.col("target"), i, F.length("target")))).alias("needle")).distinct()
     return wanted.join(endings, "needle").select("changed_file", F.col("file").alias("consumer")).where("changed_file <> consumer").distinct()
 
 

@@ -460,3 +460,13 @@ def test_nul_behind_wide_characters(spark):
     files = docs(spark, "é" * 3000 + "\0")
     assert inventory.stats(files, F.lit("x"), characters=True).first()["binary_files"] == 1
     assert inventory.stats(files, F.lit("x")).first()["binary_files"] == 0
+
+
+def test_paths_listed_again_are_joined_once(spark):
+    """Copies of paths and imports are one before the join, which their numbers would multiply."""
+    paths = spark.createDataFrame([("a/b.py",)] * 30 + [("c.py",)], "path string")
+    imports = spark.createDataFrame([("c.py", "a.b")] * 30 + [("a/b.py", "b.py")], "file string, target string")
+    found = changes.dependency_consumers(paths, imports)
+    assert sorted(tuple(r) for r in found.collect()) == [("a/b.py", "c.py")]
+    joined = found._jdf.queryExecution().optimizedPlan().toString().partition("Join")[2]
+    assert joined.count("Aggregate [") == 3  # the paths, the imports and their endings
