@@ -625,7 +625,7 @@ SOURCE = "concat('import os, a.b as c', chr(10), 'from pkg.', lower(p_type), ' i
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("concat('m/f', CAST(p_partkey AS STRING), '.py') AS path", f"{SOURCE} AS text")
+    return _many_parts(spark, sf_dir).selectExpr("concat('m/f', CAST(p_partkey AS STRING), '.py') AS path", f"{SOURCE} AS text")
 
 
 @query("SELECT concat('m/f', p_partkey, '.py') AS file, 3 AS line, CASE p_partkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'async_func' ELSE 'func' END AS kind, replace(p_name, ' ', '_') AS name FROM part")
@@ -680,6 +680,16 @@ def structural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Parts that a task makes sources of.
+PARTS_EACH = 5000
+
+
+def _many_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt over tasks by their number: a few bytes each, they would be read in few tasks, which then parse long texts."""
+    part = table(spark, sf_dir, "part")
+    return part.repartition(max(1, -(-part.count() // PARTS_EACH)))
+
+
 #: Go sources with declarations in comments, raw strings and bodies, which are none.
 GO_LINES = "'// package no', 'package p_' || {0}, 'import (', '  /* \"no/comment\" */ \"fmt\"; y `a.org/' || {0} || '`', ')', '/*', 'func InComment() {{', '*/', 'var text = `', 'type InText struct {{', 'import \"no/text\"', '`', 'type (', '  A_' || {0} || ' struct {{ f func() }}', '  B[T any] = []T', ')', 'func (x *A) Do_' || {0} || '(a int) {{ type inner int; s := \"}}//\"; _ = s', CASE p_partkey % 5 WHEN 0 THEN '(' ELSE '' END, '}}'"
 
@@ -689,7 +699,7 @@ GO_LINES = "'// package no', 'package p_' || {0}, 'import (', '  /* \"no/comment
     " CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'a.org/' || {0} || ',fmt' END AS imports FROM part".format(NAME_OF)
 )
 def go_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files_ = table(spark, sf_dir, "part").selectExpr("concat('m/f', CAST(p_partkey AS STRING), '.go') AS path", f"concat_ws('\n', {GO_LINES.format(NAME_OF)}) AS text")
+    files_ = _many_parts(spark, sf_dir).selectExpr("concat('m/f', CAST(p_partkey AS STRING), '.go') AS path", f"concat_ws('\n', {GO_LINES.format(NAME_OF)}) AS text")
     told = F.transform("symbols", lambda s: F.concat_ws(" ", s["kind"], s["name"], s["line"]))
     return code.go_syntax(files_).select("file", "status", F.array_join(told, ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
 
@@ -1141,7 +1151,7 @@ LANGUAGES = {
 def _sources_of(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     ext, lines = LANGUAGES[language][:2]
     lines = lines.format(NAME_OF).replace("\\", "\\\\")
-    return table(spark, sf_dir, "part").selectExpr(f"concat('m/f', CAST(p_partkey AS STRING), '.{ext}') AS path", f"concat_ws('\n', {lines}) AS text")
+    return _many_parts(spark, sf_dir).selectExpr(f"concat('m/f', CAST(p_partkey AS STRING), '.{ext}') AS path", f"concat_ws('\n', {lines}) AS text")
 
 
 def _languages_sql(symbols: bool) -> str:

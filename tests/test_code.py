@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillmere.operators import code
+from quillmere.plans import queries as core
+from tests.oracle import DATA, needs_data
 
 
 def matches(spark, pattern, *sources, **how):
@@ -115,3 +117,11 @@ def test_go_sources_on_spark(spark):
     got = {r["file"]: (r["status"], [(s["name"], s["line"]) for s in r["symbols"]], r["imports"]) for r in code.go_syntax(files).collect()}
     assert set(got) >= {"a.go", "b.go"} and "c.py" not in got and got["b.go"] == ("parse_failed", [], []) and len(got["a.go"][1]) == 7
     assert got.get("d.GO", ("ok", [("p", 1), ("T", 3)], [])) == ("ok", [("p", 1), ("T", 3)], [])
+
+
+@needs_data
+def test_parts_are_dealt_over_tasks(spark, monkeypatch):
+    """Rows of a few bytes, read in one task, are parsed in many."""
+    monkeypatch.setattr(core, "PARTS_EACH", 50)
+    n = core.table(spark, str(DATA), "part").count()
+    assert core._many_parts(spark, str(DATA)).rdd.getNumPartitions() == -(-n // 50) > 1
