@@ -45,13 +45,13 @@ def literally(term: str) -> str:
 
 
 def any_term(lowered: Column, terms: Iterable[str]) -> Column:
-    """Whether one of the terms is there: with ASCII word bounds (spelled out, without look-around) if it is of ASCII
-    characters, all of these by one pattern; else anywhere."""
-    terms = list(terms)
-    bounded = [literally(t) for t in terms if t.isascii()]
-    found = [lowered.contains(t) for t in terms if not t.isascii()]
-    if bounded:
-        found.insert(0, lowered.rlike(f"(^|[^a-z0-9_])({'|'.join(bounded)})([^a-z0-9_]|$)"))
+    """Whether one of the terms is there: with ASCII word bounds if it is of ASCII characters, else anywhere. A pattern begins
+    with its term and looks behind from the term's end, so at all other places its first character already fails; a text
+    that doesn't contain the term isn't searched by it."""
+    found = []
+    for t in terms:
+        bounded = f"{literally(t)}(?<![a-z0-9_]{literally(t)})(?![a-z0-9_])"
+        found.append(lowered.contains(t) & lowered.rlike(bounded) if t.isascii() else lowered.contains(t))
     return any_of(found)
 
 

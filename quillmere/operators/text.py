@@ -134,8 +134,8 @@ def sections(docs: DataFrame, terms: Mapping[str, Sequence[str]] = catalogs.SECT
 
 def stop_check(docs: DataFrame, terms: Mapping[str, Sequence[str]] = catalogs.STOP_TERMS, required: Sequence[str] = catalogs.STOP_REQUIRED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, has_<name> for each check, missing_required, stop_exploring."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    checks = docs.select(F.col(key).alias("key"), *(C.any_term(low, ts).alias(f"has_{name}") for name, ts in terms.items()))
+    lowered = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))  # once, for all checks
+    checks = lowered.select("key", *(C.any_term(F.col("low"), ts).alias(f"has_{name}") for name, ts in terms.items()))
     missing = F.filter(F.array(*(F.when(~F.col(f"has_{r}"), F.lit(r)) for r in required)), lambda x: x.isNotNull())
     return checks.withColumn("missing_required", missing).withColumn("stop_exploring", F.size("missing_required") == 0)
 

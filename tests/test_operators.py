@@ -470,3 +470,13 @@ def test_paths_listed_again_are_joined_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a/b.py", "c.py")]
     joined = found._jdf.queryExecution().optimizedPlan().toString().partition("Join")[2]
     assert joined.count("Aggregate [") == 3  # the paths, the imports and their endings
+
+
+def test_terms_are_sought_from_their_first_character(spark):
+    """As by the pattern with spelled out bounds; a text is lower-cased once for all checks."""
+    texts = ["", "the", "The x", "thethe the", "_the the_", "a the\n", "é the é", "9the the9", "atheb", "c++ x", "xc++", "c++9 c++", "目的地", "le les", "the\u2028"]
+    terms = {"a": ("the", "c++"), "b": ("les", "目的"), "c": ("the",)}
+    found = text.stop_check(docs(spark, *texts), terms, ("a",))
+    spelled = lambda t, ts: any(re.search(f"(^|[^a-z0-9_]){re.escape(x)}([^a-z0-9_]|$)", t.lower()) if x.isascii() else x in t for x in ts)
+    assert {r["key"]: (r["has_a"], r["has_b"], r["has_c"]) for r in found.collect()} == {i: tuple(bool(spelled(t, ts)) for ts in terms.values()) for i, t in enumerate(texts)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
