@@ -133,12 +133,15 @@ def hot_values(rows: DataFrame, key: str, most: int = HOT) -> DataFrame:
     return rows.sparkSession.createDataFrame([(v,) for v in hot_list(rows, key, most)], rows.select(key).schema)
 
 
-def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, key: str, hot: list) -> DataFrame:
     """rows joined with facts, of which a key has one row. Rows of the hot keys (fewer than HOT) stay where they are, as
-    their facts are broadcast; only the others are shuffled, so no task gets a third of all rows."""
-    few = F.broadcast(hot)
-    apart = rows.join(few, key, "left_semi").join(F.broadcast(facts.join(few, key, "left_semi")), key)
-    return rows.join(few, key, "left_anti").join(facts, key).unionByName(apart)
+    their facts are broadcast; only the others are shuffled, so no task gets a third of all rows. The hot keys are told by a
+    filter, not by a join; a null key has no facts."""
+    if not hot:
+        return rows.join(facts, key)
+    is_hot = F.col(key).isin(hot)
+    apart = rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key)
+    return rows.where(~is_hot).join(facts, key).unionByName(apart)
 
 
 def spread(rows: DataFrame, large: DataFrame, key: str, large_key: str, hot: DataFrame, by: str) -> DataFrame:
@@ -165,7 +168,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         outward = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        large = lookup(outward, least, "a", hot_values(outward, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = lookup(outward, least, "a", hot_list(outward, "a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")

@@ -99,7 +99,7 @@ def deeper(large: DataFrame, texts: DataFrame, n: int, rate: float) -> DataFrame
 def sized(rows: DataFrame, name: str) -> DataFrame:
     """Rows (path, fp, ...) of buckets with two or more sets, with their size; rows is made of a written table."""
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return common.written(common.lookup(rows, counts, "path", common.hot_values(rows, "path")), name)
+    return common.written(common.lookup(rows, counts, "path", common.hot_list(rows, "path")), name)
 
 
 def final_buckets(met: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -117,7 +117,7 @@ def merged_buckets(final: DataFrame) -> DataFrame:
     votes = final.join(lead, "fp").groupBy("path", "lead").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("path").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
     label = chosen.select("path", F.when(2 * F.col("most") >= F.col("all"), F.col("lead")).otherwise(F.col("path")).alias("bucket"))
-    return common.lookup(final, label, "path", common.hot_values(final, "path")).select("bucket", "fp").distinct()
+    return common.lookup(final, label, "path", common.hot_list(final, "path")).select("bucket", "fp").distinct()
 
 
 def dealt_blocks(merged: DataFrame, reps: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def dealt_blocks(merged: DataFrame, reps: DataFrame) -> DataFrame:
     sizes = merged.join(reps.select("fp", "tokens"), "fp").groupBy("bucket").agg(F.count(F.lit(1)).alias("sets"), F.sum("tokens").alias("tokens"))
     count = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     side = F.pmod(F.xxhash64("fp", "bucket"), count).cast("int")
-    dealt = common.lookup(merged, sizes, "bucket", common.hot_values(merged, "bucket")).select("bucket", "fp", side.alias("side"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    dealt = common.lookup(merged, sizes, "bucket", common.hot_list(merged, "bucket")).select("bucket", "fp", side.alias("side"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     return dealt.select("bucket", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
 
 
@@ -280,7 +280,7 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: flo
     named = named.select("fp", "from", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     named = common.written(named.where("copies > 1 or links > 0"), "named")
     lowest = named.groupBy("root").agg(F.min("from").alias("class"))
-    named = common.lookup(named, lowest, "root", common.hot_values(named, "root")).select("fp", "class", "links", "copies")
+    named = common.lookup(named, lowest, "root", common.hot_list(named, "root")).select("fp", "class", "links", "copies")
     plain = drawn.select("doc", "h", "fp", common.salt_of("doc", "h").alias("salt"))
     known = plain.join(common.salted(named), ["fp", "salt"], "left")
     return known.select(

@@ -254,8 +254,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = common.written(common.components(common.written(links(own, radius, shard), "links")).select(F.col("node").alias("fp"), "root"), "roots")
     named = common.written(own.join(roots, "fp").select("fp", "root", "first"), "linked-fingerprints")
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    linked_ = common.lookup(named.select("fp", "root"), least, "root", common.hot_values(named, "root")).select("fp", "component")
+    linked_ = common.lookup(named.select("fp", "root"), least, "root", common.hot_list(named, "root")).select("fp", "component")
     alone = own.join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component"))
     facts = common.written(alone.unionByName(linked_), "components")
-    found = common.lookup(rows, facts, "fp", common.hot_values(rows, "fp"))
+    found = common.lookup(rows, facts, "fp", common.hot_list(rows, "fp"))
     return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

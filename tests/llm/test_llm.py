@@ -810,3 +810,19 @@ def test_later_windows_of_a_large_group_without_a_join(spark):
     assert "Join" not in later._jdf.queryExecution().optimizedPlan().toString()
     wanted = sorted([(key, start, start + 100) for d, key, start in rows if d == b"a" and (key, start) != (0, 0)] + [(2, 1, 101)])
     assert sorted(tuple(r) for r in later.collect()) == wanted
+
+
+@pytest.mark.parametrize("of", [lambda i: i, lambda i: i.to_bytes(8, "big")])
+def test_lookup_tells_hot_keys_by_a_filter(spark, of):
+    """Rows of very frequent keys, long or binary, and of null and rare ones, are looked up without a semi-join."""
+    rows = [(of(1), i) for i in range(150)] + [(of(2 + i % 30), i) for i in range(60)] + [(None, 0), (of(99), 0)]
+    kind = "binary" if isinstance(rows[0][0], bytes) else "long"
+    table_ = common.written(spark.createDataFrame(rows, f"k {kind}, v long"), "rows")
+    facts = common.written(spark.createDataFrame([(of(i), 7 * i) for i in range(40)], f"k {kind}, fact long"), "facts")
+    hot = common.hot_list(table_, "k")
+    assert len(hot) == 1
+    found = common.lookup(table_, facts, "k", hot)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+    got = sorted((bytes(k) if kind == "binary" else k, v, fact) for k, v, fact in found.collect())
+    assert got == sorted((k, v, 7 * n) for (k, v) in rows if k is not None for n in range(40) if of(n) == k)
