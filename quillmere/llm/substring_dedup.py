@@ -15,6 +15,11 @@ about half of min_words words, winnowed so that any min_words words in a row hol
 occur, this seed occurs. Of a seed that occurs more than once, all windows of min_words words around its places are
 matched with their own first occurrence, but those of which it is known that an earlier document has them word by word.
 So every exact passage of min_words words is found, whatever its seeds are matched with.
+
+What is left are seeds in words that aren't removed, whose partners are neither the first row nor the row before. A chain has
+two of them, least_span words apart; so all pairs of such seeds of a text are joined with the same pairs of all earlier texts,
+and their matches are chained and aligned too. No partner is left out, however many rows a seed has, and a seed that
+very many rows have makes no rows by itself. Texts that are equal in full need no seeds: all but the first are removed.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ GAP = 0.1
 DROP = 12
 #: Of the seeds of a stretch of equal words the share that a chain has where its alignment is sure to hold: no more is asked there.
 DENSE = 0.6
+#: Words between two seeds of a pair at most: four seeds in a row pay for a gap that is as long in both texts.
+FAR = 100
 #: A place is the number of a word, above what else is told of it: of a seed whether it is a long one.
 AT = 32
 
@@ -163,7 +170,7 @@ def with_first(seeds_: DataFrame, own: bool = False) -> DataFrame:
             at = np.searchsorted(known[0], seed)
             ref, ref_place = known[1][at], known[2][at]
             kept = (ref != key) | (ref_place != place) | ((place & 1 == 1) if own else False)
-            columns = key, place, ref, ref_place, key, np.zeros(len(key), np.int64)
+            columns = key, place, ref, ref_place, key, np.zeros(len(key), np.int64)  # the other partners are found by pairs
             yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=MATCH)
 
     return both.unionByName(hot.select("key", "seed", "place").mapInArrow(run, schema))
@@ -213,9 +220,11 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
     return out
 
 
-#: A chain, or with a null ref first and last starts of the windows to match, or with the words -1 passages by start and end.
+#: A chain, or with a null ref first and last starts of the windows to match, or with the words -1 passages by start and end, or
+#: with the words LEFT places of seeds that no passage covers so far.
 FOUND = "key long, ref long, words int, xs array<int>, ys array<int>"
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+LEFT = -2
 
 
 def handed(out: list[tuple]) -> pa.RecordBatch:
@@ -322,6 +331,10 @@ def found_in(key: np.ndarray, place: np.ndarray, ref: np.ndarray, ref_place: np.
     made = list(paired(*first, least_span))
     for k, _, xs, ys in made:
         covered.setdefault(k, []).extend(dense(xs, ys, min_words))
+    left = other.copy()
+    left[left] = ~inside(key[left], x[left], covered)
+    for i, j in zip(*grouped(key[left]), strict=True) if left.any() else ():
+        out.append((int(key[left][i]), int(key[left][i]), LEFT, np.unique(x[left][i:j]).tolist(), []))
     second = (prev != key) & ~is_long
     second[second] = ~inside(key[second], x[second], covered)
     if second.any():
@@ -364,6 +377,100 @@ def chained(matches: DataFrame, min_words: int, least_span: int) -> DataFrame:
     return matches.mapInArrow(run, FOUND)
 
 
+def left_seeds(rows: DataFrame) -> DataFrame:
+    """key, seed, place of the seeds at the words xs of rows (key, text, xs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches, text=1):
+            counts, found, places = [], [], []
+            for text, xs in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                at = np.array(xs, np.int64)
+                counts.append(len(at))
+                found.append(rolled(word_numbers(text), K)[at])
+                places.append(at << AT)
+            yield numbers(batch.column(0), counts, found, places)
+
+    return rows.mapInArrow(run, "key long, seed long, place long")
+
+
+def one_a_stretch(columns: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """Of the rows (pair, key, both, is_left) of one pair and text that begin in the same ``least`` words the first, a left one if there is one."""
+    pair, key, both, is_left = columns
+    stretch = (both >> AT) // max(1, least)
+    order = np.lexsort((both, ~is_left, stretch, pair, key))
+    new = np.ones(len(key), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (key, pair, stretch)], axis=0)
+    return [c[order][new] for c in columns]
+
+
+def pairs_of(key: np.ndarray, seed: np.ndarray, x: np.ndarray, is_left: np.ndarray, least: int) -> pa.RecordBatch:
+    """pair, key, both (the first word above the second), is_left (of both) of the seeds of a text that are least to FAR words
+    apart; rows that are there twice count once, as left if one of them is. Of one pair that begins more than once in ``least`` words,
+which overlaps with itself and so is of a text that goes round, the first one counts."""
+    order = np.lexsort((~is_left, seed, x, key))
+    key, seed, x, is_left = (c[order] for c in (key, seed, x, is_left))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (seed[1:] != seed[:-1]) | (x[1:] != x[:-1])
+    key, seed, x, is_left = (c[new] for c in (key, seed, x, is_left))
+    made: list[list[np.ndarray]] = []
+    for step in range(1, len(key)):
+        same = key[step:] == key[:-step]
+        apart = np.where(same, x[step:] - x[:-step], FAR + 1)
+        if not (apart <= FAR).any():
+            break
+        i = np.flatnonzero((apart >= least) & (apart <= FAR))
+        pair = mixed(mixed(seed[i].view(np.uint64)) + ODD * seed[i + step].view(np.uint64)).view(np.int64)
+        made.append(one_a_stretch([pair, key[i], (x[i] << AT) | x[i + step], is_left[i] & is_left[i + step]], least))
+    columns = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [key[:0], key[:0], key[:0], is_left[:0]]
+    columns = one_a_stretch(columns, least)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "key", "both", "is_left"])
+
+
+def seed_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """pairs_of rows (key, seed, place, is_left), those of a key in one partition and together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, seed, place, is_left in whole_keys(batches):
+            yield pairs_of(key, seed, place >> AT, is_left.astype(bool), least)
+
+    return rows.mapInArrow(run, "pair long, key long, both long, is_left boolean")
+
+
+def chained_pairs(matches: DataFrame, least_span: int) -> DataFrame:
+    """FOUND, without a number of words, of rows (key, ref, both, ref_both), those of a key in one partition and together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = (1 << AT) - 1
+        for key, ref, both, ref_both in whole_keys(batches):
+            every = np.stack([np.tile(key, 2), np.tile(ref, 2), np.append(both >> AT, both & low), np.append(ref_both >> AT, ref_both & low)])
+            key, ref, x, y = np.unique(every, axis=1)
+            yield handed([(k, r, 0, xs, ys) for k, r, xs, ys in paired(key, ref, x, y, least_span)])
+        yield handed([])
+
+    return matches.mapInArrow(run, FOUND)
+
+
+def rest_of_chains(found: DataFrame, spans: DataFrame, seeds_: DataFrame, texts: DataFrame, least_span: int) -> DataFrame | None:
+    """FOUND of the chains of seeds in words that the passages spans (key, start, end) don't cover, with all earlier texts."""
+    gone = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    left = found.where(F.col("words") == LEFT).select("key", "xs").join(gone, "key", "left")
+    is_gone = lambda x: F.exists(F.col("spans"), lambda s: (s["start"] <= x) & (x + K <= s["end"]))
+    left = left.select("key", F.when(F.col("spans").isNull(), F.col("xs")).otherwise(F.filter("xs", lambda x: ~is_gone(x))).alias("xs"))
+    left = common.written(left.where(F.size("xs") > 1), "left")
+    if left.isEmpty():
+        return None
+    near = common.Filter(left, "key").split(texts, "key")[0].join(common.small_or_shuffled(left), "key").select("key", "text", "xs")
+    late = common.written(left_seeds(near), "left-seeds")
+    known = common.small_or_shuffled(common.written(late.select("seed").distinct(), "left-kinds"))
+    short = seeds_.where((F.col("place") >= 0) & (F.col("place").bitwiseAND(1) == 0)).join(known, "seed").select("key", "seed", "place")
+    every = short.withColumn("is_left", F.lit(False)).unionByName(late.withColumn("is_left", F.lit(True)))
+    pairs = common.written(seed_pairs(every.repartition("key").sortWithinPartitions("key"), least_span - K), "pairs")
+    asked = pairs.where("is_left").select("pair", "key", "both")
+    earlier = common.Filter(asked, "pair").split(pairs, "pair")[0].select("pair", F.col("key").alias("ref"), F.col("both").alias("ref_both"))
+    matches = asked.join(earlier, "pair").where("ref < key").select("key", "ref", "both", "ref_both")
+    return chained_pairs(matches.repartition("key").sortWithinPartitions("key"), least_span)
+
+
 def windows(rows: DataFrame, min_words: int) -> DataFrame:
     """key, seed, place of the windows of min_words words that begin between firsts and lasts, of rows (key, text, firsts,
     lasts); below the place is the number of the text's words."""
@@ -627,6 +734,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.written(distinct.orderBy(F.col("doc").asc_nulls_last(), "hash").select(F.monotonically_increasing_id().alias("key"), "doc", "text", "times"), "keyed")
 
 
+def copies_of(texts: DataFrame) -> DataFrame:
+    """key, ref: the rows (key, text) whose text a smaller key has too, each with the smallest such key."""
+    digests = common.written(texts.select("key", F.md5("text").alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.min("key").alias("ref"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return common.written(common.lookup(digests, first, "digest", common.hot_list(digests, "digest")).where("key <> ref").select("key", "ref"), "copies")
+
+
+def without(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows (key, text) that aren't copies."""
+    maybe, clean = common.Filter(copies, "key").split(texts, "key")
+    return clean.unionByName(maybe.join(common.small_or_shuffled(copies.select("key")), "key", "left_anti"))
+
+
 def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", least_span: int | None = None) -> DataFrame:
     """doc_id, n_words, spans array<struct<start, end>> (words), n_removed, ref_ids array<long>, kept_text, hash.
 
@@ -641,7 +761,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     least_span = max(K + 1, min_words - 2 * (WINDOW - 1)) if least_span is None else least_span
     rows = keyed(docs, id_col, text_col)
     texts = rows.select("key", "text")
-    seeds_ = common.written(seeds(texts, min_words), "seeds")
+    copies = copies_of(texts)
+    seeds_ = common.written(seeds(without(texts, copies), min_words), "seeds")
     sizes = seeds_.where("place < 0").select("key", "place", *(F.lit(0).cast("long").alias(c) for c in ("ref", "ref_place", "prev", "prev_place")))
     matches = with_first(seeds_.where("place >= 0"), own=True).unionByName(sizes)
     found = common.written(chained(matches.repartition("key").sortWithinPartitions("key"), min_words, least_span), "chains")
@@ -649,9 +770,16 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     around = common.Filter(asked, "key").split(texts, "key")[0].join(common.small_or_shuffled(asked), "key").select("key", "text", "firsts", "lasts")
     matched = with_first(common.written(windows(around, min_words), "windows")).where("ref <> key").select("key", "place", "ref", "ref_place")
     exact = segments(matched.repartition("key").sortWithinPartitions("key"), min_words)
-    known = found.where("words < 0").select("key", "ref", F.col("xs")[0].alias("start"), F.col("ys")[0].alias("end"))
+    known = found.where("words = -1").select("key", "ref", F.col("xs")[0].alias("start"), F.col("ys")[0].alias("end"))
     every = common.written(found.where("ref is not null and words >= 0"), "all-chains")
     spans = common.written(aligned(every, texts, min_words, similarity).unionByName(exact).unionByName(known), "passages")
+    counts = seeds_.where("place < 0").select("key", (-1 - F.col("place")).cast("int").alias("n"))
+    rest = rest_of_chains(found, spans, seeds_, texts, least_span)
+    if rest is not None:
+        rest = common.written(rest.join(counts, "key").select("key", "ref", F.col("n").alias("words"), "xs", "ys"), "rest-of-chains")
+        spans = common.written(spans.unionByName(aligned(rest, texts, min_words, similarity)), "passages")
+    whole = common.lookup(copies, counts.withColumnRenamed("key", "ref"), "ref", common.hot_list(copies, "ref")).where(F.col("n") >= min_words)
+    spans = common.written(spans.unionByName(whole.select("key", "ref", F.lit(0).alias("start"), F.col("n").alias("end"))), "passages")
     refs = spans.select("key", "ref").distinct().join(rows.select(F.col("key").alias("ref"), "doc"), "ref").groupBy("key").agg(F.sort_array(F.collect_set("doc")).alias("refs"), F.count_if(F.col("doc").isNull()).alias("unnamed"))
     listed = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(refs, "key")
     hit, clean = common.Filter(spans, "key").split(rows, "key")

@@ -522,6 +522,41 @@ def test_fuzzy_passages_are_found_whose_parts_come_first_elsewhere(spark):
     assert np.mean([abs(got[i] - n) <= 0.1 * n for i, n in wanted.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("between", [1, 110])
+def test_fuzzy_passages_are_found_whose_parts_come_again_in_between(spark, between):
+    """Parts of 13 words of each passage occur in other documents before the one that has it and again, in one or very many, after it."""
+    rows, wanted = [], {}
+    for i in range(12 if between == 1 else 3):
+        passage = prose(6500 + i, 100).split()
+        words = [f"new{k}" if k % 14 == 7 else w for k, w in enumerate(passage)]
+        parts = [" ".join(passage[k : k + 13]) for k in range(0, 100, 13)]
+        for n, part in enumerate(parts):
+            rows.append((10_000 * i + n, f"{prose(40_000 + 100 * i + n, 30)} {part} {prose(50_000 + 100 * i + n, 30)}"))
+            rows += [(10_000 * i + 600 + 10 * k + n, f"{prose(60_000 + 10_000 * i + 10 * k + n, 25)} {part} {prose(160_000 + 10_000 * i + 10 * k + n, 25)}") for k in range(between)]
+        rows += [(10_000 * i + 500, f"{prose(6600 + i, 50)} {' '.join(passage)} {prose(6700 + i, 50)}"), (10_000 * i + 9000, f"{prose(6800 + i, 50)} {' '.join(words)} {prose(6900 + i, 50)}")]
+        wanted[10_000 * i + 9000] = 100
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert not any(n for i, n in got.items() if i not in wanted)
+    assert np.mean([abs(got[i] - n) <= 0.1 * n for i, n in wanted.items()]) >= 0.9
+
+
+def test_pairs_of_a_text_that_goes_round_are_few():
+    """Each word begins a seed, all of them equal: 400 words have 78 pairs a word, of which one in 23 words is enough."""
+    at = np.arange(400)
+    got = substring_dedup.pairs_of(np.zeros(400, np.int64), np.full(400, 7), at, at % 2 == 0, 23).to_pydict()
+    assert [b >> substring_dedup.AT for b in got["both"]] == [-(-k // 2) * 2 for k in range(0, 377, 23)] and all(got["is_left"]) and len(set(got["pair"])) == 1
+    far = substring_dedup.pairs_of(np.array([1, 1, 1, 2]), np.arange(4), np.array([0, 23, 101, 101]), np.ones(4, bool), 23).to_pydict()
+    assert [(k, b >> substring_dedup.AT, b & 0xFFFFFFFF) for k, b in sorted(zip(far["key"], far["both"], strict=True))] == [(1, 0, 23), (1, 23, 101)]
+
+
+def test_copies_need_no_seeds_and_go_whole_if_they_are_long_enough(spark):
+    rows = [(1, prose(7000, 80)), (2, prose(7000, 80)), (3, prose(7001, 49)), (4, prose(7001, 49)), (None, prose(7000, 80)), (5, None), (6, "")]
+    got = {r["doc_id"]: (r["n_removed"], r["ref_ids"], r["kept_text"]) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got == {1: (0, [], prose(7000, 80)), 2: (80, [1], ""), 3: (0, [], prose(7001, 49)), 4: (0, [], prose(7001, 49)), None: (80, [1], ""), 5: (0, [], ""), 6: (0, [], "")}
+    texts = table(spark, rows).selectExpr("doc_id as key", "coalesce(text, '') as text").where("key is not null")
+    assert sorted(map(tuple, substring_dedup.copies_of(texts).collect())) == [(2, 1), (4, 3), (6, 5)]
+
+
 @given(st.lists(st.tuples(st.integers(-2, 3), st.integers(0, 4), st.integers(0, 6)), unique=True), st.integers(1, 5), st.booleans())
 @settings(max_examples=150, deadline=None)
 def test_first_rows_and_rows_before_are_those_of_the_whole_order(rows, size, own):
