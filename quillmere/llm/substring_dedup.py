@@ -651,9 +651,9 @@ def parts(words: list[int], ref: list[int], xs: list[int], ys: list[int], min_wo
     return out[::-1]
 
 
-def narrow(words: np.ndarray) -> list[int]:
+def narrow(words: np.ndarray) -> np.ndarray:
     """31 bits of each word number: enough to align by, and half the bytes to move."""
-    return (words & np.uint64(0x7FFFFFFF)).astype(np.int64).tolist()
+    return (words & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
 WORD = re.compile(r"\S+")
@@ -687,7 +687,7 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, text=5):
             out: tuple[list, list] = ([], [])
-            text_before, words = None, []
+            text_before, words = None, np.zeros(0, np.int32)
             for n, xs, ys, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if text != text_before:
                     text_before, words = text, narrow(word_numbers(text))
@@ -696,7 +696,8 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
                 out[1].append(words[start : ys[-1] + reach(n - xs[-1])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32()))], names=["key", "ref", "xs", "ys", "ref_words"])
 
-    with_words = asked.mapInArrow(cut_out, "key long, ref long, xs array<int>, ys array<int>, ref_words array<int>")
+    # dealt by key in any case: where the join takes a broadcast, a task would hold the workers and batches of both steps
+    with_words = asked.mapInArrow(cut_out, "key long, ref long, xs array<int>, ys array<int>, ref_words array<int>").repartition("key")
     later = common.Filter(found, "key").split(rows, "key")[0]
     both = with_words.join(later, "key").select("key", "ref", "xs", "ys", "ref_words", "text")
 
@@ -704,9 +705,10 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
         for batch in common.sliced(batches, rows=200, text=5):
             out: list[tuple] = []
             text_before, words = None, []
-            for key, ref, xs, ys, ref_words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):  # a row at a time: words take ten times the room as Python's numbers
+                key, ref, xs, ys, ref_words, text = (c.as_py() for c in row)
                 if text != text_before:
-                    text_before, words = text, narrow(word_numbers(text))
+                    text_before, words = text, narrow(word_numbers(text)).tolist()
                 out += [(key, ref, *span) for span in parts(words, ref_words, xs, ys, min_words, similarity)]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "ref", "start", "end"])
