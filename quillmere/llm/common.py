@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillmere.sources.scratch import scratch_path as scratch
 from quillmere.sources.scratch import small_or_shuffled, written
 
-__all__ = ["Filter", "Kept", "components", "held_out", "hot_list", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written"]
+__all__ = ["Filter", "Kept", "components", "held_out", "hot_list", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written", "written_in_small_batches"]
 
 #: Splits a digest that a third of all rows may share over so many tasks.
 SALTS = 16
@@ -23,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch at most where rows hold texts, and a batch of Spark's usual size takes tens of MB on either side.
+BATCH_ROWS = 500
+
+
+def written_in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """written(), for a step that gives texts to Python and works them row by row: its results don't depend on batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        return written(df, name)
+    conf.set(key, str(BATCH_ROWS))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def text_of(column: str) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

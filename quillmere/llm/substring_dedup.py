@@ -460,7 +460,7 @@ def rest_of_chains(found: DataFrame, spans: DataFrame, seeds_: DataFrame, texts:
     if left.isEmpty():
         return None
     near = common.Filter(left, "key").split(texts, "key")[0].join(common.small_or_shuffled(left), "key").select("key", "text", "xs")
-    late = common.written(left_seeds(near), "left-seeds")
+    late = common.written_in_small_batches(left_seeds(near), "left-seeds")
     known = common.small_or_shuffled(common.written(late.select("seed").distinct(), "left-kinds"))
     short = seeds_.where((F.col("place") >= 0) & (F.col("place").bitwiseAND(1) == 0)).join(known, "seed").select("key", "seed", "place")
     every = short.withColumn("is_left", F.lit(False)).unionByName(late.withColumn("is_left", F.lit(True)))
@@ -599,15 +599,17 @@ def parts(words: list[int], ref: list[int], xs: list[int], ys: list[int], min_wo
         pieces[-1][4] += max(0, x + K - begin)
         x_at, y_at = max(x_at, x + K), max(y_at, y + K)
         pieces[-1][2:4] = x_at, y_at
-    most = []  # words that match in a gap: a bound for long ones
+    most = []  # words that match in a gap at most: those that both have, in any order
     for x, x_end, y, y_end in between:
-        long = (x_end - x) * (y_end - y) > 4096
-        most.append((Counter(words[x:x_end]) & Counter(ref[y:y_end])).total() if long else min(x_end - x, y_end - y))
+        least = min(x_end - x, y_end - y)
+        most.append((Counter(words[x:x_end]) & Counter(ref[y:y_end])).total() if least > 1 else least)
     total = sum(p[4] for p in pieces) + sum(most)
+    begin, end = extension(words[: xs[0]][::-1], ref[: ys[0]][::-1], slips=True), extension(words[x_at:], ref[y_at:], slips=True)
+    total += begin[2] + end[2]
+    if total < similarity * min_words:  # too few for any passage
+        return []
     left, right = np.zeros((len(pieces), 3), np.int64), np.zeros((len(pieces), 3), np.int64)
-    left[0] = extension(words[: xs[0]][::-1], ref[: ys[0]][::-1], slips=True)
-    right[-1] = extension(words[x_at:], ref[y_at:], slips=True)
-    total += left[0, 2] + right[-1, 2]
+    left[0], right[-1] = begin, end
     # of the pieces before each one: matches, those that count for the choice, words of gaps that don't align, first in reach
     seen, counted, others, reach = (np.zeros(len(pieces), np.int64) for _ in range(4))
     for i, (x, x_end, y, y_end) in enumerate(between):
@@ -679,10 +681,13 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
     """key, ref, start, end (words) of the passages of the chains in a written table; rows (key, text) are the documents.
 
     Of the earlier text go on only the words that a passage can reach, which are no more than the later text has on
-    either side of the chain; then each chain meets the later text. A chain is a row all the way.
+    either side of a chain; then they meet the later text. The chains of two texts, of which texts that repeat themselves have
+    many, are one row all the way, so they share the texts.
     """
     refs = common.Filter(found, "ref").split(rows, "key")[0]
-    asked = common.spread(found, refs, "ref", "key", common.hot_values(found, "ref"), "key").select("key", "ref", "words", "xs", "ys", "text")
+    every = found.groupBy("key", "ref").agg(F.first("words").alias("words"), F.collect_list(F.struct("xs", "ys")).alias("all"))
+    every = every.select("key", "ref", "words", F.col("all")["xs"].alias("xs"), F.col("all")["ys"].alias("ys"))
+    asked = common.spread(every, refs, "ref", "key", common.hot_values(found, "ref"), "key").select("key", "ref", "words", "xs", "ys", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches, text=5):
@@ -691,13 +696,13 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
             for n, xs, ys, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 if text != text_before:
                     text_before, words = text, narrow(word_numbers(text))
-                start = max(0, ys[0] - reach(xs[0]))
-                out[0].append([y - start for y in ys])
-                out[1].append(words[start : ys[-1] + reach(n - xs[-1])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32()))], names=["key", "ref", "xs", "ys", "ref_words"])
+                start = max(0, min(y[0] - reach(x[0]) for x, y in zip(xs, ys, strict=True)))
+                out[0].append([[y - start for y in chain] for chain in ys])
+                out[1].append(words[start : max(y[-1] + reach(n - x[-1]) for x, y in zip(xs, ys, strict=True))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out[0], pa.list_(pa.list_(pa.int32()))), pa.array(out[1], pa.list_(pa.int32()))], names=["key", "ref", "xs", "ys", "ref_words"])
 
     # dealt by key in any case: where the join takes a broadcast, a task would hold the workers and batches of both steps
-    with_words = asked.mapInArrow(cut_out, "key long, ref long, xs array<int>, ys array<int>, ref_words array<int>").repartition("key")
+    with_words = asked.mapInArrow(cut_out, "key long, ref long, xs array<array<int>>, ys array<array<int>>, ref_words array<int>").repartition("key")
     later = common.Filter(found, "key").split(rows, "key")[0]
     both = with_words.join(later, "key").select("key", "ref", "xs", "ys", "ref_words", "text")
 
@@ -709,7 +714,8 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
                 key, ref, xs, ys, ref_words, text = (c.as_py() for c in row)
                 if text != text_before:
                     text_before, words = text, narrow(word_numbers(text)).tolist()
-                out += [(key, ref, *span) for span in parts(words, ref_words, xs, ys, min_words, similarity)]
+                spans = (span for x, y in zip(xs, ys, strict=True) for span in parts(words, ref_words, x, y, min_words, similarity))
+                out += [(key, ref, *span) for span in dict.fromkeys(spans)]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "ref", "start", "end"])
 
@@ -764,22 +770,22 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     rows = keyed(docs, id_col, text_col)
     texts = rows.select("key", "text")
     copies = copies_of(texts)
-    seeds_ = common.written(seeds(without(texts, copies), min_words), "seeds")
+    seeds_ = common.written_in_small_batches(seeds(without(texts, copies), min_words), "seeds")
     sizes = seeds_.where("place < 0").select("key", "place", *(F.lit(0).cast("long").alias(c) for c in ("ref", "ref_place", "prev", "prev_place")))
     matches = with_first(seeds_.where("place >= 0"), own=True).unionByName(sizes)
     found = common.written(chained(matches.repartition("key").sortWithinPartitions("key"), min_words, least_span), "chains")
     asked = found.where("ref is null").select("key", F.col("xs").alias("firsts"), F.col("ys").alias("lasts"))
     around = common.Filter(asked, "key").split(texts, "key")[0].join(common.small_or_shuffled(asked), "key").select("key", "text", "firsts", "lasts")
-    matched = with_first(common.written(windows(around, min_words), "windows")).where("ref <> key").select("key", "place", "ref", "ref_place")
+    matched = with_first(common.written_in_small_batches(windows(around, min_words), "windows")).where("ref <> key").select("key", "place", "ref", "ref_place")
     exact = segments(matched.repartition("key").sortWithinPartitions("key"), min_words)
     known = found.where("words = -1").select("key", "ref", F.col("xs")[0].alias("start"), F.col("ys")[0].alias("end"))
     every = common.written(found.where("ref is not null and words >= 0"), "all-chains")
-    spans = common.written(aligned(every, texts, min_words, similarity).unionByName(exact).unionByName(known), "passages")
+    spans = common.written_in_small_batches(aligned(every, texts, min_words, similarity).unionByName(exact).unionByName(known), "passages")
     counts = seeds_.where("place < 0").select("key", (-1 - F.col("place")).cast("int").alias("n"))
     rest = rest_of_chains(found, spans, seeds_, texts, least_span)
     if rest is not None:
         rest = common.written(rest.join(counts, "key").select("key", "ref", F.col("n").alias("words"), "xs", "ys"), "rest-of-chains")
-        spans = common.written(spans.unionByName(aligned(rest, texts, min_words, similarity)), "passages")
+        spans = common.written_in_small_batches(spans.unionByName(aligned(rest, texts, min_words, similarity)), "passages")
     whole = common.lookup(copies, counts.withColumnRenamed("key", "ref"), "ref", common.hot_list(copies, "ref")).where(F.col("n") >= min_words)
     spans = common.written(spans.unionByName(whole.select("key", "ref", F.lit(0).alias("start"), F.col("n").alias("end"))), "passages")
     refs = spans.select("key", "ref").distinct().join(rows.select(F.col("key").alias("ref"), "doc"), "ref").groupBy("key").agg(F.sort_array(F.collect_set("doc")).alias("refs"), F.count_if(F.col("doc").isNull()).alias("unnamed"))

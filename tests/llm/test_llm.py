@@ -621,6 +621,45 @@ def test_chains_are_cut_where_it_takes(spark):
         assert substring_dedup.matched_in_rows(x, y) == substring_dedup.matched_words(x, y)
 
 
+def test_chains_with_too_few_words_are_told_without_an_alignment(monkeypatch):
+    """Two seeds and between them 60 words of which 10 agree, in another order: 20 of 70 words can't be a passage."""
+
+    def never(*_):
+        raise AssertionError("aligned")
+
+    monkeypatch.setattr(substring_dedup, "matched_words", never)
+    monkeypatch.setattr(substring_dedup, "matched_in_rows", never)
+    both, own, others = list(range(10)), list(range(100, 150)), list(range(200, 250))
+    x, y = [*range(300, 305), *both, *own, *range(400, 405)], [*range(300, 305), *others, *both[::-1], *range(400, 405)]
+    assert substring_dedup.parts(x, y, [0, 65], [0, 65], 50, 0.8) == []
+
+
+def test_chains_of_two_texts_share_the_texts(spark):
+    """A passage comes back in three places of a later text: one row for the two texts, and each place is found once."""
+    p, q = prose(770, 60), prose(771, 60)
+    texts = [(0, f"{p} {q}"), (1, f"{p} {prose(772, 30)} {q} {prose(773, 30)} {p}")]
+    starts = {0: [(0, 60), (60, 120)], 1: [(0, 60), (90, 150), (180, 240)]}
+    at = [(b, r) for b, r in zip((0, 90, 180), (0, 60, 0), strict=True)] * 2  # each chain twice
+    found = [(1, 0, 240, list(range(b, b + 56, 5)), list(range(r, r + 56, 5))) for b, r in at]
+    chains = common.written(spark.createDataFrame(found, substring_dedup.FOUND), "chains")
+    got = substring_dedup.aligned(chains, spark.createDataFrame(texts, "key long, text string"), 50, 0.8).collect()
+    assert sorted((r["start"], r["end"]) for r in got) == starts[1]
+
+
+def test_texts_are_given_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(key), spark.range(0, 4000, 1, 1).mapInArrow(sizes, "n long")
+    most = lambda df: max(r["n"] for r in df.collect())
+    assert most(common.written(rows, "sizes")) > common.BATCH_ROWS == most(common.written_in_small_batches(rows, "sizes"))
+    assert spark.conf.get(key) == before
+
+
 def test_cut_and_edits():
     assert substring_dedup.cut("a  b c\nd e", [(1, 3)]) == "a  d e"
     assert substring_dedup.matched_words([1, 2, 3, 4], [1, 9, 3, 4]) == 3
