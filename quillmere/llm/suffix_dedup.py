@@ -185,12 +185,37 @@ def front_coded(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
     return shared, rows[np.arange(WIDTH) >= shared[:, None]].tobytes()
 
 
-def window_digests(row: bytes, key: int, pos: int, size: int) -> Iterator[tuple[bytes, int, int]]:
-    """Digest, key and start of each window of the text around the anchor of a suffix, which is a row of suffixes()."""
-    left, right = min(pos, BEFORE), min(size - pos, LENGTH)
-    around = row[LENGTH : LENGTH + left][::-1] + row[:right]
-    for start in range(left + right - LENGTH + 1):
-        yield hashlib.blake2b(around[start : start + LENGTH], digest_size=DIGEST).digest(), key, pos - left + start
+#: Suffixes whose k-grams are hashed at once.
+HASHED = 2048
+
+
+def led_windows(rows: np.ndarray, pos: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows whose first least k-gram is the anchor, for rows of suffixes() at the places pos of
+    texts of these sizes. All other windows around an anchor have another one, and are looked up there."""
+    first, last = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for i in range(0, len(rows), HASHED):
+        some, at, size = rows[i : i + HASHED], pos[i : i + HASHED], sizes[i : i + HASHED]
+        around = np.concatenate([some[:, LENGTH:][:, ::-1], some[:, :LENGTH]], axis=1)
+        sums = np.zeros((len(some), WIDTH + 1), np.uint64)
+        np.cumsum(BYTE_NUMBERS[around] * _POWERS[0][:WIDTH], axis=1, out=sums[:, 1:])
+        h = mixed((sums[:, K:] - sums[:, :-K]) * _POWERS[1][: WIDTH - K + 1])
+        place = at[:, None] - BEFORE + np.arange(h.shape[1])
+        inside, least = (place >= 0) & (place + K <= size[:, None]), h[:, BEFORE, None]
+        before, after = inside & (h <= least), inside & (h < least)
+        before[:, BEFORE:], after[:, : BEFORE + 1] = False, False
+        lower = np.where(before.any(axis=1), h.shape[1] - before[:, ::-1].argmax(axis=1), 0)  # behind the last one before
+        upper = np.where(after.any(axis=1), after.argmax(axis=1), h.shape[1])
+        first[i : i + HASHED] = np.maximum(at - BEFORE + lower, 0)
+        last[i : i + HASHED] = np.minimum(at - 2 * BEFORE + upper - 1, size - LENGTH)
+    return first, last
+
+
+def window_digests(row: bytes, key: int, pos: int, first: int, last: int) -> Iterator[tuple[bytes, int, int]]:
+    """Digest, key and start of the windows of the text that start from first to last, around the anchor of a suffix, which is a
+    row of suffixes()."""
+    around = row[LENGTH : LENGTH + pos - first][::-1] + row[: last + LENGTH - pos] if first <= pos else b""
+    for start in range(first, last + 1):
+        yield hashlib.blake2b(around[start - first : start - first + LENGTH], digest_size=DIGEST).digest(), key, start
 
 
 def sorted_runs(rows_: DataFrame, parts: int, hot: bool) -> DataFrame:
@@ -224,8 +249,9 @@ def sorted_runs(rows_: DataFrame, parts: int, hot: bool) -> DataFrame:
             out: list[tuple] = []
             first: dict[bytes, tuple[int, int]] = {}
             later: list[tuple[int, int]] = []
-            for i in range(len(rows) if hot else 0):
-                for digest, key, start in window_digests(rows[i].tobytes(), int(keys[i]), int(pos[i]), int(sizes[i])):
+            begin, end = led_windows(rows, pos, sizes) if hot else (pos[:0], pos[:0])
+            for i in np.flatnonzero(begin <= end).tolist():
+                for digest, key, start in window_digests(rows[i].tobytes(), int(keys[i]), int(pos[i]), int(begin[i]), int(end[i])):
                     known = first.get(digest)
                     if known is None or (key, start) < known:
                         first[digest] = key, start

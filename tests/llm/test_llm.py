@@ -647,8 +647,6 @@ def test_chains_of_two_texts_share_the_texts(spark):
 
 
 def test_texts_are_given_to_python_in_small_batches(spark):
-    import pyarrow as pa
-
     def sizes(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
@@ -672,6 +670,18 @@ def test_cut_and_edits():
 # ---- suffixes ----------------------------------------------------------------------------------------------------------
 
 
+def test_each_window_is_told_at_one_anchor():
+    """Also where k-grams repeat within a window, and at both ends of a text."""
+    rng = np.random.default_rng(5)
+    for data in (rng.integers(0, 255, 1500).astype(np.uint8), np.tile(rng.integers(97, 122, 40), 30).astype(np.uint8), np.frombuffer(b"a" * 400, np.uint8), rng.integers(0, 255, 100).astype(np.uint8)):
+        at, _ = suffix_dedup.anchors(data)
+        rows = suffix_dedup.suffixes(data, at)
+        spans = suffix_dedup.led_windows(rows, at, np.full(len(at), len(data)))
+        told = [w for row, pos, i, j in zip(rows, at.tolist(), *(s.tolist() for s in spans), strict=True) for w in suffix_dedup.window_digests(row.tobytes(), 7, pos, i, j)]
+        assert sorted(start for _, _, start in told) == list(range(len(data) - suffix_dedup.LENGTH + 1))
+        assert all(d == hashlib.blake2b(data[s : s + 100].tobytes(), digest_size=suffix_dedup.DIGEST).digest() and k == 7 for d, k, s in told)
+
+
 def brute_bytes(rows):
     first, out = set(), {}
     for i, t in sorted(rows):
