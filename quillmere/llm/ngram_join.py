@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm import common
@@ -97,9 +97,15 @@ def deeper(large: DataFrame, texts: DataFrame, n: int, rate: float) -> DataFrame
 
 
 def sized(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (path, fp, ...) of buckets with two or more sets, with their size; rows is made of a written table."""
-    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return common.written(common.lookup(rows, counts, "path", common.hot_list(rows, "path")), name)
+    """Rows (path, fp, ...) of buckets with two or more sets, with their size; rows is made of a written table. Rows are moved
+    once: those of a path are counted where they meet. Rows of hot paths stay where they are, and their counts go to them."""
+    hot = common.hot_list(rows, "path")
+    is_hot = F.col("path").isin(hot) if hot else F.lit(False)
+    met = rows.where(~is_hot).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("path")))
+    if hot:
+        counts = rows.where(is_hot).groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+        met = met.unionByName(rows.where(is_hot).join(F.broadcast(counts), "path"))
+    return common.written(met.where("size > 1"), name)
 
 
 def final_buckets(met: DataFrame, texts: DataFrame, n: int) -> DataFrame:

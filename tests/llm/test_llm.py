@@ -399,6 +399,23 @@ def test_another_text_of_a_doc_id_has_no_paths(spark):
     assert len(wanted) and sorted(got) == sorted(wanted.view(np.int64).tolist())
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_rows_of_buckets_are_moved_once(spark, monkeypatch, hot):
+    plans = []
+    monkeypatch.setattr(common, "written", lambda df, name: plans.append(df) or df)
+    monkeypatch.setattr(common, "hot_list", lambda *_: [1] if hot else [])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(p, bytes([i])) for i, p in enumerate([1, 1, 1, 2, 3, 3, 4])], "path long, fp binary")
+        got = sorted((r["path"], r["fp"][0], r["size"]) for r in ngram_join.sized(rows, "met").collect())
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, 0, 3), (1, 1, 3), (1, 2, 3), (3, 4, 2), (3, 5, 2)]
+    assert "Join" not in plan if not hot else "SortMergeJoin" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(edges).collect()}
