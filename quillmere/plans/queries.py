@@ -18,7 +18,7 @@ from quillmere.operators import changes, code, graph, inventory, policy, reports
 from quillmere.operators.bounded import bounded, find, group_totals, scan_capped, top_per_group
 from quillmere.operators.selection import medians
 from quillmere.sources import adapters, git, index_store
-from quillmere.sources.scratch import scratch_path
+from quillmere.sources.scratch import scratch_path, written_by_size
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1003,7 +1003,8 @@ SELECT DISTINCT 'f' || lpad(CAST(d AS VARCHAR), 12, '0') AS src, dst, 'depends_o
 """
 )
 def scip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.scip_graph(_scip(spark, sf_dir))[1]
+    edges = adapters.scip_graph(_scip(spark, sf_dir))[1]
+    return written_by_size(edges, "scip-edges", table(spark, sf_dir, "lineitem").count())
 
 
 def _scip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1023,7 +1024,8 @@ SELECT 'f' || lpad(CAST(d AS VARCHAR), 12, '0') AS file, CASE WHEN s % 2 = 0 THE
 """
 )
 def scip_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.scip_graph(_scip(spark, sf_dir))[0]
+    symbols = adapters.scip_graph(_scip(spark, sf_dir))[0]
+    return written_by_size(symbols, "scip-symbols", table(spark, sf_dir, "lineitem").count())
 
 
 # ---- ordered reports: the first rows of each order -------------------------------------------------------------------

@@ -264,3 +264,13 @@ def test_capped_expansion_is_that_of_a_queue(spark, most):
     nodes = spark.createDataFrame([(x, "module", x) for x in near], "id string, kind string, name string")
     e = graph.expand(nodes, spark.createDataFrame([(a, b, "depends_on") for a, b in edges], "src string, dst string, kind string"), start, depth=3, max_nodes=most)
     assert {r["id"]: r["distance"] for r in e.nodes.collect()} == placed and e.truncated is cut
+
+
+def test_shuffles_have_partitions_by_the_size_of_the_input(spark, monkeypatch):
+    key = "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(scratch, "written", lambda df, name: seen.append((name, int(spark.conf.get(key)))) or df)
+    for rows in (0, int(before) * scratch.ROWS_EACH, int(before) * scratch.ROWS_EACH + 1):
+        scratch.written_by_size(spark.range(1), f"of {rows}", rows)
+        assert spark.conf.get(key) == before
+    assert [n for _, n in seen] == [int(before), int(before), int(before) + 1]
