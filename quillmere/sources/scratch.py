@@ -36,22 +36,24 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return table, told.get["n"]
 
 
-#: Rows of the input for each partition of a shuffle, which Spark may join again where they are small.
+#: Rows of the input for each partition of a shuffle.
 ROWS_EACH = 200_000
 
 
 def written_by_size(df: DataFrame, name: str, rows: int) -> DataFrame:
-    """written(), with shuffles of as many partitions as an input of that many rows takes, if the session has fewer: so what a
-    task sorts and groups doesn't grow with the input."""
-    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(key)
-    if rows <= int(before) * ROWS_EACH:
+    """written(), with shuffles of as many partitions as an input of that many rows takes, if the session has fewer, which Spark
+    doesn't join again: so what a task sorts and groups doesn't grow with the input."""
+    conf, keys = df.sparkSession.conf, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [conf.get(k) for k in keys]
+    if rows <= int(before[0]) * ROWS_EACH:
         return written(df, name)
-    conf.set(key, str(-(-rows // ROWS_EACH)))
     try:
+        for k, v in zip(keys, (str(-(-rows // ROWS_EACH)), "false"), strict=True):
+            conf.set(k, v)
         return written(df, name)
     finally:
-        conf.set(key, before)
+        for k, v in zip(keys, before, strict=True):
+            conf.set(k, v)
 
 
 #: Rows of a few numbers that are broadcast at most: some tens of MB.
