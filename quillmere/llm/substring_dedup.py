@@ -221,7 +221,7 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
 
 
 #: A chain, or with a null ref first and last starts of the windows to match, or with the words -1 passages by start and end, or
-#: with the words LEFT places of seeds that no passage covers so far.
+#: with the words LEFT places of seeds that no passage covers so far, and the number of words.
 FOUND = "key long, ref long, words int, xs array<int>, ys array<int>"
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 LEFT = -2
@@ -334,7 +334,7 @@ def found_in(key: np.ndarray, place: np.ndarray, ref: np.ndarray, ref_place: np.
     left = other.copy()
     left[left] = ~inside(key[left], x[left], covered)
     for i, j in zip(*grouped(key[left]), strict=True) if left.any() else ():
-        out.append((int(key[left][i]), int(key[left][i]), LEFT, np.unique(x[left][i:j]).tolist(), []))
+        out.append((int(key[left][i]), int(key[left][i]), LEFT, np.unique(x[left][i:j]).tolist(), [words[int(key[left][i])]]))
     second = (prev != key) & ~is_long
     second[second] = ~inside(key[second], x[second], covered)
     if second.any():
@@ -436,30 +436,48 @@ def seed_pairs(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "pair long, key long, both long, is_left boolean")
 
 
+#: All chains of two texts.
+CHAINS = "key long, ref long, words int, xs array<array<int>>, ys array<array<int>>"
+
+
 def chained_pairs(matches: DataFrame, least_span: int) -> DataFrame:
-    """FOUND, without a number of words, of rows (key, ref, both, ref_both), those of a key in one partition and together."""
+    """CHAINS of rows (key, ref, both, ref_both), those of a key in one partition and together; each key has a row with its number
+    of words, as -1 - n, in both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (1 << AT) - 1
         for key, ref, both, ref_both in whole_keys(batches):
-            every = np.stack([np.tile(key, 2), np.tile(ref, 2), np.append(both >> AT, both & low), np.append(ref_both >> AT, ref_both & low)])
-            key, ref, x, y = np.unique(every, axis=1)
-            yield handed([(k, r, 0, xs, ys) for k, r, xs, ys in paired(key, ref, x, y, least_span)])
-        yield handed([])
+            told = both < 0
+            words = dict(zip(key[told].tolist(), (-1 - both[told]).tolist(), strict=True))
+            key, ref, both, ref_both = (c[~told] for c in (key, ref, both, ref_both))
+            every = np.tile(key, 2), np.tile(ref, 2), np.append(both >> AT, both & low), np.append(ref_both >> AT, ref_both & low)
+            order = np.lexsort(every[::-1])
+            every = [c[order] for c in every]
+            new = np.ones(len(order), bool)  # a match of several pairs counts once
+            new[1:] = np.any([c[1:] != c[:-1] for c in every], axis=0)
+            out: list[tuple] = []
+            for k, r, xs, ys in paired(*(c[new] for c in every), least_span):
+                if not out or out[-1][:2] != (k, r):
+                    out.append((k, r, words[k], [], []))
+                out[-1][3].append(xs)
+                out[-1][4].append(ys)
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), lists, lists), strict=True)], names=["key", "ref", "words", "xs", "ys"])
 
-    return matches.mapInArrow(run, FOUND)
+    return matches.mapInArrow(run, CHAINS)
 
 
 def rest_of_chains(found: DataFrame, spans: DataFrame, seeds_: DataFrame, texts: DataFrame, least_span: int) -> DataFrame | None:
-    """FOUND of the chains of seeds in words that the passages spans (key, start, end) don't cover, with all earlier texts."""
+    """CHAINS of the seeds in words that the passages spans (key, start, end) don't cover, with all earlier texts."""
     gone = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    left = found.where(F.col("words") == LEFT).select("key", "xs").join(gone, "key", "left")
+    left = found.where(F.col("words") == LEFT).select("key", "xs", F.col("ys")[0].alias("n")).join(gone, "key", "left")
     is_gone = lambda x: F.exists(F.col("spans"), lambda s: (s["start"] <= x) & (x + K <= s["end"]))
-    left = left.select("key", F.when(F.col("spans").isNull(), F.col("xs")).otherwise(F.filter("xs", lambda x: ~is_gone(x))).alias("xs"))
+    left = left.select("key", "n", F.when(F.col("spans").isNull(), F.col("xs")).otherwise(F.filter("xs", lambda x: ~is_gone(x))).alias("xs"))
     left = common.written(left.where(F.size("xs") > 1), "left")
     if left.isEmpty():
         return None
-    near = common.Filter(left, "key").split(texts, "key")[0].join(common.small_or_shuffled(left), "key").select("key", "text", "xs")
+    near = common.Filter(left, "key").split(texts, "key")[0].join(common.small_or_shuffled(left.drop("n")), "key").select("key", "text", "xs")
     late = common.written_in_small_batches(left_seeds(near), "left-seeds")
     known = common.small_or_shuffled(common.written(late.select("seed").distinct(), "left-kinds"))
     short = seeds_.where((F.col("place") >= 0) & (F.col("place").bitwiseAND(1) == 0)).join(known, "seed").select("key", "seed", "place")
@@ -468,7 +486,8 @@ def rest_of_chains(found: DataFrame, spans: DataFrame, seeds_: DataFrame, texts:
     asked = pairs.where("is_left").select("pair", "key", "both")
     earlier = common.Filter(asked, "pair").split(pairs, "pair")[0].select("pair", F.col("key").alias("ref"), F.col("both").alias("ref_both"))
     matches = asked.join(earlier, "pair").where("ref < key").select("key", "ref", "both", "ref_both")
-    return chained_pairs(matches.repartition("key").sortWithinPartitions("key"), least_span)
+    sizes = left.select("key", F.col("key").alias("ref"), (-1 - F.col("n")).cast("long").alias("both"), F.lit(0).cast("long").alias("ref_both"))
+    return chained_pairs(matches.unionByName(sizes).repartition("key").sortWithinPartitions("key"), least_span)
 
 
 def windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -528,27 +547,42 @@ def matched_words(a: list[int], b: list[int]) -> int:
 SLIP, AGREE = 8, 3
 
 
-def slipped(a: list[int], b: list[int], i: int, j: int) -> tuple[int, int] | None:
-    """The nearest places behind a[i] and b[j] from which AGREE words are equal."""
+def slipped(a: list[int], b: list[int]) -> tuple[int, int] | None:
+    """The nearest places behind the first ones from which AGREE words are equal, if either text has SLIP words more at most."""
+    a, b = a[: SLIP + AGREE], b[: SLIP + AGREE]
+    grams = [list(zip(*(c[k:] for k in range(AGREE)), strict=False)) for c in (a, b)]
+    if set(grams[0]).isdisjoint(grams[1]):
+        return None
     for far in range(1, 2 * SLIP + 1):
         for x in range(max(0, far - SLIP), min(SLIP, far) + 1):
             y = far - x
-            if a[i + x : i + x + AGREE] == b[j + y : j + y + AGREE] and i + x + AGREE <= len(a) and j + y + AGREE <= len(b):
-                return i + x, j + y
+            if x < len(grams[0]) and y < len(grams[1]) and grams[0][x] == grams[1][y]:
+                return x, y
     return None
 
 
-def extension(a: list[int], b: list[int], drop: int = 6, slips: bool = False) -> tuple[int, int, int]:
-    """How far two lists agree from their beginnings, in words of each, and how many agree: a match earns 1, a replaced word
-    costs 2, and the end is where the sum was largest; ``drop`` below its peak the search ends. With slips it goes on where words agree again
-    a few places on, if that earns more than it costs."""
+def ahead(a: list[int], at: int, step: int) -> list[int]:
+    """The words from a[at] on that a slip can reach, or with a step of -1 those from it back."""
+    return a[at : at + SLIP + AGREE] if step > 0 else a[max(0, at + 1 - SLIP - AGREE) : at + 1][::-1]
+
+
+def extension(a: list[int], b: list[int], drop: int = 6, slips: bool = False, x: int = 0, y: int = 0, step: int = 1) -> tuple[int, int, int]:
+    """How far two lists agree from a[x] and b[y] on, or with a step of -1 from there back, in words of each, and how many agree: a match
+    earns 1, a replaced word costs 2, and the end is where the sum was largest; ``drop`` below its peak the search ends. With slips it goes
+    on where words agree again a few places on, if that earns more than it costs. The lists aren't copied, as most searches end soon."""
+    room = (len(a) - x, len(b) - y) if step > 0 else (x + 1, y + 1)
     total = best = seen = 0
     at = end = (0, 0, 0)  # where a stretch without a slip begins, and the best end so far
     while True:
         total_before, peak = best, total
-        for i, (p, q) in enumerate(zip(a[at[0] :] if at[0] else a, b[at[1] :] if at[1] else b, strict=False), 1):
-            seen += p == q
-            total += 1 if p == q else -2
+        p, q = x + step * at[0], y + step * at[1]
+        for i in range(1, min(room[0] - at[0], room[1] - at[1]) + 1):
+            if a[p] == b[q]:
+                seen += 1
+                total += 1
+            else:
+                total -= 2
+            p, q = p + step, q + step
             if total > best:
                 best, end = total, (at[0] + i, at[1] + i, seen)
             if total > peak:
@@ -557,11 +591,11 @@ def extension(a: list[int], b: list[int], drop: int = 6, slips: bool = False) ->
                 break
         if not slips or (at != (0, 0, 0) and best == total_before):
             return end
-        to = slipped(a, b, *end[:2])
+        to = slipped(ahead(a, x + step * end[0], step), ahead(b, y + step * end[1], step))
         if to is None:
             return end
-        at, seen = (*to, end[2]), end[2]
-        total = best - 2 * max(to[0] - end[0], to[1] - end[1])
+        at, seen = (end[0] + to[0], end[1] + to[1], end[2]), end[2]
+        total = best - 2 * max(to)
 
 
 def matched_in_rows(a: list[int], b: list[int]) -> int:
@@ -599,14 +633,18 @@ def parts(words: list[int], ref: list[int], xs: list[int], ys: list[int], min_wo
         pieces[-1][4] += max(0, x + K - begin)
         x_at, y_at = max(x_at, x + K), max(y_at, y + K)
         pieces[-1][2:4] = x_at, y_at
-    most = []  # words that match in a gap at most: those that both have, in any order
-    for x, x_end, y, y_end in between:
-        least = min(x_end - x, y_end - y)
-        most.append((Counter(words[x:x_end]) & Counter(ref[y:y_end])).total() if least > 1 else least)
-    total = sum(p[4] for p in pieces) + sum(most)
-    begin, end = extension(words[: xs[0]][::-1], ref[: ys[0]][::-1], slips=True), extension(words[x_at:], ref[y_at:], slips=True)
-    total += begin[2] + end[2]
-    if total < similarity * min_words:  # too few for any passage
+    begin, end = extension(words, ref, slips=True, x=xs[0] - 1, y=ys[0] - 1, step=-1), extension(words, ref, slips=True, x=x_at, y=y_at)
+    if x_at + end[0] - xs[0] + begin[0] < min_words:
+        return []
+    sure = sum(p[4] for p in pieces) + begin[2] + end[2]
+    most = [min(x_end - x, y_end - y) for x, x_end, y, y_end in between]  # words that match in a gap at most
+    if sure + sum(most) < similarity * min_words:  # too few for any passage
+        return []
+    for i, (x, x_end, y, y_end) in enumerate(between):
+        if most[i] > 1:  # those that both have, in any order
+            most[i] = (Counter(words[x:x_end]) & Counter(ref[y:y_end])).total()
+    total = sure + sum(most)
+    if total < similarity * min_words:
         return []
     left, right = np.zeros((len(pieces), 3), np.int64), np.zeros((len(pieces), 3), np.int64)
     left[0], right[-1] = begin, end
@@ -677,16 +715,22 @@ def reach(words: int) -> int:
     return words + words // 4 + SLIP
 
 
+def of_two_texts(found: DataFrame) -> DataFrame:
+    """CHAINS of rows of FOUND that are chains."""
+    every = found.groupBy("key", "ref").agg(F.first("words").alias("words"), F.collect_list(F.struct("xs", "ys")).alias("all"))
+    return every.select("key", "ref", "words", F.col("all")["xs"].alias("xs"), F.col("all")["ys"].alias("ys"))
+
+
 def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """key, ref, start, end (words) of the passages of the chains in a written table; rows (key, text) are the documents.
+    """key, ref, start, end (words) of the passages of the chains in a written table, FOUND or CHAINS; rows (key, text) are the
+    documents.
 
     Of the earlier text go on only the words that a passage can reach, which are no more than the later text has on
     either side of a chain; then they meet the later text. The chains of two texts, of which texts that repeat themselves have
     many, are one row all the way, so they share the texts.
     """
     refs = common.Filter(found, "ref").split(rows, "key")[0]
-    every = found.groupBy("key", "ref").agg(F.first("words").alias("words"), F.collect_list(F.struct("xs", "ys")).alias("all"))
-    every = every.select("key", "ref", "words", F.col("all")["xs"].alias("xs"), F.col("all")["ys"].alias("ys"))
+    every = found if found.schema["xs"].dataType.elementType.typeName() == "array" else of_two_texts(found)
     asked = common.spread(every, refs, "ref", "key", common.hot_values(found, "ref"), "key").select("key", "ref", "words", "xs", "ys", "text")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -711,7 +755,8 @@ def aligned(found: DataFrame, rows: DataFrame, min_words: int, similarity: float
             out: list[tuple] = []
             text_before, words = None, []
             for row in zip(*batch.columns, strict=True):  # a row at a time: words take ten times the room as Python's numbers
-                key, ref, xs, ys, ref_words, text = (c.as_py() for c in row)
+                key, ref, xs, ys, text = (row[i].as_py() for i in (0, 1, 2, 3, 5))
+                ref_words = row[4].values.to_numpy().tolist()
                 if text != text_before:
                     text_before, words = text, narrow(word_numbers(text)).tolist()
                 spans = (span for x, y in zip(xs, ys, strict=True) for span in parts(words, ref_words, x, y, min_words, similarity))
@@ -784,7 +829,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, similarity: float = 0.
     counts = seeds_.where("place < 0").select("key", (-1 - F.col("place")).cast("int").alias("n"))
     rest = rest_of_chains(found, spans, seeds_, texts, least_span)
     if rest is not None:
-        rest = common.written(rest.join(counts, "key").select("key", "ref", F.col("n").alias("words"), "xs", "ys"), "rest-of-chains")
+        rest = common.written(rest, "rest-of-chains")
         spans = common.written_in_small_batches(spans.unionByName(aligned(rest, texts, min_words, similarity)), "passages")
     whole = common.lookup(copies, counts.withColumnRenamed("key", "ref"), "ref", common.hot_list(copies, "ref")).where(F.col("n") >= min_words)
     spans = common.written(spans.unionByName(whole.select("key", "ref", F.lit(0).alias("start"), F.col("n").alias("end"))), "passages")

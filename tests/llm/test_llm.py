@@ -566,6 +566,26 @@ def test_pairs_of_a_text_that_goes_round_are_few():
     assert [(k, b >> substring_dedup.AT, b & 0xFFFFFFFF) for k, b in sorted(zip(far["key"], far["both"], strict=True))] == [(1, 0, 23), (1, 23, 101)]
 
 
+def test_chains_of_two_texts_are_one_row_with_the_number_of_words(spark):
+    """Two texts that meet in three places give one row, so texts that go round don't multiply the rows of what follows."""
+    at = lambda a, b: (a << substring_dedup.AT) | b
+    rows = [(9, 9, -1 - 400, 0), (8, 8, -1 - 70, 0)] + [(9, 1, at(x, x + 24), at(y, y + 24)) for x, y in ((0, 500), (150, 100), (300, 0))] + [(9, 2, at(0, 24), at(5, 29)), (8, 1, at(3, 27), at(3, 27))]
+    got = substring_dedup.chained_pairs(spark.createDataFrame(rows, "key long, ref long, both long, ref_both long").repartition(1).sortWithinPartitions("key"), 28).collect()
+    assert sorted((r["key"], r["ref"], r["words"], sorted(zip(r["xs"], r["ys"], strict=True))) for r in got) == [
+        (8, 1, 70, [([3, 27], [3, 27])]),
+        (9, 1, 400, [([0, 24], [500, 524]), ([150, 174], [100, 124]), ([300, 324], [0, 24])]),
+        (9, 2, 400, [([0, 24], [5, 29])]),
+    ]
+
+
+@given(st.lists(st.integers(0, 2), max_size=60), st.lists(st.integers(0, 2), max_size=60), st.integers(0, 60), st.integers(0, 60), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_extensions_in_place_are_those_of_copies(a, b, x, y, slips):
+    x, y = min(x, len(a)), min(y, len(b))
+    assert substring_dedup.extension(a, b, slips=slips, x=x, y=y) == substring_dedup.extension(a[x:], b[y:], slips=slips)
+    assert substring_dedup.extension(a, b, slips=slips, x=x - 1, y=y - 1, step=-1) == substring_dedup.extension(a[:x][::-1], b[:y][::-1], slips=slips)
+
+
 def test_copies_need_no_seeds_and_go_whole_if_they_are_long_enough(spark):
     rows = [(1, prose(7000, 80)), (2, prose(7000, 80)), (3, prose(7001, 49)), (4, prose(7001, 49)), (None, prose(7000, 80)), (5, None), (6, "")]
     got = {r["doc_id"]: (r["n_removed"], r["ref_ids"], r["kept_text"]) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
