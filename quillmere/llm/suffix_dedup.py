@@ -169,8 +169,8 @@ def joined_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[first], ends[np.append(first[1:] - 1, len(ends) - 1)]
 
 
-RUN_ROWS = "part int, shared binary, rest binary, keys binary, pos binary, key long, starts array<int>, ends array<int>, digest binary"
-RUN_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+RUN_ROWS = "part int, shared binary, rest binary, keys binary, pos binary, key long, starts array<int>, ends array<int>"
+RUN_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 #: Bytes of the digest of a window.
 DIGEST = 16
 RUN_NAMES = [c.split()[0] for c in RUN_ROWS.split(", ")]
@@ -218,38 +218,75 @@ def window_digests(row: bytes, key: int, pos: int, first: int, last: int) -> Ite
         yield hashlib.blake2b(around[start - first : start - first + LENGTH], digest_size=DIGEST).digest(), key, start
 
 
-def sorted_runs(rows_: DataFrame, parts: int, hot: bool) -> DataFrame:
-    """Of rows (key, text, at), by batch: covered spans by key, and runs by part; or, if the k-grams of the places are hot
-    ones, instead of runs for each window around a place, the first one in the run, a row (digest, key, start)."""
+class Run(NamedTuple):
+    """Sorted suffixes of a batch, equal ones once, and keys, starts and ends of what the others cover."""
+
+    rows: np.ndarray
+    keys: np.ndarray
+    pos: np.ndarray
+    sizes: np.ndarray
+    spans: np.ndarray
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """Of batches (key, text, at)."""
+    for batch in common.sliced(batches, rows=RUN_DOCS, text=1, most_bytes=RUN_BYTES):
+        made, keys, pos, sizes = [np.zeros((0, WIDTH), np.uint8)], [], [], []
+        for key, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data, at = as_bytes(text), np.array(at, np.int64)
+            made.append(suffixes(data, at))
+            keys.append(np.full(len(at), key, np.int64))
+            pos.append(at)
+            sizes.append(np.full(len(at), len(data), np.int64))
+        rows = np.ascontiguousarray(np.concatenate(made))
+        if not len(rows):
+            continue
+        keys, pos, sizes = (np.concatenate(c) for c in (keys, pos, sizes))
+        strings = rows.view(f"S{WIDTH}").ravel()
+        order = np.lexsort((pos, keys))
+        order = order[np.argsort(strings[order], kind="stable")]
+        rows, keys, pos, sizes = (c[order] for c in (rows, keys, pos, sizes))
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        again = ~new
+        starts, ends = np.maximum(pos - BEFORE, 0)[again], np.minimum(pos + LENGTH, sizes)[again]
+        full = ends - starts >= LENGTH
+        yield Run(rows[new], keys[new], pos[new], sizes[new], np.stack([keys[again][full], starts[full], ends[full]], axis=1))
+
+
+def spans_by_key(spans: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """key, starts, ends of the union of the spans of each key."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    for group in np.split(spans, np.flatnonzero(np.diff(spans[:, 0])) + 1):
+        if len(group):
+            yield int(group[0, 0]), *joined_spans(group[:, 1], group[:, 2])
+
+
+def sorted_runs(rows_: DataFrame, parts: int) -> DataFrame:
+    """Of rows (key, text, at), by batch: covered spans by key, and runs by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches, rows=RUN_DOCS, text=1, most_bytes=RUN_BYTES):
-            made, keys, pos, sizes = [np.zeros((0, WIDTH), np.uint8)], [], [], []
-            for key, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, at = as_bytes(text), np.array(at, np.int64)
-                made.append(suffixes(data, at))
-                keys.append(np.full(len(at), key, np.int64))
-                pos.append(at)
-                sizes.append(np.full(len(at), len(data), np.int64))
-            rows = np.ascontiguousarray(np.concatenate(made))
-            if not len(rows):
-                continue
-            keys, pos, sizes = (np.concatenate(c) for c in (keys, pos, sizes))
-            strings = rows.view(f"S{WIDTH}").ravel()
-            order = np.lexsort((pos, keys))
-            order = order[np.argsort(strings[order], kind="stable")]
-            rows, keys, pos, sizes = (c[order] for c in (rows, keys, pos, sizes))
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            again = ~new
-            starts, ends = np.maximum(pos - BEFORE, 0)[again], np.minimum(pos + LENGTH, sizes)[again]
-            full = ends - starts >= LENGTH
-            spans = [np.stack([keys[again][full], starts[full], ends[full]], axis=1)]
-            rows, keys, pos, sizes = (c[new] for c in (rows, keys, pos, sizes))
-            out: list[tuple] = []
+        for rows, keys, pos, _, spans in runs_of(batches):
+            out: list[tuple] = [(key % parts, None, None, None, None, key, s.tolist(), e.tolist()) for key, s, e in spans_by_key(spans)]
+            part = np.array([zlib.crc32(r) for r in np.ascontiguousarray(rows[:, :K])], np.int64) % parts
+            for p in np.unique(part).tolist():
+                mine = part == p
+                shared, rest = front_coded(rows[mine])
+                out.append((p, shared.tobytes(), rest, keys[mine].tobytes(), pos[mine].astype(np.int32).tobytes(), None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(RUN_KINDS), RUN_KINDS, strict=True)], names=RUN_NAMES)
+
+    return rows_.mapInArrow(run, RUN_ROWS)
+
+
+def hot_windows(rows_: DataFrame) -> DataFrame:
+    """digest, key, start, end of the first window of each digest in a batch, for rows (key, text, at) whose places have hot k-grams;
+    without a digest what is known to be covered."""
+
+    def hot_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, keys, pos, sizes, spans in runs_of(batches):
             first: dict[bytes, tuple[int, int]] = {}
             later: list[tuple[int, int]] = []
-            begin, end = led_windows(rows, pos, sizes) if hot else (pos[:0], pos[:0])
+            begin, end = led_windows(rows, pos, sizes)
             for i in np.flatnonzero(begin <= end).tolist():
                 for digest, key, start in window_digests(rows[i].tobytes(), int(keys[i]), int(pos[i]), int(begin[i]), int(end[i])):
                     known = first.get(digest)
@@ -257,27 +294,16 @@ def sorted_runs(rows_: DataFrame, parts: int, hot: bool) -> DataFrame:
                         first[digest] = key, start
                     if known is not None and known != (key, start):  # a window may have several anchors
                         later.append(max(known, (key, start)))
-            out += [(None, None, None, None, None, key, [start], None, digest) for digest, (key, start) in first.items()]
             if later:
                 at = np.array(later, np.int64)
-                spans.append(np.column_stack([at, at[:, 1] + LENGTH]))
-            spans = np.concatenate(spans)
-            spans = spans[np.argsort(spans[:, 0], kind="stable")]
-            for group in np.split(spans, np.flatnonzero(np.diff(spans[:, 0])) + 1):
-                if len(group):
-                    s, e = joined_spans(group[:, 1], group[:, 2])
-                    key = int(group[0, 0])
-                    out.append((key % parts, None, None, None, None, key, s.tolist(), e.tolist(), None))
-            if hot:
-                rows, keys, pos = rows[:0], keys[:0], pos[:0]
-            part = np.array([zlib.crc32(r) for r in np.ascontiguousarray(rows[:, :K])], np.int64) % parts
-            for p in np.unique(part).tolist():
-                mine = part == p
-                shared, rest = front_coded(rows[mine])
-                out.append((p, shared.tobytes(), rest, keys[mine].tobytes(), pos[mine].astype(np.int32).tobytes(), None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(RUN_KINDS), RUN_KINDS, strict=True)], names=RUN_NAMES)
+                spans = np.concatenate([spans, np.column_stack([at, at[:, 1] + LENGTH])])
+            out: list[tuple] = [(digest, key, start, start + LENGTH) for digest, (key, start) in first.items()]
+            for key, s, e in spans_by_key(spans):
+                out += [(None, key, *span) for span in zip(s.tolist(), e.tolist(), strict=True)]
+            kinds = pa.binary(), pa.int64(), pa.int32(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], names=["digest", "key", "start", "end"])
 
-    return rows_.mapInArrow(run, RUN_ROWS)
+    return rows_.mapInArrow(hot_run, "digest binary, key long, start int, end int")
 
 
 class Suffix(NamedTuple):
@@ -415,7 +441,7 @@ def merged_spans(runs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(spans[first, 0]), pa.array(spans[first, 1].astype(np.int32)), pa.array(last.astype(np.int32))], names=["key", "start", "end"])
 
         for batch in batches:
-            for p, shared, rest, keys, pos, key, starts, ends_ in zip(*(c.to_pylist() for c in batch.columns[:8]), strict=True):
+            for p, shared, rest, keys, pos, key, starts, ends_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part is not None and p != part:
                     yield worked()
                 part = p
@@ -469,12 +495,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hot, others = places.where(is_hot), places.where(~is_hot)
     else:
         hot, others = (common.written(places.join(common.small_or_shuffled(few), "gram", how), "parted-anchors") for how in ("left_semi", "left_anti"))
-    exchanged = sorted_runs(located(rows, others), parts, False).repartition(parts, "part").sortWithinPartitions("part")
+    exchanged = sorted_runs(located(rows, others), parts).repartition(parts, "part").sortWithinPartitions("part")
     spans = merged_spans(exchanged)
     if n_hot:
-        runs = common.written(sorted_runs(located(rows, common.written(hot, "hot-anchors")), parts, True), "hot-windows")
-        later = later_windows(runs.where("digest is not null").select("digest", "key", F.col("starts")[0].alias("start")))
-        within = runs.where("digest is null").select("key", F.inline(F.arrays_zip("starts", "ends"))).select("key", F.col("starts").alias("start"), F.col("ends").alias("end"))
+        # dealt by key: documents with hot anchors may lie in a few files, whose tasks would tell most of the windows
+        windows = common.written(hot_windows(located(rows, common.written(hot, "hot-anchors")).repartition("key")), "hot-windows")
+        later, within = later_windows(windows.where("digest is not null")), windows.where("digest is null").select("key", "start", "end")
         spans = spans.unionByName(later).unionByName(within)
     spans = common.written(spans, "spans")
     listed = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))

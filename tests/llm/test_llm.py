@@ -924,6 +924,22 @@ def test_native_queries_run_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan), name
 
 
+def test_hot_windows_of_a_batch_are_told_once_and_the_others_covered(spark):
+    """Three texts share 150 bytes around which they differ: each window is there once by its digest, all else as spans."""
+    shared = prose(9100, 60)[:150]
+    texts = {1: f"{prose(9101, 20)} {shared} {prose(9102, 20)}", 2: f"{prose(9103, 20)} {shared} {prose(9104, 20)}", 3: f"{prose(9103, 20)} {shared} {prose(9105, 20)}"}
+    rows = [(k, t, suffix_dedup.anchors(suffix_dedup.as_bytes(t))[0].tolist()) for k, t in texts.items()]
+    got = suffix_dedup.hot_windows(spark.createDataFrame(rows, "key long, text string, at array<int>").coalesce(1)).collect()
+    told = {(r["key"], r["start"]) for r in got if r["digest"]}
+    gone = {(r["key"], i) for r in got if not r["digest"] for i in range(r["start"], r["end"] - suffix_dedup.LENGTH + 1)}
+    first: dict[str, tuple[int, int]] = {}
+    for k, t in texts.items():
+        for i in range(len(t) - 99):
+            first.setdefault(t[i : i + 100], (k, i))
+    assert set(first.values()) <= told and len(told) == sum(1 for r in got if r["digest"]) == len({r["digest"] for r in got if r["digest"]})
+    assert {(k, i) for k, t in texts.items() for i in range(len(t) - 99)} - set(first.values()) == gone
+
+
 def test_later_windows_of_a_large_group_without_a_join(spark):
     """A digest that every run has gives all its places but the first one, each read once."""
     rows = [(b"a", key, start) for key in range(300) for start in (0, 5)] + [(b"b", 1, 7), (b"c", 2, 1), (b"c", 2, 0)]
