@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.sources.scratch import scratch_path as scratch
-from quillmere.sources.scratch import small_or_shuffled, written
+from quillmere.sources.scratch import small_or_shuffled, written, written_by_key
 
-__all__ = ["Filter", "Kept", "components", "held_out", "hot_list", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written", "written_in_small_batches"]
+__all__ = ["Filter", "Kept", "components", "held_out", "hot_list", "hot_values", "lookup", "salt_of", "salted", "scratch", "sliced", "small_or_shuffled", "spread", "table", "text_of", "written", "written_by_key", "written_in_small_batches"]
 
 #: Splits a digest that a third of all rows may share over so many tasks.
 SALTS = 16

@@ -272,14 +272,16 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall: flo
     named = lambda doc, h: (doc.isNull().alias("unnamed"), F.coalesce(doc, F.lit(0)).alias("doc"), h.alias("h"), F.xxhash64(doc, h).alias("at"))
     wanted = common.written(met.select("fp").distinct().join(reps.select("fp", "from"), "fp").select("fp", *named(F.col("from.doc"), F.col("from.h"))), "wanted")
     near = common.Filter(wanted, "at").split(rows.select(*named(F.col("doc"), F.col("h")), "text"), "at")[0]
-    one = near.groupBy(key).agg(F.first("text").alias("text"))  # copies of a row are made one in the map tasks
-    texts = common.written(one.join(common.small_or_shuffled(wanted.drop("at")), key).select("fp", "text"), "texts")
+    known = near.join(common.small_or_shuffled(wanted.drop("at")), key).select("fp", "text")
+    # copies of a row are made one in the map tasks; kept by fp, as each join with texts would move them all
+    texts, dropped = common.written_by_key(known.groupBy("fp").agg(F.first("text").alias("text")), "fp", "texts")
     final = common.written(final_buckets(met, texts, n), "final-buckets")
     merged = common.written(merged_buckets(final), "merged-buckets")
     met = common.written(dealt_blocks(merged, reps), "blocks")
     others = met.groupBy("fp").agg(F.collect_set("bucket").alias("others"))
     members = met.join(others.join(texts, "fp"), "fp").select("bucket", "a", "b", "side", "fp", "others", "text").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     found = common.written(verified(members, n, similarity), "links")
+    dropped()
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = common.components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     named = reps.select("fp", "from", "copies").join(classes.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by_key(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """written(), with the rows of a key in one of as many buckets as a shuffle has partitions: joins on the key don't shuffle
+    the table. Its name in the catalog goes with a call of what is returned beside it, before which all joins must have run."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = f"quillmere_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table), lambda: spark.sql(f"DROP TABLE {table}")
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """The written table, and its number of rows, which is counted while it is written."""
     told = Observation()

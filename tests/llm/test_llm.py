@@ -924,6 +924,17 @@ def test_native_queries_run_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan), name
 
 
+def test_tables_kept_by_key_are_joined_where_they_are(spark):
+    rows = spark.range(1000).selectExpr("id as fp", "cast(id as string) as text")
+    kept, dropped = common.written_by_key(rows, "fp", "texts")
+    joined = spark.range(0, 1000, 3).selectExpr("id as fp").hint("merge").join(kept, "fp")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    assert sorted(r["text"] for r in joined.collect()) == sorted(str(i) for i in range(0, 1000, 3))
+    dropped()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillmere_")]
+
+
 def test_hot_windows_of_a_batch_are_told_once_and_the_others_covered(spark):
     """Three texts share 150 bytes around which they differ: each window is there once by its digest, all else as spans."""
     shared = prose(9100, 60)[:150]
